@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,14 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` with `value` computed once per row.
+
+    A plain Python variable inside a lambda is inlined into it and computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def as_double(a: Column | str) -> Column:
     return _col(a).cast("array<double>")
 
@@ -28,14 +38,12 @@ def squared_distance(a: Column | str, b: Column | str) -> Column:
 
 def log_sum_exp(a: Column | str) -> Column:
     x = as_double(a)
-    top = F.array_max(x)
-    return top + F.log(total(F.transform(x, lambda v: F.exp(v - top))))
+    return let(F.array_max(x), lambda top: top + F.log(total(F.transform(x, lambda v: F.exp(v - top)))))
 
 
 def log_softmax(a: Column | str) -> Column:
     x = as_double(a)
-    norm = log_sum_exp(x)
-    return F.transform(x, lambda v: v - norm)
+    return let(log_sum_exp(x), lambda norm: F.transform(x, lambda v: v - norm))
 
 
 def softmax(a: Column | str) -> Column:
@@ -50,10 +58,12 @@ def argmax(a: Column | str) -> Column:
 
 def rank_of(a: Column | str, index: Column | str) -> Column:
     """1-based rank of element `index` by value, larger first, equal values by position."""
-    x, i = as_double(a), _col(index)
-    own = F.element_at(x, (i + 1).cast("int"))
-    flags = F.transform(x, lambda v, j: ((v > own) | ((v == own) & (j < i))).cast("int"))
-    return (F.aggregate(flags, F.lit(0), lambda acc, v: acc + v) + 1).cast("long")
+    x, i = _col(a), _col(index)
+
+    def rank(own: Column) -> Column:
+        return F.size(F.filter(x, lambda v, j: (v > own) | ((v == own) & (j < i)))) + 1
+
+    return let(F.get(x, i.cast("int")), rank).cast("long")
 
 
 def one_hot(label: Column | str, n: int) -> Column:

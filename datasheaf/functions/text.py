@@ -53,7 +53,7 @@ def squad_normalize(text: Column | str) -> Column:
     """Lower case, no ASCII punctuation, no articles, single spaces."""
     t = F.lower(_col(text))
     t = F.regexp_replace(t, PUNCTUATION, "")
-    t = F.regexp_replace(t, r"\b(a|an|the)\b", " ")
+    t = F.regexp_replace(t, r"(?U)\b(a|an|the)\b", " ")
     return F.array_join(words(t), " ")
 
 

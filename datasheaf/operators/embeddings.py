@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from datasheaf.functions.arrays import as_double, squared_distance, total
+from datasheaf.functions.arrays import as_double, let, squared_distance, total
 
 # Values (vectors x dimensions) a task may hold as one array: 2M doubles, 16 MB.
 INLINE_VALUES = 2_000_000
@@ -55,7 +55,7 @@ def _partials(df: DataFrame, vec: str, protos: Column, own: str | None) -> DataF
         protos, lambda p: F.struct(squared_distance(vec, p["proto"]).alias("d"), p["label"].alias("label"))
     )
     out = df.withColumn("__d", dists).withColumn("__best", F.array_min("__d"))
-    mass = total(F.transform("__d", lambda s: F.exp(F.col("__best.d") - s["d"])))
+    mass = let(F.col("__best.d"), lambda b: total(F.transform("__d", lambda s: F.exp(b - s["d"]))))
     out = out.withColumn("__mass", mass)
     if own is not None:
         hit = F.filter("__d", lambda s: s["label"] == F.col(own))

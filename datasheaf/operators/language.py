@@ -48,10 +48,12 @@ def corpus_bleu(df: DataFrame, id_col: str, hyp: str, ref: str, max_n: int = 4)
     toks = df.select(id_col, T.words(hyp).alias("h"), T.words(ref).alias("r"))
 
     def long(side: str) -> DataFrame:
-        grams = F.flatten(F.array(*[
-            F.transform(ngrams(F.col(side), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g")))
-            for n in range(1, max_n + 1)
-        ]))
+        def tagged(n: int) -> Column:
+            return F.transform(
+                ngrams(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
+            )
+
+        grams = F.flatten(F.array(*[tagged(n) for n in range(1, max_n + 1)]))
         return toks.select(id_col, F.explode(grams).alias("x"), F.lit(int(side == "h")).alias("is_h"))
 
     both = long("h").unionByName(long("r")).groupBy(id_col, "x.n", "x.g").agg(

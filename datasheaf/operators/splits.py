@@ -171,13 +171,20 @@ def repeat_images(factors: DataFrame, seed: int = 0) -> DataFrame:
 def completion_labels(ids: Column, marker: Sequence[int]) -> Column:
     """Labels of a token array: -100 up to and including the last token of the first marker; all
     -100 when the marker is missing."""
-    m = len(marker)
-    starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.size(ids) - (m - 1), F.lit(1))),
-        lambda i: F.slice(ids, i, m) == F.lit(list(marker)).cast("array<long>"),
-    )
-    first = F.coalesce(F.get(starts, F.lit(0)) + (m - 1), F.size(ids))
-    return F.transform(ids, lambda x, i: F.when(i < first, F.lit(-100).cast("long")).otherwise(x.cast("long")))
+    m, ignore = len(marker), F.lit(-100).cast("long")
+
+    def at(i: Column) -> Column:
+        hits = [F.get(ids, (i + k).cast("int")) == F.lit(v) for k, v in enumerate(marker)]
+        out = hits[0]
+        for h in hits[1:]:
+            out = out & h
+        return out
+
+    flags = F.transform(ids, lambda _, i: F.coalesce(at(i), F.lit(False)))
+    found = F.array_position(flags, F.lit(True))
+    cut = F.when(found > 0, found + (m - 1)).otherwise(F.size(ids)).cast("int")
+    rest = F.slice(ids, cut + 1, F.size(ids)).cast("array<long>")
+    return F.concat(F.array_repeat(ignore, cut), rest)
 
 
 def sample_hparams(trials: DataFrame, trial: str, space: dict[str, tuple], seed: int = 0) -> DataFrame:

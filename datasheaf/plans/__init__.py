@@ -1,6 +1,8 @@
 """Every registered query; importing the modules fills the registry."""
 
 from datasheaf.plans import (  # noqa: F401
+    answers,
+    experiments,
     modelscores,
     positional,
     preparation,

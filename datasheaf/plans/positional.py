@@ -8,13 +8,14 @@ from datasheaf.operators import corpus as C
 from datasheaf.operators import packing as P
 from datasheaf.operators import positions as O
 from datasheaf.plans.registry import query
+from datasheaf.session import spread
 from datasheaf.plans.sqltext import CORPUS, LINES, draw, draw_int, words
 
 LINE_KEYS = ["doc_id", "line"]
 
 
 def lines(t):
-    return C.text_lines(t.documents, "text", "doc_id")
+    return C.text_lines(spread(t.documents.select("doc_id", "text")), "text", "doc_id")
 
 
 def corpus(t):

@@ -12,6 +12,7 @@ from datasheaf.operators import filters as W
 from datasheaf.operators import joins as J
 from datasheaf.operators import splits as X
 from datasheaf.plans.registry import query
+from datasheaf.session import spread
 from datasheaf.plans.sqltext import LINES, PUNCT_SQL, WORD_SQL, digest, draw as sdraw, draw_int, strip, words
 
 N_WORDS = f"len({words('text')})"
@@ -165,7 +166,8 @@ def _(t):
     return t.documents.select("doc_id", F.md5(T.before_marker("text", ". ")).alias("digest"))
 
 
-@query("squad_normalize", rf"""SELECT doc_id, md5(array_to_string({words(r"regexp_replace(regexp_replace(lower(text), '" + PUNCT_SQL + r"', '', 'g'), '\b(a|an|the)\b', ' ', 'g')")}, ' ')) AS digest FROM documents""")
+@query("squad_normalize", rf"""SELECT doc_id, md5(array_to_string(list_filter({words(r"regexp_replace(lower(text), '" + PUNCT_SQL + r"', '', 'g')")},
+  lambda w: w NOT IN ('a', 'an', 'the')), ' ')) AS digest FROM documents""")
 def _(t):
     return t.documents.select("doc_id", F.md5(T.squad_normalize("text")).alias("digest"))
 
@@ -266,10 +268,10 @@ def _(t):
     return W.preference_violations(pairs).select("conv_id", "turn", "violation")
 
 
-@query("response_audit", f"""WITH a AS (SELECT role, text, {N_WORDS} AS n, strpos(text, '. ') AS at FROM conversations)
+@query("response_audit", f"""WITH a AS (SELECT role, text, {N_WORDS} AS n, strpos(text, '. ') AS p FROM conversations)
   SELECT role, count(*) AS n, sum(n)::BIGINT AS tokens,
-    sum(len({words("CASE WHEN at > 0 THEN substr(text, 1, at - 1) ELSE text END")}))::BIGINT AS before_tokens,
-    count(*) FILTER (at = 0) AS without_marker, count(*) FILTER (n > 64 AND at > 0) AS cut FROM a GROUP BY role""")
+    sum(len({words("CASE WHEN p > 0 THEN substr(text, 1, p - 1) ELSE text END")}))::BIGINT AS before_tokens,
+    count(*) FILTER (p = 0) AS without_marker, count(*) FILTER (n > 64 AND p > 0) AS cut FROM a GROUP BY role""")
 def _(t):
     from datasheaf.operators.audit import token_audit
 
@@ -392,7 +394,8 @@ IDS = f"(SELECT doc_id, list_transform({words('text')}, lambda w: length(w)::BIG
 
 
 def ids(t):
-    return t.documents.select("doc_id", F.transform(T.words("text"), lambda w: F.length(w).cast("long")).alias("ids"))
+    docs = spread(t.documents.select("doc_id", "text"))
+    return docs.select("doc_id", F.transform(T.words("text"), lambda w: F.length(w).cast("long")).alias("ids"))
 
 
 def _csv(c):

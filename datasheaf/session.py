@@ -45,3 +45,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so an iteration survives lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores when the input has fewer splits than cores.
+
+    For CPU-heavy row work on a few small files. Inputs of a real size have more splits than the
+    cluster has cores, and are left as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,6 +6,8 @@ from datasheaf.plans import (  # noqa: F401
     modelscores,
     positional,
     preparation,
+    streams,
+    vision,
 )
 from datasheaf.plans.registry import ORACLES, QUERIES
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from datasheaf.functions import text as T
 from datasheaf.functions.hashing import draw, draw_int
 from datasheaf.operators.positions import global_index, running
+from datasheaf.session import materialize
 
 END_OF_LINE = "<eos>"
 
@@ -44,11 +45,12 @@ def corpus_positions(lines: DataFrame, order_by: Sequence[str], text: str = "val
 
 
 def build_vocab(tokens: DataFrame, token: str = "token", pos: str = "pos") -> DataFrame:
-    """`token`, `id` (order of first occurrence), `n`. Counts are combined before the shuffle."""
+    """`token`, `id` (order of first occurrence), `n`. Counts are combined before the shuffle; the
+    counted vocabulary is written once, so numbering it does not read the corpus again."""
     seen = tokens.groupBy(F.col(token).alias("token")).agg(
         F.min(pos).alias("first_pos"), F.count(F.lit(1)).alias("n")
     )
-    return global_index(seen, "first_pos", out="id").drop("first_pos")
+    return global_index(materialize(seen), "first_pos", out="id").drop("first_pos")
 
 
 def first_seen_index(df: DataFrame, col: str, pos: str) -> DataFrame:

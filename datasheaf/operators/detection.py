@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datasheaf.functions import boxes as B
-from datasheaf.operators.positions import running
+from datasheaf.operators.positions import running, running_many
 from datasheaf.operators.sets import top_n_per_group
 from datasheaf.session import materialize
 
@@ -195,56 +195,85 @@ def recall_from_overlaps(
     return out.withColumn("recall", F.col("hits") / F.col("num_pos"))
 
 
+def _least_iou(t: Column) -> Column:
+    return F.least(t, F.lit(1 - 1e-10))
+
+
 def coco_matches(
     dets: DataFrame, gt: DataFrame, thresholds: Sequence[float], areas: Sequence[str] = ("all",),
-    max_dets: int = 100, pairs: DataFrame | None = None,
+    max_dets: int | None = 100, pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per (area, threshold, detection): category_id, score, image_id, id, and `kind`: tp, fp
-    or ignored.
+    """One row per detection: image_id, category_id, id, score, and `counted` and `hits`, arrays of
+    0/1 over (area, threshold) in that nesting.
 
     `gt`: image_id, category_id, id, box, area, iscrowd. Detections take, best score first, the free
     ground truth of largest overlap at or above the threshold; one that counts before one that is
     ignored (crowd, or area out of range); a crowd region serves any number of them. A detection on
-    ignored ground truth, or unmatched with its own area out of range, is ignored. `pairs` replaces
-    box overlaps by other similarities (image_id, category_id, a, b, iou).
+    ignored ground truth, or unmatched with its own area out of range, does not count; one on other
+    ground truth is a hit. `pairs` replaces box overlaps by other similarities (image_id,
+    category_id, a, b, iou).
+
+    A detection and a ground truth that overlap nothing else match at every threshold below their
+    IoU; only the other overlaps are expanded to (area, threshold) and matched in rounds.
     """
     by = ["image_id", "category_id"]
     bands = [r for r in AREA_RANGES if r[0] in areas]
-    names = F.lit([r[0] for r in bands])
+    names = [r[0] for r in bands]
+    nt = len(thresholds)
+    slots = F.sequence(F.lit(0), F.lit(len(names) * nt - 1))
+    thr = F.lit([float(t) for t in thresholds])
     from datasheaf.operators.joins import matched_in_bands
 
-    top = top_n_per_group(dets, by, ["-score", "id"], max_dets)
+    top = dets if max_dets is None else top_n_per_group(dets, by, ["-score", "id"], max_dets)
     sized = top.withColumn("area", B.area(*[F.col(c) for c in BOX])) if "area" not in top.columns else top
     if pairs is None:
         pairs = overlapping_pairs(
             sized.select(*by, "id", "score", *BOX), gt.select(*by, "id", "area", "iscrowd", *BOX), by
         )
-    low = min(thresholds)
-    edges = pairs.filter(F.col("iou") >= min(low, 1 - 1e-10)).select(
+    edges = pairs.filter(F.col("iou") >= _least_iou(F.lit(float(min(thresholds))))).select(
         *by, F.col("a.id").alias("det"), F.col("a.score").alias("score"), F.col("b.id").alias("gt"),
-        (F.coalesce("b.iscrowd", F.lit(0)) == 1).alias("crowd"), F.col("b.area").alias("gt_area"), "iou",
-        F.explode(names).alias("area"),
-    ).withColumn(
-        "threshold", F.explode(F.filter(F.lit(list(thresholds)), lambda t: F.col("iou") >= F.least(t, F.lit(1 - 1e-10))))
+        (F.coalesce("b.iscrowd", F.lit(0)) == 1).alias("crowd"),
+        matched_in_bands(F.col("b.area"), bands).alias("gt_bands"), "iou",
     )
-    in_band = F.array_contains(matched_in_bands(F.col("gt_area"), bands), F.col("area"))
-    edges = edges.withColumn("ignored", F.col("crowd") | ~in_band)
+    edges = materialize(edges)
+    one_det = edges.groupBy(*by, "det").agg(F.count(F.lit(1)).alias("__d"))
+    one_gt = edges.groupBy(*by, "gt").agg(F.count(F.lit(1)).alias("__g"))
+    ranked = edges.join(one_det, [*by, "det"]).join(one_gt, [*by, "gt"])
+    alone = (F.col("__d") == 1) & (F.col("__g") == 1)
+
+    def slot_rows(df: DataFrame) -> DataFrame:
+        """(area, threshold) slots of an edge with `ignored`, where its IoU reaches the threshold."""
+        reach = F.filter(slots, lambda k: F.col("iou") >= _least_iou(F.get(thr, k % nt)))
+        return df.withColumn("slot", F.explode(reach)).withColumn(
+            "ignored",
+            F.col("crowd") | ~F.array_contains("gt_bands", F.get(F.lit(names), F.floor(F.col("slot") / nt).cast("int"))),
+        )
+
+    simple = slot_rows(ranked.filter(alone)).select(*by, "det", "slot", "ignored")
     # Larger overlap first; of equal ones the later ground truth wins, hence the descending id.
     left = F.struct(F.col("ignored"), (-F.col("iou")).alias("i"), (-F.col("gt")).alias("g"))
     right = F.struct((-F.col("score")).alias("s"), F.col("det"))
-    scope = [*by, "area", "threshold"]
-    m = dominant_matching(edges, scope, "det", "gt", left, right, F.col("crowd")).select(
-        *scope, F.col("det").alias("id"), "ignored"
+    rounds = dominant_matching(
+        slot_rows(ranked.filter(~alone)), [*by, "slot"], "det", "gt", left, right, F.col("crowd")
+    ).select(*by, "det", "slot", "ignored")
+    taken = simple.unionByName(rounds).groupBy(*by, F.col("det").alias("id")).agg(
+        F.collect_list(F.when(~F.col("ignored"), F.col("slot"))).alias("hit_slots"),
+        F.collect_list(F.when(F.col("ignored"), F.col("slot"))).alias("ignored_slots"),  # at most one row per slot
     )
-    all_dets = sized.select(*by, "id", "score", matched_in_bands(F.col("area"), bands).alias("own_bands")).withColumn(
-        "area", F.explode(names)
-    ).withColumn("threshold", F.explode(F.lit(list(thresholds))))
-    out_of_range = ~F.array_contains("own_bands", F.col("area"))
-    kind = (
-        F.when(F.col("ignored").isNotNull(), F.when(F.col("ignored"), "ignored").otherwise("tp"))
-        .when(out_of_range, "ignored").otherwise("fp")
+    base = sized.select(*by, "id", "score", matched_in_bands(F.col("area"), bands).alias("own"))
+    none = F.array().cast("array<int>")
+    hit, ignored = F.coalesce("hit_slots", none), F.coalesce("ignored_slots", none)
+    in_range = F.transform(F.lit(names), lambda n: F.array_contains("own", n))
+
+    def counts(k: Column) -> Column:
+        return F.array_contains(hit, k) | (
+            ~F.array_contains(ignored, k) & F.get(in_range, F.floor(k / nt).cast("int"))
+        )
+
+    return base.join(taken, [*by, "id"], "left").select(
+        *by, "id", "score", F.transform(slots, lambda k: counts(k).cast("long")).alias("counted"),
+        F.transform(slots, lambda k: F.array_contains(hit, k).cast("long")).alias("hits"),
     )
-    return all_dets.join(m, [*scope, "id"], "left").select(*scope, "id", "score", kind.alias("kind"))
 
 
 def ground_truth_counts(gt: DataFrame, areas: Sequence[str]) -> DataFrame:
@@ -257,24 +286,36 @@ def ground_truth_counts(gt: DataFrame, areas: Sequence[str]) -> DataFrame:
     ).groupBy("category_id", "area").agg(F.count(F.lit(1)).alias("npos"))
 
 
-def precision_recall(matches: DataFrame, npos: DataFrame) -> DataFrame:
-    """Cumulative `precision` and `recall` at every counted detection, best score first.
+def precision_recall(
+    matches: DataFrame, npos: DataFrame, thresholds: Sequence[float], areas: Sequence[str] = ("all",)
+) -> DataFrame:
+    """`precision` and `recall` at every hit, best score first: category_id, area, threshold, score,
+    image_id, id, npos. Precision falls between hits, so the rows left out never matter.
 
-    The running count is spread over ranges of (category, area, threshold, score), so a frequent
-    category is not one task.
+    One running sum per slot over one order of the detections; the sums are spread over ranges of
+    (category, score), so a frequent category is not one task.
     """
-    counted = matches.filter("kind <> 'ignored'").withColumn("tp", (F.col("kind") == "tp").cast("long"))
-    group = ["category_id", "area", "threshold"]
-    order = ["-score", "image_id", "id"]
-    # tp in the upper part, one per row in the lower part: one pass gives both sums.
-    both = F.col("tp") * F.lit(1 << 40) + 1
-    run = running(counted, both, order, group, out="__c")
-    tps = F.shiftright("__c", 40)
-    n = F.col("__c") - tps * F.lit(1 << 40)
-    return run.join(npos, ["category_id", "area"]).select(
-        *group, "score", "image_id", "id", "tp", "npos",
-        (tps / n).alias("precision"), (tps / F.col("npos")).alias("recall"),
+    nt = len(thresholds)
+    n = nt * len(areas)
+    # Hits in the upper part, counted detections in the lower part of one long.
+    packed = {
+        f"c{k}": F.get("hits", F.lit(k)) * F.lit(1 << 40) + F.get("counted", F.lit(k)) for k in range(n)
+    }
+    slim = matches.select("category_id", "score", "image_id", "id", "hits", "counted")
+    run = running_many(slim, packed, ["-score", "image_id", "id"], "category_id")
+    at = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get("hits", k) == 1)
+    hit = run.select(
+        "category_id", "score", "image_id", "id", F.array(*[f"c{k}" for k in range(n)]).alias("c"),
+        F.explode(at).alias("slot"),
+    ).withColumn("c", F.get("c", F.col("slot")))
+    tps = F.shiftright("c", 40)
+    seen = F.col("c") - tps * F.lit(1 << 40)
+    named = hit.select(
+        "category_id", F.get(F.lit(list(areas)), F.floor(F.col("slot") / nt).cast("int")).alias("area"),
+        F.get(F.lit([float(t) for t in thresholds]), (F.col("slot") % nt).cast("int")).alias("threshold"),
+        "score", "image_id", "id", tps.alias("tps"), (tps / seen).alias("precision"),
     )
+    return named.join(npos, ["category_id", "area"]).withColumn("recall", F.col("tps") / F.col("npos")).drop("tps")
 
 
 def interpolated_ap(curve: DataFrame, npos: DataFrame, thresholds: Sequence[float], points: int = RECALL_POINTS) -> DataFrame:
@@ -285,7 +326,12 @@ def interpolated_ap(curve: DataFrame, npos: DataFrame, thresholds: Sequence[floa
     """
     group = ["category_id", "area", "threshold"]
     step = 1.0 / (points - 1)
-    reached = F.size(F.filter(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i * F.lit(step) <= F.col("recall")))
+    # The estimate can be off by one where i * step rounds; the exact test settles it.
+    guess = F.floor(F.col("recall") * (points - 1))
+    reached = (
+        guess + 1 - (guess * F.lit(step) > F.col("recall")).cast("long")
+        + (((guess + 1) * F.lit(step) <= F.col("recall")) & (guess + 1 < points)).cast("long")
+    )
     peaks = curve.groupBy(*group, reached.alias("k")).agg(F.max("precision").alias("p"))
     listed = peaks.groupBy(*group).agg(F.collect_list(F.struct("k", "p")).alias("peaks"))  # at most points + 1
 
@@ -297,20 +343,20 @@ def interpolated_ap(curve: DataFrame, npos: DataFrame, thresholds: Sequence[floa
         F.transform(F.sequence(F.lit(0), F.lit(points - 1)), best_from), F.lit(0.0), lambda a, x: a + x
     )
     ap = listed.select(*group, (total / points).alias("ap"))
-    grid = npos.withColumn("threshold", F.explode(F.lit(list(thresholds))))
+    grid = npos.withColumn("threshold", F.explode(F.lit([float(t) for t in thresholds])))
     return grid.join(ap, group, "left").select(*group, F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
 def all_point_ap(curve: DataFrame, npos: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """`category_id`, `area`, `threshold`, `ap`: area under the precision envelope.
 
-    Each true positive adds 1/npos times the best precision from there on: a running maximum from the
+    Each hit adds 1/npos times the best precision from there on: a running maximum from the
     low-score end.
     """
     group = ["category_id", "area", "threshold"]
     env = running(curve, F.col("precision"), ["score", "-image_id", "-id"], group, how="max", out="__env")
-    ap = env.groupBy(*group).agg((F.sum(F.col("tp") * F.col("__env")) / F.max("npos")).alias("ap"))
-    grid = npos.withColumn("threshold", F.explode(F.lit(list(thresholds))))
+    ap = env.groupBy(*group).agg((F.sum("__env") / F.max("npos")).alias("ap"))
+    grid = npos.withColumn("threshold", F.explode(F.lit([float(t) for t in thresholds])))
     return grid.join(ap, group, "left").select(*group, F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
@@ -319,7 +365,8 @@ def coco_ap(dets: DataFrame, gt: DataFrame, areas: Sequence[str] = ("all", "smal
     """`category_id`, `area`, `threshold`, `ap` in 0..1; see `coco_summary`."""
     npos = ground_truth_counts(gt, areas)
     matches = coco_matches(dets, gt, IOU_THRESHOLDS, areas, pairs=pairs)
-    return interpolated_ap(precision_recall(matches, npos), npos, IOU_THRESHOLDS)
+    names = [r[0] for r in AREA_RANGES if r[0] in areas]
+    return interpolated_ap(precision_recall(matches, npos, IOU_THRESHOLDS, names), npos, IOU_THRESHOLDS)
 
 
 def coco_summary(ap: DataFrame) -> DataFrame:
@@ -342,8 +389,8 @@ def per_category_ap(ap: DataFrame) -> DataFrame:
 def pascal_map(dets: DataFrame, gt: DataFrame, iou: float = 0.5) -> DataFrame:
     """`category_id`, `ap` in 0..1 at one threshold, all-point area; the mean over rows is the mAP."""
     npos = ground_truth_counts(gt, ["all"])
-    matches = coco_matches(dets, gt, [iou], ["all"], max_dets=1_000_000)
-    return all_point_ap(precision_recall(matches, npos), npos, [iou]).select("category_id", "ap")
+    matches = coco_matches(dets, gt, [iou], ["all"], max_dets=None)
+    return all_point_ap(precision_recall(matches, npos, [iou]), npos, [iou]).select("category_id", "ap")
 
 
 def coco_result_rows(dets: DataFrame) -> DataFrame:

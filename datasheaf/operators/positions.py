@@ -143,60 +143,80 @@ def running(
     `order_by` must be unique inside a group. `value=None` counts rows. With `inclusive=False` a
     row sees only the rows before it (NULL on the first one, 0 for sums).
     """
+    return running_many(df, {out: value}, order_by, partition_by, how, inclusive, rows_per_range)
+
+
+def running_many(
+    df: DataFrame,
+    values: dict[str, Column | None],
+    order_by: str | Sequence[str],
+    partition_by: str | Sequence[str] = (),
+    how: str = "sum",
+    inclusive: bool = True,
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """Several running aggregates over one order: the same ranges, one shuffle, one sort."""
     groups = _parse(partition_by)
+    g = len(groups)
     keys = groups + _parse(order_by)
-    order = _sort_cols(keys[len(groups):])
-    counting = value is None
-    source = df if counting else df.withColumn("__v", value)
-    v = F.lit(1) if counting else F.col("__v")
+    group_names = [k for k, _ in groups]
+    names = list(values)
+    source = df.withColumns({f"__v{i}": values[o] for i, o in enumerate(names) if values[o] is not None})
+    v = [F.lit(1) if values[o] is None else F.col(f"__v{i}") for i, o in enumerate(names)]
     cuts = _cuts(df, keys, rows_per_range)
     tests = [_before(keys, c) for c in cuts]
-    group_names = [k for k, _ in groups]
+    ranged = source.withColumn("__r", F.expr(_tree(tests, str)) if cuts else F.lit(0))
 
     def in_group_of(cut: tuple) -> str:
         same = [f"{_quoted(k)} <=> {_literal(x)}" for k, x in zip(group_names, cut)]
         return " AND ".join(same) or "TRUE"
 
-    offsets: list[object] = [None] * (len(cuts) + 1)
-    ranged = source.withColumn("__r", F.expr(_tree(tests, str)) if cuts else F.lit(0))
+    offsets: list[list | None] = [None] * (len(cuts) + 1)
     if cuts:
         reaches_end = F.expr(
             _tree(tests, lambda i: in_group_of(cuts[i]) if i < len(cuts) else "FALSE")
         )
         tails = {
-            r["__r"]: r["tail"]
-            for r in ranged.groupBy("__r")
-            .agg(_AGG[how](F.when(reaches_end, v)).alias("tail"))
+            r["__r"]: list(r)[1:]
+            for r in ranged.filter(reaches_end).groupBy("__r")
+            .agg(*[_AGG[how](x) for x in v])
             .collect()  # one row per range, at most MAX_RANGES
         }
-        g = len(groups)
+        nothing = [None] * len(names)
         for i in range(1, len(cuts) + 1):
             goes_on = i > 1 and cuts[i - 2][:g] == cuts[i - 1][:g]
-            carried = offsets[i - 1] if goes_on else None
-            offsets[i] = _COMBINE[how](carried, tails.get(i - 1))
-
-    w = Window.partitionBy(*group_names, "__r").orderBy(*order)
-    if counting:
-        inside = F.row_number().over(w).cast("long") - (0 if inclusive else 1)
-    else:
-        end = Window.currentRow if inclusive else -1
-        inside = _AGG[how](v).over(w.rowsBetween(Window.unboundedPreceding, end))
-    if any(o is not None for o in offsets):
-        def leaf(i: int) -> str:
-            if offsets[i] is None:
-                return "NULL"
-            lit = _literal(offsets[i])
-            return lit if not groups else f"CASE WHEN {in_group_of(cuts[i - 1])} THEN {lit} END"
-
-        before = F.expr(_tree(tests, leaf))
+            carried = (offsets[i - 1] if goes_on else None) or nothing
+            both = [_COMBINE[how](a, b) for a, b in zip(carried, tails.get(i - 1, nothing))]
+            offsets[i] = both if any(b is not None for b in both) else None
+
+    def leaf(i: int) -> str:
+        if offsets[i] is None:
+            return "NULL"
+        lit = "array(" + ", ".join(_literal(x) for x in offsets[i]) + ")"
+        return lit if not groups else f"CASE WHEN {in_group_of(cuts[i - 1])} THEN {lit} END"
+
+    shared = any(o is not None for o in offsets)
+    if shared:
+        ranged = ranged.withColumn("__before", F.expr(_tree(tests, leaf)))
+    w = Window.partitionBy(*group_names, "__r").orderBy(*_sort_cols(keys[g:]))
+    end = Window.currentRow if inclusive else -1
+    results = {}
+    for i, o in enumerate(names):
+        if values[o] is None and how == "sum":
+            inside = F.row_number().over(w).cast("long") - (0 if inclusive else 1)
+        else:
+            inside = _AGG[how](v[i]).over(w.rowsBetween(Window.unboundedPreceding, end))
+        before = F.get("__before", F.lit(i)) if shared else None
         if how == "sum":
-            inside = F.coalesce(inside, F.lit(0)) + F.coalesce(before, F.lit(0))
+            inside = F.coalesce(inside, F.lit(0))
+            results[o] = inside + F.coalesce(before, F.lit(0)) if shared else inside
+        elif not shared:
+            results[o] = inside
+        elif _is_struct(source, v[i]):
+            results[o] = _pick(how, inside, before)
         else:
-            pick = F.greatest if how == "max" else F.least
-            inside = pick(inside, before) if not _is_struct(source, v) else _pick(how, inside, before)
-    elif how == "sum":
-        inside = F.coalesce(inside, F.lit(0))
-    return ranged.withColumn(out, inside).drop("__r", "__v")
+            results[o] = (F.greatest if how == "max" else F.least)(inside, before)
+    return ranged.withColumns(results).drop("__r", "__before", *[f"__v{i}" for i in range(len(names))])
 
 
 def _is_struct(df: DataFrame, v: Column) -> bool:

@@ -64,8 +64,9 @@ def _(t):
     return I.perplexity_of(I.newest(t.spark, out)).select("grp", F.round("perplexity", 6).alias("perplexity"), "batches")
 
 
-@query("stream_window_rollup", """SELECT (epoch(ts)::BIGINT // 3600) * 3600 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
-  GROUP BY ALL HAVING start <= (SELECT epoch(max(ts))::BIGINT - 3600 - 3600 FROM events)""")
+@query("stream_window_rollup", """WITH w AS (SELECT floor(epoch(ts) / 3600)::BIGINT * 3600 AS start, event_type, value FROM events),
+  m AS (SELECT epoch(max(ts)) - 3600 AS mark FROM events)
+  SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w, m WHERE start + 3600 <= mark GROUP BY start, event_type""")
 def _(t):
     """Windows that the watermark has closed at the end of the input."""
     out, cp = _dirs(t, "rollup")

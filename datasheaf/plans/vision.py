@@ -133,16 +133,17 @@ CURVE = """m AS (SELECT l_suppkey AS category_id, 1 - l_tax AS score, l_orderkey
 def _curve(t):
     """Matches, positives and curve over all lines with the supplier as category."""
     n = group_index(t.lineitem.select("l_orderkey", "l_returnflag", *LINE_ORDER), "l_orderkey", LINE_ORDER, "id")
+    hit = (F.col("l_returnflag") != "R").cast("long")
     m = n.select(
-        F.col("l_suppkey").alias("category_id"), F.lit("all").alias("area"), F.lit(0.5).alias("threshold"),
-        (1 - F.col("l_tax")).alias("score"), F.col("l_orderkey").alias("image_id"), "id",
-        F.when(F.col("l_returnflag") != "R", "tp").otherwise("fp").alias("kind"),
+        F.col("l_suppkey").alias("category_id"), (1 - F.col("l_tax")).alias("score"),
+        F.col("l_orderkey").alias("image_id"), "id", F.array(hit).alias("hits"),
+        F.array(F.lit(1).cast("long")).alias("counted"),
     )
-    npos = m.groupBy("category_id", "area").agg((F.count_if(F.col("kind") == "tp") + 10).alias("npos"))
-    return D.precision_recall(m, npos), npos
+    npos = m.groupBy("category_id").agg((F.sum(F.get("hits", F.lit(0))) + 10).alias("npos")).withColumn("area", F.lit("all"))
+    return D.precision_recall(m, npos, [0.5]), npos
 
 
-@query("precision_recall", f"WITH {CURVE} SELECT category_id, image_id, id, round(prec, 6) AS prec, round(rec, 6) AS rec FROM pr")
+@query("precision_recall", f"WITH {CURVE} SELECT category_id, image_id, id, round(prec, 6) AS prec, round(rec, 6) AS rec FROM pr WHERE tp = 1")
 def _(t):
     c, _ = _curve(t)
     return c.select("category_id", "image_id", "id", F.round("precision", 6).alias("prec"), F.round("recall", 6).alias("rec"))

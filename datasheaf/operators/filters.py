@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datasheaf.functions import text as T
+from datasheaf.operators.sets import top_n_per_group
 
 # Word bounds of the difficulty levels, inclusive at both ends.
 LENGTH_BANDS = {"easy": (10, 100), "medium": (101, 200), "hard": (201, 800)}
@@ -28,6 +29,20 @@ def length_band(
     return out if n is None else out.orderBy(*order_by).limit(n)
 
 
+def length_bands(df: DataFrame, columns: Sequence[str], n: int, order_by: Sequence[str]) -> DataFrame:
+    """The first n rows of every level in one pass, with `level` and `total_length`.
+
+    The texts are dropped after counting: join them back by key where they are needed.
+    """
+    keys = [k.lstrip("-") for k in order_by]
+    sized = df.select(*keys, total_words(columns).alias("total_length"))
+    level = None
+    for name, (lo, hi) in LENGTH_BANDS.items():
+        level = (F if level is None else level).when(F.col("total_length").between(lo, hi), name)
+    leveled = sized.withColumn("level", level).filter(F.col("level").isNotNull())
+    return top_n_per_group(leveled, ["level"], order_by, n)
+
+
 def drop_images_without_usable_annotations(images: DataFrame, annotations: str = "annotations") -> DataFrame:
     """Images with an annotation that is not crowd; a missing flag counts as not crowd."""
     return images.filter(F.exists(annotations, lambda a: F.coalesce(a["iscrowd"], F.lit(0)) == 0))

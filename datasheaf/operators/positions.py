@@ -102,10 +102,10 @@ def _compare(keys: list[tuple[str, bool]]) -> Callable[[tuple, tuple], int]:
     return cmp
 
 
-def _cuts(df: DataFrame, keys: list[tuple[str, bool]], rows_per_range: int) -> list[tuple]:
+def _cuts(df: DataFrame, keys: list[tuple[str, bool]], rows_per_range: int | None) -> list[tuple]:
     slim = df.select(*[k for k, _ in keys])
     n = slim.count()
-    ranges = min(MAX_RANGES, -(-n // rows_per_range))
+    ranges = min(MAX_RANGES, -(-n // (rows_per_range or ROWS_PER_RANGE)))
     if ranges <= 1:
         return []
     wanted = ranges * SAMPLES_PER_RANGE
@@ -136,7 +136,7 @@ def running(
     how: str = "sum",
     inclusive: bool = True,
     out: str = "running",
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Running sum, max or min of `value` in `order_by` order, restarting per `partition_by` group.
 
@@ -153,7 +153,7 @@ def running_many(
     partition_by: str | Sequence[str] = (),
     how: str = "sum",
     inclusive: bool = True,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Several running aggregates over one order: the same ranges, one shuffle, one sort."""
     groups = _parse(partition_by)
@@ -161,11 +161,11 @@ def running_many(
     keys = groups + _parse(order_by)
     group_names = [k for k, _ in groups]
     names = list(values)
-    source = df.withColumns({f"__v{i}": values[o] for i, o in enumerate(names) if values[o] is not None})
-    v = [F.lit(1) if values[o] is None else F.col(f"__v{i}") for i, o in enumerate(names)]
+    source = df.withColumns({f"__ds_v{i}": values[o] for i, o in enumerate(names) if values[o] is not None})
+    v = [F.lit(1) if values[o] is None else F.col(f"__ds_v{i}") for i, o in enumerate(names)]
     cuts = _cuts(df, keys, rows_per_range)
     tests = [_before(keys, c) for c in cuts]
-    ranged = source.withColumn("__r", F.expr(_tree(tests, str)) if cuts else F.lit(0))
+    ranged = source.withColumn("__ds_range", F.expr(_tree(tests, str)) if cuts else F.lit(0))
 
     def in_group_of(cut: tuple) -> str:
         same = [f"{_quoted(k)} <=> {_literal(x)}" for k, x in zip(group_names, cut)]
@@ -177,8 +177,8 @@ def running_many(
             _tree(tests, lambda i: in_group_of(cuts[i]) if i < len(cuts) else "FALSE")
         )
         tails = {
-            r["__r"]: list(r)[1:]
-            for r in ranged.filter(reaches_end).groupBy("__r")
+            r["__ds_range"]: list(r)[1:]
+            for r in ranged.filter(reaches_end).groupBy("__ds_range")
             .agg(*[_AGG[how](x) for x in v])
             .collect()  # one row per range, at most MAX_RANGES
         }
@@ -197,8 +197,8 @@ def running_many(
 
     shared = any(o is not None for o in offsets)
     if shared:
-        ranged = ranged.withColumn("__before", F.expr(_tree(tests, leaf)))
-    w = Window.partitionBy(*group_names, "__r").orderBy(*_sort_cols(keys[g:]))
+        ranged = ranged.withColumn("__ds_carry", F.expr(_tree(tests, leaf)))
+    w = Window.partitionBy(*group_names, "__ds_range").orderBy(*_sort_cols(keys[g:]))
     end = Window.currentRow if inclusive else -1
     results = {}
     for i, o in enumerate(names):
@@ -206,7 +206,7 @@ def running_many(
             inside = F.row_number().over(w).cast("long") - (0 if inclusive else 1)
         else:
             inside = _AGG[how](v[i]).over(w.rowsBetween(Window.unboundedPreceding, end))
-        before = F.get("__before", F.lit(i)) if shared else None
+        before = F.get("__ds_carry", F.lit(i)) if shared else None
         if how == "sum":
             inside = F.coalesce(inside, F.lit(0))
             results[o] = inside + F.coalesce(before, F.lit(0)) if shared else inside
@@ -216,7 +216,7 @@ def running_many(
             results[o] = _pick(how, inside, before)
         else:
             results[o] = (F.greatest if how == "max" else F.least)(inside, before)
-    return ranged.withColumns(results).drop("__r", "__before", *[f"__v{i}" for i in range(len(names))])
+    return ranged.withColumns(results).drop("__ds_range", "__ds_carry", *[f"__ds_v{i}" for i in range(len(names))])
 
 
 def _is_struct(df: DataFrame, v: Column) -> bool:
@@ -232,7 +232,7 @@ def global_index(
     df: DataFrame,
     order_by: str | Sequence[str],
     out: str = "pos",
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Dense 0-based position of every row in a total order."""
     return running(df, None, order_by, inclusive=False, out=out, rows_per_range=rows_per_range)
@@ -243,7 +243,7 @@ def group_index(
     partition_by: str | Sequence[str],
     order_by: str | Sequence[str],
     out: str = "pos",
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Dense 0-based position inside each group, for groups of any size."""
     return running(

@@ -115,14 +115,8 @@ def _(t):
   UNION ALL SELECT 'medium', * FROM (SELECT * FROM w WHERE total_length BETWEEN 101 AND 200 ORDER BY doc_id LIMIT 10000)
   UNION ALL SELECT 'hard', * FROM (SELECT * FROM w WHERE total_length BETWEEN 201 AND 800 ORDER BY doc_id LIMIT 10000)""")
 def _(t):
-    docs = t.documents.select("doc_id", "text", "lang")
-    parts = [
-        W.length_band(docs, ["text", "lang"], lv, 10000, ["doc_id"]).select(
-            F.lit(lv).alias("level"), "doc_id", "total_length"
-        )
-        for lv in W.LENGTH_BANDS
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    docs = spread(t.documents.select("doc_id", "text", "lang"))
+    return W.length_bands(docs, ["text", "lang"], 10000, ["doc_id"]).select("level", "doc_id", "total_length")
 
 
 @query("nonblank_lines", f"SELECT doc_id, count(*) AS n FROM {LINES} WHERE regexp_matches(value, '{WORD_SQL}') GROUP BY doc_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datasheaf.operators.positions import global_index
@@ -33,6 +33,15 @@ def resolve_sentences(df: DataFrame, task: str | None = None) -> tuple[str, str
     return (other[0], other[1]) if len(other) >= 2 else (other[0], None)
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a costly column that later filters and projections must not compute again.
+
+    Catalyst copies a plain expression into every filter that is pushed below it; it does not look
+    through a generator, and one over a single element keeps the rows as they are.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def keep_only(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:

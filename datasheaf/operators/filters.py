@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datasheaf.functions import text as T
+from datasheaf.operators.columns import computed_once
 from datasheaf.operators.sets import top_n_per_group
 
 # Word bounds of the difficulty levels, inclusive at both ends.
@@ -25,7 +26,7 @@ def length_band(
 ) -> DataFrame:
     """Rows whose total words lie in the level's band, then the first n in source order."""
     lo, hi = LENGTH_BANDS[level]
-    out = df.withColumn("total_length", total_words(columns)).filter(F.col("total_length").between(lo, hi))
+    out = computed_once(df, "total_length", total_words(columns)).filter(F.col("total_length").between(lo, hi))
     return out if n is None else out.orderBy(*order_by).limit(n)
 
 
@@ -35,7 +36,7 @@ def length_bands(df: DataFrame, columns: Sequence[str], n: int, order_by: Sequen
     The texts are dropped after counting: join them back by key where they are needed.
     """
     keys = [k.lstrip("-") for k in order_by]
-    sized = df.select(*keys, total_words(columns).alias("total_length"))
+    sized = computed_once(df, "total_length", total_words(columns)).select(*keys, "total_length")
     level = None
     for name, (lo, hi) in LENGTH_BANDS.items():
         level = (F if level is None else level).when(F.col("total_length").between(lo, hi), name)

@@ -38,46 +38,75 @@ def top_positions(logits: Column, n: int) -> Column:
     )
 
 
+def _text(context: str, offsets: str, start: Column, end: Column) -> Column:
+    lo, hi = F.get(offsets, start)["s"], F.get(offsets, end)["e"]
+    return F.substring(F.col(context), lo + 1, hi - lo)
+
+
 def _pairs(starts: str, ends: str, offsets: str, max_len: int) -> Column:
-    """Valid (start, end) structs: both inside the context, end not before start, length bounded."""
+    """Valid (start, end) structs, best score first: both inside the context, end not before start,
+    length bounded."""
     def inside(i: Column) -> Column:
         return F.get(offsets, i).isNotNull()
 
     def ends_of(s: Column) -> Column:
         ok = F.filter(ends, lambda e: (e["i"] >= s["i"]) & (e["i"] <= s["i"] + (max_len - 1)) & inside(e["i"]))
         return F.transform(ok, lambda e: F.struct(
-            s["i"].alias("start"), e["i"].alias("end"), (s["logit"] + e["logit"]).alias("score"),
+            (-(s["logit"] + e["logit"])).alias("neg"), s["i"].alias("start"), e["i"].alias("end"),
             s["logit"].alias("start_logit"), e["logit"].alias("end_logit"),
         ))
 
-    return F.flatten(F.transform(F.filter(starts, lambda s: inside(s["i"])), ends_of))
+    return F.array_sort(F.flatten(F.transform(F.filter(starts, lambda s: inside(s["i"])), ends_of)))
+
 
+def span_candidates(features: DataFrame, n: int = 20, max_len: int = 30, best: int | None = None) -> DataFrame:
+    """One row per candidate span with its answer `text`; with `best`, that many per window.
 
-def span_candidates(features: DataFrame, n: int = 20, max_len: int = 30) -> DataFrame:
-    """One row per candidate span; `features`: start_logits, end_logits, offsets, other columns kept."""
-    keep = [c for c in features.columns if c not in ("start_logits", "end_logits")]
+    `features`: start_logits, end_logits, offsets, context; other columns are kept. The context
+    stays behind: a candidate carries its own text only.
+    """
+    used = ("start_logits", "end_logits", "offsets", "context")
+    keep = [c for c in features.columns if c not in used]
     tops = features.select(
-        *keep, top_positions(F.col("start_logits"), n).alias("__s"), top_positions(F.col("end_logits"), n).alias("__e")
+        *keep, "offsets", "context", top_positions(F.col("start_logits"), n).alias("__s"),
+        top_positions(F.col("end_logits"), n).alias("__e"),
+    )
+    pairs = _pairs("__s", "__e", "offsets", max_len)
+    rows = F.transform(
+        pairs if best is None else F.slice(pairs, 1, best),
+        lambda c: F.struct(
+            c["start"].alias("start"), c["end"].alias("end"), (-c["neg"]).alias("score"),
+            c["start_logit"].alias("start_logit"), c["end_logit"].alias("end_logit"),
+            _text("context", "offsets", c["start"], c["end"]).alias("text"),
+        ),
     )
-    return tops.withColumn("__c", F.explode(_pairs("__s", "__e", "offsets", max_len))).select(*keep, "__c.*")
+    return tops.select(*keep, F.explode(rows).alias("__c")).select(*keep, "__c.*")
 
 
 def beam_candidates(features: DataFrame, start_n: int, end_n: int, max_len: int = 30) -> DataFrame:
-    """Start i with its own ends j at index i * end_n + j; columns start_top_log_probs,
-    start_top_index, end_top_log_probs, end_top_index, offsets."""
-    used = {"start_top_log_probs", "start_top_index", "end_top_log_probs", "end_top_index"}
+    """Start i with its own ends j at index i * end_n + j, with `text`; columns start_top_log_probs,
+    start_top_index, end_top_log_probs, end_top_index, offsets, context."""
+    used = {"start_top_log_probs", "start_top_index", "end_top_log_probs", "end_top_index", "offsets", "context"}
     keep = [c for c in features.columns if c not in used]
-    k = F.explode(F.sequence(F.lit(0), F.lit(start_n * end_n - 1)))
-    i = F.floor(F.col("__k") / end_n).cast("int")
-    rows = features.withColumn("__k", k).select(
-        *keep, F.get("start_top_index", i).alias("start"), F.get("end_top_index", F.col("__k")).alias("end"),
-        F.get("start_top_log_probs", i).alias("start_logit"), F.get("end_top_log_probs", F.col("__k")).alias("end_logit"),
-    )
-    ok = (
-        F.get("offsets", F.col("start")).isNotNull() & F.get("offsets", F.col("end")).isNotNull()
-        & (F.col("end") >= F.col("start")) & (F.col("end") - F.col("start") + 1 <= max_len)
-    )
-    return rows.filter(ok).withColumn("score", F.col("start_logit") + F.col("end_logit"))
+
+    def row(k: Column) -> Column:
+        i = F.floor(k / end_n).cast("int")
+        start, end = F.get("start_top_index", i), F.get("end_top_index", k)
+        s, e = F.get("start_top_log_probs", i), F.get("end_top_log_probs", k)
+        return F.struct(
+            start.alias("start"), end.alias("end"), s.alias("start_logit"), e.alias("end_logit"),
+            (s + e).alias("score"), _text("context", "offsets", start, end).alias("text"),
+        )
+
+    def valid(k: Column) -> Column:
+        start, end = F.get("start_top_index", F.floor(k / end_n).cast("int")), F.get("end_top_index", k)
+        return (
+            F.get("offsets", start).isNotNull() & F.get("offsets", end).isNotNull()
+            & (end >= start) & (end - start + 1 <= max_len)
+        )
+
+    ks = F.filter(F.sequence(F.lit(0), F.lit(start_n * end_n - 1)), valid)
+    return features.select(*keep, F.explode(F.transform(ks, row)).alias("__c")).select(*keep, "__c.*")
 
 
 def null_scores(features: DataFrame, key: str) -> DataFrame:
@@ -90,14 +119,12 @@ def null_scores(features: DataFrame, key: str) -> DataFrame:
 
 
 def n_best(candidates: DataFrame, key: str, n: int = 20) -> DataFrame:
-    """The n best candidates of each example with `rank` and the answer `text`.
+    """The n best candidates of each example with `rank`.
 
     Order: score, then window, start, end. Each task passes on at most n rows per example.
     """
     w = Window.partitionBy(key).orderBy(F.desc("score"), "window", "start", "end")
-    top = candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-    lo, hi = F.get("offsets", F.col("start"))["s"], F.get("offsets", F.col("end"))["e"]
-    return top.withColumn("text", F.substring(F.col("context"), lo + 1, hi - lo)).drop("context", "offsets")
+    return candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
 def with_fallback(

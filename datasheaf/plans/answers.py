@@ -64,7 +64,7 @@ def candidates(t):
 
 
 def n_best(t):
-    return Q.n_best(candidates(t), "doc_id")
+    return Q.n_best(Q.span_candidates(features(t), best=20), "doc_id")
 
 
 @query("example_windows", f"""SELECT d.doc_id, n_chars, "window", len(ws)::INTEGER AS n_words FROM documents d JOIN {WINDOWS} w ON w.doc_id = d.doc_id""")

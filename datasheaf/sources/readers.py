@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from datasheaf.functions import text as T
+from datasheaf.operators.positions import group_index
 
 
 def read_csv(spark: SparkSession, path: str, schema: S.StructType | str) -> DataFrame:
@@ -21,18 +22,18 @@ def read_csv(spark: SparkSession, path: str, schema: S.StructType | str) -> Data
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """`split` (file name without suffix), `line` order key inside the file (`file`, `offset`), `value`.
+    """`split` (file name without suffix), `line` (0-based in its file), `value`, for files of any size.
 
-    Text files carry no line numbers. Files are read whole only to number lines when they are small
-    enough to be one record (`wholetext`); bigger files should arrive with their own line ids.
+    A file is read in blocks by many tasks. Lines are ordered by the block's start in the file and by
+    the order in which its task read them, which the split plan of the scan fixes.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"\r?\n$", "").alias("value")
-    )
-    return raw.select(
-        F.regexp_replace("file", r"\.[^.]*$", "").alias("split"),
-        F.posexplode(F.split("value", r"\r?\n", -1)).alias("line", "value"),
+    raw = spark.read.text(path).select(
+        F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("split"),
+        F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__read"), "value",
     )
+    numbered = group_index(raw, "__file", ["__block", "__read"], "line")
+    return numbered.select("split", "line", "value")
 
 
 def read_lines_unordered(spark: SparkSession, path: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datasheaf.functions import boxes as B
-from datasheaf.operators.positions import running, running_many
+from datasheaf.operators.positions import group_index, running, running_many
 from datasheaf.operators.sets import top_n_per_group
 from datasheaf.session import materialize
 
@@ -68,18 +68,55 @@ def overlapping_pairs(
     return j.filter(corner & (B.intersection("a", "b") > 0)).select(*by, "a", "b", B.iou("a", "b", crowd).alias("iou"))
 
 
-def nms(df: DataFrame, iou: float, by: Sequence[str] = ("image_id",)) -> DataFrame:
+FIRST_TIER, TIER_GROWTH = 256, 8
+
+
+def nms(
+    df: DataFrame, iou: float, by: Sequence[str] = ("image_id",), first_tier: int = FIRST_TIER
+) -> DataFrame:
     """Boxes that survive greedy suppression: best score first (smaller id on ties), drop what
     overlaps a kept box by more than `iou`.
 
+    Boxes are taken in tiers of their rank inside the image, each tier `TIER_GROWTH` times the one
+    before. What a kept box of an earlier tier suppresses never meets the other boxes of its own
+    tier, so a crowded image costs about kept x boxes, not boxes x boxes.
+    """
+    slim = group_index(df.select(*by, "id", "score", *BOX), list(by), ["-score", "id"], "__rank")
+    largest = slim.agg(F.max("__rank")).first()[0]
+    if largest is None:
+        return df
+    if largest < first_tier:
+        return _keep(df, _suppressed(slim.drop("__rank"), iou, by), by)
+    slim = materialize(slim)
+    cell = _cell_size(slim)
+    kept, lo, hi = None, 0, first_tier
+    while lo <= largest:
+        tier = slim.filter((F.col("__rank") >= lo) & (F.col("__rank") < hi)).drop("__rank")
+        if kept is not None:
+            hit = overlapping_pairs(kept, tier, by, cell).filter(F.col("iou") > iou)
+            tier = materialize(_keep(tier, hit.select(*by, F.col("b.id").alias("id")), by))
+        tier = materialize(_keep(tier, _suppressed(tier, iou, by, cell), by))
+        kept = tier if kept is None else kept.unionByName(tier)
+        lo, hi = hi, hi * TIER_GROWTH
+    return df.join(kept.select(*by, "id"), [*by, "id"], "left_semi")
+
+
+def _keep(df: DataFrame, dropped: DataFrame | None, by: Sequence[str]) -> DataFrame:
+    return df if dropped is None else df.join(dropped, [*by, "id"], "left_anti")
+
+
+def _suppressed(
+    slim: DataFrame, iou: float, by: Sequence[str], cell: tuple[float, float] | None = None
+) -> DataFrame | None:
+    """Ids that greedy suppression drops among the given boxes.
+
     A box is kept once every better box that overlaps it is suppressed. Each round settles all boxes
     for which that is known; only the table of overlaps above the threshold is iterated.
     """
-    slim = df.select(*by, "id", "score", *BOX)
     better = (F.col("a.score") > F.col("b.score")) | (
         (F.col("a.score") == F.col("b.score")) & (F.col("a.id") < F.col("b.id"))
     )
-    edges = overlapping_pairs(slim, slim, by).filter((F.col("iou") > iou) & better).select(
+    edges = overlapping_pairs(slim, slim, by, cell).filter((F.col("iou") > iou) & better).select(
         *by, F.col("a.id").alias("hi"), F.col("b.id").alias("lo")
     )
     edges = materialize(edges)
@@ -92,9 +129,7 @@ def nms(df: DataFrame, iou: float, by: Sequence[str] = ("image_id",)) -> DataFra
         edges = materialize(
             edges.join(out, lo, "left_anti").join(out.withColumnRenamed("lo", "hi"), hi, "left_anti")
         )
-    if dropped is None:
-        return df
-    return df.join(dropped.withColumnRenamed("lo", "id"), [*by, "id"], "left_anti")
+    return None if dropped is None else dropped.withColumnRenamed("lo", "id")
 
 
 def dominant_matching(

@@ -119,15 +119,17 @@ def knn_topk(
     listed = F.array_sort(F.collect_list(F.struct("query", "qv")))
     slim = corpus.select(F.col(corpus_id), F.col(vec).alias("__v"))
     if values <= inline_values:
-        paired = slim.withColumn("__q", F.explode(named.agg(listed).scalar()))
+        held = slim.withColumn("__l", named.agg(listed).scalar())
     else:
         blocks = -(-values // inline_values)
         arrays = named.groupBy((F.abs(F.xxhash64("query")) % blocks).alias("__b")).agg(listed.alias("__l"))
         copies = slim.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        paired = copies.join(arrays, "__b").withColumn("__q", F.explode("__l"))
-    dist = paired.select(
-        F.col("__q.query").alias("query"), corpus_id, squared_distance(F.col("__q.qv"), F.col("__v")).alias("distance")
+        held = copies.join(arrays, "__b")
+    # Distances first, rows after: an exploded row carries two ids and a number, no vector.
+    near = F.transform(
+        "__l", lambda q: F.struct(q["query"].alias("query"), squared_distance(q["qv"], F.col("__v")).alias("distance"))
     )
+    dist = held.select(corpus_id, F.explode(near).alias("__n")).select(corpus_id, "__n.*")
     w = Window.partitionBy("query").orderBy("distance", corpus_id)
     return dist.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

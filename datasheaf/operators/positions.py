@@ -156,9 +156,9 @@ def running_many(
     rows_per_range: int | None = None,
 ) -> DataFrame:
     """Several running aggregates over one order: the same ranges, one shuffle, one sort."""
-    groups = _parse(partition_by)
+    df, groups, order, hidden = _comparable(df, _parse(partition_by), _parse(order_by))
     g = len(groups)
-    keys = groups + _parse(order_by)
+    keys = groups + order
     group_names = [k for k, _ in groups]
     names = list(values)
     source = df.withColumns({f"__ds_v{i}": values[o] for i, o in enumerate(names) if values[o] is not None})
@@ -216,7 +216,29 @@ def running_many(
             results[o] = _pick(how, inside, before)
         else:
             results[o] = (F.greatest if how == "max" else F.least)(inside, before)
-    return ranged.withColumns(results).drop("__ds_range", "__ds_carry", *[f"__ds_v{i}" for i in range(len(names))])
+    return ranged.withColumns(results).drop(
+        "__ds_range", "__ds_carry", *[f"__ds_v{i}" for i in range(len(names))], *hidden
+    )
+
+
+def _comparable(
+    df: DataFrame, groups: list[tuple[str, bool]], order: list[tuple[str, bool]]
+) -> tuple[DataFrame, list, list, list[str]]:
+    """Keys whose values survive the way to the driver and back: instants become microseconds."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    hidden = {}
+
+    def swap(keys: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
+        out = []
+        for k, d in keys:
+            if kinds.get(k) == "timestamp":
+                hidden[f"__ds_us_{k}"] = F.unix_micros(F.col(k))
+                k = f"__ds_us_{k}"
+            out.append((k, d))
+        return out
+
+    groups, order = swap(groups), swap(order)
+    return (df.withColumns(hidden) if hidden else df), groups, order, list(hidden)
 
 
 def _is_struct(df: DataFrame, v: Column) -> bool:

@@ -56,11 +56,11 @@ def test_pairs(spark, seed):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
-@pytest.mark.parametrize("seed,limit", [(1, 0.1), (2, 0.5)])
-def test_nms(spark, seed, limit):
+@pytest.mark.parametrize("seed,limit,tier", [(1, 0.1, 256), (2, 0.5, 256), (1, 0.3, 3), (2, 0.05, 1)])
+def test_nms(spark, seed, limit, tier):
     gt, dets = fixture(seed)
     _, d = frames(spark, gt, dets)
-    got = {(r["image_id"], r["id"]) for r in D.nms(d, limit).collect()}
+    got = {(r["image_id"], r["id"]) for r in D.nms(d, limit, first_tier=tier).collect()}
     want = set()
     for im in {p[0] for p in dets}:
         kept = []

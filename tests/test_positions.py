@@ -73,6 +73,13 @@ def test_ranges_are_really_many(df):
     assert len(P._cuts(df, [("g", False), ("id", False)], 10)) > 20
 
 
+def test_instants_as_keys(spark):
+    t = spark.range(300).select(F.timestamp_micros(F.col("id") * -1_000_001).alias("t"), "id").repartition(3)
+    got = {r["id"]: r["pos"] for r in P.global_index(t, "t", rows_per_range=20).collect()}
+    assert got == {i: 299 - i for i in range(300)}
+    assert P.global_index(t, "t", rows_per_range=20).columns == ["t", "id", "pos"]
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "g string, id long")
     assert P.global_index(empty, "id").collect() == []

@@ -51,9 +51,9 @@ def class_centroids(df: DataFrame, label: str, vec: str, dim: int | None = None)
 
 def _partials(df: DataFrame, vec: str, protos: Column, own: str | None) -> DataFrame:
     """Best prototype and the pieces of a log-softmax over one list of prototypes."""
-    dists = F.transform(
-        protos, lambda p: F.struct(squared_distance(vec, p["proto"]).alias("d"), p["label"].alias("label"))
-    )
+    dists = let(as_double(vec), lambda v: F.transform(
+        protos, lambda p: F.struct(squared_distance(v, p["proto"]).alias("d"), p["label"].alias("label"))
+    ))
     out = df.withColumn("__d", dists).withColumn("__best", F.array_min("__d"))
     mass = let(F.col("__best.d"), lambda b: total(F.transform("__d", lambda s: F.exp(b - s["d"]))))
     out = out.withColumn("__mass", mass)
@@ -117,7 +117,7 @@ def knn_topk(
     size = named.select(F.count(F.lit(1)), F.max(F.size("qv"))).first()
     values = size[0] * (size[1] or 0)
     listed = F.array_sort(F.collect_list(F.struct("query", "qv")))
-    slim = corpus.select(F.col(corpus_id), F.col(vec).alias("__v"))
+    slim = corpus.select(F.col(corpus_id), as_double(vec).alias("__v"))
     if values <= inline_values:
         held = slim.withColumn("__l", named.agg(listed).scalar())
     else:

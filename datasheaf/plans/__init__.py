@@ -6,6 +6,7 @@ from datasheaf.plans import (  # noqa: F401
     modelscores,
     positional,
     preparation,
+    roundtrips,
     streams,
     vision,
 )

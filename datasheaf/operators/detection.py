@@ -81,16 +81,16 @@ def nms(
     before. What a kept box of an earlier tier suppresses never meets the other boxes of its own
     tier, so a crowded image costs about kept x boxes, not boxes x boxes.
     """
-    slim = group_index(df.select(*by, "id", "score", *BOX), list(by), ["-score", "id"], "__rank")
-    largest = slim.agg(F.max("__rank")).first()[0]
+    slim = materialize(df.select(*by, "id", "score", *BOX))  # read several times below
+    largest = slim.groupBy(*by).count().agg(F.max("count")).first()[0]
     if largest is None:
         return df
-    if largest < first_tier:
-        return _keep(df, _suppressed(slim.drop("__rank"), iou, by), by)
-    slim = materialize(slim)
+    if largest <= first_tier:
+        return _keep(df, _suppressed(slim, iou, by), by)
+    slim = materialize(group_index(slim, list(by), ["-score", "id"], "__rank"))
     cell = _cell_size(slim)
     kept, lo, hi = None, 0, first_tier
-    while lo <= largest:
+    while lo < largest:
         tier = slim.filter((F.col("__rank") >= lo) & (F.col("__rank") < hi)).drop("__rank")
         if kept is not None:
             hit = overlapping_pairs(kept, tier, by, cell).filter(F.col("iou") > iou)
@@ -195,6 +195,7 @@ def proposal_recall(
     over thresholds.
     """
     bounds = {n: (lo, hi) for n, lo, hi in AREA_RANGES}
+    proposals, gt = materialize(proposals), materialize(gt)  # both are read several times
     gt = gt.filter(F.coalesce("iscrowd", F.lit(0)) == 0).join(
         proposals.select("image_id").distinct(), "image_id", "left_semi"
     )
@@ -295,19 +296,21 @@ def coco_matches(
         F.collect_list(F.when(~F.col("ignored"), F.col("slot"))).alias("hit_slots"),
         F.collect_list(F.when(F.col("ignored"), F.col("slot"))).alias("ignored_slots"),  # at most one row per slot
     )
-    base = sized.select(*by, "id", "score", matched_in_bands(F.col("area"), bands).alias("own"))
-    none = F.array().cast("array<int>")
-    hit, ignored = F.coalesce("hit_slots", none), F.coalesce("ignored_slots", none)
-    in_range = F.transform(F.lit(names), lambda n: F.array_contains("own", n))
-
-    def counts(k: Column) -> Column:
-        return F.array_contains(hit, k) | (
-            ~F.array_contains(ignored, k) & F.get(in_range, F.floor(k / nt).cast("int"))
-        )
-
+    own = matched_in_bands(F.col("area"), bands)
+    in_range = F.flatten(F.transform(
+        F.lit(names), lambda n: F.array_repeat(F.array_contains(own, n).cast("byte"), nt)
+    ))
+    base = sized.select(*by, "id", "score", in_range.alias("counted"))
+    zero, one = F.lit(0).cast("byte"), F.lit(1).cast("byte")
+    hits = F.transform(slots, lambda k: F.array_contains("hit_slots", k).cast("byte"))
+    counted = F.transform(
+        "counted",
+        lambda c, k: F.when(F.array_contains("hit_slots", k), one).when(F.array_contains("ignored_slots", k), zero).otherwise(c),
+    )
+    free = F.col("hit_slots").isNull()
     return base.join(taken, [*by, "id"], "left").select(
-        *by, "id", "score", F.transform(slots, lambda k: counts(k).cast("long")).alias("counted"),
-        F.transform(slots, lambda k: F.array_contains(hit, k).cast("long")).alias("hits"),
+        *by, "id", "score", F.when(free, F.col("counted")).otherwise(counted).alias("counted"),
+        F.when(free, F.array_repeat(zero, len(names) * nt)).otherwise(hits).alias("hits"),
     )
 
 
@@ -334,7 +337,8 @@ def precision_recall(
     n = nt * len(areas)
     # Hits in the upper part, counted detections in the lower part of one long.
     packed = {
-        f"c{k}": F.get("hits", F.lit(k)) * F.lit(1 << 40) + F.get("counted", F.lit(k)) for k in range(n)
+        f"c{k}": F.get("hits", F.lit(k)).cast("long") * F.lit(1 << 40) + F.get("counted", F.lit(k)).cast("long")
+        for k in range(n)
     }
     slim = matches.select("category_id", "score", "image_id", "id", "hits", "counted")
     run = running_many(slim, packed, ["-score", "image_id", "id"], "category_id")
@@ -398,8 +402,9 @@ def all_point_ap(curve: DataFrame, npos: DataFrame, thresholds: Sequence[float])
 def coco_ap(dets: DataFrame, gt: DataFrame, areas: Sequence[str] = ("all", "small", "medium", "large"),
             pairs: DataFrame | None = None) -> DataFrame:
     """`category_id`, `area`, `threshold`, `ap` in 0..1; see `coco_summary`."""
+    dets, gt = materialize(dets), materialize(gt)  # both are read several times
     npos = ground_truth_counts(gt, areas)
-    matches = coco_matches(dets, gt, IOU_THRESHOLDS, areas, pairs=pairs)
+    matches = materialize(coco_matches(dets, gt, IOU_THRESHOLDS, areas, pairs=pairs))
     names = [r[0] for r in AREA_RANGES if r[0] in areas]
     return interpolated_ap(precision_recall(matches, npos, IOU_THRESHOLDS, names), npos, IOU_THRESHOLDS)
 
@@ -423,8 +428,9 @@ def per_category_ap(ap: DataFrame) -> DataFrame:
 
 def pascal_map(dets: DataFrame, gt: DataFrame, iou: float = 0.5) -> DataFrame:
     """`category_id`, `ap` in 0..1 at one threshold, all-point area; the mean over rows is the mAP."""
+    dets, gt = materialize(dets), materialize(gt)  # both are read several times
     npos = ground_truth_counts(gt, ["all"])
-    matches = coco_matches(dets, gt, [iou], ["all"], max_dets=None)
+    matches = materialize(coco_matches(dets, gt, [iou], ["all"], max_dets=None))
     return all_point_ap(precision_recall(matches, npos, [iou]), npos, [iou]).select("category_id", "ap")
 
 

@@ -235,12 +235,16 @@ def _least_iou(t: Column) -> Column:
     return F.least(t, F.lit(1 - 1e-10))
 
 
+# Slots (areas x thresholds) that fit into the bits of one long.
+MAX_SLOTS = 62
+
+
 def coco_matches(
     dets: DataFrame, gt: DataFrame, thresholds: Sequence[float], areas: Sequence[str] = ("all",),
     max_dets: int | None = 100, pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per detection: image_id, category_id, id, score, and `counted` and `hits`, arrays of
-    0/1 over (area, threshold) in that nesting.
+    """One row per detection: image_id, category_id, id, score, and `counted` and `hits`, bit sets
+    over (area, threshold): bit a * len(thresholds) + t.
 
     `gt`: image_id, category_id, id, box, area, iscrowd. Detections take, best score first, the free
     ground truth of largest overlap at or above the threshold; one that counts before one that is
@@ -254,11 +258,15 @@ def coco_matches(
     """
     by = ["image_id", "category_id"]
     bands = [r for r in AREA_RANGES if r[0] in areas]
-    names = [r[0] for r in bands]
     nt = len(thresholds)
-    slots = F.sequence(F.lit(0), F.lit(len(names) * nt - 1))
-    thr = F.lit([float(t) for t in thresholds])
-    from datasheaf.operators.joins import matched_in_bands
+    if nt * len(bands) > MAX_SLOTS:
+        raise ValueError(f"at most {MAX_SLOTS} pairs of area and threshold at a time")
+    least = [min(float(t), 1 - 1e-10) for t in thresholds]
+
+    def bits(of_band) -> Column:
+        """Sum over the bands of a bit set over thresholds, moved to the band's place."""
+        parts = [of_band(lo, hi) * F.lit(1 << (a * nt)) for a, (_, lo, hi) in enumerate(bands)]
+        return sum(parts[1:], parts[0])
 
     top = dets if max_dets is None else top_n_per_group(dets, by, ["-score", "id"], max_dets)
     sized = top.withColumn("area", B.area(*[F.col(c) for c in BOX])) if "area" not in top.columns else top
@@ -266,51 +274,52 @@ def coco_matches(
         pairs = overlapping_pairs(
             sized.select(*by, "id", "score", *BOX), gt.select(*by, "id", "area", "iscrowd", *BOX), by
         )
-    edges = pairs.filter(F.col("iou") >= _least_iou(F.lit(float(min(thresholds))))).select(
+    edges = materialize(pairs.filter(F.col("iou") >= min(least)).select(
         *by, F.col("a.id").alias("det"), F.col("a.score").alias("score"), F.col("b.id").alias("gt"),
-        (F.coalesce("b.iscrowd", F.lit(0)) == 1).alias("crowd"),
-        matched_in_bands(F.col("b.area"), bands).alias("gt_bands"), "iou",
-    )
-    edges = materialize(edges)
+        (F.coalesce("b.iscrowd", F.lit(0)) == 1).alias("crowd"), F.col("b.area").alias("gt_area"), "iou",
+    ))
     one_det = edges.groupBy(*by, "det").agg(F.count(F.lit(1)).alias("__d"))
     one_gt = edges.groupBy(*by, "gt").agg(F.count(F.lit(1)).alias("__g"))
     ranked = edges.join(one_det, [*by, "det"]).join(one_gt, [*by, "gt"])
     alone = (F.col("__d") == 1) & (F.col("__g") == 1)
 
-    def slot_rows(df: DataFrame) -> DataFrame:
-        """(area, threshold) slots of an edge with `ignored`, where its IoU reaches the threshold."""
-        reach = F.filter(slots, lambda k: F.col("iou") >= _least_iou(F.get(thr, k % nt)))
-        return df.withColumn("slot", F.explode(reach)).withColumn(
-            "ignored",
-            F.col("crowd") | ~F.array_contains("gt_bands", F.get(F.lit(names), F.floor(F.col("slot") / nt).cast("int"))),
-        )
+    reached = [F.when(F.col("iou") >= t, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, t in enumerate(least)]
+    reach = sum(reached[1:], reached[0])
+    zero = F.lit(0).cast("long")
+
+    def serves(lo: float, hi: float) -> Column:
+        return ~F.col("crowd") & F.col("gt_area").between(lo, hi)
 
-    simple = slot_rows(ranked.filter(alone)).select(*by, "det", "slot", "ignored")
+    simple = ranked.filter(alone).select(
+        *by, F.col("det").alias("id"), bits(lambda lo, hi: F.when(serves(lo, hi), reach).otherwise(zero)).alias("hit"),
+        bits(lambda lo, hi: F.when(serves(lo, hi), zero).otherwise(reach)).alias("ignored"),
+    )
+    slots = F.filter(
+        F.sequence(F.lit(0), F.lit(nt * len(bands) - 1)), lambda k: F.col("iou") >= F.get(F.lit(least), k % nt)
+    )
+    a = F.floor(F.col("slot") / nt).cast("int")
+    lows, highs = (F.lit([r[i] for r in bands]) for i in (1, 2))
+    tangled = ranked.filter(~alone).withColumn("slot", F.explode(slots)).select(
+        *by, "slot", "det", "score", "gt", "crowd", "iou",
+        (F.col("crowd") | ~F.col("gt_area").between(F.get(lows, a), F.get(highs, a))).alias("ignored"),
+    )
     # Larger overlap first; of equal ones the later ground truth wins, hence the descending id.
     left = F.struct(F.col("ignored"), (-F.col("iou")).alias("i"), (-F.col("gt")).alias("g"))
     right = F.struct((-F.col("score")).alias("s"), F.col("det"))
-    rounds = dominant_matching(
-        slot_rows(ranked.filter(~alone)), [*by, "slot"], "det", "gt", left, right, F.col("crowd")
-    ).select(*by, "det", "slot", "ignored")
-    taken = simple.unionByName(rounds).groupBy(*by, F.col("det").alias("id")).agg(
-        F.collect_list(F.when(~F.col("ignored"), F.col("slot"))).alias("hit_slots"),
-        F.collect_list(F.when(F.col("ignored"), F.col("slot"))).alias("ignored_slots"),  # at most one row per slot
-    )
-    own = matched_in_bands(F.col("area"), bands)
-    in_range = F.flatten(F.transform(
-        F.lit(names), lambda n: F.array_repeat(F.array_contains(own, n).cast("byte"), nt)
-    ))
-    base = sized.select(*by, "id", "score", in_range.alias("counted"))
-    zero, one = F.lit(0).cast("byte"), F.lit(1).cast("byte")
-    hits = F.transform(slots, lambda k: F.array_contains("hit_slots", k).cast("byte"))
-    counted = F.transform(
-        "counted",
-        lambda c, k: F.when(F.array_contains("hit_slots", k), one).when(F.array_contains("ignored_slots", k), zero).otherwise(c),
+    bit = F.expr("shiftleft(1L, slot)")
+    rounds = dominant_matching(tangled, [*by, "slot"], "det", "gt", left, right, F.col("crowd")).groupBy(
+        *by, F.col("det").alias("id")
+    ).agg(
+        F.coalesce(F.bit_or(F.when(~F.col("ignored"), bit)), zero).alias("hit"),
+        F.coalesce(F.bit_or(F.when(F.col("ignored"), bit)), zero).alias("ignored"),
     )
-    free = F.col("hit_slots").isNull()
-    return base.join(taken, [*by, "id"], "left").select(
-        *by, "id", "score", F.when(free, F.col("counted")).otherwise(counted).alias("counted"),
-        F.when(free, F.array_repeat(zero, len(names) * nt)).otherwise(hits).alias("hits"),
+    taken = simple.unionByName(rounds)  # a detection is alone or not: one row each
+    full = F.lit((1 << nt) - 1).cast("long")
+    own = bits(lambda lo, hi: F.when(F.col("area").between(lo, hi), full).otherwise(zero))
+    hit, ignored = F.coalesce("hit", zero), F.coalesce("ignored", zero)
+    return sized.select(*by, "id", "score", own.alias("own")).join(taken, [*by, "id"], "left").select(
+        *by, "id", "score", F.col("own").bitwiseOR(hit).bitwiseAND(F.bitwise_not(ignored)).alias("counted"),
+        hit.alias("hits"),
     )
 
 
@@ -337,12 +346,11 @@ def precision_recall(
     n = nt * len(areas)
     # Hits in the upper part, counted detections in the lower part of one long.
     packed = {
-        f"c{k}": F.get("hits", F.lit(k)).cast("long") * F.lit(1 << 40) + F.get("counted", F.lit(k)).cast("long")
-        for k in range(n)
+        f"c{k}": F.expr(f"(shiftright(hits, {k}) & 1L) * {1 << 40}L + (shiftright(counted, {k}) & 1L)") for k in range(n)
     }
     slim = matches.select("category_id", "score", "image_id", "id", "hits", "counted")
     run = running_many(slim, packed, ["-score", "image_id", "id"], "category_id")
-    at = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get("hits", k) == 1)
+    at = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.getbit("hits", k) == 1)
     hit = run.select(
         "category_id", "score", "image_id", "id", F.array(*[f"c{k}" for k in range(n)]).alias("c"),
         F.explode(at).alias("slot"),
@@ -403,10 +411,15 @@ def coco_ap(dets: DataFrame, gt: DataFrame, areas: Sequence[str] = ("all", "smal
             pairs: DataFrame | None = None) -> DataFrame:
     """`category_id`, `area`, `threshold`, `ap` in 0..1; see `coco_summary`."""
     dets, gt = materialize(dets), materialize(gt)  # both are read several times
-    npos = ground_truth_counts(gt, areas)
-    matches = materialize(coco_matches(dets, gt, IOU_THRESHOLDS, areas, pairs=pairs))
     names = [r[0] for r in AREA_RANGES if r[0] in areas]
-    return interpolated_ap(precision_recall(matches, npos, IOU_THRESHOLDS, names), npos, IOU_THRESHOLDS)
+    size = MAX_SLOTS // len(IOU_THRESHOLDS)
+    out = None
+    for part in (names[i:i + size] for i in range(0, len(names), size)):
+        npos = ground_truth_counts(gt, part)
+        matches = materialize(coco_matches(dets, gt, IOU_THRESHOLDS, part, pairs=pairs))
+        ap = interpolated_ap(precision_recall(matches, npos, IOU_THRESHOLDS, part), npos, IOU_THRESHOLDS)
+        out = ap if out is None else out.unionByName(ap)
+    return out
 
 
 def coco_summary(ap: DataFrame) -> DataFrame:

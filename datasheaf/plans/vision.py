@@ -136,10 +136,10 @@ def _curve(t):
     hit = (F.col("l_returnflag") != "R").cast("long")
     m = n.select(
         F.col("l_suppkey").alias("category_id"), (1 - F.col("l_tax")).alias("score"),
-        F.col("l_orderkey").alias("image_id"), "id", F.array(hit).alias("hits"),
-        F.array(F.lit(1).cast("long")).alias("counted"),
+        F.col("l_orderkey").alias("image_id"), "id", hit.alias("hits"),
+        F.lit(1).cast("long").alias("counted"),
     )
-    npos = m.groupBy("category_id").agg((F.sum(F.get("hits", F.lit(0))) + 10).alias("npos")).withColumn("area", F.lit("all"))
+    npos = m.groupBy("category_id").agg((F.sum("hits") + 10).alias("npos")).withColumn("area", F.lit("all"))
     return D.precision_recall(m, npos, [0.5]), npos
 
 

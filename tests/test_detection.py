@@ -169,11 +169,12 @@ def coco_reference(gt, dets, thresholds, bands, max_dets=100):
     return out
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_coco_and_pascal(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed,slots", [(5, 62), (6, 62), (6, 10)])
+def test_coco_and_pascal(spark, seed, slots, monkeypatch):
     from datasheaf.operators import positions
 
     monkeypatch.setattr(positions, "ROWS_PER_RANGE", 7)
+    monkeypatch.setattr(D, "MAX_SLOTS", slots)
     gt, dets = fixture(seed)
     g, d = frames(spark, gt, dets)
     bands = [b for b in D.AREA_RANGES if b[0] in ("all", "small", "medium")]

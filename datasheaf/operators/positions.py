@@ -6,6 +6,8 @@ One aggregate per range gives what the ranges before it contribute; a window ins
 does the rest. Because cuts are whole tuples (group columns, then order columns), a group that
 holds a third of all rows is spread over many ranges like any other stretch of the order.
 
+An input of at most ROWS_PER_RANGE rows (counted first) is one range and needs no sample.
+
 The input is read up to three times (row count, sample, one aggregate per range), with only the
 needed columns: write or checkpoint an expensive input first. It must be deterministic.
 """

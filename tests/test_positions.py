@@ -80,6 +80,11 @@ def test_instants_as_keys(spark):
     assert P.global_index(t, "t", rows_per_range=20).columns == ["t", "id", "pos"]
 
 
+def test_plan_spreads_the_order(df):
+    plan = P.global_index(df, "id", rows_per_range=50)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__ds_range" in plan and "SinglePartition" not in plan
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "g string, id long")
     assert P.global_index(empty, "id").collect() == []

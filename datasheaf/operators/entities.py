@@ -34,15 +34,16 @@ def entity_spans(tags: str, strict: bool = False) -> Column:
         prev = F.get(tags, i - 1)
         return t.startswith("I-") & F.coalesce((prev != "O") & (kind(prev) == kind(t)), F.lit(False))
 
-    # 0: outside or stray, 1: start, 2: continuation
-    state = F.transform(tags, lambda t, i: F.when(continues(t, i), 2).when(
-        t.startswith("B-") | (F.lit(not strict) & t.startswith("I-")), 1).otherwise(0))
+    def token(t: Column, i: Column) -> Column:
+        """The tag with its position and state: 0 outside or stray, 1 start, 2 continuation."""
+        starts = t.startswith("B-") if strict else t.startswith("B-") | t.startswith("I-")
+        state = F.when(continues(t, i), 2).when(starts, 1).otherwise(0)
+        return F.struct(t.alias("t"), state.alias("s"), i.alias("i"))
+
     zero = F.struct(
         F.array().cast("array<struct<type:string,start:int,end:int>>").alias("done"),
         F.lit(None).cast("struct<type:string,start:int,end:int>").alias("cur"),
     )
-    step = F.zip_with(tags, state, lambda t, s: F.struct(t.alias("t"), s.alias("s")))
-    step = F.transform(step, lambda x, i: F.struct(x["t"].alias("t"), x["s"].alias("s"), i.alias("i")))
     # One pass: close the open span at every token that does not continue it.
     def fold(acc: Column, x: Column) -> Column:
         cur = acc["cur"]
@@ -56,7 +57,7 @@ def entity_spans(tags: str, strict: bool = False) -> Column:
         )
 
     return F.aggregate(
-        step, zero, fold,
+        F.transform(tags, token), zero, fold,
         lambda acc: F.when(acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))),
     )
 

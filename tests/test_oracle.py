@@ -17,7 +17,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, ROOT)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -27,7 +27,7 @@ def test_query(spark, con, name):
 
 
 def test_only_procedures_lack_sql():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
+    missing = set(entry.QUERIES) - set(entry.ORACLES)
     assert missing == {"nms", "greedy_match", "proposal_recall", "coco_ap", "pascal_map", "rung_async", "stream_rungs"}
 
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datasheaf.llm import mixing, urlfilter
+from datasheaf.llm import fingerprint, mixing, urlfilter, warc
+from datasheaf.llm.common import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +71,35 @@ def op3(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
 def op7(spark: SparkSession, pages: DataFrame, root: str) -> DataFrame:
     """Verdict on every page's url: the longest rule, else boosted trees fitted on the URLs that a rule decides."""
     return urlfilter.judge(pages, urlfilter.fit(pages))
+
+
+@query("op5_fingerprints", "documents")
+def op5(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
+    """Multiset hashes of every text and of its edit with the next text, and how like they are."""
+    return fingerprint.with_next(docs)
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY sha1(body)) AS first FROM p
+), bits AS (
+  SELECT *, sha1(body) AS hex FROM f
+), digits AS (
+  SELECT *, list_transform(range(0, 32), lambda i:
+    (('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) AS five FROM bits
+)
+SELECT page_id, octet_length(body)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(five, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM digits
+"""
+
+
+@query("op10_warc", "pages", WARC_SQL)
+def op10(spark: SparkSession, pages: DataFrame, root: str) -> DataFrame:
+    """Every page archived as WARC, indexed, looked up by its url and read back."""
+    found = warc.archive_and_read(spark, pages, work_folder(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

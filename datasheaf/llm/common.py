@@ -38,3 +38,15 @@ def spread_count(spark: SparkSession) -> int:
 def held_out(doc_id: Column) -> Column:
     """Rows kept from every fit: crc32 of the id's text is divisible by five. A missing id is not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def drawn(ids: DataFrame, salt: str, rows: int) -> DataFrame:
+    """At most `rows` rows of `ids` (doc_id), the same on every run: those with the smallest md5."""
+    key = F.md5(F.concat(F.lit(salt + ":"), F.col("doc_id").cast("string")))
+    return ids.filter("doc_id is not null").select("doc_id").orderBy(key, "doc_id").limit(rows)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of a bounded draw of ids, joined where the documents are: the ids go to every task."""
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return text.join(F.broadcast(ids), "doc_id")

@@ -16,14 +16,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from datasheaf.llm.common import sent_if_small, written
+from datasheaf.llm.common import sent_if_small, spread_count, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Words of a block, documents of a bucket, and the most buckets that one source is cut into.
 BLOCK_WORDS = 256
 BUCKET_ROWS = 256
 MAX_BUCKETS = 1 << 16
-CELL = 1 << 16
+CELL = 1 << 14
 
 
 def word_count(text: Column) -> Column:
@@ -149,13 +149,14 @@ def mix(
         "src", "quota", (F.col("last") - F.col("quota")).alias("low"),
         residues(F.col("last") - F.col("quota"), bits).alias("below"), residues(F.col("last"), bits).alias("within"))
     cells = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / CELL).cast("long")))
-    points = owned.withColumn("cell", cells).repartition("src", "cell")
+    points = owned.withColumn("cell", cells).repartition(spread_count(spark), "src", "cell")
     ends = F.least(F.col("quota"), (F.col("cell") + 1) * CELL) - 1
     points = points.withColumn("point", F.explode(F.sequence(F.col("low") + F.col("cell") * CELL, F.col("low") + ends)))
     points = points.withColumn("slot", bits_reversed(F.col("point"), bits))
     rank = members_below(F.col("slot"), F.col("within")) - members_below(F.col("slot"), F.col("below"))
     schedule = points.select("src", rank.alias("block"), "slot")
-    return sized, sources, schedule.join(pieces, ["src", "block"])
+    # The slots come from a few rows, so their number is not seen in the size of an exchange: never broadcast.
+    return sized, sources, schedule.hint("merge").join(pieces.hint("merge"), ["src", "block"])
 
 
 def words_taken(docs: DataFrame, **how) -> DataFrame:

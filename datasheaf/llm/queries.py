@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datasheaf.llm import fingerprint, mixing, urlfilter, warc
+from datasheaf.llm import fingerprint, mixing, quality, toxicity, urlfilter, warc
 from datasheaf.llm.common import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,15 @@ def op10(spark: SparkSession, pages: DataFrame, root: str) -> DataFrame:
     """Every page archived as WARC, indexed, looked up by its url and read back."""
     found = warc.archive_and_read(spark, pages, work_folder(spark, "warc"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_quality", "documents")
+def op4(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
+    """Quality score of every text by positive-unlabelled learning."""
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{root}/labels.parquet")))
+
+
+@query("op9_toxicity", "documents")
+def op9(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
+    """Toxicity score of every text by weak supervision."""
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{root}/labels.parquet")))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from datasheaf.llm import fingerprint, mixing, quality, toxicity, urlfilter, warc
+from datasheaf.llm import bpe, fingerprint, mixing, quality, tokencount, toxicity, urlfilter, warc
 from datasheaf.llm.common import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +116,15 @@ def op4(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
 def op9(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
     """Toxicity score of every text by weak supervision."""
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{root}/labels.parquet")))
+
+
+@query("op1_bpe", "documents")
+def op1(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
+    """Every text encoded by the token automaton and decoded again."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_token_counts", "documents")
+def op6(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
+    """Tokens of every text, counted by the transducer."""
+    return tokencount.counted(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from datasheaf.llm import bpe, fingerprint, mixing, quality, tokencount, toxicity, urlfilter, warc
+from datasheaf.llm import bpe, fingerprint, jaccard, mixing, quality, tokencount, toxicity, urlfilter, warc
 from datasheaf.llm.common import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,9 @@ def op1(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
 def op6(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
     """Tokens of every text, counted by the transducer."""
     return tokencount.counted(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@query("op8_jaccard_join", "documents")
+def op8(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
+    """Components of documents whose five-word shingles are similar by 0.8 or more."""
+    return jaccard.joined(docs)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from datasheaf.llm import bpe, fingerprint, jaccard, mixing, quality, tokencount, toxicity, urlfilter, warc
+from datasheaf.llm import ann, bpe, fingerprint, jaccard, mixing, quality, tokencount, toxicity, urlfilter, warc
 from datasheaf.llm.common import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,9 @@ def op6(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
 def op8(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
     """Components of documents whose five-word shingles are similar by 0.8 or more."""
     return jaccard.joined(docs)
+
+
+@query("op2_nearest", "embeddings")
+def op2(spark: SparkSession, vectors: DataFrame, root: str) -> DataFrame:
+    """Ten nearest vectors found for every vector whose id is divisible by 100."""
+    return ann.nearest(vectors, k=10)

@@ -26,6 +26,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MEMORY_PIECES = 400_000
 LONGEST_REMEMBERED = 64
@@ -254,7 +255,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), flat)], [*kept, ids])
     frame = docs.select(*[F.col(f"`{c}`") for c in kept])
-    return frame.mapInArrow(run, frame.schema.add(ids, "array<int>"))
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -268,7 +269,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
             out = pa.array([None if x is None else a.decode(x) for x in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, out], [*kept, text])
     frame = tokens.select(*[F.col(f"`{c}`") for c in kept])
-    return frame.mapInArrow(run, frame.schema.add(text, "string"))
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from datasheaf.llm.common import whole_row
+
 MEMORY_PIECES = 400_000
 LONGEST_REMEMBERED = 64
 # The tokenizer's word pattern, and the white space it means by \s.
@@ -245,31 +247,33 @@ def of_worker(held: Broadcast, name: str, build: Callable[[dict], object]) -> ob
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """`docs` with the token ids of `text` in an array column `ids`, which replaces a column of that name."""
     held = shared(docs.sparkSession, path)
-    kept = [c for c in docs.columns if c != ids]
-    at = kept.index(text)
+    framed = docs.select(whole_row(docs, [c for c in docs.columns if c != ids]), F.col(f"`{text}`").alias("text"))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = of_worker(held, "encoder", lambda v: Encoder(Automaton(v)))
         for b in batches:
-            out = [np.frombuffer(e.text(t or ""), "<u4").astype(np.int32) for t in b.column(at).to_pylist()]
+            out = [np.frombuffer(e.text(t or ""), "<u4").astype(np.int32) for t in b["text"].to_pylist()]
             ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
             flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), flat)], [*kept, ids])
-    frame = docs.select(*[F.col(f"`{c}`") for c in kept])
-    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+            yield pa.RecordBatch.from_arrays([b["row"], pa.ListArray.from_arrays(pa.array(ends), flat)], ["row", "out"])
+    return with_column(framed, run, T.ArrayType(T.IntegerType()), ids)
+
+
+def with_column(framed: DataFrame, run: Callable, kind: T.DataType, name: str) -> DataFrame:
+    """The rows of `framed` (row, ...) unpacked, with the column that `run` adds to them."""
+    schema = T.StructType([framed.schema["row"], T.StructField("out", kind)])
+    return framed.mapInArrow(run, schema).select("row.*", F.col("out").alias(name))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """`tokens` with the text of the array column `ids` in a column `text`; null ids give null."""
     held = shared(tokens.sparkSession, path)
-    kept = [c for c in tokens.columns if c != text]
-    at = kept.index(ids)
+    framed = tokens.select(whole_row(tokens, [c for c in tokens.columns if c != text]), F.col(f"`{ids}`").alias("ids"))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = of_worker(held, "automaton", Automaton)
         for b in batches:
-            out = pa.array([None if x is None else a.decode(x) for x in b.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, out], [*kept, text])
-    frame = tokens.select(*[F.col(f"`{c}`") for c in kept])
-    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(text, T.StringType())]))
+            out = pa.array([None if x is None else a.decode(x) for x in b["ids"].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b["row"], out], ["row", "out"])
+    return with_column(framed, run, T.StringType(), text)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

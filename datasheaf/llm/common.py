@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,18 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Texts of a bounded draw of ids, joined where the documents are: the ids go to every task."""
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return text.join(F.broadcast(ids), "doc_id")
+
+
+def whole_row(df: DataFrame, columns: Iterable[str] | None = None) -> Column:
+    """All columns as one, so that their names cannot clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in (df.columns if columns is None else columns)]).alias("row")
+
+
+def kept_by_text(docs: DataFrame, keep: Callable[[list[str]], Iterable[bool]]) -> DataFrame:
+    """Rows of `docs` whose text (null: empty) `keep` accepts, columns unchanged."""
+    framed = docs.select(whole_row(docs), F.coalesce("text", F.lit("")).alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mask = pa.array(list(keep(b["text"].to_pylist())), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["row"].filter(mask)], ["row"])
+    return framed.mapInArrow(run, framed.select("row").schema).select("row.*")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datasheaf.llm.common import SMALL_ROWS, written
+from datasheaf.llm.common import SMALL_ROWS, whole_row, written
 from datasheaf.llm.components import components
 
 SHINGLE, WINDOW, LEADING, COMMON, LEAST_SHARED, ENOUGH = 5, 40, 4, 32, 10, 28
@@ -288,13 +288,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for b in batches:
-            nodes = [node_of(s) for s in shingle_sets([t or "" for t in b.column(at).to_pylist()], powers)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary())], ["row", "node"])
+            nodes = [node_of(s) for s in shingle_sets([t or "" for t in b["text"].to_pylist()], powers)]
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array(nodes, pa.binary())], ["row", "node"])
 
-    # The row travels as one column beside its text, so no name of its columns can clash.
-    at = 1
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    framed = docs.select(whole, "text")
+    framed = docs.select(whole_row(docs), "text")
     tagged = framed.mapInArrow(run, framed.select("row").schema.add("node", "binary"))
     wordless = tagged.filter("node is null").select("row.*")
     worded = tagged.filter("node is not null").withColumn("id", F.col("row.doc_id"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datasheaf.llm.common import drawn, held_out, texts_of
+from datasheaf.llm.common import drawn, held_out, kept_by_text, texts_of
 
 POSITIVES, UNLABELLED = 6000, 6000
 THRESHOLD = 0.3
@@ -182,8 +182,4 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
 def keep(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` at or above the threshold, columns unchanged."""
     table = class_table()
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = model.score(shape([t or "" for t in b["text"].to_pylist()], table))
-            yield b.filter(pa.array(s >= threshold))
-    return docs.mapInArrow(run, docs.schema)
+    return kept_by_text(docs, lambda texts: (model.score(shape(texts, table)) >= threshold).tolist())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datasheaf.llm.common import drawn, held_out, texts_of, written
+from datasheaf.llm.common import drawn, held_out, kept_by_text, texts_of, written
 from datasheaf.llm.quality import descend, sigmoid
 
 TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
@@ -175,7 +175,4 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> D
 
 def keep(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` below the threshold, columns unchanged."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([model.score(t or "") < threshold for t in b["text"].to_pylist()], pa.bool_()))
-    return docs.mapInArrow(run, docs.schema)
+    return kept_by_text(docs, lambda texts: [model.score(t) < threshold for t in texts])

@@ -31,14 +31,16 @@ class PartialReducer:
         raise NotImplementedError
 
 
-# Partial states that one merging task takes: more are merged in further rounds.
+# Tasks that merge partial states before the last one: their states are what it takes.
 FAN_IN = 64
 
 
-def reduce_partials(df: DataFrame, reducer: PartialReducer, schema: str) -> DataFrame:
-    """One row with the reducer's result over all rows of `df`, in a tree of merges.
+def reduce_partials(df: DataFrame, reducer: PartialReducer, schema: str, merge_tasks: int = FAN_IN) -> DataFrame:
+    """One row with the reducer's result over all rows of `df`.
 
-    Each task sends one pickled state; a merging task takes at most FAN_IN of them.
+    Each task of the input sends one pickled state. `merge_tasks` tasks merge them, and one task merges
+    their states: an exchange stands before either, so the input keeps its own tasks. More than
+    `merge_tasks` squared input tasks are no limit, a merging task only takes more states in turn.
     """
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = reducer.init()
@@ -59,12 +61,8 @@ def reduce_partials(df: DataFrame, reducer: PartialReducer, schema: str) -> Data
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([reducer.finish(merged(batches))])
 
-    states = df.mapInPandas(partials, "state binary")
-    tasks = df.rdd.getNumPartitions()
-    while tasks > FAN_IN:
-        tasks = -(-tasks // FAN_IN)
-        states = states.repartition(tasks).mapInPandas(merge_states, "state binary")
-    return states.coalesce(1).mapInPandas(finish, schema)
+    states = df.mapInPandas(partials, "state binary").repartition(merge_tasks).mapInPandas(merge_states, "state binary")
+    return states.repartition(1).mapInPandas(finish, schema)
 
 
 def wrap_reducer(fn: Callable[[pd.Series], float]) -> Callable[[Column], Column]:

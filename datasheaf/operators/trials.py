@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -107,10 +110,13 @@ def rung_units(searches: DataFrame, search: str, max_length: Column, num_rungs:
 
 
 def rung_promotions(
-    results: DataFrame, search: str, trial: str, num_rungs: int, divisor: int, smaller: bool = True
+    results: DataFrame, search: str, trial: str, num_rungs: int, divisor: int, smaller: bool = True,
+    units: DataFrame | None = None,
 ) -> DataFrame:
     """Synchronous audit: `search`, rung, trial, rank, promoted.
 
+    With `units` (search, rung, units) also `add`: what a promoted trial trains on for, at least one.
+
     `results`: search, trial, rung, metric, arrival, exited_early. Rung 0 holds every trial; a rung
     promotes the best floor(n / divisor) (early exits rank last, equal metrics by arrival) and the
     next rung holds those. The last rung promotes nobody. One pass per rung.
@@ -129,63 +135,96 @@ def rung_promotions(
         )
         out = part if out is None else out.unionByName(part)
         member = part.filter("promoted").select(search, trial)
-    return out
+    if units is None:
+        return out
+    here = units.select(search, "rung", F.col("units").alias("__u"))
+    ahead = units.select(search, (F.col("rung") - 1).alias("rung"), F.col("units").alias("__a"))
+    add = F.when(F.col("promoted"), F.greatest(F.col("__a") - F.col("__u"), F.lit(1).cast("long")))
+    return out.join(here, [search, "rung"], "left").join(ahead, [search, "rung"], "left").withColumn("add", add).drop("__u", "__a")
 
 
-MAX_RESULTS = 1_000_000
 ASYNC_SCHEMA = "search string, arrival long, rung int, promoted string"
+WORST = float("inf")
 
 
-class Rung:
-    """Results of one rung in metric order, equal metrics in order of arrival."""
+class Halving:
+    """One asynchronous search: of each rung's n results, the best floor(n / divisor) go on.
 
-    def __init__(self, metrics: list[float] | None = None, trials: list[str] | None = None, promoted: list[bool] | None = None):
-        self.metrics, self.trials, self.promoted = metrics or [], trials or [], promoted or []
-
-    def add(self, trial: str, metric: float, divisor: int) -> str | None:
-        """The trial that the new result promotes, if any."""
-        from bisect import bisect_right
+    A rung is two heaps. `chosen`, worst on top, holds the results that are among the best now, and all
+    of them went on. `waiting`, best on top, holds the others, with a mark on those that went on before a
+    better one took their place. Equal metrics keep their order of arrival. The last of `rungs` rungs sends
+    nobody on. A trial that exited early counts as the worst result, and when it goes on it is at once a
+    worst result of the next rung.
+    """
 
-        quota_before = len(self.metrics) // divisor
-        quota = (len(self.metrics) + 1) // divisor
-        at = bisect_right(self.metrics, metric)
-        now = at < quota
-        self.metrics.insert(at, metric)
-        self.trials.insert(at, trial)
-        self.promoted.insert(at, now)
-        if now:
+    def __init__(self, divisor: int, rungs: int | None = None, kept: tuple | None = None):
+        self.divisor, self.rungs = divisor, rungs
+        self.levels, self.gone, self.serial = kept or ({}, set(), 0)
+
+    def kept(self) -> tuple:
+        """What a later instance needs to go on from here."""
+        return self.levels, self.gone, self.serial
+
+    def settle(self, level: int, trial: str, metric: float) -> str | None:
+        """Enter a result; the trial that goes on because of it, if any."""
+        chosen, waiting = self.levels.setdefault(level, ([], []))
+        self.serial += 1
+        key = (metric, self.serial)
+        if (len(chosen) + len(waiting) + 1) // self.divisor > len(chosen):
+            metric, serial, trial, went_on = heapq.heappushpop(waiting, (*key, trial, False))
+            heapq.heappush(chosen, (-metric, -serial, trial))
+            return None if went_on else trial
+        if chosen and key < (-chosen[0][0], -chosen[0][1]):
+            metric, serial, other = heapq.heapreplace(chosen, (-key[0], -key[1], trial))
+            heapq.heappush(waiting, (-metric, -serial, other, True))
             return trial
-        if quota > quota_before and not self.promoted[quota_before]:
-            self.promoted[quota_before] = True
-            return self.trials[quota_before]
+        heapq.heappush(waiting, (*key, trial, False))
         return None
 
-
-def rung_async(
-    results: DataFrame, search: str, divisor: int, max_results: int = MAX_RESULTS
-) -> DataFrame:
+    def result(self, level: int, trial: str, metric: float | None, exited_early: bool = False) -> list[tuple[int, str]]:
+        """Trials that go on because of a result, with the rung they leave. No metric counts as the worst."""
+        if exited_early:
+            self.gone.add(trial)
+        if exited_early or metric is None or metric != metric:
+            metric = WORST
+        sent: list[tuple[int, str]] = []
+        while self.rungs is None or level < self.rungs - 1:
+            ahead = self.settle(level, trial, metric)
+            if ahead is None:
+                break
+            sent.append((level, ahead))
+            if ahead not in self.gone:
+                break
+            level, trial, metric = level + 1, ahead, WORST
+        return sent
+
+
+def rung_async(results: DataFrame, search: str, divisor: int, rungs: int | None = None) -> DataFrame:
     """Promotions of asynchronous halving, replayed in order of arrival.
 
-    `results`: search, rung, trial, metric, arrival; the decision at a result depends on all earlier
-    ones of its (search, rung), so that pair is one group. Searches state their number of trials; a
-    group above `max_results` stops the job and belongs to the streaming form.
+    `results`: search, rung, trial, metric, arrival, and exited_early if there are early exits. A decision
+    depends on all earlier ones of its search, so a search is one sorted run of rows; they pass through
+    their task one after the other and only the metrics stay.
     """
-    sizes = results.groupBy(search, "rung").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if sizes is not None and sizes > max_results:
-        raise ValueError(f"a rung has {sizes} results, above {max_results}: replay it as a stream")
+    early = F.coalesce("exited_early", F.lit(False)) if "exited_early" in results.columns else F.lit(False)
     named = results.select(
-        F.col(search).cast("string").alias("search"), "rung", F.col("trial").cast("string").alias("trial"), "metric", "arrival"
+        F.col(search).cast("string").alias("search"), F.col("rung").cast("int").alias("rung"),
+        F.col("trial").cast("string").alias("trial"), F.col("metric").cast("double").alias("metric"), "arrival",
+        early.alias("exited_early"),
     )
 
-    def replay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rung, rows = Rung(), []
-        for r in pdf.sort_values(["arrival", "trial"]).itertuples(index=False):
-            p = rung.add(r.trial, r.metric, divisor)
-            if p is not None:
-                rows.append((key[0], r.arrival, int(key[1]), p))
-        return pd.DataFrame(rows, columns=["search", "arrival", "rung", "promoted"])
-
-    return named.groupBy("search", "rung").applyInPandas(replay, ASYNC_SCHEMA)
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                if state is None or r.search != current:
+                    current, state = r.search, Halving(divisor, rungs)
+                rows += [(current, r.arrival, level, t) for level, t in state.result(r.rung, r.trial, r.metric, r.exited_early)]
+            yield pd.DataFrame(rows, columns=["search", "arrival", "rung", "promoted"])
+
+    order = named.repartition("search").sortWithinPartitions("search", "arrival", "rung", "trial")
+    return order.mapInPandas(replay, ASYNC_SCHEMA)
 
 
 def search_progress(results: DataFrame, search: str, max_trials: str, max_concurrent: int) -> DataFrame:

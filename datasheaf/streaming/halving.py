@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,38 +10,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from datasheaf.operators.trials import ASYNC_SCHEMA, Rung
+from datasheaf.operators.trials import ASYNC_SCHEMA, Halving
 
-STATE_SCHEMA = "metrics array<double>, trials array<string>, promoted array<boolean>"
 
-
-def rung_stream(results: DataFrame, search: str, divisor: int) -> DataFrame:
+def rung_stream(results: DataFrame, search: str, divisor: int, rungs: int | None = None) -> DataFrame:
     """Promotions of a stream of results (search, rung, trial, metric, arrival, exited_early).
 
-    State per (search, rung) is the rung's results in metric order; an early exit ranks last. Within
-    a batch results go by (arrival, trial); across batches the order is that of the batches.
+    State per search is the metrics of its rungs. Within a batch results go by (arrival, rung, trial);
+    across batches the order is that of the batches.
     """
     named = results.select(
         F.col(search).cast("string").alias("search"), F.col("rung").cast("int").alias("rung"),
-        F.col("trial").cast("string").alias("trial"),
-        F.when(F.col("exited_early"), float("inf")).otherwise(F.col("metric")).alias("metric"), "arrival",
+        F.col("trial").cast("string").alias("trial"), F.col("metric").cast("double").alias("metric"), "arrival",
+        F.coalesce("exited_early", F.lit(False)).alias("exited_early"),
     )
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            m, t, p = state.get
-            rung = Rung(list(m), list(t), list(p))
-        else:
-            rung = Rung()
-        rows = pd.concat(list(batches)).sort_values(["arrival", "trial"])
-        out = []
-        for r in rows.itertuples(index=False):
-            promoted = rung.add(r.trial, r.metric, divisor)
-            if promoted is not None:
-                out.append((key[0], r.arrival, int(key[1]), promoted))
-        state.update((rung.metrics, rung.trials, rung.promoted))
+        kept = pickle.loads(state.get[0]) if state.exists else None
+        halving = Halving(divisor, rungs, kept)
+        rows = pd.concat(list(batches)).sort_values(["arrival", "rung", "trial"])
+        out = [
+            (key[0], r.arrival, level, t)
+            for r in rows.itertuples(index=False) for level, t in halving.result(r.rung, r.trial, r.metric, r.exited_early)
+        ]
+        state.update((pickle.dumps(halving.kept()),))
         yield pd.DataFrame(out, columns=["search", "arrival", "rung", "promoted"])
 
-    return named.groupBy("search", "rung").applyInPandasWithState(
-        step, ASYNC_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+    return named.groupBy("search").applyInPandasWithState(
+        step, ASYNC_SCHEMA, "kept binary", "append", GroupStateTimeout.NoTimeout
     )

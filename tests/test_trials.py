@@ -14,17 +14,15 @@ from datasheaf.operators import trials as V
 
 
 def replay(results, divisor):
-    """Promotions by the written rule: (arrival, trial)."""
-    ranked, out = [], []
+    """(arrival, trial) of the rule: whoever is among the best floor(n / divisor) of n and was not sent on yet."""
+    seen, sent, out = [], set(), []
     for arrival, trial, metric in results:
-        old, new = len(ranked) // divisor, (len(ranked) + 1) // divisor
-        at = sum(1 for r in ranked if r[0] <= metric)
-        ranked.insert(at, [metric, trial, at < new])
-        if at < new:
-            out.append((arrival, trial))
-        elif new != old and not ranked[old][2]:
-            ranked[old][2] = True
-            out.append((arrival, ranked[old][1]))
+        seen.append((metric, len(seen), trial))
+        best = {t for _, _, t in sorted(seen)[:len(seen) // divisor]}
+        fresh = {trial} if trial in best else best - sent
+        assert len(fresh) <= 1
+        out += [(arrival, t) for t in fresh]
+        sent |= fresh
     return out
 
 
@@ -42,8 +40,17 @@ def test_rung_async(spark, results):
     got = {(r["search"], r["arrival"], r["promoted"]) for r in V.rung_async(df, "search", 3).collect()}
     want = {(s, a, t) for s in "pq" for a, t in replay([(r[2], r[3], r[4]) for r in results if r[0] == s], 3)}
     assert got == want
-    with pytest.raises(ValueError):
-        V.rung_async(df, "search", 3, max_results=10)
+
+
+def test_rung_async_last_rung_and_early_exits(spark):
+    rows = [
+        ("s", 0, 1, "a", 5.0, False), ("s", 0, 2, "b", 0.0, True), ("s", 0, 3, "c", 9.0, True), ("s", 0, 4, "d", 4.0, False),
+        ("s", 0, 5, "e", 3.0, True), ("s", 0, 6, "f", 6.0, True), ("s", 1, 7, "a", 1.0, False), ("s", 1, 8, "d", 2.0, False),
+        ("s", 0, 9, "g", 7.0, True), ("s", 0, 10, "h", 8.0, True), ("s", 2, 11, "a", 0.0, False), ("s", 2, 12, "b", 0.0, False),
+    ]
+    got = V.rung_async(spark.createDataFrame(rows, SCHEMA), "search", 2, rungs=3).orderBy("arrival", "rung").collect()
+    # Half of all go on, so b and c do although they exited early; each is then a worst result of rung 1.
+    assert [(r.arrival, r.rung, r.promoted) for r in got] == [(2, 0, "a"), (4, 0, "d"), (6, 0, "b"), (7, 1, "a"), (10, 0, "c"), (10, 1, "d")]
 
 
 def test_rung_promotions(spark):
@@ -56,6 +63,13 @@ def test_rung_promotions(spark):
     }
 
 
+def test_rung_promotions_with_units(spark):
+    rows = [("s", 0, i, f"t{i}", float(i), False) for i in range(4)] + [("s", 1, 9, "t0", 5.0, False)]
+    units = spark.createDataFrame([("s", 0, 4), ("s", 1, 16)], "search string, rung int, units long")
+    got = V.rung_promotions(spark.createDataFrame(rows, SCHEMA), "search", "trial", 2, 4, units=units).collect()
+    assert {(r["rung"], r["trial"]): r["add"] for r in got} == {(0, "t0"): 12, (0, "t1"): None, (0, "t2"): None, (0, "t3"): None, (1, "t0"): None}
+
+
 def test_rung_units(spark):
     df = spark.createDataFrame([("a", 100), ("b", 2)], "s string, n int")
     got = {(r["s"], r["rung"]): r["units"] for r in V.rung_units(df, "s", F.col("n"), 3, 4).collect()}
@@ -195,12 +209,25 @@ def counter():
     return Counter()
 
 
-@pytest.mark.parametrize("fan_in", [64, 2])
-def test_partial_reducer(spark, fan_in, monkeypatch):
-    monkeypatch.setattr(R, "FAN_IN", fan_in)
-    df = spark.range(100).selectExpr("id % 7 AS k").repartition(9)
-    r = R.reduce_partials(df, counter(), "kinds long, rows long").collect()
-    assert [tuple(x) for x in r] == [(7, 100)]
+@pytest.mark.parametrize("merge_tasks", [64, 2])
+@pytest.mark.parametrize("parts", [2, 64, 65])
+def test_partial_reducer(spark, merge_tasks, parts):
+    tasks = spark.sparkContext.accumulator(0)
+    plain = counter()
+
+    class Counted(type(plain)):
+        def init(self):
+            return {}
+
+        def update(self, state, batch):
+            tasks.add(1)
+            return plain.update(state, batch)
+
+    df = spark.range(0, 1000, 1, parts).selectExpr("id % 7 AS k")
+    r = R.reduce_partials(df, Counted(), "kinds long, rows long", merge_tasks).collect()
+    assert [tuple(x) for x in r] == [(7, 1000)]
+    # Every input partition has a batch of its own and its own task.
+    assert tasks.value == parts
 
 
 def test_evaluators(spark):

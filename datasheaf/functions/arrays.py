@@ -20,6 +20,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running_total(values: Column, block: int = 128) -> Column:
+    """Running sums of an array of numbers. Lists grow by copying, so they are built block by block."""
+    def add(acc: Column, x: Column) -> Column:
+        at = acc["at"] + x
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+    def sums(part: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<long>").alias("out"))
+        return F.aggregate(part, zero, add)
+
+    zero = F.lit(0).cast("long")
+    numbers = values.cast("array<long>")
+    def joined(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(block))
+        parts = F.transform(starts, lambda s: sums(F.slice(v, s, F.lit(block)), zero))
+        def whole(p: Column) -> Column:
+            ahead = F.aggregate(p, F.struct(zero.alias("at"), F.array(zero).alias("out")), lambda acc, x: add(acc, x["at"]))
+            return F.flatten(F.zip_with(p, F.slice(ahead["out"], F.lit(1), F.size(p)), lambda x, b: F.transform(x["out"], lambda y: y + b)))
+        return let(parts, whole)
+    return let(numbers, joined)
+
+
 def as_double(a: Column | str) -> Column:
     return _col(a).cast("array<double>")
 

@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from datasheaf.functions.chat import render_messages, render_turn
 from datasheaf.operators.positions import running
 
-PART_CHARS = 16_000_000
-
 
 def render_conversations(
-    turns: DataFrame, conv: str, turn: str, role: str, content: str, part_chars: int = PART_CHARS
+    turns: DataFrame, conv: str, turn: str, role: str, content: str, part_chars: int
 ) -> DataFrame:
     """`conv`, `part`, `text`: every conversation rendered in turn order.
 
-    The text of a conversation is one part unless it exceeds `part_chars`; a longer one goes on in
+    The caller says how long a part may be: the text of a conversation is one part unless it exceeds `part_chars`; a longer one goes on in
     parts 1, 2, ..., so no conversation is ever gathered whole. Concatenated parts give the text.
     """
     lines = turns.select(conv, turn, render_turn(F.col(role), F.col(content)).alias("line")).filter(

@@ -344,19 +344,15 @@ def precision_recall(
     """
     nt = len(thresholds)
     n = nt * len(areas)
-    # Hits in the upper part, counted detections in the lower part of one long.
-    packed = {
-        f"c{k}": F.expr(f"(shiftright(hits, {k}) & 1L) * {1 << 40}L + (shiftright(counted, {k}) & 1L)") for k in range(n)
-    }
+    sums = {f"{c}{k}": F.expr(f"shiftright({c}, {k}) & 1L") for c in ("hits", "counted") for k in range(n)}
     slim = matches.select("category_id", "score", "image_id", "id", "hits", "counted")
-    run = running_many(slim, packed, ["-score", "image_id", "id"], "category_id")
+    run = running_many(slim, sums, ["-score", "image_id", "id"], "category_id")
     at = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.getbit("hits", k) == 1)
     hit = run.select(
-        "category_id", "score", "image_id", "id", F.array(*[f"c{k}" for k in range(n)]).alias("c"),
+        "category_id", "score", "image_id", "id", *[F.array(*[f"{c}{k}" for k in range(n)]).alias(f"{c}s") for c in ("hits", "counted")],
         F.explode(at).alias("slot"),
-    ).withColumn("c", F.get("c", F.col("slot")))
-    tps = F.shiftright("c", 40)
-    seen = F.col("c") - tps * F.lit(1 << 40)
+    )
+    tps, seen = F.get("hitss", F.col("slot")), F.get("counteds", F.col("slot"))
     named = hit.select(
         "category_id", F.get(F.lit(list(areas)), F.floor(F.col("slot") / nt).cast("int")).alias("area"),
         F.get(F.lit([float(t) for t in thresholds]), (F.col("slot") % nt).cast("int")).alias("threshold"),

@@ -15,8 +15,11 @@ INLINE_VALUES = 2_000_000
 
 
 def vector_size(df: DataFrame, vec: str) -> int:
-    first = df.select(F.size(vec)).first()
-    return first[0] if first else 0
+    """Length that all vectors share; 0 for an empty table. Vectors of different lengths are an error."""
+    least, most = df.select(F.min(F.size(vec)), F.max(F.size(vec))).first()
+    if least != most:
+        raise ValueError(f"{vec} holds vectors of {least} to {most} values")
+    return most or 0
 
 
 def mean_pool(vec: Column | str, tokens: int, dim: int, mask: Column | None = None) -> Column:
@@ -84,16 +87,18 @@ def prototype_classify(
     else:
         blocks = -(-values // inline_values)
         arrays = named.groupBy((F.abs(F.xxhash64("label")) % blocks).alias("__b")).agg(listed.alias("__p"))
-        copies = queries.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        # Equal ids stay rows of their own.
+        rows = queries.withColumn("__row", F.monotonically_increasing_id())
+        copies = rows.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         parts = _partials(copies.join(arrays, "__b"), vec, F.col("__p"), label).drop("__p", "__b")
-        keep = [c for c in queries.columns if c != id_col]
+        keep = queries.columns
         own = [F.max("__own").alias("__own")] if label is not None else []
-        merged = parts.groupBy(id_col).agg(
+        merged = parts.groupBy("__row").agg(
             *[F.any_value(c).alias(c) for c in keep], *own, F.min("__best").alias("__best"),
             F.collect_list(F.struct(F.col("__best.d").alias("d"), F.col("__mass").alias("m"))).alias("__ms"),
         )
         mass = total(F.transform("__ms", lambda s: s["m"] * F.exp(F.col("__best.d") - s["d"])))
-        scored = merged.withColumn("__mass", mass).drop("__ms")
+        scored = merged.withColumn("__mass", mass).drop("__ms", "__row")
     out = (
         scored.withColumn("pred", F.col("__best.label"))
         .withColumn("distance", F.col("__best.d"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from datasheaf.functions.arrays import let
+
 IGNORE = -100
 
 
@@ -28,38 +30,23 @@ def entity_spans(tags: str, strict: bool = False) -> Column:
     A span starts at `B-`, and, unless strict, at an `I-` that does not continue a span of its type.
     """
     def kind(t: Column) -> Column:
-        return F.substring(t, 3, 1000)
+        return F.substr(t, F.lit(3))
 
     def continues(t: Column, i: Column) -> Column:
         prev = F.get(tags, i - 1)
         return t.startswith("I-") & F.coalesce((prev != "O") & (kind(prev) == kind(t)), F.lit(False))
 
-    def token(t: Column, i: Column) -> Column:
-        """The tag with its position and state: 0 outside or stray, 1 start, 2 continuation."""
-        starts = t.startswith("B-") if strict else t.startswith("B-") | t.startswith("I-")
-        state = F.when(continues(t, i), 2).when(starts, 1).otherwise(0)
-        return F.struct(t.alias("t"), state.alias("s"), i.alias("i"))
+    # A tag that does not continue the one before is a head; a head that starts a span ends before the next head.
+    heads = F.filter(F.transform(tags, lambda t, i: F.when(~continues(t, i), i)), lambda i: i.isNotNull())
 
-    zero = F.struct(
-        F.array().cast("array<struct<type:string,start:int,end:int>>").alias("done"),
-        F.lit(None).cast("struct<type:string,start:int,end:int>").alias("cur"),
-    )
-    # One pass: close the open span at every token that does not continue it.
-    def fold(acc: Column, x: Column) -> Column:
-        cur = acc["cur"]
-        grown = F.struct(cur["type"].alias("type"), cur["start"].alias("start"), x["i"].cast("int").alias("end"))
-        fresh = F.struct(kind(x["t"]).alias("type"), x["i"].cast("int").alias("start"), x["i"].cast("int").alias("end"))
-        none = F.lit(None).cast("struct<type:string,start:int,end:int>")
-        go_on = (x["s"] == 2) & cur.isNotNull()
-        closed = F.when(go_on | cur.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(cur)))
-        return F.struct(
-            closed.alias("done"), F.when(go_on, grown).when(x["s"] == 1, fresh).otherwise(none).alias("cur")
-        )
-
-    return F.aggregate(
-        F.transform(tags, token), zero, fold,
-        lambda acc: F.when(acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))),
-    )
+    def span(found: Column) -> Column:
+        ends = F.transform(found, lambda _, k: F.coalesce(F.get(found, k + 1), F.size(tags)) - 1)
+        rows = F.zip_with(found, ends, lambda i, e: F.struct(F.get(tags, i).alias("t"), i.alias("i"), e.alias("e")))
+        starts = lambda t: t.startswith("B-") if strict else t.startswith("B-") | t.startswith("I-")
+        return F.transform(F.filter(rows, lambda r: starts(r["t"])), lambda r: F.struct(
+            kind(r["t"]).alias("type"), r["i"].cast("int").alias("start"), r["e"].cast("int").alias("end")))
+
+    return let(heads, span)
 
 
 def drop_ignored(tags: Column, labels: Column) -> Column:

@@ -16,10 +16,14 @@ def perplexity(loss: str) -> Column:
     return F.exp(F.avg(loss))
 
 
+def bounded_exp(mean: Column) -> Column:
+    """Perplexity of a mean loss; the fixed value where it is missing, not a number or too large."""
+    bad = mean.isNull() | F.isnan(mean) | (mean > MAX_EXPONENT)
+    return F.when(bad, OVERFLOW_PERPLEXITY).otherwise(F.exp(mean))
+
+
 def perplexity_weighted(loss: str, n: str) -> Column:
-    s = F.sum(F.col(loss) * F.col(n)) / F.sum(n)
-    bad = s.isNull() | F.isnan(s) | (s > MAX_EXPONENT)
-    return F.when(bad, OVERFLOW_PERPLEXITY).otherwise(F.exp(s))
+    return bounded_exp(F.sum(F.col(loss) * F.col(n)) / F.sum(n))
 
 
 def length_weighted_loss(loss: str, n: str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datasheaf.functions import text as T
+from datasheaf.functions.arrays import let, running_total
 
 # The fallbacks of an example without any candidate.
 EMPTY_TEXT = "empty"
@@ -18,16 +19,8 @@ BEAM_EMPTY_START, BEAM_EMPTY_END = -1e-6, -2e-6
 
 def word_offsets(words: Column) -> Column:
     """Character span of each word in the text that joins the words with single blanks."""
-    lens = F.transform(words, lambda w: F.length(w))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    return F.aggregate(
-        lens, zero,
-        lambda acc, n: F.struct(
-            (acc["at"] + n + 1).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), (acc["at"] + n).alias("e")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    return let(F.transform(words, lambda w: F.length(w) + 1), lambda steps: F.zip_with(
+        running_total(steps), steps, lambda end, n: F.struct((end - n).cast("int").alias("s"), (end - 1).cast("int").alias("e"))))
 
 
 def top_positions(logits: Column, n: int) -> Column:

@@ -95,11 +95,11 @@ def _(t):
     return a.withColumn("score_diff", F.round("score_diff", 6))
 
 
-@query("nbest_fallback", f"""WITH {NBEST} SELECT doc_id, rank::INTEGER AS rank, text, round(score, 6) AS score FROM nb WHERE rank = 1
-  UNION ALL SELECT doc_id, 0, 'empty', 0.0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM nb)""")
+@query("nbest_fallback", f"""WITH {NBEST} SELECT doc_id, rank::INTEGER AS rank, text, round(score, 6) AS score FROM nb
+  UNION ALL SELECT doc_id, 0, 'empty', 0.0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM nb)
+  UNION ALL SELECT doc_id, 0, 'empty', 0.0 FROM nb GROUP BY doc_id HAVING count(*) = 1 AND max(text) = ''""")
 def _(t):
-    best = n_best(t).filter("rank = 1")
-    return Q.with_fallback(best, t.documents, "doc_id").select(
+    return Q.with_fallback(n_best(t), t.documents, "doc_id").select(
         "doc_id", "rank", "text", F.round("score", 6).alias("score")
     )
 
@@ -211,8 +211,8 @@ def _norm(col):
     return f"list_filter({words(stripped)}, lambda w: w NOT IN ('a', 'an', 'the'))"
 
 
-@query("squad_em_f1", f"""WITH g AS (SELECT conv_id, turn, {_norm('question')} AS p, unnest([{_norm('answer')}, {_norm('other')}]) AS g, unnest([0, 1]) AS k
-    FROM (SELECT p.*, o.text AS other FROM {PAIRS} p JOIN conversations o ON o.conv_id = p.conv_id AND o.turn = p.turn + 2)),
+@query("squad_em_f1", f"""WITH g AS (SELECT * FROM (SELECT conv_id, turn, {_norm('question')} AS p, unnest([{_norm('answer')}, {_norm('other')}]) AS g, unnest([0, 1]) AS k
+    FROM (SELECT p.*, o.text AS other FROM {PAIRS} p LEFT JOIN conversations o ON o.conv_id = p.conv_id AND o.turn = p.turn + 2)) WHERE g IS NOT NULL),
   l AS (SELECT conv_id, turn, k, w, sum(c) AS cp, sum(1 - c) AS cg FROM (SELECT conv_id, turn, k, unnest(p) AS w, 1 AS c FROM g
     UNION ALL SELECT conv_id, turn, k, unnest(g), 0 FROM g) GROUP BY ALL),
   s AS (SELECT conv_id, turn, k, sum(least(cp, cg)) AS same FROM l GROUP BY ALL),
@@ -222,8 +222,8 @@ def _norm(col):
   SELECT round(avg(em) * 100, 6) AS exact_match, round(avg(f1) * 100, 6) AS f1, count(*) AS total FROM f""")
 def _(t):
     later = t.conversations.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("other"))
-    df = question_answer(t).join(later, ["conv_id", "turn"]).select(
-        F.struct("conv_id", "turn").alias("id"), "question", F.array("answer", "other").alias("golds")
+    df = question_answer(t).join(later, ["conv_id", "turn"], "left").select(
+        F.struct("conv_id", "turn").alias("id"), "question", F.array_compact(F.array("answer", "other")).alias("golds")
     )
     s = Q.squad_em_f1(df, "id", "question", "golds")
     return s.select(F.round("exact_match", 6).alias("exact_match"), F.round("f1", 6).alias("f1"), "total")
@@ -237,14 +237,14 @@ def _gram_sql(col):
     )
 
 
-@query("corpus_bleu", f"""WITH d AS (SELECT conv_id * 1000 + turn AS id, {words('question')} AS h, {words('answer')} AS r FROM {PAIRS}),
+@query("corpus_bleu", f"""WITH d AS (SELECT conv_id::VARCHAR || '/' || turn::VARCHAR AS id, {words('question')} AS h, {words('answer')} AS r FROM {PAIRS}),
   gh AS (SELECT id, n, g, count(*) AS c FROM ({_gram_sql('h')}) GROUP BY ALL), gr AS (SELECT id, n, g, count(*) AS c FROM ({_gram_sql('r')}) GROUP BY ALL),
   m AS (SELECT gh.n, sum(least(gh.c, coalesce(gr.c, 0)))::DOUBLE / sum(gh.c) AS p FROM gh LEFT JOIN gr ON gr.id = gh.id AND gr.n = gh.n AND gr.g = gh.g GROUP BY gh.n),
   l AS (SELECT sum(len(h)) AS hl, sum(len(r)) AS rl FROM d), b AS (SELECT CASE WHEN hl > rl THEN 1.0::DOUBLE ELSE exp(1 - rl / hl) END AS bp FROM l)
   SELECT round(max(p) FILTER (n = 1), 6) AS p1, round(max(p) FILTER (n = 2), 6) AS p2, round(any_value(bp), 6) AS bp,
     round(CASE WHEN min(p) <= 0 THEN 0 ELSE any_value(bp) * exp(sum(CASE WHEN p > 0 THEN ln(p) END) / 4) END, 6) AS bleu FROM m, b""")
 def _(t):
-    df = question_answer(t).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    df = question_answer(t).withColumn("id", F.struct("conv_id", "turn"))
     b = L.corpus_bleu(df, "id", "question", "answer")
     return b.select(*[F.round(c, 6).alias(c) for c in ("p1", "p2", "bp", "bleu")])
 

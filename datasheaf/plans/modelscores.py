@@ -166,7 +166,7 @@ def _(t):
 
 
 @query("class_histogram", """WITH p AS (SELECT p_brand || ' ' || p_type AS name, p_partkey, p_size FROM part),
-  c AS (SELECT name, count(l_partkey) FILTER (l_returnflag <> 'R' AND p_size > 49) AS n
+  c AS (SELECT name, count(l_partkey) FILTER (l_returnflag <> 'R') AS n
     FROM p LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY name)
   SELECT CASE WHEN length(name) > 13 THEN substr(name, 1, 11) || '..' ELSE name END AS name, n FROM c
   UNION ALL SELECT 'total', sum(n)::BIGINT FROM c""")
@@ -175,7 +175,7 @@ def _(t):
     # Count per part before the join, so a popular part is one row there.
     per_part = t.lineitem.filter("l_returnflag <> 'R'").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("k"))
     counts = (
-        parts.filter("p_size > 49").join(per_part, F.col("p_partkey") == F.col("l_partkey"))
+        parts.join(per_part, F.col("p_partkey") == F.col("l_partkey"))
         .groupBy("name").agg(F.sum("k").alias("n"))
     )
     return M.class_histogram(counts, parts.select("name").distinct())

@@ -202,7 +202,7 @@ RENDERED = f"""(SELECT conv_id, turn, '<|im_start|>' || role || chr(10) ||
 
 @query("chatml_render", f"""SELECT conv_id, 0::BIGINT AS part, chr(10) || string_agg(line, '' ORDER BY turn) AS text FROM {RENDERED} GROUP BY conv_id""")
 def _(t):
-    return CD.render_conversations(t.conversations, "conv_id", "turn", "role", "text")
+    return CD.render_conversations(t.conversations, "conv_id", "turn", "role", "text", part_chars=16_000_000)
 
 
 @query("generation_prompt", f"""SELECT conv_id, turn, chr(10) || '<|im_start|>user' || chr(10) || {strip('question')} || '<|im_end|>' || chr(10)
@@ -265,7 +265,7 @@ def _(t):
 @query("response_audit", f"""WITH a AS (SELECT role, text, {N_WORDS} AS n, strpos(text, '. ') AS p FROM conversations)
   SELECT role, count(*) AS n, sum(n)::BIGINT AS tokens,
     sum(len({words("CASE WHEN p > 0 THEN substr(text, 1, p - 1) ELSE text END")}))::BIGINT AS before_tokens,
-    count(*) FILTER (p = 0) AS without_marker, count(*) FILTER (n > 64 AND p > 0) AS cut FROM a GROUP BY role""")
+    count(*) FILTER (NOT contains(array_to_string({words('text')}[1:64], ' '), '. ')) AS without_marker, count(*) FILTER (n > 64) AS cut FROM a GROUP BY role""")
 def _(t):
     from datasheaf.operators.audit import token_audit
 

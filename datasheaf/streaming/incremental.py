@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from datasheaf.operators.language import bounded_exp
+
 
 def file_stream(
     spark: SparkSession, path: str, schema, kind: str = "parquet", files_per_batch: int | None = None,
@@ -40,7 +42,7 @@ def loss_sums(stream: DataFrame, loss: str, n: str, by: Sequence[str] = ()) -> D
 
 def perplexity_of(sums: DataFrame) -> DataFrame:
     mean = F.col("loss_sum") / F.col("n")
-    return sums.withColumn("perplexity", F.when(mean > 709.78, 100000.0).otherwise(F.exp(mean)))
+    return sums.withColumn("perplexity", bounded_exp(mean))
 
 
 def window_rollup(

@@ -61,7 +61,7 @@ def test_chat_rendering(spark):
     turns = [(1, 0, "system", " s "), (1, 1, "user", "u\n"), (1, 2, "assistant", " a "), (1, 3, "tool", "x"), (2, 0, "user", "q")]
     df = spark.createDataFrame(turns, "c int, t int, role string, content string")
     want = "\n<|im_start|>system\ns<|im_end|>\n<|im_start|>user\nu<|im_end|>\n<|im_start|>assistant\n a <|im_end|>\n"
-    whole = {r["c"]: r["text"] for r in CD.render_conversations(df, "c", "t", "role", "content").collect()}
+    whole = {r["c"]: r["text"] for r in CD.render_conversations(df, "c", "t", "role", "content", part_chars=1000).collect()}
     assert whole == {1: want, 2: "\n<|im_start|>user\nq<|im_end|>\n"}
     parts = CD.render_conversations(df, "c", "t", "role", "content", part_chars=30).orderBy("c", "part").collect()
     assert "".join(r["text"] for r in parts if r["c"] == 1) == want and len(parts) > 2

@@ -483,3 +483,37 @@ def _(t):
         *[F.get(ops, (di(f"8:{n}", "p_partkey") % 4).cast("int")).alias(n) for n in names],
     )
     return W.arch_constraints(trials, "trial", names, "params")
+
+
+# Columns found by name, by place or by shape
+
+@query("resolve_columns", "SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang")
+def _(t):
+    """`content` is not there, so the column in its place is taken; `lang` is."""
+    df = t.documents.select("text", "lang")
+    text, lang = C.resolve_column(df, "content", 0), C.resolve_column(df, "lang", 0)
+    return df.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).alias("chars"))
+
+
+@query("rename_legacy_keys", "SELECT vec_id AS ids, round(embedding[1]::DOUBLE, 6) AS objectness_logits, label AS kept FROM embeddings")
+def _(t):
+    old = t.embeddings.select(
+        F.col("vec_id").alias("indexes"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("scores"), F.col("label").alias("kept")
+    )
+    return C.rename_legacy_keys(old)
+
+
+@query("preference_format", """SELECT 'prompt,chosen,rejected' AS format, count(*) AS n FROM conversations
+  UNION ALL SELECT 'chosen,rejected', count(*) FROM conversations""")
+def _(t):
+    message = F.array(F.struct("role", F.col("text").alias("content")))
+    chat = t.conversations.select(message.alias("chosen"), message.alias("rejected"))
+    triplet = t.conversations.select(F.col("role").alias("prompt"), F.col("text").alias("chosen"), F.col("text").alias("rejected"))
+    count = lambda df: df.agg(F.lit(C.preference_format(df)).alias("format"), F.count(F.lit(1)).alias("n"))
+    return count(triplet).unionByName(count(chat))
+
+
+@query("expect_count", "SELECT count(*) AS rows, count(*) AS expected FROM documents")
+def _(t):
+    expected = t.documents.agg(F.count(F.lit(1)).alias("expected"))
+    return expected.select(F.lit(C.expect_count(t.documents, expected.first()[0])).cast("long").alias("rows"), "expected")

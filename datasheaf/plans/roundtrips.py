@@ -85,11 +85,19 @@ def _(t):
     )
 
 
-@query("write_predictions", """SELECT vec_id, (list_position(lg, list_max(lg)) - 1)::INTEGER AS pred FROM (SELECT vec_id, embedding[1:10]::DOUBLE[] AS lg FROM embeddings)""")
+@query("write_predictions", """WITH l AS (SELECT vec_id, embedding[1:10]::DOUBLE[] AS lg FROM embeddings)
+  SELECT vec_id, (list_position(lg, list_max(lg)) - 1)::INTEGER AS pred, round(list_sum(lg), 6) AS logit_sum, round(lg[1] - lg[2], 6) AS odds FROM l""")
 def _(t):
-    preds = logits(t).select("vec_id", "pred")
-    paths = writers.write_predictions_json(preds, logits(t).select("vec_id", "logits"), _dir(t, "predictions"))
-    return readers.read_predictions(t.spark, paths["predictions"], "vec_id long, pred int")
+    rows = logits(t)
+    odds = rows.select("vec_id", (F.get("logits", F.lit(0)) - F.get("logits", F.lit(1))).alias("odds"))
+    paths = writers.write_predictions_json(rows.select("vec_id", "pred"), rows.select("vec_id", "logits"), _dir(t, "predictions"), odds)
+    back = {
+        name: readers.read_predictions(t.spark, paths[name], f"vec_id long, {column}")
+        for name, column in (("predictions", "pred int"), ("nbest_predictions", "logits array<double>"), ("null_odds", "odds double"))
+    }
+    listed = back["nbest_predictions"].select("vec_id", F.round(F.aggregate("logits", F.lit(0.0), lambda a, x: a + x), 6).alias("logit_sum"))
+    joined = back["predictions"].join(listed, "vec_id").join(back["null_odds"], "vec_id")
+    return joined.withColumn("odds", F.round("odds", 6))
 
 
 @query("write_sharded_batches", """WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)
@@ -129,6 +137,64 @@ def _(t):
     return readers.load_or_create(t.spark, path, build)
 
 
+@query("write_csv", "SELECT text AS input, role AS output, turn % 2 = 0 AS correct FROM conversations")
+def _(t):
+    path = _dir(t, "results")
+    rows = t.conversations.select(F.col("text").alias("input"), F.col("role").alias("output"), (F.col("turn") % 2 == 0).alias("correct"))
+    writers.write_csv(rows, path)
+    return t.spark.read.schema("input string, output string, correct boolean").option("header", True).option(
+        "escape", '"'
+    ).option("multiLine", True).csv(path)
+
+
+# Rows of one test file; a file of this format is one record.
+FILE_ROWS = 500
+
+
+def _one_file_each(rows, key, path):
+    """A text file for every value of `key`, holding the column `value`."""
+    rows.select(key, "value").write.partitionBy(key).text(path)
+
+
+@query("scan_squad_json", """SELECT 'part ' || (c_custkey // 500)::VARCHAR AS title, c_name AS context, c_custkey::VARCHAR AS id, 'balance?' AS question,
+  c_acctbal < 0 AS is_impossible, CASE WHEN c_acctbal >= 0 THEN c_name END AS answer, CASE WHEN c_acctbal >= 0 THEN 0 END AS answer_start FROM customer""")
+def _(t):
+    path = _dir(t, "squad")
+    key = F.floor(F.col("c_custkey") / FILE_ROWS).alias("part")
+    none = F.array().cast("array<struct<text:string,answer_start:int>>")
+    answers = F.when(F.col("c_acctbal") >= 0, F.array(F.struct(F.col("c_name").alias("text"), F.lit(0).alias("answer_start")))).otherwise(none)
+    qa = F.struct(F.col("c_custkey").cast("string").alias("id"), F.lit("balance?").alias("question"),
+                  (F.col("c_acctbal") < 0).alias("is_impossible"), answers.alias("answers"))
+    para = F.struct(F.col("c_name").alias("context"), F.array(qa).alias("qas"))
+    doc = t.customer.groupBy(key).agg(F.collect_list(para).alias("paragraphs"))
+    article = F.struct(F.concat(F.lit("part "), F.col("part").cast("string")).alias("title"), "paragraphs")
+    _one_file_each(doc.withColumn("value", F.to_json(F.struct(F.array(article).alias("data")))), "part", path)
+    return readers.read_squad_json(t.spark, path).select(
+        "title", "context", "id", "question", "is_impossible", F.get("answers.text", F.lit(0)).alias("answer"),
+        F.get("answers.answer_start", F.lit(0)).alias("answer_start"),
+    )
+
+
+@query("scan_coco", """SELECT s_suppkey AS image_id, s_name AS file_name, n_name AS category, (s_suppkey % 50 + 1) * 2.0::DOUBLE AS area
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def _(t):
+    path = _dir(t, "coco")
+    rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    side = (F.col("s_suppkey") % 50 + 1).cast("double")
+    image = F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("file_name"), F.lit(10).alias("height"), F.lit(60).alias("width"))
+    note = F.struct(
+        F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("image_id"), F.col("s_nationkey").alias("category_id"),
+        F.array(F.lit(0.0), F.lit(0.0), side, F.lit(2.0)).alias("bbox"), (side * 2).alias("area"), F.lit(0).alias("iscrowd"))
+    category = F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    doc = rows.groupBy(F.floor(F.col("s_suppkey") / FILE_ROWS).alias("part")).agg(
+        F.collect_list(image).alias("images"), F.collect_list(note).alias("annotations"), F.collect_set(category).alias("categories"))
+    _one_file_each(doc.withColumn("value", F.to_json(F.struct("images", "annotations", "categories"))), "part", path)
+    read = readers.read_coco(t.spark, path)
+    names = read["categories"].distinct().select(F.col("id").alias("category_id"), F.col("name").alias("category"))
+    images = read["images"].select(F.col("id").alias("image_id"), "file_name")
+    return read["annotations"].join(images, "image_id").join(names, "category_id").select("image_id", "file_name", "category", "area")
+
+
 # Extension points
 
 def _flag_counter():
@@ -176,3 +242,19 @@ def _(t):
     return c.select(
         "batch", F.size("rows").cast("long").alias("n"), F.array_join(F.transform("rows", lambda r: r["lang"]), ",").alias("langs")
     )
+
+
+@query("wrap_reducer", "SELECT l_suppkey, round(median(l_quantity), 6) AS middle FROM lineitem GROUP BY l_suppkey")
+def _(t):
+    """A callable over all values of a group; a supplier has some hundred lines."""
+    middle = R.wrap_reducer(lambda v: v.median())
+    return t.lineitem.groupBy("l_suppkey").agg(F.round(middle("l_quantity"), 6).alias("middle"))
+
+
+@query("map_batches", "SELECT o_orderkey, round(o_totalprice * 1.1, 4) AS gross FROM orders")
+def _(t):
+    def gross(b):
+        return b[["o_orderkey"]].assign(gross=(b["o_totalprice"] * 1.1).round(4))
+
+    rows = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return R.map_batches(rows, gross, "o_orderkey long, gross double", remove_columns=["o_orderstatus"])

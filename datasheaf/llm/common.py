@@ -67,3 +67,10 @@ def kept_by_text(docs: DataFrame, keep: Callable[[list[str]], Iterable[bool]]) -
             mask = pa.array(list(keep(b["text"].to_pylist())), pa.bool_())
             yield pa.RecordBatch.from_arrays([b["row"].filter(mask)], ["row"])
     return framed.mapInArrow(run, framed.select("row").schema).select("row.*")
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that what is made of one slice at a time stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

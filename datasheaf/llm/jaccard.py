@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datasheaf.llm.common import SMALL_ROWS, whole_row, written
+from datasheaf.llm.common import sliced, whole_row, written
 from datasheaf.llm.components import components
 
-SHINGLE, WINDOW, LEADING, COMMON, LEAST_SHARED, ENOUGH = 5, 40, 4, 32, 10, 28
+SHINGLE, WINDOW, LEADING, COMMON, LEAST_SHARED, ENOUGH = 5, 40, 4, 12, 10, 28
 CHUNK_BYTES = 1 << 20
+# Ids with their nodes are sent to every task up to this many (some 50 MB); beyond that the texts are joined by a shuffle.
+SENT_IDS = 500_000
 WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
 ODD = np.random.default_rng(5).integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LETTER, PLACE, SHORT = ODD[:256], ODD[256:256 + SHINGLE], ODD[280:280 + SHINGLE]
@@ -130,7 +132,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "node", "n", "w1", "w2"]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for b in batches:
+        for b in sliced(batches):
             sets = shingle_sets(b["text"].to_pylist(), powers)
             w = [windows(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -139,20 +141,23 @@ def sketches(docs: DataFrame) -> DataFrame:
     return texts_only(docs).mapInArrow(run, "doc_id long, node binary, n long, w1 array<long>, w2 array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
-    """node and sorted shingles of the wanted nodes (doc_id, node, n), computed again from their texts."""
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """nid and sorted shingles of the wanted nodes (nid, doc_id, node), computed again from their texts."""
+    wanted = written(wanted.select("nid", F.col("doc_id").alias("id"), F.col("node").alias("expected")), "wanted")
+    count = wanted.count()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for b in batches:
+        for b in sliced(batches):
             sets = shingle_sets(b["text"].to_pylist(), powers)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
-    ids = wanted.select(F.col("doc_id").alias("id")).distinct()
-    ids = F.broadcast(ids) if count <= SMALL_ROWS else ids
+            keep = pa.array([node_of(s) == e.as_py() for s, e in zip(sets, b["expected"], strict=True)], pa.bool_())
+            out = pa.RecordBatch.from_arrays([b["nid"], pa.array([s.tobytes() for s in sets], pa.binary())], ["nid", "shingles"])
+            yield out.filter(keep)
     texts = texts_only(docs)
-    texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["id"]), "left_semi")
-    sets = texts.mapInArrow(run, "node binary, shingles binary").filter("node is not null")
-    return sets.join(wanted.select("node", "n"), "node").dropDuplicates(["node"])
+    side = F.broadcast(wanted) if count <= SENT_IDS else wanted
+    rows = texts.join(side, texts["doc_id"].eqNullSafe(side["id"])).select("nid", "text", "expected")
+    sets = written(rows.mapInArrow(run, "nid long, shingles binary"), "sets")
+    # More rows than nodes: some row is repeated with its id.
+    return sets if sets.count() == count else written(sets.dropDuplicates(["nid"]), "sets")
 
 
 def sizes_fit(a: Column, b: Column) -> Column:
@@ -165,97 +170,122 @@ def windows_fit(a1: Column, b1: Column, na: Column, nb: Column) -> Column:
     return F.when(larger <= WINDOW, shared * 5 >= larger * 4).otherwise(shared >= F.least(F.lit(LEAST_SHARED), na, nb))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar: both windows first, then the whole sets."""
-    side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "w1", "w2")])
+def fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) that may be similar by their sizes and both windows."""
+    side = lambda x: nodes.select(F.col("nid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "w1", "w2")])
     near = pairs.join(side("u"), "u").join(side("v"), "v").filter(sizes_fit(F.col("u_n"), F.col("v_n")))
     for w in ("w1", "w2"):
         near = near.filter(windows_fit(F.col(f"u_{w}"), F.col(f"v_{w}"), F.col("u_n"), F.col("v_n")))
-    near = near.select("u", "v")
-    held = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set"))
-    both = near.join(held("u"), "u").join(held("v"), "v")
+    return written(near.select("u", "v"), "fitting")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("nid")).unionByName(pairs.select(F.col("v").alias("nid"))).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar."""
+    held = lambda x: sets.select(F.col("nid").alias(x), F.col("shingles").alias(f"{x}_set"))
+    both = pairs.join(held("u"), "u").join(held("v"), "v")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             keep = []
             for x, y in zip(b["u_set"], b["v_set"], strict=True):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * both >= 80 * (len(s) + len(t) - both))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-    return both.select("u", "v", "u_set", "v_set").mapInArrow(run, "u binary, v binary")
+    return both.select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long")
 
 
 def stars(nodes: DataFrame) -> DataFrame:
-    """Pairs of each node with the smallest node of its size that shares a leading token."""
+    """Pairs of each node with one node of its size for each leading token that they share.
+
+    The centre of a token's star is drawn anew for every token, so that one that is far from the others of
+    its family does not stand in the middle of all stars.
+    """
     lead = lambda w: F.transform(F.slice(w, 1, LEADING), lambda t: F.struct(F.lit(w).alias("w"), t.alias("t")))
     band = F.floor(F.log("n") / F.log(F.lit(1.2))).alias("band")
-    rows = nodes.select("node", band, F.explode(F.concat(lead("w1"), lead("w2"))).alias("key"))
-    centre = rows.groupBy("key", "band").agg(F.min("node").alias("v"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    return rows.join(centre, ["key", "band"]).select(F.col("node").alias("u"), "v").filter("u <> v").distinct()
+    rows = nodes.select("nid", band, F.explode(F.concat(lead("w1"), lead("w2"))).alias("key"))
+    drawn = F.min(F.struct(F.xxhash64("nid", "key").alias("at"), F.col("nid").alias("v"))).alias("s")
+    centre = rows.groupBy("key", "band").agg(drawn, F.count("*").alias("k")).filter("k > 1").select("key", "band", "s.v")
+    return rows.join(centre, ["key", "band"]).select(F.col("nid").alias("u"), "v").filter("u <> v").distinct()
 
 
 def across(posts: DataFrame) -> DataFrame:
-    """Pairs of nodes from different components that have a token in common; posts: node, n, comp, token."""
+    """Pairs of nodes from different components that have a token in common; posts: nid, n, comp, token, pos.
+
+    `pos` is the token's place in the node's order, from 0. At the first token that two nodes share, no
+    more can be shared than what either has from there on; a pair that could not be similar even so is not
+    made. A similar pair always passes at its first shared token.
+    """
     held = posts.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
     few = posts.join(held, "token")
-    a = few.select("token", F.col("node").alias("u"), F.col("n").alias("u_n"), F.col("comp").alias("u_c"))
-    b = few.select("token", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("comp").alias("v_c"))
-    pairs = a.join(b, "token").filter((F.col("u_c") != F.col("v_c")) & (F.col("u") < F.col("v")))
-    return pairs.filter(sizes_fit(F.col("u_n"), F.col("v_n"))).select("u", "v").distinct()
+    side = lambda x: few.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("nid", "n", "comp", "pos")])
+    most = F.least(F.col("u_n") - F.col("u_pos"), F.col("v_n") - F.col("v_pos"))
+    possible = (most * 9 >= (F.col("u_n") + F.col("v_n")) * 4) & sizes_fit(F.col("u_n"), F.col("v_n"))
+    apart = (F.col("u_comp") != F.col("v_comp")) & (F.col("u_nid") < F.col("v_nid"))
+    pairs = side("u").join(side("v"), "token").filter(apart & possible)
+    return pairs.select(F.col("u_nid").alias("u"), F.col("v_nid").alias("v")).distinct()
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle."""
+    for b in batches:
+        for nid, n, comp, s in zip(*[b[c].to_pylist() for c in ("nid", "n", "comp")], b["shingles"], strict=True):
+            t = np.frombuffer(s.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(np.full(len(t), x, np.int64)) for x in (nid, n, comp)], pa.array(t)], ["nid", "n", "comp", "token"])
+
+
+def rarest_first(heavy: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs among heavy nodes (nid, n, comp) that share a token of their exact prefixes, rarest tokens first."""
+    every = heavy.join(sets, "nid").select("nid", "n", "comp", "shingles")
+    every = written(every.mapInArrow(unpacked, "nid long, n long, comp long, token long"), "heavy-tokens")
+    often = every.select("token", "comp").distinct().groupBy("token").agg(F.count("*").alias("df"))
+    ranked = every.join(often, "token").groupBy("nid", "n", "comp").agg(
+        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
+    prefix = F.slice("order", F.lit(1), (F.floor(F.col("n") / 5) + 1).cast("int"))
+    return across(ranked.select("nid", "n", "comp", F.posexplode(F.transform(prefix, lambda x: x["token"])).alias("pos", "token")))
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sketches of every row, and (node, comp) of every node, comp being the component's smallest node."""
+    """Sketches of every row, and (node, comp) of every node, comp being a number of its component."""
     rows = written(sketches(docs), "sketches")
-    some = rows.filter("n > 0").dropDuplicates(["node"])
-    # A node whose window tokens nobody else has is alone.
-    tokens = some.select("node", F.explode("w1").alias("token"))
+    # Nodes get short numbers; they are written down, so a task that runs again cannot change them.
+    some = rows.filter("n > 0").dropDuplicates(["node"]).withColumn("nid", F.monotonically_increasing_id())
+    nodes = written(some, "nodes")
+    # Tokens of one node only lead nowhere.
+    tokens = nodes.select("nid", "n", F.explode("w1").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-    met = tokens.join(shared, "token").select("node").distinct()
-    nodes = written(some.join(met, "node"), "nodes")
-    count = nodes.count()
-    alone = rows.filter("n > 0").select("node").distinct()
-    if not count:
-        return rows, alone.withColumn("comp", F.col("node"))
-    sets = written(full_sets(docs, nodes.select("doc_id", "node", "n"), count), "sets")
-
-    first = written(verified(stars(nodes), nodes, sets), "links")
-    label = components(first)
-    named = lambda df, labels: df.join(labels.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left")
-    nodes = written(named(nodes, label).withColumn("comp", F.coalesce("comp", "node")), "nodes")
-
-    posts = nodes.select("node", "n", "comp", F.explode("w1").alias("token"))
+    posts = written(tokens.join(shared, "token"), "posts")
+    name = lambda pairs: pairs.join(nodes.select("nid", "doc_id", "node"), "nid")
+
+    pairs = fitting(stars(nodes), nodes)
+    sets = full_sets(docs, name(ends_of(pairs)))
+    first = components(verified(pairs, sets)).select(F.col("u").alias("nid"), F.col("v").alias("comp"))
+    comp = F.coalesce("comp", "nid").alias("comp")
+    posts = written(posts.join(first, "nid", "left").select("nid", "n", comp, "token"), "posts")
+
     common = posts.select("token", "comp").distinct().groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > COMMON)
     common = written(common.select("token"), "common-tokens")
-    # A rare token decides for light nodes; nodes with too few of them meet again among themselves.
-    lost = posts.join(common, "token").groupBy("node").agg(F.count("*").alias("lost"))
-    enough = F.least(F.floor(F.col("n") / 5) + 1, F.lit(ENOUGH))
-    heavy = nodes.join(lost, "node").filter(F.size("w1") - F.col("lost") < enough).select("node", "n", "comp")
-    heavy = written(heavy, "heavy")
-    pairs = across(posts.join(common, "token", "left_anti"))
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for node, n, comp, s in zip(*[b[c] for c in ("node", "n", "comp", "shingles")], strict=True):
-                t = np.frombuffer(s.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.as_py()] * len(t), k) for x, k in ((node, pa.binary()), (n, pa.int64()), (comp, pa.binary()))]
-                    + [pa.array(t)], ["node", "n", "comp", "token"])
-
+    # In the order that puts common tokens last, the first ones of a window decide for light nodes;
+    # nodes with too few that are not common meet again among themselves.
+    lost = posts.join(common, "token").groupBy("nid").agg(F.collect_set("token").alias("lost"))
+    rest = nodes.join(first, "nid", "left").join(lost, "nid", "left").withColumn("comp", comp)
+    rest = rest.withColumn("rest", F.array_except("w1", F.coalesce("lost", F.array().cast("array<long>"))))
+    enough = F.least(F.floor(F.col("n") / 5) + 1, F.lit(ENOUGH)).cast("int")
+    heavy = written(rest.filter(F.size("rest") < enough).select("nid", "n", "comp"), "heavy")
+    decisive = rest.select("nid", "n", "comp", F.posexplode(F.slice("rest", F.lit(1), enough)).alias("pos", "token"))
+    pairs = fitting(across(decisive.join(shared, "token", "left_semi")), nodes)
+
+    more = ends_of(pairs).unionByName(heavy.select("nid")).distinct().join(sets.select("nid"), "nid", "left_anti")
+    sets = sets.unionByName(full_sets(docs, name(more)))
     if not heavy.isEmpty():
-        every = heavy.join(sets.select("node", "shingles"), "node").select("node", "n", "comp", "shingles")
-        every = written(every.mapInArrow(unpacked, "node binary, n long, comp binary, token long"), "heavy-tokens")
-        often = every.select("token", "comp").distinct().groupBy("token").agg(F.count("*").alias("df"))
-        ranked = every.join(often, "token").groupBy("node", "n", "comp").agg(
-            F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
-        prefix = F.slice("order", F.lit(1), (F.floor(F.col("n") / 5) + 1).cast("int"))
-        ranked = ranked.select("node", "n", "comp", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"))
-        pairs = pairs.unionByName(across(ranked)).distinct()
-
-    second = verified(pairs, nodes, sets)
-    contracted = nodes.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(second)
-    label = components(contracted)
-    return rows, named(alone, label).withColumn("comp", F.coalesce("comp", "node"))
+        pairs = pairs.unionByName(fitting(rarest_first(heavy, sets), nodes)).distinct()
+    links = first.select(F.col("nid").alias("u"), F.col("comp").alias("v")).unionByName(verified(pairs, sets))
+    last = components(links).select(F.col("u").alias("nid"), F.col("v").alias("comp"))
+    return rows, nodes.select("nid", "node").join(last, "nid", "left").select("node", comp)
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -287,7 +317,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for b in batches:
+        for b in sliced(batches):
             nodes = [node_of(s) for s in shingle_sets([t or "" for t in b["text"].to_pylist()], powers)]
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(nodes, pa.binary())], ["row", "node"])
 

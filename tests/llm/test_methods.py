@@ -149,7 +149,7 @@ def test_near_copies_against_brute_force(spark, monkeypatch, common):
 
 def test_near_copies_without_the_first_contraction(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "COMMON", 4)
-    monkeypatch.setattr(jaccard, "stars", lambda nodes: nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0))
+    monkeypatch.setattr(jaccard, "stars", lambda nodes: nodes.select(F.col("nid").alias("u"), F.col("nid").alias("v")).limit(0))
     texts = copied_corpus(9)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined(docs).collect()}

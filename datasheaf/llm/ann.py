@@ -3,8 +3,8 @@
 Centroids come from a balanced k-means over a bounded draw of vectors (`fit_rows`); there are as many as
 the number of vectors asks for, up to a share of the draw. Every vector is indexed: it goes to its nearest
 list and, near a boundary, to further lists. A graph over the centroids, small enough for every task, finds
-the lists of a vector or a query. A query reads the lists whose centroid is at most `reach` times as far as
-the nearest one. Lists are cut into parts of bounded size, and so are the queries that meet in a list.
+the lists of a vector. A query is compared with every centroid and reads all lists whose centroid is at most
+`reach` times as far as the nearest one. Lists are cut into parts of bounded size, and so are the queries that meet in a list.
 
 Equal vectors are indexed once, with the few smallest ids that a result can hold.
 """
@@ -24,7 +24,9 @@ from datasheaf.llm.common import written
 FIT_ROWS = 20_000
 LIST_ROWS, PART_ROWS, QUERY_ROWS = 128, 4096, 1024
 REPLICAS, CLOSURE = 4, 1.25
-REACH, BEAM = 1.17, 192
+REACH = 1.17
+# Rows that a task routes at once.
+ROUTED_ROWS = 16_384
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -159,22 +161,20 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, r
             for at in range(0, b.num_rows, 256):
                 s = b.slice(at, 256)
                 v = packed(s["embedding"])
-                ids, dist = graph.search(v, BEAM)
+                # Every centroid is compared, so no list within reach is left out.
+                dist = np.sqrt(squared(v, graph.c))
+                ids = np.argsort(dist, axis=1, kind="stable")
+                dist = np.take_along_axis(dist, ids, 1)
                 # Lists within reach, and nearer ones until they hold enough vectors for a full answer.
-                held = np.cumsum(np.where(ids >= 0, own[np.maximum(ids, 0)], 0), axis=1)
-                keep = (ids >= 0) & ((dist <= reach * dist[:, :1]) | (np.c_[np.zeros(len(v)), held[:, :-1]] < k + 1))
+                held = np.cumsum(own[ids], axis=1)
+                keep = (dist <= reach * dist[:, :1]) | (np.c_[np.zeros(len(v)), held[:, :-1]] < k + 1)
                 r, c = np.nonzero(keep)
                 to = ids[r, c]
-                short = np.flatnonzero(held[:, -1] < k + 1)
-                if len(short):
-                    other = np.ones((len(short), lists), bool)
-                    for i, row in enumerate(short):
-                        other[i, ids[row][ids[row] >= 0]] = False
-                    i, c = np.nonzero(other)
-                    r, to = np.r_[r, short[i]], np.r_[to, c]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to), s["vec_id"].take(pa.array(r)), pa.array([v[i].tobytes() for i in r], pa.binary())],
-                    ["list", "query_id", "q"])
+                for i in range(0, len(r), ROUTED_ROWS):
+                    some = r[i:i + ROUTED_ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(to[i:i + ROUTED_ROWS]), s["vec_id"].take(pa.array(some)), pa.array([v[j].tobytes() for j in some], pa.binary())],
+                        ["list", "query_id", "q"])
 
     asked = written(queries.mapInArrow(route, "list long, query_id long, q binary"), "asked")
     spans = postings.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts")).join(

@@ -178,6 +178,20 @@ def test_recall_of_posting_lists(spark):
     assert found / total >= 0.9
 
 
+def test_every_list_within_reach_is_read(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 8)
+    monkeypatch.setattr(ann, "REPLICAS", 1)
+    rng = np.random.default_rng(5)
+    x, asked = rng.normal(size=(8000, 64)), rng.normal(size=(40, 64))
+    rows = lambda a, start: spark.createDataFrame([(start + i, v.tolist()) for i, v in enumerate(a)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    # 1000 lists, all within reach: the answer is that of brute force.
+    for r in ann.nearest(rows(x, 0), rows(asked, 10_000), reach=100.0).collect():
+        got[r.query_id - 10_000].add(r.vec_id)
+    for i, q in enumerate(asked):
+        assert got[i] == set(np.argsort(((x - q) ** 2).sum(1))[:10].tolist())
+
+
 def test_graph_finds_the_nearest_centroids():
     rng = np.random.default_rng(3)
     c, q = rng.normal(size=(900, 8)), rng.normal(size=(50, 8))

@@ -1,8 +1,8 @@
 """URL verdicts: rules first, then gradient-boosted trees on lexical features.
 
 The trees learn from URLs that a rule decides. Everything is DataFrame functions and Spark's own
-GBTClassifier. The fit takes at most `fit_rows` labelled URLs (those with the smallest md5); every
-URL is judged.
+GBTClassifier. The fit takes at most `fit_rows` distinct labelled URLs (those with the smallest md5);
+suffixes are counted over all labelled rows, and every URL is judged.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datasheaf.llm.common import written
+from datasheaf.llm.common import sent_if_small, written
 
 # (verdict, host, path)
 RULES = (
@@ -92,16 +92,16 @@ def lexical_frame(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> Da
 
 @dataclass
 class UrlModel:
-    """Boosted trees with the suffix table they were fitted with; without trees, one verdict for all."""
+    """Boosted trees with the table of all labelled suffixes; without trees, one verdict for all."""
 
     trees: GBTClassificationModel | None
     suffixes: DataFrame | None
+    suffix_rows: int
     otherwise: str
 
 
-def with_suffixes(df: DataFrame, suffixes: DataFrame) -> DataFrame:
-    # The suffix table comes from the fitting sample: never more rows than FIT_ROWS.
-    df = df.join(F.broadcast(suffixes), "suffix", "left")
+def with_suffixes(df: DataFrame, suffixes: DataFrame, suffix_rows: int) -> DataFrame:
+    df = df.join(sent_if_small(suffixes, suffix_rows), "suffix", "left")
     return df.withColumns({
         "suffix_seen": F.log1p(F.coalesce("seen", F.lit(0)).cast("double")),
         "suffix_blocked": F.coalesce("rate", F.lit(0.5)),
@@ -121,17 +121,24 @@ def fit(
     With one verdict only among them, that one holds for all; without any, `allow`.
     """
     known = lexical_frame(pages.filter("url is not null").select("page_id", "url"), rules).filter("hit is not null")
-    known = known.withColumn("label", (F.col("hit.verdict") == "block").cast("double")).drop("hit")
-    known = written(known.orderBy(F.md5("url"), "url").limit(min(fit_rows, FIT_ROWS)).repartition(4), "urls")
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    if len(counts) < 2:
-        return UrlModel(None, None, "block" if 1.0 in counts else "allow")
+    known = known.withColumn("label", (F.col("hit.verdict") == "block").cast("double")).select("url", "suffix", "label")
     suffixes = known.groupBy("suffix").agg(
-        F.count("*").alias("seen"), ((F.sum("label") + 1) / (F.count("*") + 2)).alias("rate"))
+        F.count("*").alias("seen"), F.sum("label").alias("blocked"), ((F.sum("label") + 1) / (F.count("*") + 2)).alias("rate"))
     suffixes = written(suffixes, "url-suffixes")
-    data = assembled(with_suffixes(known, suffixes)).select("features", "label")
+    found = suffixes.agg(F.count("*").alias("rows"), F.sum("seen").alias("seen"), F.sum("blocked").alias("blocked")).first()
+    seen, blocked = found["seen"] or 0, int(found["blocked"] or 0)
+    if blocked in (0, seen):
+        return UrlModel(None, None, 0, "block" if blocked else "allow")
+    # Both verdicts are drawn, the rarer by its share of the rows or a twentieth of the draw.
+    rarer, rare = min((blocked, 1.0), (seen - blocked, 0.0))
+    few = min(rarer, max(fit_rows * rarer // seen, fit_rows // 20, 1))
+    one = lambda label, n: known.filter(F.col("label") == label).select("url").distinct().orderBy(F.md5("url"), "url").limit(n)
+    urls = one(rare, few).unionByName(one(1 - rare, max(fit_rows - few, 1)))
+    data = lexical_frame(urls.withColumn("page_id", F.lit(0)), rules)
+    data = written(data.withColumn("label", (F.col("hit.verdict") == "block").cast("double")).drop("hit").repartition(4), "urls")
+    data = assembled(with_suffixes(data, suffixes, found["rows"])).select("features", "label")
     gbt = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=32, stepSize=0.3)
-    return UrlModel(gbt.fit(data), suffixes, "allow")
+    return UrlModel(gbt.fit(data), suffixes, found["rows"], "allow")
 
 
 def judge(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -144,7 +151,7 @@ def judge(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str, str
     if model.trees is None:
         df = df.withColumn("block_score", F.lit(1.0 if model.otherwise == "block" else 0.0))
     else:
-        df = model.trees.transform(assembled(with_suffixes(df, model.suffixes)))
+        df = model.trees.transform(assembled(with_suffixes(df, model.suffixes, model.suffix_rows)))
         df = df.withColumn("block_score", vector_to_array("probability")[1])
     learned = F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")
     return df.select(

@@ -166,6 +166,30 @@ def test_url_edges(spark):
     assert {r.verdict for r in urlfilter.judge(only, urlfilter.fit(only)).collect()} == {"block"}
 
 
+def test_url_suffixes_of_all_rows(spark, monkeypatch):
+    urls = [f"http://h.s{i}.net/{i}" for i in range(300)] + [f"http://h.t{i}.org/fr/{i}" for i in range(300)]
+    hot = min(urls, key=lambda u: hashlib.md5(u.encode()).hexdigest())
+    rows = [(i, u, "", "", "") for i, u in enumerate(urls + [hot] * 400)]
+    pages = spark.createDataFrame(rows, PAGES)
+    model = urlfilter.fit(pages, fit_rows=60, trees=2)
+    # The draw is smaller than the suffixes and than the copies of its first url.
+    seen = {r.suffix: r.seen for r in model.suffixes.collect()}
+    assert len(seen) == model.suffix_rows == 600 and sum(seen.values()) == 1000
+    assert model.trees is not None
+    sent = sorted(urlfilter.judge(pages, model).collect(), key=str)
+    monkeypatch.setattr("datasheaf.llm.common.SMALL_ROWS", 10)
+    assert sorted(urlfilter.judge(pages, model).collect(), key=str) == sent
+
+
+def test_url_fit_takes_the_rows_it_is_given(spark, monkeypatch):
+    drawn = []
+    keep = lambda df, name: (drawn.append((name, df.count())), df)[1]
+    monkeypatch.setattr(urlfilter, "written", keep)
+    pages = spark.range(21_000).select(F.col("id").alias("page_id"), F.format_string("http://a.%s/fr/%d", F.when(F.col("id") % 2 == 0, "net").otherwise("org"), "id").alias("url"))
+    urlfilter.fit(pages, fit_rows=30_000, trees=1)
+    assert dict(drawn)["urls"] == 21_000
+
+
 def test_warc_edges(spark):
     rows = [
         (3, "http://a.b/x", "same", "", ""), (1, "http://a.b/x", "same", "", ""), (2, None, "same", "", ""), (None, "http://a.b/y", "same", "", ""),

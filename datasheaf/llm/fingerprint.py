@@ -1,6 +1,6 @@
 """Document fingerprints by a homomorphic multiset hash over paragraphs.
 
-A fingerprint is a wide vector of sums modulo 2^16. Every paragraph adds its own vector, so the order
+A fingerprint is a wide vector of sums modulo 2^64. Every paragraph adds its own vector, so the order
 of paragraphs has no influence, and a paragraph is inserted or deleted by adding or subtracting its
 vector. A paragraph's vector is the signed hash of the whole paragraph plus the signed hashes of its
 sentences, these weighed by the root of their length: the inner product of two fingerprints then
@@ -39,9 +39,9 @@ def parts(text: str) -> list[tuple[bytes, int]]:
 
 
 def vector(pieces: Iterable[tuple[bytes, int]]) -> np.ndarray:
-    """Sum of the parts' signed hashes modulo 2^16, as unsigned lanes."""
+    """Sum of the parts' signed hashes modulo 2^64, as unsigned lanes."""
     pieces = list(pieces)
-    total = np.zeros(LANES, np.uint16)
+    total = np.zeros(LANES, np.uint64)
     for at in range(0, len(pieces), HASHED_AT_ONCE):
         some = pieces[at:at + HASHED_AT_ONCE]
         digests = b"".join([hashlib.blake2b(p, digest_size=LANES // 8).digest() for p, _ in some])
@@ -50,7 +50,7 @@ def vector(pieces: Iterable[tuple[bytes, int]]) -> np.ndarray:
         # +w for a clear bit and -w for a set one; sums of float32 are exact below 2^24.
         set_sum = (weights.astype(np.float32) @ bits.astype(np.float32)) if weights.max(initial=0) < 4096 else (
             (weights[:, None].astype(np.int64) * bits).sum(0))
-        total += (int(weights.sum(dtype=np.int64)) - 2 * set_sum.astype(np.int64)).astype(np.uint16)
+        total += (int(weights.sum(dtype=np.int64)) - 2 * set_sum.astype(np.int64)).astype(np.uint64)
     return total
 
 
@@ -66,17 +66,17 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated share of the larger text that both have: 1 for equal fingerprints, about 0 for strangers."""
     if np.array_equal(a, b):
         return 1.0
-    x, y = a.astype(np.int16).astype(float), b.astype(np.int16).astype(float)
+    x, y = a.astype(np.int64).astype(float), b.astype(np.int64).astype(float)
     most = max(x @ x, y @ y)
     return float(min(1.0, max(0.0, (x @ y) / most))) if most else 0.0
 
 
 def printed(fingerprint: np.ndarray) -> str:
-    return base64.b64encode(fingerprint.astype("<u2").tobytes()).decode()
+    return base64.b64encode(fingerprint.astype("<u8").tobytes()).decode()
 
 
 def parsed(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text), "<u2").astype(np.uint16)
+    return np.frombuffer(base64.b64decode(text), "<u8").astype(np.uint64)
 
 
 def edited(text: str, following: str) -> str:

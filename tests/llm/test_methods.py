@@ -214,6 +214,15 @@ def test_fingerprints_add_up():
     assert np.array_equal(fingerprint.vector(large), sum((fingerprint.vector([p]) for p in large), np.zeros(fingerprint.LANES, np.uint16)))
 
 
+def test_fingerprints_of_many_equal_lines():
+    text = "\n".join(["a line of a text that repeats itself " * 3] * 10_000)
+    a, e = (fingerprint.vector(fingerprint.parts(t)) for t in (text, fingerprint.edited(text, "another line of text\n" * 60_000)))
+    assert 0.6 < fingerprint.likeness(a, e) < 0.75
+    assert np.array_equal(fingerprint.parsed(fingerprint.printed(a)), a)
+    often = fingerprint.vector([(b"x", 1)] * 65_537)
+    assert not np.array_equal(often, fingerprint.vector([(b"x", 1)]))
+
+
 def test_fingerprints_of_edits(spark):
     docs = sorted(spark.read.parquet(f"{ROOT}/documents.parquet").collect(), key=lambda r: -r.doc_id)
     got = {r.doc_id: r for r in QUERIES["op5_fingerprints"](spark, ROOT).collect()}

@@ -217,7 +217,8 @@ def lookup(urls: DataFrame, folder: str) -> DataFrame:
                         with store.open_input_file(f"{path}/{file}") as f:
                             lines = zlib.decompress(f.read_at(length, offset)).split(b"\n")
                         name = file, offset
-                    i = bisect_left(lines, k + b"\t")
+                    # By the key alone: a character below the tab would order whole lines otherwise.
+                    i = bisect_left(lines, k, key=lambda line: line[:line.index(b"\t")])
                     while i < len(lines) and lines[i].startswith(k + b"\t"):
                         _, page, where, at, size = lines[i].decode().split("\t")
                         out.append((key, int(page) if page else None, where, int(at), int(size)))

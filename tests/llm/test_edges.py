@@ -207,3 +207,10 @@ def test_warc_edges(spark):
     assert sorted((r.page_id, bytes(r.payload), r.record_type) for r in one) == [(1, b"same", "response"), (3, b"same", "response")]
     none = pages.limit(0)
     assert warc.archive_and_read(spark, none, work_folder(spark, "t")).count() == 0
+
+
+def test_warc_urls_with_control_characters(spark):
+    urls = ["http://a.com/x", *[f"http://a.com/x{chr(c)}y" for c in range(32)], "http://a.com/xy"]
+    pages = spark.createDataFrame([(i, u, str(i), "", "") for i, u in enumerate(urls)], PAGES)
+    got = warc.archive_and_read(spark, pages, work_folder(spark, "t")).collect()
+    assert sorted(r.page_id for r in got) == list(range(len(urls)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from datasheaf.llm import ann, bpe, fingerprint, jaccard, mixing, quality, tokencount, toxicity, urlfilter, warc
+from datasheaf.llm import ann, bpe, fingerprint, jaccard, merkle, mixing, quality, tokencount, toxicity, urlfilter, warc
 from datasheaf.llm.common import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,9 @@ def op8(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
 def op2(spark: SparkSession, vectors: DataFrame, root: str) -> DataFrame:
     """Ten nearest vectors found for every vector whose id is divisible by 100."""
     return ann.nearest(vectors, k=10)
+
+
+@query("op12_merkle_manifest", "documents")
+def op12(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
+    """Every document's leaf and proof in the manifest, and the root that its text with line ends deleted leads to."""
+    return merkle.verified(docs, merkle.without_line_ends())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from datasheaf.llm import ann, bpe, fingerprint, jaccard, merkle, mixing, quality, tokencount, toxicity, urlfilter, warc
+from datasheaf.llm import ann, bpe, fingerprint, jaccard, merkle, mixing, quality, rules, tokencount, toxicity, urlfilter, warc
 from datasheaf.llm.common import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,9 @@ def op2(spark: SparkSession, vectors: DataFrame, root: str) -> DataFrame:
 def op12(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
     """Every document's leaf and proof in the manifest, and the root that its text with line ends deleted leads to."""
     return merkle.verified(docs, merkle.without_line_ends())
+
+
+@query("op13_quality_rules", "documents")
+def op13(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
+    """Counts of every text, the base rules, and the verdict by distance from the languages' histograms."""
+    return rules.judge(docs, rules.fit(docs))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from datasheaf.llm import ann, bpe, fingerprint, jaccard, merkle, mixing, quality, rules, tokencount, toxicity, urlfilter, warc
+from datasheaf.llm import ann, bpe, fingerprint, jaccard, merkle, mixing, prefixtrie, quality, rules, tokencount, toxicity, urlfilter, warc
 from datasheaf.llm.common import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,9 @@ def op12(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
 def op13(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
     """Counts of every text, the base rules, and the verdict by distance from the languages' histograms."""
     return rules.judge(docs, rules.fit(docs))
+
+
+@query("op11_prefix_trie", "conversations")
+def op11(spark: SparkSession, conversations: DataFrame, root: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations: members, children, leaves, words that shared prefixes save."""
+    return prefixtrie.prefix_nodes(conversations)

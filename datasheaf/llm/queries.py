@@ -142,7 +142,65 @@ def op2(spark: SparkSession, vectors: DataFrame, root: str) -> DataFrame:
     return ann.nearest(vectors, k=10)
 
 
-@query("op12_merkle_manifest", "documents")
+# CRC-32 of an id's decimal digits before the last complement, bit by bit.
+CRC_SQL = """list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length({v}::VARCHAR) + 1),
+    lambda i: ord(substr({v}::VARCHAR, i::INT, 1))::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]),
+                             lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))"""
+
+MERKLE_SQL = """
+WITH RECURSIVE ids AS (
+  SELECT doc_id, xor({crc}, 4294967295) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+), framed AS (
+  SELECT d.doc_id, d.source,
+         concat(coalesce(length(d.doc_id::VARCHAR) || ':' || d.doc_id, '-'),
+                coalesce(octet_length(encode(source)) || ':' || source, '-'), coalesce(octet_length(encode(lang)) || ':' || lang, '-'),
+                coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-')) AS front,
+         text, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS bad
+  FROM documents d LEFT JOIN ids ON d.doc_id = ids.doc_id
+), hashed AS (
+  SELECT doc_id, source, sha256(front || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         sha256(front || coalesce(octet_length(encode(bad)) || ':' || bad, '-')) AS start
+  FROM framed
+), leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree, count(*) OVER (PARTITION BY source) AS n,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM hashed
+), inner_nodes AS (
+  SELECT tree, 0 AS lvl, i, leaf AS digest, n FROM leaves
+  UNION ALL
+  SELECT tree, lvl + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (n + 2) // 3
+  FROM inner_nodes WHERE n > 1 GROUP BY tree, lvl, i // 3, n
+), outer_nodes AS (
+  SELECT 0::BIGINT AS tree, 0 AS lvl, tree - 1 AS i, digest, count(*) OVER () AS n FROM inner_nodes WHERE n = 1
+  UNION ALL
+  SELECT tree, lvl + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (n + 2) // 3
+  FROM outer_nodes WHERE n > 1 GROUP BY tree, lvl, i // 3, n
+), nodes AS (
+  SELECT * FROM inner_nodes UNION ALL SELECT * FROM outer_nodes
+), steps AS (
+  SELECT a.tree, a.lvl, a.i, a.n, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lft,
+         coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS rgt
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.lvl = b.lvl AND a.i // 3 = b.i // 3
+  GROUP BY a.tree, a.lvl, a.i, a.n
+), folds AS (
+  SELECT tree AS leaf_tree, i AS leaf_i, tree, 0 AS lvl, i, start AS node, '' AS proof, false AS done FROM leaves
+  UNION ALL
+  SELECT leaf_tree, leaf_i, CASE WHEN n > 1 THEN s.tree ELSE 0 END, CASE WHEN n > 1 THEN s.lvl + 1 ELSE 0 END,
+         CASE WHEN n > 1 THEN s.i // 3 ELSE s.tree - 1 END, CASE WHEN n > 1 THEN sha256(lft || node || rgt) ELSE node END,
+         proof || CASE WHEN n > 1 THEN lft || rgt ELSE '' END, n = 1 AND s.tree = 0
+  FROM folds JOIN steps s ON folds.tree = s.tree AND folds.lvl = s.lvl AND folds.i = s.i WHERE NOT done
+)
+SELECT doc_id, leaf, subroot.digest AS subroot, root.digest AS root, sha256(proof) AS proof_sha256,
+       node AS folded_root, node = root.digest AS verified
+FROM leaves JOIN folds ON leaves.tree = leaf_tree AND leaves.i = leaf_i AND done
+JOIN inner_nodes subroot ON subroot.n = 1 AND subroot.tree = leaves.tree
+JOIN outer_nodes root ON root.n = 1
+""".replace("{crc}", CRC_SQL.replace("{v}", "doc_id"))
+
+
+@query("op12_merkle_manifest", "documents", MERKLE_SQL)
 def op12(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
     """Every document's leaf and proof in the manifest, and the root that its text with line ends deleted leads to."""
     return merkle.verified(docs, merkle.without_line_ends())
@@ -154,7 +212,43 @@ def op13(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
     return rules.judge(docs, rules.fit(docs))
 
 
-@query("op11_prefix_trie", "conversations")
+TRIE_SQL = """
+WITH ids AS (
+  SELECT conv_id, xor({crc}, 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+), turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, hash) - 1 AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, sha256(concat(length(coalesce(role, '')), ':', role, text)) AS hash,
+               len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS words
+        FROM conversations WHERE conv_id IS NOT NULL)
+), rebuilt AS (
+  SELECT ids.conv_id, 0 AS own, pos, hash, words FROM ids JOIN turns b ON b.conv_id = ids.conv_id - ids.conv_id % 20 AND pos < h
+  UNION ALL
+  SELECT conv_id, 1, pos, hash, words FROM ids JOIN turns USING (conv_id) WHERE pos >= h
+), lists AS (
+  SELECT ids.conv_id, coalesce(list(hash ORDER BY own, pos) FILTER (hash IS NOT NULL), []) AS hashes,
+         coalesce(list(words ORDER BY own, pos) FILTER (hash IS NOT NULL), []) AS words
+  FROM ids LEFT JOIN rebuilt USING (conv_id) GROUP BY ids.conv_id
+), members AS (
+  SELECT conv_id, d, array_to_string(hashes[:d], '') AS key, array_to_string(hashes[:d - 1], '') AS above,
+         coalesce(words[d], 0) AS words, len(hashes) = d AS ended
+  FROM (SELECT *, unnest(range(0, len(hashes) + 1)) AS d FROM lists)
+), nodes AS (
+  SELECT d, key, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+  FROM members GROUP BY d, key
+), counted AS (
+  SELECT a.*, b.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.d = a.d + 1 AND c.above = a.key) AS n_children
+  FROM nodes a LEFT JOIN nodes b ON b.d = a.d - 1 AND b.key = a.above
+)
+SELECT a.conv_id, a.d::BIGINT AS depth, a.parent_conv_id, a.n_convs, a.n_children, a.ends_sha256,
+       count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.words)::BIGINT AS saved_tokens
+FROM counted a JOIN counted b ON starts_with(b.key, a.key)
+GROUP BY a.conv_id, a.d, a.key, a.parent_conv_id, a.n_convs, a.n_children, a.ends_sha256
+""".replace("{crc}", CRC_SQL.replace("{v}", "conv_id"))
+
+
+@query("op11_prefix_trie", "conversations", TRIE_SQL)
 def op11(spark: SparkSession, conversations: DataFrame, root: str) -> DataFrame:
     """Nodes of the trie of rebuilt conversations: members, children, leaves, words that shared prefixes save."""
     return prefixtrie.prefix_nodes(conversations)

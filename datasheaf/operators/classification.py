@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from datasheaf.functions.arrays import rank_of
 from datasheaf.operators.positions import running
+from datasheaf.session import written
 
 
 def accuracy(pred: str, label: str) -> Column:
@@ -102,9 +103,12 @@ def matthews(pred: str, label: str) -> Column:
     return F.when(bottom > 0, top / F.sqrt(bottom)).otherwise(0.0)
 
 
-def average_ranks(values: DataFrame, col: str) -> DataFrame:
-    """`col`, `rank`: mean rank of each distinct value, from a running count of the distinct values."""
-    counts = values.groupBy(col).agg(F.count(F.lit(1)).alias("__n"))
+def average_ranks(values: DataFrame, col: str, n: Column | None = None) -> DataFrame:
+    """`col`, `rank`: mean rank of each distinct value, from a running count of the distinct values.
+
+    `n` says how often a row counts.
+    """
+    counts = values.groupBy(col).agg((F.count(F.lit(1)) if n is None else F.sum(n)).alias("__n"))
     below = running(counts, F.col("__n"), col, inclusive=False, out="__below")
     return below.select(col, (F.col("__below") + (F.col("__n") + 1) / 2.0).alias("rank"))
 
@@ -112,12 +116,12 @@ def average_ranks(values: DataFrame, col: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row `spearman`: Pearson correlation of the average ranks.
 
-    Equal (x, y) pairs are counted first, so a frequent value never makes a hot join key.
+    Equal (x, y) pairs are counted first, so a frequent value never makes a hot join key, and written once:
+    the input is read no more after that.
     """
-    pairs = df.select(x, y).dropna().groupBy(x, y).agg(F.count(F.lit(1)).alias("n"))
-    base = df.select(x, y).dropna()
-    rx = average_ranks(base.select(x), x).withColumnRenamed("rank", "rx")
-    ry = average_ranks(base.select(y), y).withColumnRenamed("rank", "ry")
+    pairs = written(df.select(x, y).dropna().groupBy(x, y).agg(F.count(F.lit(1)).alias("n")), "pairs")
+    rx = average_ranks(pairs, x, F.col("n")).withColumnRenamed("rank", "rx")
+    ry = average_ranks(pairs, y, F.col("n")).withColumnRenamed("rank", "ry")
     j = pairs.join(rx, x).join(ry, y)
     n, a, b = F.col("n"), F.col("rx"), F.col("ry")
     s = {

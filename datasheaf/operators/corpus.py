@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datasheaf.functions import text as T
+from datasheaf.functions.arrays import running_total
 from datasheaf.functions.hashing import draw, draw_int
 from datasheaf.operators.positions import global_index, running
-from datasheaf.session import materialize
+from datasheaf.session import materialize, written
 
 END_OF_LINE = "<eos>"
 
@@ -24,24 +25,95 @@ def nonblank_lines(df: DataFrame, text: str = "value") -> DataFrame:
     return df.filter(~T.is_blank(text))
 
 
-def token_offsets(lines: DataFrame, order_by: Sequence[str], text: str = "value") -> DataFrame:
-    """Adds `tokens` (words and the end marker) and `start`, the corpus position of the first one."""
-    with_tokens = lines.withColumn("tokens", F.concat(T.words(text), F.array(F.lit(END_OF_LINE))))
-    # Only the keys and the word count travel through the ordering shuffle; the text does not.
+def corpus_texts(df: DataFrame, text: str, order_by: Sequence[str]) -> DataFrame:
+    """One row per text: the order columns, `lines` (the words of each line and its end marker), `n` tokens
+    and `start`, the corpus position of the first one. A null text has no lines.
+
+    The texts are taken apart once and written; the order is made from the keys and counts alone, and the
+    tokens travel in one join on the keys, which are unique.
+    """
     keys = [k.lstrip("-") for k in order_by]
-    starts = running(
-        lines.select(*keys, (T.word_count(text) + 1).alias("n_tokens")),
-        F.col("n_tokens"), order_by, inclusive=False, out="start",
-    ).withColumn("start", F.col("start").cast("long"))
-    return with_tokens.join(starts, keys)
+    marked = F.transform(T.lines(text), lambda v: F.concat(T.words(v), F.array(F.lit(END_OF_LINE))))
+    rows = df.select(*keys, F.coalesce(marked, F.array().cast("array<array<string>>")).alias("lines"))
+    n = F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + F.size(x))
+    rows = written(rows.withColumn("n", n), "tokens")
+    starts = running(rows.select(*keys, "n"), F.col("n"), order_by, inclusive=False, out="start")
+    return rows.join(starts.drop("n"), keys)
 
 
-def corpus_positions(lines: DataFrame, order_by: Sequence[str], text: str = "value") -> DataFrame:
-    """Long form of the concatenated corpus: one row per token with its global `pos`."""
-    rows = token_offsets(lines, order_by, text)
-    keys = [k.lstrip("-") for k in order_by]
-    exploded = rows.select(*keys, "start", F.posexplode("tokens").alias("i", "token"))
-    return exploded.select(*keys, (F.col("start") + F.col("i")).alias("pos"), "token")
+def corpus_size(texts: DataFrame) -> int:
+    """Tokens of all texts."""
+    return texts.agg(F.max(F.col("start") + F.col("n"))).first()[0] or 0
+
+
+def text_positions(texts: DataFrame, keys: Sequence[str], line: str = "line") -> DataFrame:
+    """Long form of the concatenated corpus: one row per token with its line (0-based) and global `pos`."""
+    ends = running_total(F.transform("lines", lambda x: F.size(x)))
+    rows = texts.select(*keys, "start", F.explode(F.arrays_zip(
+        F.sequence(F.lit(0), F.size("lines") - 1).alias("i"), ends.alias("end"), F.col("lines").alias("tokens"))).alias("l"))
+    first = F.col("start") + F.col("l.end") - F.size("l.tokens")
+    out = rows.select(*keys, F.col("l.i").alias(line), first.alias("first"), F.posexplode("l.tokens").alias("i", "token"))
+    return out.select(*keys, line, (F.col("first") + F.col("i")).alias("pos"), "token")
+
+
+def _pieces(texts: DataFrame, rows: int, columns: int, length: int, overlap: int) -> DataFrame:
+    """`window`, `col`, `row`, `piece`: what each text contributes to stretches of `length` rows of each column.
+
+    A stretch ends `overlap` rows into the next one. A text is cut by slices of its token array; there is a
+    row for each stretch that it reaches, none for a token.
+    """
+    flat = texts.select("start", (F.col("start") + F.col("n") - 1).alias("end"), F.flatten("lines").alias("tokens")).filter(
+        f"end >= start AND start < {rows * columns}").withColumn("end", F.least("end", F.lit(rows * columns - 1)))
+
+    def of_column(c: Column) -> Column:
+        lo = F.greatest(F.col("start") - c * rows, F.lit(0))
+        hi = F.least(F.col("end") - c * rows, F.lit(rows - 1))
+        first = F.greatest(F.ceil((lo - overlap + 1) / F.lit(float(length))) - 1, F.lit(0))
+
+        def of_window(w: Column) -> Column:
+            start = F.greatest(lo, w * length)
+            end = F.least(hi, w * length + (length - 1 + overlap))
+            at = (start + c * rows - F.col("start") + 1).cast("int")
+            return F.struct(w.alias("window"), c.alias("col"), start.alias("row"),
+                            F.slice("tokens", at, (end - start + 1).cast("int")).alias("piece"))
+
+        return F.transform(F.sequence(first.cast("long"), F.floor(hi / F.lit(float(length)))), of_window)
+
+    cols = F.sequence(F.floor(F.col("start") / F.lit(float(rows))), F.floor(F.col("end") / F.lit(float(rows))))
+    return flat.select(F.explode(F.flatten(F.transform(cols, of_column))).alias("p")).select("p.*")
+
+
+def _in_order(*by: str) -> Column:
+    """The collected pieces of a group as one array."""
+    rows = F.array_sort(F.collect_list(F.struct(*by, "piece")))
+    return F.flatten(F.transform(rows, lambda s: s["piece"]))
+
+
+def batch_rows(texts: DataFrame, columns: int, block: int = 1024) -> DataFrame:
+    """Corpus folded into `columns` equal columns: `row` and its `tokens`, one for each column; the rest is dropped.
+
+    Blocks of `block` rows are put together from slices of the texts and turned over inside a row.
+    """
+    rows = corpus_size(texts) // columns
+    if not rows:
+        return texts.select(F.lit(0).cast("long").alias("row"), F.array().cast("array<string>").alias("tokens")).limit(0)
+    blocks = _pieces(texts, rows, columns, block, 0).groupBy("window").agg(_in_order("col", "row").alias("flat"))
+    high = (F.size("flat") / columns).cast("int")
+
+    def across(i: Column) -> Column:
+        cells = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: F.get("flat", c * high + i))
+        return F.struct((F.col("window") * block + i).alias("row"), cells.alias("tokens"))
+
+    return blocks.select(F.explode(F.transform(F.sequence(F.lit(0), high - 1), across)).alias("r")).select("r.*")
+
+
+def text_windows(texts: DataFrame, columns: int, bptt: int) -> DataFrame:
+    """Windows of `bptt` rows of each of `columns` equal columns, as `bptt_windows`, put together from slices of the texts."""
+    rows = corpus_size(texts) // columns
+    if not rows:
+        names = "window long, col long, len long, inputs array<string>, targets array<string>"
+        return texts.sparkSession.createDataFrame([], names)
+    return _inputs_and_targets(_pieces(texts, rows, columns, bptt, 1).groupBy("window", "col").agg(_in_order("row").alias("span")))
 
 
 def build_vocab(tokens: DataFrame, token: str = "token", pos: str = "pos") -> DataFrame:
@@ -96,7 +168,7 @@ def bptt_windows(cells: DataFrame, bptt: int, token: str = "token") -> DataFrame
     ends = F.struct((w - 1).alias("window"), F.lit(bptt).cast("long").alias("off"))
     boundary = (F.col("row") % bptt == 0) & (F.col("row") > 0)
     member = F.explode(F.when(boundary, F.array(here, ends)).otherwise(F.array(here)))
-    return (
+    spans = (
         cells.select("col", F.col(token).alias("token"), member.alias("m"))
         .groupBy(F.col("m.window").alias("window"), "col")
         .agg(
@@ -105,13 +177,16 @@ def bptt_windows(cells: DataFrame, bptt: int, token: str = "token") -> DataFrame
                 lambda s: s["token"],
             ).alias("span")
         )
-        .filter(F.size("span") > 1)
-        .select(
-            "window", "col",
-            (F.size("span") - 1).cast("long").alias("len"),
-            F.expr("slice(span, 1, size(span) - 1)").alias("inputs"),
-            F.expr("slice(span, 2, size(span) - 1)").alias("targets"),
-        )
+    )
+    return _inputs_and_targets(spans)
+
+
+def _inputs_and_targets(spans: DataFrame) -> DataFrame:
+    return spans.filter(F.size("span") > 1).select(
+        "window", "col",
+        (F.size("span") - 1).cast("long").alias("len"),
+        F.expr("slice(span, 1, size(span) - 1)").alias("inputs"),
+        F.expr("slice(span, 2, size(span) - 1)").alias("targets"),
     )
 
 

@@ -1,18 +1,23 @@
 """Detection post-processing and evaluation.
 
 Box tables have image_id, id, x0, y0, x1, y1 (doubles) and, for predictions, score. Overlaps come
-from a grid join that emits only boxes that touch; greedy procedures (suppression, matching) run as
-rounds over the overlap table, so no image or category is ever gathered into one task.
+from a join on grids of several cell sizes that emits only boxes that touch. Greedy procedures
+(suppression, matching) read the overlaps of one scope in order, with a bounded number of overlaps at a
+time; scopes beyond that bound are cut into their connected components, and these into stretches of the
+order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datasheaf.functions import boxes as B
+from datasheaf.operators.graph import connected_components
 from datasheaf.operators.positions import group_index, running, running_many
 from datasheaf.operators.sets import top_n_per_group
 from datasheaf.session import materialize
@@ -30,42 +35,156 @@ RECALL_POINTS = 101
 BOX = ["x0", "y0", "x1", "y1"]
 
 
-def _cell_size(*frames: DataFrame) -> tuple[float, float]:
-    """Twice the mean box size: a box lies in few cells and a cell holds few boxes."""
-    sizes = None
-    for df in frames:
-        s = df.select((F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
-        sizes = s if sizes is None else sizes.unionByName(s)
-    w, h = sizes.agg(F.avg("w"), F.avg("h")).first()
-    return max(2.0 * (w or 0.0), 1e-9), max(2.0 * (h or 0.0), 1e-9)
+# Join keys of the grids. Cells of one grid are two to the power of its level, eight times those of the one below.
+_GRID = ["__level", "__cx", "__cy"]
+_STEP = 3
 
 
-def overlapping_pairs(
-    a: DataFrame, b: DataFrame, by: Sequence[str] = ("image_id",), cell: tuple[float, float] | None = None
-) -> DataFrame:
+def _sized(df: DataFrame) -> DataFrame:
+    """Boxes with an area, and the power of two that their longer side does not exceed."""
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    solid = df.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+    return solid.withColumn("__own", F.ceil(F.log2(side)).cast("int"))
+
+
+def _powers(df: DataFrame) -> dict[int, int]:
+    """Boxes of each power of two: as many rows as powers between the smallest and the largest box."""
+    return {r[0]: r[1] for r in df.groupBy("__own").count().collect()}
+
+
+def _level(power: int, offset: int) -> int:
+    return -(-(power - offset) // _STEP) * _STEP + offset
+
+
+def _above(own: set[int], other: set[int], least: int) -> dict[int, list[int]]:
+    """For each level the levels of the other side that are higher, or (least 0) as high."""
+    return {i: sorted(j for j in other if j >= i + least) for i in own}
+
+
+def _looked_up(levels: dict[int, object], kind: str) -> Column:
+    pairs = [x for i, v in levels.items() for x in (F.lit(i), F.lit(v).cast(kind))]
+    return F.create_map(*pairs)[F.col("__own")] if pairs else F.lit(None).cast(kind)
+
+
+def _listed(df: DataFrame, name: str, by: Sequence[str], level: Column) -> DataFrame:
+    """Boxes under the cells of `level` that they cover; at most four where the level is their own or higher."""
+    size = F.pow(F.lit(2.0), F.col("__level"))
+    held = [c for c in df.columns if c not in (*by, "__own")]
+
+    def cells(lo: str, hi: str) -> Column:
+        return F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
+
+    at = df.select(*by, F.struct(*held).alias(name), *BOX, level.alias("__level"))
+    across = at.select(*by, name, "__level", "y0", "y1", F.explode(cells("x0", "x1")).alias("__cx"))
+    return across.select(*by, name, "__level", "__cx", F.explode(cells("y0", "y1")).alias("__cy"))
+
+
+def overlapping_pairs(a: DataFrame, b: DataFrame, by: Sequence[str] = ("image_id",)) -> DataFrame:
     """`by`, structs `a` and `b`, `iou` of every pair with a positive overlap.
 
-    Boxes are listed under the grid cells they cover and meet on (by, cell). A pair is kept in the
-    one cell that holds the lower corner of its overlap, so nothing has to be deduplicated.
+    A box belongs to the grid whose cells are next above its longer side, and two boxes meet on (by, cell)
+    in the grid of the larger one, where the smaller one is listed as well. So a huge box does not cover
+    thousands of small cells, and small boxes meet each other only in small cells. A pair is kept in the
+    one cell that holds the lower corner of its overlap, so nothing has to be deduplicated. Boxes without
+    an area overlap nothing.
     """
-    cw, ch = cell or _cell_size(a, b)
+    crowd = F.col("b.iscrowd") == 1 if "iscrowd" in b.columns else None
+    one = a is b
+    a, b = _sized(a), _sized(b)
+    of_a = _powers(a)
+    of_b = of_a if one else _powers(b)
+
+    def lifted(offset: int) -> int:
+        """Rows that have to be listed in grids above their own."""
+        return sum(n * len({_level(q, offset) for q in y} - set(range(-10**4, _level(p, offset) + 1)))
+                   for x, y in ((of_a, of_b), (of_b, of_a)) for p, n in x.items())
+
+    offset = min(range(_STEP), key=lifted)
+    in_a, in_b = ({_level(p, offset) for p in x} for x in (of_a, of_b))
+    a = a.withColumn("__own", _looked_up({p: _level(p, offset) for p in of_a}, "int"))
+    b = b.withColumn("__own", _looked_up({p: _level(p, offset) for p in of_b}, "int"))
+    own = F.col("__own")
+    here_or_above = F.explode(_looked_up(_above(in_b, in_a, 0), "array<int>"))
+    above = F.explode(_looked_up(_above(in_a, in_b, 1), "array<int>"))
+    met = _listed(a, "a", by, own).join(_listed(b, "b", by, here_or_above), [*by, *_GRID])
+    if any(_above(in_a, in_b, 1).values()):
+        met = met.unionByName(_listed(a, "a", by, above).join(_listed(b, "b", by, own), [*by, *_GRID]))
+    size = F.pow(F.lit(2.0), F.col("__level"))
+    corner = (F.floor(F.greatest("a.x0", "b.x0") / size) == F.col("__cx")) & (
+        F.floor(F.greatest("a.y0", "b.y0") / size) == F.col("__cy")
+    )
+    return met.filter(corner & (B.intersection("a", "b") > 0)).select(*by, "a", "b", B.iou("a", "b", crowd).alias("iou"))
 
-    def listed(df: DataFrame, name: str) -> DataFrame:
-        def cells(lo: str, hi: str, size: float) -> Column:
-            return F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
 
-        return (
-            df.select(*by, F.struct(*[c for c in df.columns if c not in by]).alias(name),
-                      F.explode(cells("x0", "x1", cw)).alias("cx"), "y0", "y1")
-            .select(*by, name, "cx", F.explode(cells("y0", "y1", ch)).alias("cy"))
-        )
+# Overlaps that one task reads in order, with what it has decided so far in memory.
+MAX_EDGES = 200_000
+
+
+def _read_in_order(edges: DataFrame, scope: Sequence[str], keys: Sequence[str], decide) -> DataFrame:
+    """Edges that `decide` accepts, read scope by scope in the order of `__o`.
+
+    `decide()` gives a fresh function of a row's `keys` for each scope.
+    """
+    cols = [*scope, *keys]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, accept = None, None
+        for batch in batches:
+            mask = []
+            for row in zip(*[batch[c].to_pylist() for c in cols], strict=True):
+                if accept is None or row[:len(scope)] != here:
+                    here, accept = row[:len(scope)], decide()
+                mask.append(accept(*row[len(scope):]))
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    ordered = edges.repartition(*scope).sortWithinPartitions(*scope, "__o")
+    return ordered.mapInArrow(run, edges.schema)
+
+
+def in_order(
+    edges: DataFrame, scope: Sequence[str], keys: Sequence[str], nodes: tuple[Column, Column], decide, strike,
+    limit: int | None = None,
+) -> DataFrame:
+    """Edges chosen by a procedure that goes through the edges of each scope in the order of `__o`.
+
+    A scope of at most `limit` edges is read by one task. A larger one is cut into the connected
+    components of its edges (`nodes`: the two ends of an edge, told apart across scopes). Of a component
+    that is still larger, the edges up to the `limit`-th one and those of equal `__o.k` are settled, what
+    they decide is struck from the rest by `strike(rest, chosen, scope)`, and so on: at most 2 + edges /
+    limit rounds.
+    """
+    limit = limit or MAX_EDGES
+    counts = materialize(edges.groupBy(*scope).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit))
+    if counts.isEmpty():
+        return _read_in_order(edges, scope, keys, decide)
+    done = _read_in_order(_without(edges, counts, scope), scope, keys, decide)
+    rest = _within(edges, counts, scope).withColumns({"__u": nodes[0], "__v": nodes[1]})
+    rest = materialize(rest)
+    part = connected_components(rest.select(F.col("__u").alias("u"), F.col("__v").alias("v")))
+    part = part.select(F.col("node").alias("__u"), F.col("component").alias("__part"))
+    rest = materialize(rest.join(part, "__u").select(*edges.columns, "__part"))
+    inner = [*scope, "__part"]
+    while not rest.isEmpty():
+        ranked = group_index(rest, inner, "__o", "__at")
+        cut = ranked.filter(F.col("__at") < limit).groupBy(*inner).agg(F.max("__o.k").alias("__k"))
+        near = rest.join(cut, inner).withColumn("__now", F.col("__o.k") <= F.col("__k")).drop("__k")
+        near = materialize(near)
+        chosen = materialize(_read_in_order(near.filter("__now").drop("__now"), inner, keys, decide))
+        done = done.unionByName(chosen.drop("__part"))
+        rest = materialize(strike(near.filter("NOT __now").drop("__now").select(*edges.columns, "__part"), chosen, inner))
+    return done
+
+
+def _same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
+    tests = [left[c].eqNullSafe(right[c]) for c in cols]
+    return functools.reduce(lambda x, y: x & y, tests)
 
-    j = listed(a, "a").join(listed(b, "b"), [*by, "cx", "cy"])
-    corner = (F.floor(F.greatest("a.x0", "b.x0") / cw) == F.col("cx")) & (
-        F.floor(F.greatest("a.y0", "b.y0") / ch) == F.col("cy")
-    )
-    crowd = F.col("b.iscrowd") == 1 if "iscrowd" in b.columns else None
-    return j.filter(corner & (B.intersection("a", "b") > 0)).select(*by, "a", "b", B.iou("a", "b", crowd).alias("iou"))
+
+def _without(df: DataFrame, other: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.join(other, _same(df, other, cols), "left_anti")
+
+
+def _within(df: DataFrame, other: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.join(other, _same(df, other, cols), "left_semi")
 
 
 FIRST_TIER, TIER_GROWTH = 256, 8
@@ -88,80 +207,91 @@ def nms(
     if largest <= first_tier:
         return _keep(df, _suppressed(slim, iou, by), by)
     slim = materialize(group_index(slim, list(by), ["-score", "id"], "__rank"))
-    cell = _cell_size(slim)
     kept, lo, hi = None, 0, first_tier
     while lo < largest:
         tier = slim.filter((F.col("__rank") >= lo) & (F.col("__rank") < hi)).drop("__rank")
         if kept is not None:
-            hit = overlapping_pairs(kept, tier, by, cell).filter(F.col("iou") > iou)
+            hit = overlapping_pairs(kept, tier, by).filter(F.col("iou") > iou)
             tier = materialize(_keep(tier, hit.select(*by, F.col("b.id").alias("id")), by))
-        tier = materialize(_keep(tier, _suppressed(tier, iou, by, cell), by))
+        tier = materialize(_keep(tier, _suppressed(tier, iou, by), by))
         kept = tier if kept is None else kept.unionByName(tier)
         lo, hi = hi, hi * TIER_GROWTH
     return df.join(kept.select(*by, "id"), [*by, "id"], "left_semi")
 
 
-def _keep(df: DataFrame, dropped: DataFrame | None, by: Sequence[str]) -> DataFrame:
-    return df if dropped is None else df.join(dropped, [*by, "id"], "left_anti")
+def _keep(df: DataFrame, dropped: DataFrame, by: Sequence[str]) -> DataFrame:
+    return df.join(dropped, [*by, "id"], "left_anti")
 
 
-def _suppressed(
-    slim: DataFrame, iou: float, by: Sequence[str], cell: tuple[float, float] | None = None
-) -> DataFrame | None:
-    """Ids that greedy suppression drops among the given boxes.
+class _Suppression:
+    """Best box first: a box drops the worse ones it overlaps unless it was dropped itself."""
 
-    A box is kept once every better box that overlaps it is suppressed. Each round settles all boxes
-    for which that is known; only the table of overlaps above the threshold is iterated.
-    """
+    def __init__(self):
+        self.dropped = set()
+
+    def __call__(self, better, worse) -> bool:
+        if better in self.dropped:
+            return False
+        self.dropped.add(worse)
+        return True
+
+
+def _suppressed(slim: DataFrame, iou: float, by: Sequence[str]) -> DataFrame:
+    """Ids that greedy suppression drops among the given boxes."""
     better = (F.col("a.score") > F.col("b.score")) | (
         (F.col("a.score") == F.col("b.score")) & (F.col("a.id") < F.col("b.id"))
     )
-    edges = overlapping_pairs(slim, slim, by, cell).filter((F.col("iou") > iou) & better).select(
-        *by, F.col("a.id").alias("hi"), F.col("b.id").alias("lo")
+    rank = F.struct((-F.col("a.score")).alias("s"), F.col("a.id").alias("i"))
+    edges = overlapping_pairs(slim, slim, by).filter((F.col("iou") > iou) & better).select(
+        *by, F.col("a.id").alias("hi"), F.col("b.id").alias("lo"), F.struct(rank.alias("k"), F.col("b.id").alias("l")).alias("__o")
     )
-    edges = materialize(edges)
-    dropped = None
-    hi, lo = [*by, "hi"], [*by, "lo"]
-    while not edges.isEmpty():
-        beaten = edges.select(*lo).distinct().withColumnRenamed("lo", "hi")
-        out = materialize(edges.join(beaten, hi, "left_anti").select(*lo).distinct())
-        dropped = out if dropped is None else dropped.unionByName(out)
-        edges = materialize(
-            edges.join(out, lo, "left_anti").join(out.withColumnRenamed("lo", "hi"), hi, "left_anti")
-        )
-    return None if dropped is None else dropped.withColumnRenamed("lo", "id")
 
+    def strike(rest: DataFrame, chosen: DataFrame, scope: Sequence[str]) -> DataFrame:
+        out = chosen.select(*scope, F.col("lo").alias("__x")).distinct()
+        for end in ("hi", "lo"):
+            rest = _without(rest.withColumnRenamed(end, "__x"), out, [*scope, "__x"]).withColumnRenamed("__x", end)
+        return rest
+
+    nodes = F.xxhash64(*by, "hi"), F.xxhash64(*by, "lo")
+    chosen = in_order(materialize(edges), by, ["hi", "lo"], nodes, _Suppression, strike)
+    return chosen.select(*by, F.col("lo").alias("id")).distinct()
+
+
+class _Matching:
+    """Best edge first: chosen when both ends are free; a shared right end is always free."""
+
+    def __init__(self):
+        self.left, self.right = set(), set()
 
-def dominant_matching(
-    edges: DataFrame, scope: Sequence[str], left: str, right: str, left_order: Column, right_order: Column,
+    def __call__(self, left, right, shared) -> bool:
+        if left in self.left or (not shared and right in self.right):
+            return False
+        self.left.add(left)
+        self.right.add(right)
+        return True
+
+
+def ordered_matching(
+    edges: DataFrame, scope: Sequence[str], left: str, right: str, first: Column, then: Column,
     shared: Column | None = None,
 ) -> DataFrame:
-    """Edges chosen by a greedy one-to-one matching.
+    """Edges chosen by a greedy one-to-one matching that takes them in the order of (`first`, `then`).
 
-    `left_order` and `right_order` sort the edges of a left or right node, best first. An edge that is
-    the best of both its ends is chosen whatever happens elsewhere; each round takes all of them and
-    removes their ends. `shared` marks right nodes that may be chosen any number of times.
+    `first` orders the turns (all edges of equal `first` have one left node), `then` the edges of a turn.
+    `shared` marks edges whose right node may be chosen any number of times.
     """
-    e = edges.withColumn("__l", left_order).withColumn("__r", right_order).withColumn(
+    e = edges.withColumn("__o", F.struct(first.alias("k"), then.alias("l"))).withColumn(
         "__s", shared if shared is not None else F.lit(False)
     )
-    e = materialize(e)
-    lk, rk = [*scope, left], [*scope, right]
-    rest = [c for c in e.columns if c not in (*lk, "__l")]
-    chosen = None
-    while not e.isEmpty():
-        # The best edge of every left node, kept where its right node agrees.
-        best_l = e.groupBy(*lk).agg(F.min_by(F.struct(*rest), "__l").alias("__e")).select(*lk, "__e.*")
-        best_r = e.groupBy(*rk).agg(F.min("__r").alias("__br"))
-        m = best_l.join(best_r, rk).filter(F.col("__s") | (F.col("__r") == F.col("__br"))).drop("__br")
-        m = materialize(m)
-        chosen = m if chosen is None else chosen.unionByName(m)
-        e = materialize(
-            e.join(m.select(*lk), lk, "left_anti").join(m.filter("NOT __s").select(*rk), rk, "left_anti")
-        )
-    if chosen is None:
-        return e.drop("__l", "__r", "__s")
-    return chosen.drop("__r", "__s")
+
+    def strike(rest: DataFrame, chosen: DataFrame, inner: Sequence[str]) -> DataFrame:
+        taken = chosen.select(*inner, F.col(left).alias("__x")).distinct()
+        rest = _without(rest.withColumnRenamed(left, "__x"), taken, [*inner, "__x"]).withColumnRenamed("__x", left)
+        used = chosen.filter("NOT __s").select(*inner, F.col(right).alias("__x")).distinct()
+        return _without(rest.withColumnRenamed(right, "__x"), used, [*inner, "__x"]).withColumnRenamed("__x", right)
+
+    nodes = F.xxhash64(*scope, F.lit("l"), left), F.xxhash64(*scope, F.lit("r"), right)
+    return in_order(materialize(e), scope, [left, right, "__s"], nodes, _Matching, strike).drop("__o", "__s")
 
 
 def greedy_match(pairs: DataFrame, scope: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -170,7 +300,7 @@ def greedy_match(pairs: DataFrame, scope: Sequence[str] = ("image_id",)) -> Data
     `pairs`: scope, pred, gt, iou. Equal overlaps go to the smaller gt, then the smaller pred.
     """
     order = F.struct((-F.col("iou")).alias("i"), F.col("gt").alias("g"), F.col("pred").alias("p"))
-    return dominant_matching(pairs, scope, "gt", "pred", order, order)
+    return ordered_matching(pairs, scope, "gt", "pred", order, F.lit(0))
 
 
 def mean_best_iou(pairs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -254,7 +384,7 @@ def coco_matches(
     category_id, a, b, iou).
 
     A detection and a ground truth that overlap nothing else match at every threshold below their
-    IoU; only the other overlaps are expanded to (area, threshold) and matched in rounds.
+    IoU; only the other overlaps are expanded to (area, threshold) and matched in order.
     """
     by = ["image_id", "category_id"]
     bands = [r for r in AREA_RANGES if r[0] in areas]
@@ -307,7 +437,7 @@ def coco_matches(
     left = F.struct(F.col("ignored"), (-F.col("iou")).alias("i"), (-F.col("gt")).alias("g"))
     right = F.struct((-F.col("score")).alias("s"), F.col("det"))
     bit = F.expr("shiftleft(1L, slot)")
-    rounds = dominant_matching(tangled, [*by, "slot"], "det", "gt", left, right, F.col("crowd")).groupBy(
+    rounds = ordered_matching(tangled, [*by, "slot"], "det", "gt", right, left, F.col("crowd")).groupBy(
         *by, F.col("det").alias("id")
     ).agg(
         F.coalesce(F.bit_or(F.when(~F.col("ignored"), bit)), zero).alias("hit"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datasheaf.operators.positions import group_index
+from datasheaf.session import written
 
 
 def neighbor_sum(nodes: DataFrame, edges: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -35,3 +36,28 @@ def readout(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
     return nodes.groupBy("graph_id").agg(
         *[F.max(f).alias("max_" + f) for f in features], *[F.avg(f).alias("mean_" + f) for f in features]
     )
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """`node`, `component` for both ends of every edge (u, v): the smallest node of the component.
+
+    Alternating stars: a large star hangs each node's larger neighbours on its smallest one, a small star
+    its smaller neighbours. The number of rounds grows with the logarithm of the longest path; each round
+    is a table in the shared folder.
+    """
+    ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
+    edges = written(ends, "edges")
+    before = None
+    while True:
+        mark = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if mark == before or not mark[0]:
+            break
+        before = mark
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        edges = written(small.filter("u <> v").distinct(), "edges")
+    centres = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)

@@ -1,54 +1,39 @@
 """Dense positions and running aggregates over a total order, without a single-task window.
 
-Rows are cut into ranges of the order key. The cut points are key tuples taken from a bounded
-sample and put into the plan as literals, so they are the same on every retry and in every branch.
-One aggregate per range gives what the ranges before it contribute; a window inside each range
-does the rest. Because cuts are whole tuples (group columns, then order columns), a group that
-holds a third of all rows is spread over many ranges like any other stretch of the order.
-
-An input of at most ROWS_PER_RANGE rows (counted first) is one range and needs no sample.
-
-The input is read up to three times (row count, sample, one aggregate per range), with only the
-needed columns: write or checkpoint an expensive input first. It must be deterministic.
+The rows are put in order once: ranges of the group and order columns (`repartitionByRange`), a sort in
+each range, and a table in the shared folder in which each row has its place, the number of its range and
+its row in it. One aggregate per range gives what the ranges before it contribute; these offsets, a row
+for each range, are joined by the range's number. Because ranges are cut at whole keys (group columns,
+then order columns), a group that holds a third of all rows is spread over many ranges like any other
+stretch of the order.
+
+Plain positions are offset plus row and need no window; running sums over the whole order are added up
+as the table is written; other running aggregates take a window inside each range. The input is read twice,
+by Spark's sample of the keys and for the table, and never again: what follows reads the columns it needs
+from the table. There are as many ranges as the session has shuffle partitions, small ones merged, or
+ranges of ROWS_PER_RANGE rows where that is set.
+
+Groups are counted first: where none has more than ROWS_PER_GROUP rows, a window over the groups does the
+same without a table.
 """
 
 from __future__ import annotations
 
-import datetime
-import decimal
-import functools
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from datasheaf.session import written
 
-ROWS_PER_RANGE = 200_000
-MAX_RANGES = 2048
-SAMPLES_PER_RANGE = 32
-
-
-def _literal(v: object) -> str:
-    """SQL literal that reads back as the same value."""
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return "TRUE" if v else "FALSE"
-    if isinstance(v, int):
-        return f"{v}L"
-    if isinstance(v, float):
-        return f"CAST('{v!r}' AS DOUBLE)"
-    if isinstance(v, decimal.Decimal):
-        return f"{v}BD"
-    if isinstance(v, datetime.datetime):
-        return f"CAST('{v.isoformat(sep=' ')}' AS TIMESTAMP_NTZ)"
-    if isinstance(v, datetime.date):
-        return f"DATE'{v.isoformat()}'"
-    if isinstance(v, str):
-        return f"decode(unhex('{v.encode('utf-8').hex()}'), 'UTF-8')"
-    if isinstance(v, Row):
-        fields = ", ".join(f"'{k}', {_literal(x)}" for k, x in v.asDict(recursive=False).items())
-        return f"named_struct({fields})"
-    raise TypeError(f"no literal for {type(v)}")
+ROWS_PER_RANGE: int | None = None
+ROWS_PER_GROUP = 1_000_000
+_RANGE, _ROW = "__ds_range", "__ds_row"
+# Spark puts the partition above the lowest 33 bits of its increasing ids.
+_ROW_BITS = 33
 
 
 def _parse(order_by: str | Sequence[str]) -> list[tuple[str, bool]]:
@@ -61,75 +46,62 @@ def _sort_cols(keys: list[tuple[str, bool]]) -> list[Column]:
     return [F.col(k).desc() if d else F.col(k).asc() for k, d in keys]
 
 
-def _quoted(k: str) -> str:
-    return "`" + k.replace("`", "``") + "`"
+def _added_up(columns: Sequence[str]):
+    """Sums from the first row of a partition on, in place of the numbers themselves; null counts as 0."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead = dict.fromkeys(columns, 0)
+        for b in batches:
+            for c in columns if b.num_rows else ():
+                sums = np.cumsum(b[c].fill_null(0).to_numpy(zero_copy_only=False)) + ahead[c]
+                ahead[c] = sums[-1]
+                b = b.set_column(b.schema.get_field_index(c), c, pa.array(sums, b[c].type))
+            yield b
+    return run
+
+
+def placed(
+    df: DataFrame, keys: list[tuple[str, bool]], rows_per_range: int | None = None, sums: Sequence[str] = (),
+) -> DataFrame:
+    """`df` as a table in the order of `keys`, with the number of each row's range and its row in it.
+
+    The columns `sums` hold their running sum inside the range.
+    """
+    cols = _sort_cols(keys)
+    size = rows_per_range or ROWS_PER_RANGE
+    dealt = df.repartitionByRange(max(1, -(-df.count() // size)), *cols) if size else df.repartitionByRange(*cols)
+    rows = dealt.sortWithinPartitions(*cols).withColumn(_ROW, F.monotonically_increasing_id())
+    if sums:
+        rows = rows.mapInArrow(_added_up(sums), rows.schema)
+    table = written(rows, "ordered")
+    return table.withColumns({_RANGE: F.shiftright(_ROW, _ROW_BITS), _ROW: F.col(_ROW).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))})
 
 
-def _before(keys: list[tuple[str, bool]], cut: tuple) -> str:
-    """SQL test that a row sorts strictly before the cut (NULLs first ascending, last descending)."""
-    sql = "FALSE"
-    for (k, desc), v in reversed(list(zip(keys, cut))):
-        c, lit = _quoted(k), _literal(v)
-        if desc:
-            lt = f"{c} IS NOT NULL" if v is None else f"{c} > {lit}"
-        else:
-            lt = "FALSE" if v is None else f"({c} IS NULL OR {c} < {lit})"
-        sql = f"({lt} OR ({c} <=> {lit} AND {sql}))" if sql != "FALSE" else f"({lt})"
-    return sql
-
-
-def _tree(tests: list[str], leaf: Callable[[int], str]) -> str:
-    """Balanced CASE over sorted cuts: leaf(i) for rows with exactly i cuts at or before them."""
-    def build(lo: int, hi: int) -> str:
-        if lo == hi:
-            return leaf(lo)
-        mid = (lo + hi) // 2
-        return f"CASE WHEN {tests[mid]} THEN {build(lo, mid)} ELSE {build(mid + 1, hi)} END"
-
-    return build(0, len(tests))
-
-
-def _compare(keys: list[tuple[str, bool]]) -> Callable[[tuple, tuple], int]:
-    def cmp(a: tuple, b: tuple) -> int:
-        for (_, desc), x, y in zip(keys, a, b):
-            if x == y:
-                continue
-            if x is None or y is None:
-                before = (x is None) != desc
-            else:
-                before = (x > y) if desc else (x < y)
-            return -1 if before else 1
-        return 0
-
-    return cmp
-
-
-def _cuts(df: DataFrame, keys: list[tuple[str, bool]], rows_per_range: int | None) -> list[tuple]:
-    slim = df.select(*[k for k, _ in keys])
-    n = slim.count()
-    ranges = min(MAX_RANGES, -(-n // (rows_per_range or ROWS_PER_RANGE)))
-    if ranges <= 1:
-        return []
-    wanted = ranges * SAMPLES_PER_RANGE
-    rows = [tuple(r) for r in slim.sample(False, min(1.0, wanted / n), 17).take(2 * wanted)]
-    rows = [r for r in rows if not any(isinstance(v, float) and v != v for v in r)]
-    rows.sort(key=functools.cmp_to_key(_compare(keys)))
-    step = max(1, len(rows) // ranges)
-    cuts: list[tuple] = []
-    for r in rows[step::step]:
-        if not cuts or cuts[-1] != r:
-            cuts.append(r)
-    return cuts[: MAX_RANGES - 1]
-
-
-_COMBINE = {
-    "sum": lambda a, b: b if a is None else a if b is None else a + b,
-    "max": lambda a, b: b if a is None else a if b is None else max(a, b),
-    "min": lambda a, b: b if a is None else a if b is None else min(a, b),
-}
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def _carries(rows: DataFrame, group_names: list[str], values: list[Column], how: str) -> DataFrame:
+    """For each range: its first group, and what the ranges before hold of that group.
+
+    Of each range only the rows of its last group are added up. Ranges that lie within one group add to
+    each other, by a window over one row per range.
+    """
+    group = F.struct(*group_names) if group_names else F.struct(F.lit(0).alias("all"))
+    first = rows.filter(F.col(_ROW) == 0).select(_RANGE, group.alias("__ds_first"))
+    ends = rows.groupBy(_RANGE).agg(F.max(_ROW).alias("__ds_end"))
+    last = rows.join(F.broadcast(ends), _RANGE).filter(F.col(_ROW) == F.col("__ds_end")).select(_RANGE, group.alias("__ds_last"))
+    tails = rows.join(F.broadcast(last), _RANGE).filter(group.eqNullSafe(F.col("__ds_last"))).groupBy(_RANGE).agg(
+        *[_AGG[how](v).alias(f"__ds_t{i}") for i, v in enumerate(values)])
+    by = Window.orderBy(_RANGE)
+    goes_on = F.lag("__ds_last").over(by).eqNullSafe(F.col("__ds_first")) & F.lag(F.lit(1)).over(by).isNotNull()
+    whole = F.col("__ds_first").eqNullSafe(F.col("__ds_last"))
+    borders = first.join(last, _RANGE).join(tails, _RANGE).withColumn("__ds_goes_on", goes_on)
+    borders = borders.withColumn("__ds_run", F.sum((~(F.col("__ds_goes_on") & whole)).cast("int")).over(by))
+    upto = Window.partitionBy("__ds_run").orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, 0)
+    t = [f"__ds_t{i}" for i in range(len(values))]
+    borders = borders.withColumns({c: _AGG[how](c).over(upto) for c in t})
+    return borders.select(_RANGE, "__ds_first", *[F.when(F.col("__ds_goes_on"), F.lag(c).over(by)).alias(c) for c in t])
+
+
 def running(
     df: DataFrame,
     value: Column | None,
@@ -157,90 +129,73 @@ def running_many(
     inclusive: bool = True,
     rows_per_range: int | None = None,
 ) -> DataFrame:
-    """Several running aggregates over one order: the same ranges, one shuffle, one sort."""
-    df, groups, order, hidden = _comparable(df, _parse(partition_by), _parse(order_by))
-    g = len(groups)
-    keys = groups + order
+    """Several running aggregates over one order: one table, one window."""
+    groups, order = _parse(partition_by), _parse(order_by)
     group_names = [k for k, _ in groups]
     names = list(values)
-    source = df.withColumns({f"__ds_v{i}": values[o] for i, o in enumerate(names) if values[o] is not None})
-    v = [F.lit(1) if values[o] is None else F.col(f"__ds_v{i}") for i, o in enumerate(names)]
-    cuts = _cuts(df, keys, rows_per_range)
-    tests = [_before(keys, c) for c in cuts]
-    ranged = source.withColumn("__ds_range", F.expr(_tree(tests, str)) if cuts else F.lit(0))
-
-    def in_group_of(cut: tuple) -> str:
-        same = [f"{_quoted(k)} <=> {_literal(x)}" for k, x in zip(group_names, cut)]
-        return " AND ".join(same) or "TRUE"
-
-    offsets: list[list | None] = [None] * (len(cuts) + 1)
-    if cuts:
-        reaches_end = F.expr(
-            _tree(tests, lambda i: in_group_of(cuts[i]) if i < len(cuts) else "FALSE")
-        )
-        tails = {
-            r["__ds_range"]: list(r)[1:]
-            for r in ranged.filter(reaches_end).groupBy("__ds_range")
-            .agg(*[_AGG[how](x) for x in v])
-            .collect()  # one row per range, at most MAX_RANGES
-        }
-        nothing = [None] * len(names)
-        for i in range(1, len(cuts) + 1):
-            goes_on = i > 1 and cuts[i - 2][:g] == cuts[i - 1][:g]
-            carried = (offsets[i - 1] if goes_on else None) or nothing
-            both = [_COMBINE[how](a, b) for a, b in zip(carried, tails.get(i - 1, nothing))]
-            offsets[i] = both if any(b is not None for b in both) else None
-
-    def leaf(i: int) -> str:
-        if offsets[i] is None:
-            return "NULL"
-        lit = "array(" + ", ".join(_literal(x) for x in offsets[i]) + ")"
-        return lit if not groups else f"CASE WHEN {in_group_of(cuts[i - 1])} THEN {lit} END"
-
-    shared = any(o is not None for o in offsets)
-    if shared:
-        ranged = ranged.withColumn("__ds_carry", F.expr(_tree(tests, leaf)))
-    w = Window.partitionBy(*group_names, "__ds_range").orderBy(*_sort_cols(keys[g:]))
-    end = Window.currentRow if inclusive else -1
+    given = [o for o in names if values[o] is not None]
+    held = {o: f"__ds_v{i}" for i, o in enumerate(given)}
+    source = df.withColumns({held[o]: values[o] for o in given})
+    if groups and not (rows_per_range or ROWS_PER_RANGE) and _largest_group(df, group_names) <= ROWS_PER_GROUP:
+        w = Window.partitionBy(*group_names).orderBy(*_sort_cols(order))
+        results = {o: _inside(values[o], held.get(o), w, how, inclusive) for o in names}
+        if how == "sum":
+            results = {o: F.coalesce(c, F.lit(0)) for o, c in results.items()}
+        return source.withColumns(results).drop(*held.values())
+    kinds = {o: source.schema[held[o]].dataType for o in given}
+    if not groups and how == "sum" and all(isinstance(k, (T.IntegralType, T.DoubleType)) for k in kinds.values()):
+        whole = {held[o]: F.col(held[o]).cast("long") for o in given if isinstance(kinds[o], T.IntegralType)}
+        rows = placed(source.withColumns({**whole, **{f"{held[o]}_own": F.col(held[o]) for o in given}}), order, rows_per_range,
+                      list(held.values()))
+        return _global_sums(rows, names, held, inclusive)
+    rows = placed(source, groups + order, rows_per_range)
+    v = [F.lit(1).cast("long") if values[o] is None else F.col(held[o]) for o in names]
+    # One row per range.
+    carried = rows.join(F.broadcast(_carries(rows, group_names, v, how)), _RANGE)
+    w = Window.partitionBy(*group_names, _RANGE).orderBy(_ROW)
+    same = F.struct(*group_names).eqNullSafe(F.col("__ds_first")) if group_names else F.lit(True)
     results = {}
     for i, o in enumerate(names):
-        if values[o] is None and how == "sum":
-            inside = F.row_number().over(w).cast("long") - (0 if inclusive else 1)
-        else:
-            inside = _AGG[how](v[i]).over(w.rowsBetween(Window.unboundedPreceding, end))
-        before = F.get("__ds_carry", F.lit(i)) if shared else None
+        inside = _inside(values[o], held.get(o), w, how, inclusive)
+        before = F.when(same, F.col(f"__ds_t{i}"))
         if how == "sum":
-            inside = F.coalesce(inside, F.lit(0))
-            results[o] = inside + F.coalesce(before, F.lit(0)) if shared else inside
-        elif not shared:
-            results[o] = inside
+            results[o] = F.coalesce(inside, F.lit(0)) + F.coalesce(before, F.lit(0))
         elif _is_struct(source, v[i]):
             results[o] = _pick(how, inside, before)
         else:
             results[o] = (F.greatest if how == "max" else F.least)(inside, before)
-    return ranged.withColumns(results).drop(
-        "__ds_range", "__ds_carry", *[f"__ds_v{i}" for i in range(len(names))], *hidden
-    )
+    return carried.withColumns(results).drop(_RANGE, _ROW, "__ds_first", *[f"__ds_t{i}" for i in range(len(names))], *held.values())
+
 
+def _largest_group(df: DataFrame, names: list[str]) -> int:
+    return df.groupBy(*names).agg(F.count(F.lit(1)).alias("__ds_n")).agg(F.max("__ds_n")).first()[0] or 0
 
-def _comparable(
-    df: DataFrame, groups: list[tuple[str, bool]], order: list[tuple[str, bool]]
-) -> tuple[DataFrame, list, list, list[str]]:
-    """Keys whose values survive the way to the driver and back: instants become microseconds."""
-    kinds = {f.name: f.dataType.typeName() for f in df.schema}
-    hidden = {}
-
-    def swap(keys: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
-        out = []
-        for k, d in keys:
-            if kinds.get(k) == "timestamp":
-                hidden[f"__ds_us_{k}"] = F.unix_micros(F.col(k))
-                k = f"__ds_us_{k}"
-            out.append((k, d))
-        return out
-
-    groups, order = swap(groups), swap(order)
-    return (df.withColumns(hidden) if hidden else df), groups, order, list(hidden)
+
+def _inside(value: Column | None, held: str | None, w, how: str, inclusive: bool) -> Column:
+    """A running aggregate over the rows of one window."""
+    if value is None and how == "sum":
+        return F.row_number().over(w).cast("long") - (0 if inclusive else 1)
+    return _AGG[how](F.lit(1).cast("long") if held is None else F.col(held)).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
+
+
+def _global_sums(rows: DataFrame, names: list[str], held: dict[str, str], inclusive: bool) -> DataFrame:
+    """Running sums that the table holds for each range, moved by what the ranges before add up to."""
+    by = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(_RANGE).agg(
+        (F.max(_ROW) + 1).alias("__ds_n"), *[F.max_by(c, _ROW).alias(f"{c}_end") for c in held.values()])
+    offsets = ends.select(_RANGE, F.coalesce(F.sum("__ds_n").over(by), F.lit(0)).alias("__ds_start"),
+                          *[F.coalesce(F.sum(f"{c}_end").over(by), F.lit(0)).alias(f"{c}_ahead") for c in held.values()])
+    results = {}
+    for o in names:
+        if o in held:
+            own = F.lit(0) if inclusive else F.coalesce(F.col(f"{held[o]}_own"), F.lit(0))
+            results[o] = F.col(f"{held[o]}_ahead") + F.col(held[o]) - own
+        else:
+            results[o] = F.col("__ds_start") + F.col(_ROW) + (1 if inclusive else 0)
+    spare = [f"{c}{end}" for c in held.values() for end in ("", "_own", "_ahead")]
+    # One row per range.
+    return rows.join(F.broadcast(offsets), _RANGE).withColumns(results).drop(_RANGE, _ROW, "__ds_start", *spare)
 
 
 def _is_struct(df: DataFrame, v: Column) -> bool:

@@ -18,8 +18,12 @@ def lines(t):
     return C.text_lines(spread(t.documents.select("doc_id", "text")), "text", "doc_id")
 
 
+def texts(t):
+    return C.corpus_texts(spread(t.documents.select("doc_id", "text")), "text", ["doc_id"])
+
+
 def corpus(t):
-    return C.corpus_positions(lines(t), LINE_KEYS)
+    return C.text_positions(texts(t), ["doc_id"])
 
 
 def orders_pos(t):
@@ -88,12 +92,7 @@ CELLS = f"""(SELECT pos % (n // 16) AS row, pos // (n // 16) AS col, token FROM
 
 @query("batchify", f"SELECT row, string_agg(token, ' ' ORDER BY col) AS tokens FROM {CELLS} GROUP BY row")
 def _(t):
-    cells = C.batchify(corpus(t), corpus_size(t), 16)
-    return cells.groupBy("row").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("col", "token"))), lambda s: s["token"]), " "
-        ).alias("tokens")
-    )
+    return C.batch_rows(texts(t), 16).select("row", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("bptt_windows", f"""WITH c AS (SELECT * FROM {CELLS}), r AS (SELECT max(row) + 1 AS n FROM c),
@@ -103,8 +102,7 @@ def _(t):
     string_agg(token, ' ' ORDER BY row) FILTER (row > start) AS targets
   FROM w JOIN c ON row BETWEEN start AND start + len GROUP BY "window", col, len, start""")
 def _(t):
-    cells = C.batchify(corpus(t), corpus_size(t), 16)
-    return C.bptt_windows(cells, 35).select(
+    return C.text_windows(texts(t), 16, 35).select(
         "window", "col", "len", F.array_join("inputs", " ").alias("inputs"),
         F.array_join("targets", " ").alias("targets"),
     )

@@ -77,7 +77,67 @@ def _(t):
     return D.mean_best_iou(pairs(t), targets(t)).select(F.round("mean_best_iou", 6).alias("mean_best_iou"))
 
 
-@query("nms")
+# Greedy procedures in SQL: a recursion takes the boxes or pairs of every image in order. Images have few boxes here.
+
+def _greedy_sql(scope: list[str], pairs: str, name: str) -> str:
+    """Recursive CTEs: the pairs of each scope in order of overlap, each chosen when both ends are free."""
+    on = ", ".join(scope)
+    return f"""{name}q AS (SELECT {on}, gt, pred, iou, row_number() OVER (PARTITION BY {on} ORDER BY iou DESC, gt, pred) AS k FROM {pairs}),
+  {name}r AS (SELECT DISTINCT {on}, 0::BIGINT AS k, []::BIGINT[] AS gts, []::BIGINT[] AS preds FROM {name}q
+    UNION ALL
+    SELECT {on}, q.k, CASE WHEN list_contains(gts, gt) OR list_contains(preds, pred) THEN gts ELSE list_append(gts, gt) END,
+      CASE WHEN list_contains(gts, gt) OR list_contains(preds, pred) THEN preds ELSE list_append(preds, pred) END
+    FROM {name}r r JOIN {name}q q USING ({on}) WHERE q.k = r.k + 1),
+  {name}l AS (SELECT {on}, arg_max(gts, k) AS gts, arg_max(preds, k) AS preds FROM {name}r GROUP BY ALL),
+  {name} AS (SELECT {on}, unnest(gts) AS gt, unnest(preds) AS pred FROM {name}l)"""
+
+
+def _matched_sql(top: str, slots: str) -> str:
+    """Recursive CTEs: detections in order of score take the best free ground truth in each slot (area, t)."""
+    return f"""e AS (SELECT image_id, category_id, area, t, det, score, gt, iscrowd = 1 AS crowd, iscrowd = 1 OR gt_area NOT BETWEEN lo AND hi AS ignored,
+      row_number() OVER (PARTITION BY image_id, category_id, area, t
+        ORDER BY score DESC, det, iscrowd = 1 OR gt_area NOT BETWEEN lo AND hi, iou DESC, gt DESC) AS k
+    FROM d JOIN {top} k USING (image_id, category_id, det), {slots} WHERE gt_cat = category_id AND iou >= least(t, 1 - 1e-10)),
+  er AS (SELECT DISTINCT image_id, category_id, area, t, 0::BIGINT AS k, []::BIGINT[] AS dets, []::BIGINT[] AS gts, []::BIGINT[] AS hits, []::BIGINT[] AS idle FROM e
+    UNION ALL
+    SELECT image_id, category_id, area, t, ek, CASE WHEN free THEN list_append(dets, det) ELSE dets END,
+      CASE WHEN free AND NOT crowd THEN list_append(gts, gt) ELSE gts END,
+      CASE WHEN free AND NOT ignored THEN list_append(hits, det) ELSE hits END, CASE WHEN free AND ignored THEN list_append(idle, det) ELSE idle END
+    FROM (SELECT r.*, e.k AS ek, det, gt, crowd, ignored, NOT list_contains(dets, det) AND (crowd OR NOT list_contains(gts, gt)) AS free
+          FROM er r JOIN e USING (image_id, category_id, area, t) WHERE e.k = r.k + 1) e),
+  el AS (SELECT image_id, category_id, area, t, arg_max(hits, k) AS hits, arg_max(idle, k) AS idle FROM er GROUP BY ALL)"""
+
+
+OVERLAPS = f"""{LINES},
+  d AS (SELECT image_id, g.id AS gt, g.category_id AS gt_cat, p.category_id AS category_id, g.iscrowd, g.area AS gt_area, p.id AS det, p.score,
+      CASE WHEN g.iscrowd = 1 THEN inter / pa ELSE inter / (pa + ga - inter) END AS iou
+    FROM o JOIN g USING (image_id) JOIN p USING (image_id) WHERE g.id = o.gt AND p.id = o.pred AND inter > 0)"""
+AREAS = """ar(area, lo, hi) AS (VALUES ('all', 0.0::DOUBLE, 1e10::DOUBLE), ('small', 0.0, 1024.0), ('medium', 1024.0, 9216.0), ('large', 9216.0, 1e10))"""
+THRESHOLDS = "th AS (SELECT round(0.5 + 0.05 * i, 2)::DOUBLE AS t FROM range(0, 10) r(i))"
+AP_CURVE = """f AS (SELECT category_id, area, t, score, image_id, id, coalesce(list_contains(hits, id), false) AS hit
+    FROM (SELECT k.image_id, k.category_id, k.det AS id, k.score, k.area AS own, ar.area, lo, hi, t FROM k, ar, th)
+    LEFT JOIN el USING (image_id, category_id, area, t)
+    WHERE coalesce(list_contains(hits, id), false) OR (NOT coalesce(list_contains(idle, id), false) AND own BETWEEN lo AND hi)),
+  n AS (SELECT category_id, area, count(*) AS npos FROM (SELECT category_id, ar.area FROM g, ar WHERE iscrowd = 0 AND g.area BETWEEN lo AND hi) GROUP BY ALL),
+  c AS (SELECT category_id, area, t, hit, score, image_id, id, sum(hit::INT) OVER w AS tps, sum(hit::INT) OVER w / (count(*) OVER w)::DOUBLE AS prec FROM f
+    WINDOW w AS (PARTITION BY category_id, area, t ORDER BY score DESC, image_id, id ROWS UNBOUNDED PRECEDING)),
+  pr AS (SELECT *, tps / npos::DOUBLE AS rec, max(prec) OVER (PARTITION BY category_id, area, t ORDER BY score, image_id DESC, id DESC ROWS UNBOUNDED PRECEDING) AS env
+    FROM c JOIN n USING (category_id, area) WHERE hit)"""
+
+
+@query("nms", f"""WITH RECURSIVE {LINES},
+  s AS (SELECT a.image_id, b.id, a.id AS better FROM p a JOIN p b ON a.image_id = b.image_id AND (a.score > b.score OR (a.score = b.score AND a.id < b.id))
+    WHERE greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)
+      / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0)
+         - greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)) > 0.1),
+  q AS (SELECT image_id, id, score, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, id) AS k,
+      coalesce((SELECT list(better) FROM s WHERE s.image_id = p.image_id AND s.id = p.id), []) AS beaten_by FROM p),
+  r AS (SELECT image_id, 0::BIGINT AS k, []::BIGINT[] AS kept FROM (SELECT DISTINCT image_id FROM p)
+    UNION ALL
+    SELECT image_id, q.k, CASE WHEN list_has_any(kept, beaten_by) THEN kept ELSE list_append(kept, id) END
+    FROM r JOIN q USING (image_id) WHERE q.k = r.k + 1),
+  last AS (SELECT image_id, unnest(arg_max(kept, k)) AS id FROM r GROUP BY image_id)
+  SELECT image_id, id, score FROM last JOIN p USING (image_id, id)""")
 def _(t):
     return D.nms(detections(t), 0.1).select("image_id", "id", "score")
 
@@ -86,12 +146,22 @@ def named_pairs(t):
     return pairs(t).select("image_id", F.col("a.id").alias("pred"), F.col("b.id").alias("gt"), "iou")
 
 
-@query("greedy_match")
+@query("greedy_match", f"""WITH RECURSIVE {LINES}, {_greedy_sql(['image_id'], 'iou', 'm')}
+  SELECT image_id, gt, pred, round(iou, 6) AS iou FROM m JOIN iou USING (image_id, gt, pred)""")
 def _(t):
     return D.greedy_match(named_pairs(t)).withColumn("iou", F.round("iou", 6))
 
 
-@query("proposal_recall")
+@query("proposal_recall", f"""WITH RECURSIVE {LINES}, {AREAS}, {THRESHOLDS}, lims(lim) AS (VALUES (100), (1000)),
+  top AS (SELECT image_id, id, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, id) AS rank FROM p),
+  pos AS (SELECT ar.area, image_id, id FROM g, ar WHERE iscrowd = 0 AND g.area BETWEEN lo AND hi),
+  pairs AS (SELECT area, lim, image_id, gt, pred, iou FROM iou JOIN pos USING (image_id) JOIN top USING (image_id), lims
+    WHERE pos.id = gt AND top.id = pred AND rank <= lim),
+  {_greedy_sql(['area', 'lim', 'image_id'], 'pairs', 'm')},
+  h AS (SELECT area, lim, t, count(*) AS hits FROM m JOIN iou USING (image_id, gt, pred), th WHERE iou >= t GROUP BY ALL),
+  n AS (SELECT area, count(*) AS num_pos FROM pos GROUP BY ALL)
+  SELECT area, lim, round(avg(coalesce(hits, 0) / num_pos), 6) AS ar, max(num_pos) AS num_pos
+  FROM n CROSS JOIN lims CROSS JOIN th LEFT JOIN h USING (area, lim, t) GROUP BY area, lim""")
 def _(t):
     r = D.proposal_recall(detections(t), targets(t))
     return r.groupBy("area", "lim").agg(F.round(F.avg("recall"), 6).alias("ar"), F.max("num_pos").alias("num_pos"))
@@ -109,14 +179,25 @@ def _(t):
     return r.select("threshold", "hits", F.round("recall", 6).alias("recall"))
 
 
-@query("coco_ap")
+@query("coco_ap", f"""WITH RECURSIVE {OVERLAPS}, {AREAS}, {THRESHOLDS},
+  k AS (SELECT *, (x1 - x0) * (y1 - y0) AS area, id AS det FROM p QUALIFY row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, id) <= 100),
+  kk AS (SELECT image_id, category_id, det FROM k), {_matched_sql('kk', 'ar, th')}, {AP_CURVE},
+  best AS (SELECT category_id, area, t, p, coalesce((SELECT max(prec) FROM pr WHERE pr.category_id = n.category_id AND pr.area = n.area AND pr.t = th.t AND rec >= p * 0.01), 0) AS prec
+    FROM n, th, range(0, 101) pts(p)),
+  ap AS (SELECT category_id, area, t, avg(prec) AS ap FROM best GROUP BY ALL)
+  SELECT round(100 * avg(ap) FILTER (area = 'all'), 4) AS ap, round(100 * avg(ap) FILTER (area = 'all' AND t = 0.5), 4) AS ap50,
+    round(100 * avg(ap) FILTER (area = 'all' AND t = 0.75), 4) AS ap75, round(100 * avg(ap) FILTER (area = 'small'), 4) AS aps,
+    round(100 * avg(ap) FILTER (area = 'medium'), 4) AS apm, round(100 * avg(ap) FILTER (area = 'large'), 4) AS apl FROM ap""")
 def _(t):
     return D.coco_summary(D.coco_ap(detections(t), targets(t))).select(
         *[F.round(c, 4).alias(c) for c in ("ap", "ap50", "ap75", "aps", "apm", "apl")]
     )
 
 
-@query("pascal_map")
+@query("pascal_map", f"""WITH RECURSIVE {OVERLAPS}, ar(area, lo, hi) AS (VALUES ('all', 0.0::DOUBLE, 1e10::DOUBLE)), th(t) AS (VALUES (0.5::DOUBLE)),
+  k AS (SELECT *, (x1 - x0) * (y1 - y0) AS area, id AS det FROM p),
+  kk AS (SELECT image_id, category_id, det FROM k), {_matched_sql('kk', 'ar, th')}, {AP_CURVE}
+  SELECT n.category_id, round(coalesce(sum(env) / max(n.npos), 0), 6) AS ap FROM n LEFT JOIN pr USING (category_id, area) GROUP BY n.category_id""")
 def _(t):
     return D.pascal_map(detections(t), targets(t)).withColumn("ap", F.round("ap", 6))
 

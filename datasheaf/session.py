@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,37 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_work_roots: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder name below the folder that driver and executors share.
+
+    Each application has one folder there for all its intermediate tables, removed when Python ends.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _work_roots:
+        _work_roots[app] = root = f"{checkpoint_dir(spark).rstrip('/')}/datasheaf-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), root)
+    return f"{_work_roots[app]}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(jvm, conf, folder: str) -> None:
+    """Best effort: at the end of Python the JVM may be gone already."""
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder: computed once, read by column, safe when executors are lost."""
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so an iteration survives lost executors."""
     checkpoint_dir(df.sparkSession)

@@ -203,3 +203,66 @@ def test_mean_best_iou_counts_lonely_targets(spark):
     got = D.mean_best_iou(D.overlapping_pairs(d, g.drop("iscrowd")), g).first()[0]
     best = [max((iou(p[3:7], q[3:7]) for p in dets if p[0] == q[0]), default=0.0) for q in gt]
     assert got == pytest.approx(sum(best) / len(best))
+
+
+def expected_nms(dets, limit):
+    kept = []
+    for im in {p[0] for p in dets}:
+        here = []
+        for p in sorted((p for p in dets if p[0] == im), key=lambda p: (-p[7], p[2])):
+            if all(iou(p[3:7], q[3:7]) <= limit for q in here):
+                here.append(p)
+        kept += here
+    return {(p[0], p[2]) for p in kept}
+
+
+@pytest.mark.parametrize("most", [1, 7, 60])
+def test_large_scopes_are_settled_in_stretches(spark, monkeypatch, most):
+    monkeypatch.setattr(D, "MAX_EDGES", most)
+    gt, dets = fixture(5, images=3, per=6)
+    g, d = frames(spark, gt, dets)
+    assert {(r.image_id, r.id) for r in D.nms(d, 0.3).collect()} == expected_nms(dets, 0.3)
+    from pyspark.sql import functions as F
+
+    pairs = D.overlapping_pairs(d, g.drop("iscrowd")).select("image_id", F.col("a.id").alias("pred"), F.col("b.id").alias("gt"), "iou")
+    got = {(r.image_id, r.gt, r.pred) for r in D.greedy_match(pairs).collect()}
+    want = set()
+    for im in range(3):
+        ps = [(iou(p[3:7], q[3:7]), q[2], p[2]) for p in dets for q in gt if p[0] == q[0] == im]
+        want |= {(im, a, b) for a, b, v in greedy([t for t in ps if t[0] > 0])}
+    assert got == want
+
+
+def test_matches_in_stretches(spark, monkeypatch):
+    gt, dets = fixture(6, images=3, per=6)
+    g, d = frames(spark, gt, dets)
+    whole = sorted(D.coco_matches(d, g, [0.3, 0.5], ["all", "small"]).collect())
+    monkeypatch.setattr(D, "MAX_EDGES", 4)
+    assert sorted(D.coco_matches(d, g, [0.3, 0.5], ["all", "small"]).collect()) == whole
+
+
+def test_a_long_chain_ends_in_few_rounds(spark, monkeypatch):
+    """Each of 10,000 boxes overlaps the next, slightly worse one: plain rounds would take 5,000."""
+    n = 10_000
+    dets = [(0, 1, i, float(i * 10), 0.0, float(i * 10 + 14), 10.0, 1 - i / n) for i in range(n)]
+    _, d = frames(spark, [(0, 1, 0, 0.0, 0.0, 1.0, 1.0, 1.0, 0)], dets)
+    rounds = []
+    read = D._read_in_order
+    monkeypatch.setattr(D, "_read_in_order", lambda *a: rounds.append(1) or read(*a))
+    assert {r.id for r in D.nms(d, 0.1, first_tier=n).select("id").collect()} == set(range(0, n, 2))
+    assert len(rounds) == 1
+
+
+def test_boxes_of_very_different_sizes(spark):
+    """One box a million times the others, which lie side by side: no cell holds more than a few small ones."""
+    side = 200
+    small = [(0, 1, i, float(i % side), float(i // side), i % side + 0.9, i // side + 0.9, 0.5) for i in range(side * side)]
+    huge = (0, 1, side * side, -5e5, -5e5, 5e5, 5e5, 0.9)
+    flat = (0, 1, side * side + 1, 3.0, 3.0, 3.0, 9.0, 0.9)
+    _, d = frames(spark, [(0, 1, 0, 0.0, 0.0, 1.0, 1.0, 1.0, 0)], [*small, huge, flat])
+    pairs = D.overlapping_pairs(d, d).selectExpr("a.id AS a", "b.id AS b")
+    # Every box with itself, and the huge one with each small one both ways.
+    assert pairs.count() == side * side + 1 + 2 * side * side
+    assert pairs.filter("a = b").count() == side * side + 1
+    assert D._listed(D._sized(d).withColumn("__own", D.F.lit(0)), "a", ["image_id"], D.F.lit(0)).filter("a.id < 40000").groupBy(
+        "__cx", "__cy").count().agg({"count": "max"}).first()[0] <= 4

@@ -1,6 +1,7 @@
 """Positions and running aggregates against plain Python, over many ranges and hot groups."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,7 +71,50 @@ def test_running(df, how, start, inclusive, size):
 
 
 def test_ranges_are_really_many(df):
-    assert len(P._cuts(df, [("g", False), ("id", False)], 10)) > 20
+    rows = P.placed(df, [("g", False), ("id", False)], 10)
+    assert rows.select(P._RANGE).distinct().count() > 40
+
+
+def test_five_thousand_ranges(spark):
+    df = spark.range(10_000).select((F.col("id") * 7919 % 20_011).alias("k"), (F.col("id") % 3).alias("g"), F.lit(2).cast("long").alias("v"))
+    rows = {r.k: r for r in df.collect()}
+    order = sorted(rows)
+    got = {r.k: r.pos for r in P.global_index(df, "k", rows_per_range=2).collect()}
+    assert got == {k: i for i, k in enumerate(order)}
+
+
+def test_hot_groups_go_through_ranges(df, monkeypatch):
+    monkeypatch.setattr(P, "ROWS_PER_GROUP", 50)
+    got = {r.id: r.pos for r in P.group_index(df, "g", ["-x", "id"]).collect()}
+    monkeypatch.setattr(P, "ROWS_PER_GROUP", 10**6)
+    assert got == {r.id: r.pos for r in P.group_index(df, "g", ["-x", "id"]).collect()}
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_sums_of_several_columns(df, inclusive):
+    values = {"a": F.col("v"), "b": F.col("x"), "n": None}
+    state = {"a": 0, "b": 0.0, "n": 0}
+    got = {r.id: r for r in P.running_many(df, values, "id", inclusive=inclusive, rows_per_range=40).collect()}
+    for _, x, i, v in sorted(rows(), key=lambda r: r[2]):
+        after = {"a": state["a"] + v, "b": state["b"] + (x or 0), "n": state["n"] + 1}
+        want = after if inclusive else state
+        assert (got[i].a, got[i].b, got[i].n) == (want["a"], pytest.approx(want["b"]), want["n"])
+        assert got[i].v == v and got[i].x == x
+        state = after
+
+
+def test_input_is_read_twice_at_most(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(1000).mapInArrow(count, "id long")
+    out = P.running(df, F.col("id"), "-id", how="max", out="m")
+    assert out.count() == 1000 and out.agg(F.min("m")).first()[0] == 999
+    assert seen.value <= 2000
 
 
 def test_instants_as_keys(spark):
@@ -82,7 +126,11 @@ def test_instants_as_keys(spark):
 
 def test_plan_spreads_the_order(df):
     plan = P.global_index(df, "id", rows_per_range=50)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(__ds_range" in plan and "SinglePartition" not in plan
+    # Only the counts of the ranges, a row each, meet in one task.
+    assert plan.count("SinglePartition") == 1 and "BroadcastHashJoin" in plan
+    assert re.search(r"Exchange SinglePartition.*\n.*HashAggregate\(keys=\[__ds_range", plan)
+    plan = P.group_index(df, "g", "id", rows_per_range=50)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(g#\d+, __ds_range", plan)
 
 
 def test_no_rows(spark):

@@ -5,12 +5,15 @@ different orders of the tokens, and then the full sets are compared.
 
 * A node's window under an order is its first WINDOW tokens. Under a random order each of the first tokens
   of two sets' union is outside their intersection with probability 0.2 at most, so linked sets share
-  LEAST_SHARED tokens of both windows but for a probability below 1e-14. Sets that fit into the window
-  are compared by their exact bound.
+  LEAST_SHARED tokens of both windows but for a rare accident (below 1e-14; with the ENOUGH deciding tokens
+  below about 1e-11 a pair). Sets that fit into the window are compared by their exact bound.
 * First the nodes that share one of the leading tokens are compared with one node of that group, a star
-  of linear size, and the components of these links are contracted.
-* Then all pairs from different components that share a window token under the first order are
-  candidates. Tokens that more than COMMON components hold are left out; a node that still has enough
+  of linear size. Links among them give components, and all that is at least roughly alike gives families.
+* A family of several components is compared as a whole, in pairs of blocks of BLOCK nodes each: a task
+  counts the shared shingles of two blocks by an index of their tokens and returns only links that join
+  two components. So texts that are alike by a little less than the threshold never become rows of pairs.
+* Then all pairs from different families that share a window token under the first order are
+  candidates. Tokens that more than COMMON families hold are left out; a node that still has enough
   other tokens cannot miss a partner by that (`light`).
 * The other nodes, mostly made of common tokens, meet under a third order: rarest first, by exact counts
   among such nodes, with the exact prefix of floor(n / 5) + 1 tokens and no token left out.
@@ -29,8 +32,11 @@ from pyspark.sql import functions as F
 
 from datasheaf.llm.common import sliced, whole_row, written
 from datasheaf.llm.components import components
+from datasheaf.operators.positions import group_index
 
 SHINGLE, WINDOW, LEADING, COMMON, LEAST_SHARED, ENOUGH = 5, 40, 4, 12, 10, 28
+# Nodes of a block, and the shared part of the windows (in percent) that makes a family.
+BLOCK, ALIKE = 256, 65
 CHUNK_BYTES = 1 << 20
 # Ids with their nodes are sent to every task up to this many (some 50 MB); beyond that the texts are joined by a shuffle.
 SENT_IDS = 500_000
@@ -124,26 +130,28 @@ def node_of(s: np.ndarray) -> bytes | None:
 
 
 def texts_only(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, text and its hash, which tells rows of one id (or none) apart."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("text_hash", F.xxhash64("text"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n and both windows of every row."""
-    names = ["doc_id", "node", "n", "w1", "w2"]
+    """doc_id, text_hash, node, n and both windows of every row."""
+    names = ["doc_id", "text_hash", "node", "n", "w1", "w2"]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for b in sliced(batches):
             sets = shingle_sets(b["text"].to_pylist(), powers)
             w = [windows(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array([node_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                [b["doc_id"], b["text_hash"], pa.array([node_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                  lists([x for x, _ in w]), lists([y for _, y in w])], names)
-    return texts_only(docs).mapInArrow(run, "doc_id long, node binary, n long, w1 array<long>, w2 array<long>")
+    return texts_only(docs).mapInArrow(run, "doc_id long, text_hash long, node binary, n long, w1 array<long>, w2 array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """nid and sorted shingles of the wanted nodes (nid, doc_id, node), computed again from their texts."""
-    wanted = written(wanted.select("nid", F.col("doc_id").alias("id"), F.col("node").alias("expected")), "wanted")
+    """nid and sorted shingles of the wanted nodes (nid, doc_id, text_hash, node), computed again from their texts."""
+    wanted = written(wanted.select("nid", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("node").alias("expected")), "wanted")
     count = wanted.count()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -154,7 +162,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield out.filter(keep)
     texts = texts_only(docs)
     side = F.broadcast(wanted) if count <= SENT_IDS else wanted
-    rows = texts.join(side, texts["doc_id"].eqNullSafe(side["id"])).select("nid", "text", "expected")
+    same = texts["doc_id"].eqNullSafe(side["id"]) & (texts["text_hash"] == side["hash"])
+    rows = texts.join(side, same).select("nid", "text", "expected")
     sets = written(rows.mapInArrow(run, "nid long, shingles binary"), "sets")
     # More rows than nodes: some row is repeated with its id.
     return sets if sets.count() == count else written(sets.dropDuplicates(["nid"]), "sets")
@@ -171,12 +180,15 @@ def windows_fit(a1: Column, b1: Column, na: Column, nb: Column) -> Column:
 
 
 def fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) that may be similar by their sizes and both windows."""
+    """The pairs (u, v) that may be similar by their sizes and both windows, and whether the windows are much `alike`."""
     side = lambda x: nodes.select(F.col("nid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "w1", "w2")])
     near = pairs.join(side("u"), "u").join(side("v"), "v").filter(sizes_fit(F.col("u_n"), F.col("v_n")))
+    alike = F.lit(True)
     for w in ("w1", "w2"):
         near = near.filter(windows_fit(F.col(f"u_{w}"), F.col(f"v_{w}"), F.col("u_n"), F.col("v_n")))
-    return written(near.select("u", "v"), "fitting")
+        shared = F.size(F.array_intersect(f"u_{w}", f"v_{w}"))
+        alike &= shared * 100 >= F.least(F.greatest("u_n", "v_n"), F.lit(WINDOW)) * ALIKE
+    return written(near.select("u", "v", alike.alias("alike")), "fitting")
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -198,6 +210,76 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long")
 
 
+def shared_counts(token_lists: list[np.ndarray], rows: range) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of `rows`: how many tokens it shares with every list, by an index of the lists that hold a token."""
+    sizes = np.array([len(t) for t in token_lists])
+    owner = np.repeat(np.arange(len(token_lists)), sizes)
+    _, ids = np.unique(np.concatenate(token_lists), return_inverse=True)
+    order = np.argsort(ids, kind="stable")
+    holders, ends = owner[order], np.cumsum(np.bincount(ids))
+    starts = np.r_[0, ends[:-1]]
+    first = np.r_[0, np.cumsum(sizes)]
+    for i in rows:
+        own = ids[first[i]:first[i + 1]]
+        yield i, np.bincount(np.concatenate([holders[starts[t]:ends[t]] for t in own]), minlength=len(token_lists))
+
+
+def links_of_blocks(comps: list[int], token_lists: list[np.ndarray], left: int) -> list[tuple[int, int]]:
+    """Links between the first `left` nodes and all nodes that join components which no other link here has joined."""
+    up: dict[int, int] = {c: c for c in comps}
+    def find(c: int) -> int:
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+    sizes = np.array([len(t) for t in token_lists])
+    out = []
+    for i, both in shared_counts(token_lists, range(left)):
+        for j in np.flatnonzero(100 * both >= 80 * (sizes + sizes[i] - both)):
+            a, b = find(comps[i]), find(comps[j])
+            if a != b:
+                up[a] = b
+                out.append((i, int(j)))
+    return out
+
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each pair of blocks; rows come sorted by family, pair and block."""
+    held: list[tuple] = []
+    def links() -> pa.RecordBatch:
+        here = [r[4:] for r in held]
+        left = sum(r[3] == held[0][1] for r in held)
+        found = links_of_blocks([c for _, c, _ in here], [t for _, _, t in here], left)
+        ends = list(zip(*[(here[i][0], here[j][0]) for i, j in found], strict=True)) or [[], []]
+        return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["u", "v"])
+    for b in batches:
+        columns = [b[c].to_pylist() for c in ("fam", "lo", "hi", "block", "nid", "comp")]
+        for *row, s in zip(*columns, b["shingles"], strict=True):
+            if held and held[0][:3] != tuple(row[:3]):
+                yield links()
+                held = []
+            held.append((*row, np.frombuffer(s.as_py(), np.uint64)))
+    if held:
+        yield links()
+
+
+def within_families(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between components of one family; members: nid, comp, fam. Few enough to join what is linked."""
+    placed = written(group_index(members, "fam", ["comp", "nid"], out="at"), "members")
+    placed = placed.withColumn("block", F.floor(F.col("at") / BLOCK).cast("long"))
+    blocks = placed.groupBy("fam", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    side = lambda x: blocks.select("fam", F.col("block").alias(x), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high"))
+    # Blocks are sorted by component: two that lie in one component need not be compared.
+    settled = (F.col("lo_low") == F.col("lo_high")) & (F.col("hi_low") == F.col("hi_high")) & (F.col("lo_low") == F.col("hi_low"))
+    pairs = side("lo").join(side("hi"), "fam").filter((F.col("lo") <= F.col("hi")) & ~settled).select("fam", "lo", "hi")
+    pairs = written(pairs, "block-pairs")
+    ends = [pairs.withColumn("block", F.col("lo")), pairs.filter("lo < hi").withColumn("block", F.col("hi"))]
+    rows = placed.join(ends[0].unionByName(ends[1]), ["fam", "block"])
+    rows = rows.join(sets, "nid").select("fam", "lo", "hi", "block", "nid", "comp", "shingles")
+    keys = ["fam", "lo", "hi"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "block", "nid").mapInArrow(compared, "u long, v long")
+
+
 def stars(nodes: DataFrame) -> DataFrame:
     """Pairs of each node with one node of its size for each leading token that they share.
 
@@ -213,18 +295,18 @@ def stars(nodes: DataFrame) -> DataFrame:
 
 
 def across(posts: DataFrame) -> DataFrame:
-    """Pairs of nodes from different components that have a token in common; posts: nid, n, comp, token, pos.
+    """Pairs of nodes from different families that have a token in common; posts: nid, n, fam, token, pos.
 
     `pos` is the token's place in the node's order, from 0. At the first token that two nodes share, no
     more can be shared than what either has from there on; a pair that could not be similar even so is not
     made. A similar pair always passes at its first shared token.
     """
-    held = posts.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+    held = posts.groupBy("token").agg(F.min("fam").alias("x"), F.max("fam").alias("y")).filter("x <> y").select("token")
     few = posts.join(held, "token")
-    side = lambda x: few.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("nid", "n", "comp", "pos")])
+    side = lambda x: few.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("nid", "n", "fam", "pos")])
     most = F.least(F.col("u_n") - F.col("u_pos"), F.col("v_n") - F.col("v_pos"))
     possible = (most * 9 >= (F.col("u_n") + F.col("v_n")) * 4) & sizes_fit(F.col("u_n"), F.col("v_n"))
-    apart = (F.col("u_comp") != F.col("v_comp")) & (F.col("u_nid") < F.col("v_nid"))
+    apart = (F.col("u_fam") != F.col("v_fam")) & (F.col("u_nid") < F.col("v_nid"))
     pairs = side("u").join(side("v"), "token").filter(apart & possible)
     return pairs.select(F.col("u_nid").alias("u"), F.col("v_nid").alias("v")).distinct()
 
@@ -232,21 +314,21 @@ def across(posts: DataFrame) -> DataFrame:
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each shingle."""
     for b in batches:
-        for nid, n, comp, s in zip(*[b[c].to_pylist() for c in ("nid", "n", "comp")], b["shingles"], strict=True):
+        for nid, n, fam, s in zip(*[b[c].to_pylist() for c in ("nid", "n", "fam")], b["shingles"], strict=True):
             t = np.frombuffer(s.as_buffer(), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(np.full(len(t), x, np.int64)) for x in (nid, n, comp)], pa.array(t)], ["nid", "n", "comp", "token"])
+                [*[pa.array(np.full(len(t), x, np.int64)) for x in (nid, n, fam)], pa.array(t)], ["nid", "n", "fam", "token"])
 
 
 def rarest_first(heavy: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs among heavy nodes (nid, n, comp) that share a token of their exact prefixes, rarest tokens first."""
-    every = heavy.join(sets, "nid").select("nid", "n", "comp", "shingles")
-    every = written(every.mapInArrow(unpacked, "nid long, n long, comp long, token long"), "heavy-tokens")
-    often = every.select("token", "comp").distinct().groupBy("token").agg(F.count("*").alias("df"))
-    ranked = every.join(often, "token").groupBy("nid", "n", "comp").agg(
+    """Pairs among heavy nodes (nid, n, fam) that share a token of their exact prefixes, rarest tokens first."""
+    every = heavy.join(sets, "nid").select("nid", "n", "fam", "shingles")
+    every = written(every.mapInArrow(unpacked, "nid long, n long, fam long, token long"), "heavy-tokens")
+    often = every.select("token", "fam").distinct().groupBy("token").agg(F.count("*").alias("df"))
+    ranked = every.join(often, "token").groupBy("nid", "n", "fam").agg(
         F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
     prefix = F.slice("order", F.lit(1), (F.floor(F.col("n") / 5) + 1).cast("int"))
-    return across(ranked.select("nid", "n", "comp", F.posexplode(F.transform(prefix, lambda x: x["token"])).alias("pos", "token")))
+    return across(ranked.select("nid", "n", "fam", F.posexplode(F.transform(prefix, lambda x: x["token"])).alias("pos", "token")))
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -259,33 +341,43 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tokens = nodes.select("nid", "n", F.explode("w1").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
     posts = written(tokens.join(shared, "token"), "posts")
-    name = lambda pairs: pairs.join(nodes.select("nid", "doc_id", "node"), "nid")
+    name = lambda ids: ids.join(nodes.select("nid", "doc_id", "text_hash", "node"), "nid")
 
     pairs = fitting(stars(nodes), nodes)
     sets = full_sets(docs, name(ends_of(pairs)))
-    first = components(verified(pairs, sets)).select(F.col("u").alias("nid"), F.col("v").alias("comp"))
-    comp = F.coalesce("comp", "nid").alias("comp")
-    posts = written(posts.join(first, "nid", "left").select("nid", "n", comp, "token"), "posts")
-
-    common = posts.select("token", "comp").distinct().groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > COMMON)
+    links = written(verified(pairs.select("u", "v"), sets), "links")
+    first = components(links).select(F.col("u").alias("nid"), F.col("v").alias("comp"))
+    alike = pairs.filter("alike").select("u", "v").unionByName(links)
+    families = components(alike).select(F.col("u").alias("nid"), F.col("v").alias("fam"))
+    # Everything in a family is an end of a pair, so its set is there.
+    heads = families.select(F.col("fam").alias("nid")).distinct().withColumn("fam", F.col("nid"))
+    members = families.unionByName(heads).join(first, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+    members = written(members, "families")
+    several = members.groupBy("fam").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("fam")
+    inner = within_families(members.join(several, "fam", "left_semi"), sets)
+    fam = F.coalesce("fam", "nid").alias("fam")
+    posts = written(posts.join(families, "nid", "left").select("nid", "n", fam, "token"), "posts")
+
+    common = posts.select("token", "fam").distinct().groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > COMMON)
     common = written(common.select("token"), "common-tokens")
     # In the order that puts common tokens last, the first ones of a window decide for light nodes;
     # nodes with too few that are not common meet again among themselves.
     lost = posts.join(common, "token").groupBy("nid").agg(F.collect_set("token").alias("lost"))
-    rest = nodes.join(first, "nid", "left").join(lost, "nid", "left").withColumn("comp", comp)
+    rest = nodes.join(families, "nid", "left").join(lost, "nid", "left").withColumn("fam", fam)
     rest = rest.withColumn("rest", F.array_except("w1", F.coalesce("lost", F.array().cast("array<long>"))))
     enough = F.least(F.floor(F.col("n") / 5) + 1, F.lit(ENOUGH)).cast("int")
-    heavy = written(rest.filter(F.size("rest") < enough).select("nid", "n", "comp"), "heavy")
-    decisive = rest.select("nid", "n", "comp", F.posexplode(F.slice("rest", F.lit(1), enough)).alias("pos", "token"))
+    heavy = written(rest.filter(F.size("rest") < enough).select("nid", "n", "fam"), "heavy")
+    decisive = rest.select("nid", "n", "fam", F.posexplode(F.slice("rest", F.lit(1), enough)).alias("pos", "token"))
     pairs = fitting(across(decisive.join(shared, "token", "left_semi")), nodes)
 
     more = ends_of(pairs).unionByName(heavy.select("nid")).distinct().join(sets.select("nid"), "nid", "left_anti")
     sets = sets.unionByName(full_sets(docs, name(more)))
     if not heavy.isEmpty():
-        pairs = pairs.unionByName(fitting(rarest_first(heavy, sets), nodes)).distinct()
-    links = first.select(F.col("nid").alias("u"), F.col("comp").alias("v")).unionByName(verified(pairs, sets))
+        pairs = pairs.unionByName(fitting(rarest_first(heavy, sets), nodes))
+    pairs = pairs.select("u", "v").distinct()
+    links = links.unionByName(inner).unionByName(verified(pairs, sets))
     last = components(links).select(F.col("u").alias("nid"), F.col("v").alias("comp"))
-    return rows, nodes.select("nid", "node").join(last, "nid", "left").select("node", comp)
+    return rows, nodes.select("nid", "node").join(last, "nid", "left").select("node", F.coalesce("comp", "nid").alias("comp"))
 
 
 def joined(docs: DataFrame) -> DataFrame:

@@ -156,6 +156,39 @@ def test_near_copies_without_the_first_contraction(spark, monkeypatch):
     assert got == components_by_hand(texts)
 
 
+@pytest.mark.parametrize("block", [5, 256])
+def test_family_a_little_below_the_threshold(spark, monkeypatch, block):
+    """Texts alike by 0.7 to 0.85: some links only, all of one family, compared in blocks and not as rows of pairs."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r = random.Random(block)
+    base = [f"b{i}" for i in range(200)]
+    texts = {}
+    for k in range(90):
+        copy = list(base)
+        for at in r.sample(range(200), r.choice([1, 3, 4, 5, 6])):
+            copy[at] = f"x{r.random()}"
+        texts[k] = " ".join(copy)
+    want = components_by_hand(texts)
+    assert 5 < len({c for _, c in want.values()}) < 90
+    made = []
+    across = jaccard.across
+    monkeypatch.setattr(jaccard, "across", lambda posts: made.append(across(posts)) or made[-1])
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.joined(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want and sum(m.count() for m in made) == 0
+
+
+def test_blocks_return_few_links():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 40, 60, dtype=np.uint64)) for _ in range(30)]
+    links = jaccard.links_of_blocks(list(range(30)), sets, 30)
+    similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+    assert 0 < len(links) < 30 and all(similar(sets[i], sets[j]) for i, j in links)
+    groups = {i: i for i in range(30)}
+    for i, j in links:
+        groups = {k: groups[i] if g == groups[j] else g for k, g in groups.items()}
+    assert all(groups[i] == groups[j] for i in range(30) for j in range(30) if similar(sets[i], sets[j]))
+
+
 def test_near_copies_of_the_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{ROOT}/documents.parquet").collect()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op8_jaccard_join"](spark, ROOT).collect()}

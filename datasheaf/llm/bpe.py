@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datasheaf.llm.common import whole_row
+from datasheaf.llm.common import sliced, whole_row
 
 MEMORY_PIECES = 400_000
 LONGEST_REMEMBERED = 64
@@ -250,14 +250,39 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     framed = docs.select(whole_row(docs, [c for c in docs.columns if c != ids]), F.col(f"`{text}`").alias("text"))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = of_worker(held, "encoder", lambda v: Encoder(Automaton(v)))
-        for b in batches:
-            out = [np.frombuffer(e.text(t or ""), "<u4").astype(np.int32) for t in b["text"].to_pylist()]
-            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([b["row"], pa.ListArray.from_arrays(pa.array(ends), flat)], ["row", "out"])
+        for b in sliced(batches):
+            out = [np.frombuffer(e.text(t or ""), "<i4") for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["row"], id_lists(out)], ["row", "out"])
     return with_column(framed, run, T.ArrayType(T.IntegerType()), ids)
 
 
+def id_lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
+
+
+def encode_exactly(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", exact: str = "exact") -> DataFrame:
+    """`docs` with the token ids of `text` and whether decoding them gives it again; a null text is empty.
+
+    Both in one pass over few rows at a time: a worker builds one automaton and holds the ids of one slice.
+    The two columns replace columns of their names; rows are kept as they are, repeated ones as well.
+    """
+    held = shared(docs.sparkSession, path)
+    framed = docs.select(whole_row(docs, [c for c in docs.columns if c not in (ids, exact)]), F.col(f"`{text}`").alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = of_worker(held, "encoder", lambda v: Encoder(Automaton(v)))
+        for b in sliced(batches, 128):
+            out, same = [], []
+            for t in b["text"]:
+                given = t.as_py() or ""
+                out.append(np.frombuffer(e.text(given), "<i4"))
+                same.append(e.automaton.decode(out[-1].tolist()) == given)
+            yield pa.RecordBatch.from_arrays([b["row"], id_lists(out), pa.array(same, pa.bool_())], ["row", "ids", "exact"])
+    kinds = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())]
+    rows = framed.mapInArrow(run, T.StructType([framed.schema["row"], *kinds]))
+    return rows.select("row.*", F.col("ids").alias(ids), F.col("exact").alias(exact))
+
+
 def with_column(framed: DataFrame, run: Callable, kind: T.DataType, name: str) -> DataFrame:
     """The rows of `framed` (row, ...) unpacked, with the column that `run` adds to them."""
     schema = T.StructType([framed.schema["row"], T.StructField("out", kind)])
@@ -270,7 +295,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
     framed = tokens.select(whole_row(tokens, [c for c in tokens.columns if c != text]), F.col(f"`{ids}`").alias("ids"))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = of_worker(held, "automaton", Automaton)
-        for b in batches:
+        for b in sliced(batches):
             out = pa.array([None if x is None else a.decode(x) for x in b["ids"].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b["row"], out], ["row", "out"])
     return with_column(framed, run, T.StringType(), text)

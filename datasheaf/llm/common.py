@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datasheaf.session import checkpoint_dir
+from datasheaf.session import work_folder, written
 
 # A table is sent to every executor only when it was counted and has at most this many rows.
 SMALL_ROWS = 20_000
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the folder that driver and executors share."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder: computed once, and safe when executors are lost."""
-    folder = work_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
-
-
 def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a table of `rows` counted rows when that is few; otherwise leave the choice to Spark."""
     return F.broadcast(df) if rows <= SMALL_ROWS else df
@@ -43,15 +30,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def drawn(ids: DataFrame, salt: str, rows: int) -> DataFrame:
-    """At most `rows` rows of `ids` (doc_id), the same on every run: those with the smallest md5."""
+    """At most `rows` distinct ids of `ids` (doc_id), the same on every run: those with the smallest md5."""
     key = F.md5(F.concat(F.lit(salt + ":"), F.col("doc_id").cast("string")))
-    return ids.filter("doc_id is not null").select("doc_id").orderBy(key, "doc_id").limit(rows)
+    return ids.filter("doc_id is not null").select("doc_id").distinct().orderBy(key, "doc_id").limit(rows)
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of a bounded draw of ids, joined where the documents are: the ids go to every task."""
+    """One text for each id of a bounded draw, joined where the documents are: the ids go to every task.
+
+    Of rows with one id the least text is taken, so the result is no larger than the draw.
+    """
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return text.join(F.broadcast(ids), "doc_id")
+    others = [c for c in ids.columns if c != "doc_id"]
+    return text.join(F.broadcast(ids), "doc_id").groupBy("doc_id", *others).agg(F.min("text").alias("text"))
 
 
 def whole_row(df: DataFrame, columns: Iterable[str] | None = None) -> Column:

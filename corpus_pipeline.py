@@ -21,12 +21,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least 0.3."""
+    """Documents whose quality score is at least 0.3; a null text is scored as an empty one, repeated rows alike."""
     return quality.keep(docs, quality.fit(docs, labels(spark, sf_dir)))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5."""
+    """Documents whose toxicity score is below 0.5; a null text is scored as an empty one, repeated rows alike."""
     return toxicity.keep(docs, toxicity.fit(docs, labels(spark, sf_dir)))
 
 
@@ -41,11 +41,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, the token ids, and whether decoding them gives the text again."""
-    path = public_tokenizers.path(TOKENIZER)
-    rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    both = bpe.decode(bpe.encode(rows, path), path)
-    return both.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("text") == F.col("decoded")).alias("exact"))
+    """doc_id, source, n_tokens, the token ids, and whether decoding them gives the text again.
+
+    A null text is empty; repeated rows stay; an empty table gives none.
+    """
+    rows = docs.select("doc_id", "source", "text")
+    both = bpe.encode_exactly(rows, public_tokenizers.path(TOKENIZER))
+    return both.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
 
 
 STAGES = [

@@ -52,13 +52,33 @@ def oks(pred: Column, gold: Column, sigmas: list[float], area: Column) -> Column
     Mean over the labelled keypoints of exp(-d^2 / (2 * area * (2*sigma)^2)); NULL when none
     is labelled.
     """
-    def term(k: int) -> tuple[Column, Column]:
-        dx = F.element_at(pred, 3 * k + 1) - F.element_at(gold, 3 * k + 1)
-        dy = F.element_at(pred, 3 * k + 2) - F.element_at(gold, 3 * k + 2)
-        seen = F.element_at(gold, 3 * k + 3) > 0
-        e = (dx * dx + dy * dy) / (F.lit((2 * sigmas[k]) ** 2) * area * 2.0)
-        return F.when(seen, F.exp(-e)).otherwise(0.0), seen.cast("int")
-
-    sims, seen = zip(*[term(k) for k in range(len(sigmas))])
-    n = sum(seen[1:], seen[0])
-    return F.when(n > 0, sum(sims[1:], sims[0]) / n)
+    spread = F.lit([float(s) for s in sigmas])
+
+    def term(s: Column, k: Column) -> Column:
+        dx = F.get(pred, 3 * k) - F.get(gold, 3 * k)
+        dy = F.get(pred, 3 * k + 1) - F.get(gold, 3 * k + 1)
+        e = (dx * dx + dy * dy) / (F.pow(2 * s, F.lit(2.0)) * area * 2.0)
+        return F.when(F.get(gold, 3 * k + 2) > 0, F.exp(-e))
+
+    return _mean(F.array_compact(F.transform(spread, term)))
+
+
+def _mean(values: Column) -> Column:
+    """Mean of an array; NULL when it is empty."""
+    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+    return F.when(F.size(values) > 0, total / F.size(values))
+
+
+def box_keypoint_similarity(pred: Column, x0: Column, y0: Column, x1: Column, y1: Column, sigmas: list[float], area: Column) -> Column:
+    """As `oks`, for a box without labelled keypoints: each keypoint's distance from the box with twice its size around it."""
+    wide, high = x1 - x0, y1 - y0
+
+    def outside(v: Column, lo: Column, hi: Column) -> Column:
+        return F.greatest(F.lit(0.0), lo - v) + F.greatest(F.lit(0.0), v - hi)
+
+    def term(s: Column, k: Column) -> Column:
+        dx = outside(F.get(pred, 3 * k), x0 - wide, x1 + wide)
+        dy = outside(F.get(pred, 3 * k + 1), y0 - high, y1 + high)
+        return F.exp(-(dx * dx + dy * dy) / (F.pow(2 * s, F.lit(2.0)) * area * 2.0))
+
+    return _mean(F.transform(F.lit([float(s) for s in sigmas]), term))

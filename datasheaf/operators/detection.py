@@ -10,6 +10,7 @@ order.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from datasheaf.functions import boxes as B
 from datasheaf.operators.graph import connected_components
 from datasheaf.operators.positions import group_index, running, running_many
 from datasheaf.operators.sets import top_n_per_group
-from datasheaf.session import materialize
+from datasheaf.session import materialize, written
 
 # The area ranges, inclusive at both ends.
 AREA_RANGES = [
@@ -534,7 +535,7 @@ def all_point_ap(curve: DataFrame, npos: DataFrame, thresholds: Sequence[float])
 
 
 def coco_ap(dets: DataFrame, gt: DataFrame, areas: Sequence[str] = ("all", "small", "medium", "large"),
-            pairs: DataFrame | None = None) -> DataFrame:
+            pairs: DataFrame | None = None, max_dets: int = 100) -> DataFrame:
     """`category_id`, `area`, `threshold`, `ap` in 0..1; see `coco_summary`."""
     dets, gt = materialize(dets), materialize(gt)  # both are read several times
     names = [r[0] for r in AREA_RANGES if r[0] in areas]
@@ -542,7 +543,7 @@ def coco_ap(dets: DataFrame, gt: DataFrame, areas: Sequence[str] = ("all", "smal
     out = None
     for part in (names[i:i + size] for i in range(0, len(names), size)):
         npos = ground_truth_counts(gt, part)
-        matches = materialize(coco_matches(dets, gt, IOU_THRESHOLDS, part, pairs=pairs))
+        matches = materialize(coco_matches(dets, gt, IOU_THRESHOLDS, part, max_dets, pairs))
         ap = interpolated_ap(precision_recall(matches, npos, IOU_THRESHOLDS, part), npos, IOU_THRESHOLDS)
         out = ap if out is None else out.unionByName(ap)
     return out
@@ -573,6 +574,98 @@ def pascal_map(dets: DataFrame, gt: DataFrame, iou: float = 0.5) -> DataFrame:
     return all_point_ap(precision_recall(matches, npos, [iou]), npos, [iou]).select("category_id", "ap")
 
 
+# The spread of each of the 17 body keypoints, and the detections of an image that count.
+OKS_SIGMAS = [
+    0.026, 0.025, 0.025, 0.035, 0.035, 0.079, 0.079, 0.072, 0.072, 0.062, 0.062, 0.107, 0.107, 0.087, 0.087, 0.089, 0.089,
+]
+KEYPOINT_MAX_DETS = 20
+
+
+def pixel_keypoints(keypoints: Column) -> Column:
+    """Predicted keypoints (x, y, score, ...) moved by half a pixel, as annotations count pixels."""
+    return F.transform(keypoints, lambda v, i: F.when(i % 3 == 2, v).otherwise(v - 0.5))
+
+
+def keypoint_pairs(dets: DataFrame, gt: DataFrame, sigmas: Sequence[float], least: float) -> DataFrame:
+    """image_id, category_id, a (id, score), b (id, area, iscrowd), iou: pairs whose similarity is `least` or more.
+
+    dets: image_id, category_id, id, score, keypoints; gt: image_id, category_id, id, keypoints, area, iscrowd
+    and a box. A mean of `least` needs one keypoint with as much, which bounds its distance: the keypoint of
+    the detection lies in a square around that of the ground truth, whose size follows from its area and
+    spread. So candidates come from the spatial join, keypoint by keypoint, and not from all pairs. Ground truth
+    without a labelled keypoint is compared by the distance from its box made three times as large.
+    """
+    by = ["image_id", "category_id"]
+    reach = F.lit([2 * s * math.sqrt(-2 * math.log(least)) for s in sigmas])
+    ks = F.sequence(F.lit(0), F.lit(len(sigmas) - 1))
+    at = lambda k, d: F.get("keypoints", F.col("k") * 3 + d).cast("double")
+    held = [F.col(c) for c in ("image_id", "category_id", "id")]
+    labelled = F.exists(F.transform("keypoints", lambda v, i: (i % 3 == 2) & (v > 0)), lambda x: x)
+    points = dets.select(*held, F.explode(ks).alias("k"), "keypoints").select(
+        *by, "k", "id", (at("k", 0) - TINY).alias("x0"), (at("k", 1) - TINY).alias("y0"), (at("k", 0) + TINY).alias("x1"),
+        (at("k", 1) + TINY).alias("y1"))
+    truth = gt.withColumn("free", ~labelled)
+    r = F.get(reach, F.col("k")) * F.sqrt("area") + 2 * TINY
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+
+    def side(lo: Column, hi: Column, d: int) -> tuple[Column, Column]:
+        """Where the keypoint may lie: around its own place, or around the enlarged box."""
+        return F.when(F.col("free"), lo).otherwise(at("k", d)) - r, F.when(F.col("free"), hi).otherwise(at("k", d)) + r
+
+    (x0, x1) = side(F.col("x0") - wide, F.col("x1") + wide, 0)
+    (y0, y1) = side(F.col("y0") - high, F.col("y1") + high, 1)
+    squares = truth.withColumn("k", F.explode(ks)).filter(F.col("free") | (at("k", 2) > 0)).select(
+        *by, "k", "id", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    near = overlapping_pairs(points, squares, [*by, "k"]).select(*by, F.col("a.id").alias("det"), F.col("b.id").alias("gt")).distinct()
+    a = dets.select(*by, F.col("id").alias("det"), "score", F.col("keypoints").alias("p"))
+    b = truth.select(*by, F.col("id").alias("gt"), F.col("keypoints").alias("g"), "area", "iscrowd", "free", *BOX)
+    both = near.join(a, [*by, "det"]).join(b, [*by, "gt"])
+    area = F.col("area") + F.lit(2.0**-52)  # a little more than nothing
+    away = B.box_keypoint_similarity(F.col("p"), *[F.col(c) for c in BOX], list(sigmas), area)
+    sim = F.when(F.col("free"), away).otherwise(B.oks(F.col("p"), F.col("g"), list(sigmas), area))
+    # Ground truth without keypoints is no target: an area outside every range.
+    area = F.when(F.col("free"), F.lit(-1.0)).otherwise(F.col("area"))
+    return both.withColumn("iou", sim).filter(F.col("iou") >= least).select(
+        *by, F.struct(F.col("det").alias("id"), "score").alias("a"),
+        F.struct(F.col("gt").alias("id"), area.alias("area"), "iscrowd").alias("b"), "iou")
+
+
+# Half the side of the square that stands for a point.
+TINY = 1e-6
+
+
+def keypoint_ap(dets: DataFrame, gt: DataFrame, sigmas: Sequence[float] = OKS_SIGMAS) -> DataFrame:
+    """One row: AP, AP50, AP75, APm, APl of keypoints in percent.
+
+    The keypoints of detections are pixel indices (`pixel_keypoints`). Keypoints that are not as many as
+    `sigmas` raise an error. Of an image and category the best 20 detections count, and their area is that
+    of the box around their keypoints; ground truth without a labelled keypoint is neither found nor missed.
+    """
+    dets, gt = written(dets, "detections"), written(gt, "truth")
+    for name, df in (("detection", dets), ("ground truth", gt)):
+        low, high = df.agg(F.min(F.size("keypoints")), F.max(F.size("keypoints"))).first()
+        if low is not None and (low, high) != (3 * len(sigmas), 3 * len(sigmas)):
+            raise ValueError(f"{len(sigmas)} sigmas, but a {name} has {(low if low != 3 * len(sigmas) else high) / 3:g} keypoints")
+    along = lambda d: F.filter("keypoints", lambda v, i: i % 3 == d)
+    area = (F.array_max(along(0)) - F.array_min(along(0))) * (F.array_max(along(1)) - F.array_min(along(1)))
+    sized = dets.withColumn("area", area.cast("double"))
+    labelled = F.exists(F.transform("keypoints", lambda v, i: (i % 3 == 2) & (v > 0)), lambda x: x)
+    targets = gt.withColumn("area", F.when(labelled, F.col("area")).otherwise(F.lit(-1.0)))
+    top = written(top_n_per_group(sized, ["image_id", "category_id"], ["-score", "id"], KEYPOINT_MAX_DETS), "best-detections")
+    pairs = written(keypoint_pairs(top, gt, sigmas, IOU_THRESHOLDS[0]), "keypoint-pairs")
+    ap = coco_ap(top, targets, ("all", "medium", "large"), pairs, KEYPOINT_MAX_DETS)
+    return coco_summary(ap).select("ap", "ap50", "ap75", "apm", "apl")
+
+
+def mask_ap(dets: DataFrame, gt: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: AP, AP50, AP75, APs, APm, APl of masks in percent.
+
+    `dets` and `gt` have `area`, that of the mask and not of the box; `pairs` (image_id, category_id, a, b,
+    iou) are the overlaps of masks.
+    """
+    return coco_summary(coco_ap(dets, gt, pairs=pairs))
+
+
 def coco_result_rows(dets: DataFrame) -> DataFrame:
     """Detections as result rows: image_id, category_id, bbox [x, y, w, h], score."""
     x, y, w, h = B.xyxy_to_xywh(*[F.col(c) for c in BOX])

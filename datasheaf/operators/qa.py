@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from datasheaf.functions import text as T
 from datasheaf.functions.arrays import let, running_total
+from datasheaf.operators.positions import running_many
+from datasheaf.session import written
 
 # The fallbacks of an example without any candidate.
 EMPTY_TEXT = "empty"
@@ -251,3 +253,38 @@ def squad_em_f1(df: DataFrame, id_col: str, prediction: str, golds: str) -> Data
     return s.agg(
         (F.avg("em") * 100).alias("exact_match"), (F.avg("f1") * 100).alias("f1"), F.count(F.lit(1)).alias("total")
     )
+
+
+def squad_thresholds(df: DataFrame, id_col: str, prediction: str, golds: str, odds: str) -> DataFrame:
+    """One row: scores in percent, over all examples and by answerability, and the best threshold for each.
+
+    total, exact, f1, HasAns_total, HasAns_exact, HasAns_f1, NoAns_total, NoAns_exact, NoAns_f1, best_exact,
+    best_exact_thresh, best_f1, best_f1_thresh. An example without gold answers has none. A prediction is
+    taken as no answer where its null odds (`odds`) are above a threshold; the best one is the smallest at
+    which the mean score is highest, 0 where no answer at all is best. Examples of equal odds go together.
+    """
+    has = F.size(golds) > 0
+    full = df.withColumn(golds, F.when(has, F.col(golds)).otherwise(F.array(F.lit(""))))
+    marked = df.select(id_col, has.alias("has"), (F.col(prediction) != "").alias("said"), F.col(odds).cast("double").alias("odds"))
+    s = written(squad_scores(full, id_col, prediction, golds).join(marked, id_col), "scores")
+    mean = lambda c, kind: (F.avg(F.when(kind, F.col(c))) * 100)
+    kinds = {"": F.lit(True), "HasAns_": F.col("has"), "NoAns_": ~F.col("has")}
+    means = s.agg(*[x for k, kind in kinds.items() for x in (
+        F.count_if(kind).alias(f"{k}total"), mean("em", kind).alias(f"{k}exact"), mean("f1", kind).alias(f"{k}f1"))])
+    # Up to a threshold, answerable examples gain their score and the others lose the point they have unanswered.
+    gain = lambda c: F.sum(F.when(F.col("has"), F.col(c)).otherwise(-F.col("said").cast("double")))
+    gains = s.groupBy("odds").agg(gain("em").alias("em"), gain("f1").alias("f1"))
+    run = running_many(gains, {"em_sum": F.col("em"), "f1_sum": F.col("f1")}, "odds")
+    best = run.agg(*[F.max(F.struct(F.col(f"{c}_sum").alias("s"), (-F.col("odds")).alias("o"))).alias(c) for c in ("em", "f1")])
+    # One row each, put side by side.
+    row = lambda df, name: df.select(F.struct(*df.columns).alias(name))
+    both = row(means, "m").unionByName(row(best, "b"), allowMissingColumns=True)
+    out = both.agg(F.max("m").alias("m"), F.max("b").alias("b")).select("m.*", "b.em", F.col("b.f1").alias("f1_best"))
+    for c, name in (("em", "exact"), ("f1_best", "f1")):
+        better = F.col(f"{c}.s") > 0
+        out = out.withColumns({
+            f"best_{name}": (F.col("NoAns_total") + F.when(better, F.col(f"{c}.s")).otherwise(0.0)) * 100 / F.col("total"),
+            f"best_{name}_thresh": F.when(better, -F.col(f"{c}.o")).otherwise(0.0),
+        })
+    return out.select(*[f"{k}{c}" for k in kinds for c in ("total", "exact", "f1")],
+                                 "best_exact", "best_exact_thresh", "best_f1", "best_f1_thresh")

@@ -229,6 +229,35 @@ def _(t):
     return s.select(F.round("exact_match", 6).alias("exact_match"), F.round("f1", 6).alias("f1"), "total")
 
 
+@query("squad_thresholds", f"""WITH b AS (SELECT p.*, o.text AS other, length(question) % 3 <> 0 AS has, length(answer) % 17 / 16.0::DOUBLE AS odds
+    FROM {PAIRS} p LEFT JOIN conversations o ON o.conv_id = p.conv_id AND o.turn = p.turn + 2),
+  g AS (SELECT * FROM (SELECT conv_id, turn, has, odds, question <> '' AS said, {_norm('question')} AS p, unnest(CASE WHEN has THEN [{_norm('answer')}, {_norm('other')}]
+      ELSE [[]::VARCHAR[], NULL] END) AS g, unnest([0, 1]) AS k FROM b) WHERE g IS NOT NULL),
+  l AS (SELECT conv_id, turn, k, w, sum(c) AS cp, sum(1 - c) AS cg FROM (SELECT conv_id, turn, k, unnest(p) AS w, 1 AS c FROM g
+    UNION ALL SELECT conv_id, turn, k, unnest(g), 0 FROM g) GROUP BY ALL),
+  s AS (SELECT conv_id, turn, k, sum(least(cp, cg)) AS same FROM l GROUP BY ALL),
+  f AS (SELECT g.conv_id, g.turn, has, odds, said, max((p = g)::INTEGER) AS em, max(CASE WHEN len(p) = 0 OR len(g) = 0 THEN (len(p) = len(g))::INTEGER
+      ELSE 2.0 * coalesce(same, 0) / (len(p) + len(g)) END) AS f1
+    FROM g LEFT JOIN s ON s.conv_id = g.conv_id AND s.turn = g.turn AND s.k = g.k GROUP BY ALL),
+  r AS (SELECT odds, sum(sum(CASE WHEN has THEN em ELSE -said::INT END)) OVER w AS em, sum(sum(CASE WHEN has THEN f1 ELSE -said::INT END)) OVER w AS f1
+    FROM f GROUP BY odds WINDOW w AS (ORDER BY odds)),
+  n AS (SELECT count(*) AS total, avg(em) * 100 AS exact, avg(f1) * 100 AS f1, count(*) FILTER (has) AS ht, avg(em) FILTER (has) * 100 AS he,
+    avg(f1) FILTER (has) * 100 AS hf, count(*) FILTER (NOT has) AS nt, avg(em) FILTER (NOT has) * 100 AS ne, avg(f1) FILTER (NOT has) * 100 AS nf FROM f)
+  SELECT total, round(exact, 4) AS exact, round(f1, 4) AS f1, ht AS "HasAns_total", round(he, 4) AS "HasAns_exact", round(hf, 4) AS "HasAns_f1",
+    nt AS "NoAns_total", round(ne, 4) AS "NoAns_exact", round(nf, 4) AS "NoAns_f1",
+    round((nt + greatest((SELECT max(em) FROM r), 0)) * 100.0 / total, 4) AS best_exact,
+    CASE WHEN (SELECT max(em) FROM r) > 0 THEN (SELECT min(odds) FROM r WHERE em = (SELECT max(em) FROM r)) ELSE 0 END AS best_exact_thresh,
+    round((nt + greatest((SELECT max(f1) FROM r), 0)) * 100.0 / total, 4) AS best_f1,
+    CASE WHEN (SELECT max(f1) FROM r) > 0 THEN (SELECT min(odds) FROM r WHERE f1 = (SELECT max(f1) FROM r)) ELSE 0 END AS best_f1_thresh FROM n""")
+def _(t):
+    later = t.conversations.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("other"))
+    golds = F.when(F.length("question") % 3 != 0, F.array_compact(F.array("answer", "other"))).otherwise(F.array().cast("array<string>"))
+    df = question_answer(t).join(later, ["conv_id", "turn"], "left").select(
+        F.struct("conv_id", "turn").alias("id"), "question", golds.alias("golds"), (F.length("answer") % 17 / F.lit(16.0)).alias("odds"))
+    s = Q.squad_thresholds(df, "id", "question", "golds", "odds")
+    return s.select(*[F.round(c, 4).alias(c) if s.schema[c].dataType.typeName() == "double" and "thresh" not in c else F.col(c) for c in s.columns])
+
+
 def _gram_sql(col):
     """(id, n, gram) rows of a word list column."""
     return " UNION ALL ".join(

@@ -71,10 +71,16 @@ def _rung(r, source):
 @query("rung_promotions", f"""WITH {RUNGS}, {_rung(0, '')},
   {_rung(1, 'SEMI JOIN (SELECT trial FROM r0 WHERE rank < q) p USING (trial)')},
   {_rung(2, 'SEMI JOIN (SELECT trial FROM r1 WHERE rank < q) p USING (trial)')}
-  SELECT search, rung, trial, rank, rank < q AS promoted FROM r0 UNION ALL SELECT search, rung, trial, rank, rank < q FROM r1
-  UNION ALL SELECT search, rung, trial, rank, false FROM r2""")
+  , o AS (SELECT search, rung, trial, rank, rank < q AS promoted FROM r0 UNION ALL SELECT search, rung, trial, rank, rank < q FROM r1
+    UNION ALL SELECT search, rung, trial, rank, false FROM r2),
+  u AS (SELECT search, rung, sum(greatest(floor(100 / 4.0::DOUBLE ** (2 - rung))::BIGINT, 1)) OVER (PARTITION BY search ORDER BY rung) AS units
+    FROM (SELECT DISTINCT search FROM res), range(0, 3) r(rung))
+  SELECT o.*, CASE WHEN promoted THEN greatest(b.units - a.units, 1)::BIGINT END AS add FROM o
+  LEFT JOIN u a ON a.search = o.search AND a.rung = o.rung LEFT JOIN u b ON b.search = o.search AND b.rung = o.rung + 1""")
 def _(t):
-    return V.rung_promotions(rung_results(t), "search", "trial", 3, 4)
+    results = rung_results(t)
+    units = V.rung_units(results.select("search").distinct(), "search", F.lit(100), 3, 4)
+    return V.rung_promotions(results, "search", "trial", 3, 4, units=units)
 
 
 @query("rung_async")

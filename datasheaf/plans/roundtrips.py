@@ -30,11 +30,19 @@ def _(t):
     return readers.read_csv(t.spark, path, "c_custkey long, c_name string, c_acctbal double")
 
 
-@query("scan_text_lines", "SELECT value, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS value FROM documents) GROUP BY value")
+@query("scan_text_lines", """WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) AS i
+    FROM documents WHERE lang IS NOT NULL),
+  n AS (SELECT lang, value, row_number() OVER (PARTITION BY lang, doc_id // 100 ORDER BY doc_id, i) - 1 AS line FROM l)
+  SELECT lang, value, count(*) AS n, min(line) AS first_line, sum(line)::BIGINT AS line_sum FROM n GROUP BY lang, value""")
 def _(t):
+    """A file of lines for each language and hundred documents, numbered as it is read."""
     path = _dir(t, "text")
-    t.documents.select(F.explode(F.split("text", "\n", -1)).alias("value")).write.text(path)
-    return readers.read_lines_unordered(t.spark, path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    rows = t.documents.filter("lang IS NOT NULL").select(
+        "doc_id", "lang", F.floor(F.col("doc_id") / 100).alias("block"), F.posexplode(F.split("text", "\n", -1)).alias("i", "value"))
+    dealt = rows.repartition("lang", "block").sortWithinPartitions("lang", "block", "doc_id", "i")
+    dealt.select("value", "lang", "block").write.partitionBy("lang", "block").text(path)
+    lines = readers.read_text_lines(t.spark, path, ["lang"])
+    return lines.groupBy("lang", "value").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first_line"), F.sum("line").alias("line_sum"))
 
 
 @query("scan_tsv_pairs", """SELECT (s_nationkey % 2)::VARCHAR AS label, s_suppkey::VARCHAR AS id1, s_nationkey::VARCHAR AS id2, s_name AS s1, '"' || s_name AS s2 FROM supplier""")

@@ -64,17 +64,17 @@ def _(t):
     return I.perplexity_of(I.newest(t.spark, out)).select("grp", F.round("perplexity", 6).alias("perplexity"), "batches")
 
 
-@query("stream_window_rollup", """WITH w AS (SELECT date_trunc('hour', ts) AS h, event_type, value FROM events),
-  m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
-  SELECT strftime(h, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w, m
-  WHERE h + INTERVAL 1 HOUR <= mark GROUP BY h, event_type""")
+@query("stream_window_rollup", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total
+  FROM events GROUP BY ALL""")
 def _(t):
-    """Windows that the watermark has closed at the end of the input."""
+    """The windows that the watermark closed, and those still open when the input ends: every event is counted."""
     out, cp = _dirs(t, "rollup")
     r = I.window_rollup(_stream(t, "events"), "ts", "event_type", "value", "1 hour", "1 hour")
     I.run_append(r, out, cp).awaitTermination()
+    closed = t.spark.read.schema("start timestamp, event_type string, n long, total double").parquet(out)
     start = F.date_format("start", "yyyy-MM-dd HH:mm").alias("start")
-    return t.spark.read.parquet(out).select(start, "event_type", "n", F.round("total", 4).alias("total"))
+    every = closed.unionByName(I.open_windows(t.spark, cp, "event_type"))
+    return every.select(start, "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("stream_inference", """SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x, i: x / i)), 5) AS score FROM embeddings""")

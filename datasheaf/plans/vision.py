@@ -245,6 +245,54 @@ def _(t):
     return D.all_point_ap(c, npos, [0.5]).select("category_id", F.round("ap", 6).alias("ap"))
 
 
+def poses(t):
+    """Four people an image: 17 keypoints from the vectors, seen where the third number is positive, none for label 0; two detections each."""
+    e, scale = A.as_double("embedding"), 100.0
+    area = (500.0 + F.col("label") * 1500.0).alias("area")
+    base = t.embeddings.select("vec_id", F.floor(F.col("vec_id") / 4).alias("image_id"), F.lit(1).cast("long").alias("category_id"), "label",
+                               area, F.slice(F.transform(e, lambda v: v * scale), 1, 51).alias("v"))
+    seen = F.transform("v", lambda v, i: F.when(i % 3 == 2, F.when((v > 0) & (F.col("label") > 0), 2.0).otherwise(0.0)).otherwise(v))
+    x0, y0, side = F.get("v", F.lit(0)), F.get("v", F.lit(1)), F.sqrt("area")
+    gt = base.select("image_id", "category_id", F.col("vec_id").alias("id"), seen.alias("keypoints"), "area", (F.col("label") == 9).cast("int").alias("iscrowd"),
+                     x0.alias("x0"), y0.alias("y0"), (x0 + side).alias("x1"), (y0 + side).alias("y1"))
+    two = base.withColumn("j", F.explode(F.lit([0, 1])))
+    move = F.sqrt("area") * 0.02 * (F.col("vec_id") % 7 + 4 * F.col("j")) + 0.5
+    moved = F.transform("v", lambda v, i: F.when(i % 3 == 2, 1.0).otherwise(v + move))
+    dets = two.select("image_id", "category_id", (F.col("vec_id") * 2 + F.col("j")).alias("id"), D.pixel_keypoints(moved).alias("keypoints"),
+                      ((F.col("vec_id") % 10 - F.col("j") * 0.5) / 10).alias("score"))
+    return dets, gt
+
+
+POSES = """em AS (SELECT vec_id, vec_id // 4 AS image_id, label, 500.0::DOUBLE + label * 1500 AS area, list_transform(embedding, lambda x: x::DOUBLE * 100) AS v FROM embeddings),
+  g AS (SELECT image_id, 1::BIGINT AS category_id, vec_id AS id, (label = 9)::INTEGER AS iscrowd, area AS real_area, v, v[1] AS x0, v[2] AS y0, sqrt(area) AS side,
+      label = 0 OR len(list_filter(v[1:51], lambda x, i: i % 3 = 0 AND x > 0)) = 0 AS free,
+      CASE WHEN label = 0 OR len(list_filter(v[1:51], lambda x, i: i % 3 = 0 AND x > 0)) = 0 THEN -1.0 ELSE area END AS area FROM em),
+  p AS (SELECT image_id, 1::BIGINT AS category_id, vec_id * 2 + j AS id, (vec_id % 10 - j * 0.5::DOUBLE) / 10 AS score, v, sqrt(area) * 0.02::DOUBLE * (vec_id % 7 + 4 * j) AS move
+    FROM em, (VALUES (0), (1)) t(j)),
+  s(i, sigma) AS (SELECT i, [SIGMAS][i + 1]::DOUBLE FROM range(0, 17) r(i)),
+  o AS (SELECT p.image_id, p.id AS det, g.id AS gt, g.category_id AS gt_cat, p.category_id, p.score, g.iscrowd, g.area AS gt_area,
+      CASE WHEN free THEN avg(exp(0 - (greatest(0, x0 - side - p.v[3 * i + 1] - move) + greatest(0, p.v[3 * i + 1] + move - x0 - 2 * side)) ** 2 / (8 * sigma ** 2 * real_area)
+          - (greatest(0, y0 - side - p.v[3 * i + 2] - move) + greatest(0, p.v[3 * i + 2] + move - y0 - 2 * side)) ** 2 / (8 * sigma ** 2 * real_area)))
+        ELSE avg(exp(-((p.v[3 * i + 1] + move - g.v[3 * i + 1]) ** 2 + (p.v[3 * i + 2] + move - g.v[3 * i + 2]) ** 2) / (8 * sigma ** 2 * real_area))) FILTER (g.v[3 * i + 3] > 0) END AS iou
+    FROM p JOIN g USING (image_id), s GROUP BY p.image_id, p.id, g.id, g.category_id, p.category_id, p.score, g.iscrowd, g.area, free),
+  d AS (SELECT * FROM o)""".replace("SIGMAS", ", ".join(map(str, D.OKS_SIGMAS)))
+
+
+@query("keypoint_ap", f"""WITH RECURSIVE {POSES}, ar(area, lo, hi) AS (VALUES ('all', 0.0::DOUBLE, 1e10::DOUBLE), ('medium', 1024.0, 9216.0), ('large', 9216.0, 1e10)), {THRESHOLDS},
+  k AS (SELECT *, id AS det, (list_max(list_filter(v[1:51], lambda x, i: i % 3 = 1)) - list_min(list_filter(v[1:51], lambda x, i: i % 3 = 1)))
+      * (list_max(list_filter(v[1:51], lambda x, i: i % 3 = 2)) - list_min(list_filter(v[1:51], lambda x, i: i % 3 = 2))) AS area
+    FROM p QUALIFY row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, id) <= 20),
+  kk AS (SELECT image_id, category_id, det FROM k), {_matched_sql('kk', 'ar, th')}, {AP_CURVE},
+  best AS (SELECT category_id, area, t, p, coalesce((SELECT max(prec) FROM pr WHERE pr.category_id = n.category_id AND pr.area = n.area AND pr.t = th.t AND rec >= p * 0.01), 0) AS prec
+    FROM n, th, range(0, 101) pts(p)),
+  ap AS (SELECT category_id, area, t, avg(prec) AS ap FROM best GROUP BY ALL)
+  SELECT round(100 * avg(ap) FILTER (area = 'all'), 4) AS ap, round(100 * avg(ap) FILTER (area = 'all' AND t = 0.5), 4) AS ap50,
+    round(100 * avg(ap) FILTER (area = 'all' AND t = 0.75), 4) AS ap75, round(100 * avg(ap) FILTER (area = 'medium'), 4) AS apm, round(100 * avg(ap) FILTER (area = 'large'), 4) AS apl FROM ap""")
+def _(t):
+    ap = D.keypoint_ap(*poses(t))
+    return ap.select(*[F.round(c, 4).alias(c) for c in ap.columns])
+
+
 @query("keypoint_oks", """WITH k AS (SELECT vec_id, embedding::DOUBLE[] AS p, list_reverse(embedding::DOUBLE[]) AS q FROM embeddings),
   x AS (SELECT vec_id, p, q, unnest(range(0, 17)) AS i FROM k)
   SELECT vec_id, round(sum(CASE WHEN q[3 * i + 3] > 0 THEN exp(-((p[3 * i + 1] - q[3 * i + 1]) ** 2 + (p[3 * i + 2] - q[3 * i + 2]) ** 2) / (2 * 0.5 * (2 * (0.025 + 0.005 * i)) ** 2)) ELSE 0 END)

@@ -11,6 +11,7 @@ from pyspark.sql import types as S
 
 from datasheaf.functions import text as T
 from datasheaf.operators.positions import group_index
+from datasheaf.sources.jsonfile import json_elements
 
 
 def read_csv(spark: SparkSession, path: str, schema: S.StructType | str) -> DataFrame:
@@ -21,19 +22,21 @@ def read_csv(spark: SparkSession, path: str, schema: S.StructType | str) -> Data
     )
 
 
-def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_text_lines(spark: SparkSession, path: str, folders: Sequence[str] = ()) -> DataFrame:
     """`split` (file name without suffix), `line` (0-based in its file), `value`, for files of any size.
 
+    `folders` are columns that folder names (`name=value`) below the path stand for.
+
     A file is read in blocks by many tasks. Lines are ordered by the block's start in the file and by
     the order in which its task read them, which the split plan of the scan fixes.
     """
     raw = spark.read.text(path).select(
         F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("split"),
         F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__read"), "value",
+        F.monotonically_increasing_id().alias("__read"), "value", *folders,
     )
     numbered = group_index(raw, "__file", ["__block", "__read"], "line")
-    return numbered.select("split", "line", "value")
+    return numbered.select("split", "line", "value", *folders)
 
 
 def read_lines_unordered(spark: SparkSession, path: str) -> DataFrame:
@@ -55,19 +58,17 @@ def read_tsv_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 _ANSWER = "struct<text:string,answer_start:int>"
 _QA = f"array<struct<id:string,question:string,is_impossible:boolean,answers:array<{_ANSWER}>>>"
-SQUAD_SCHEMA = (
-    "version string, data array<struct<title:string,paragraphs:array<struct<context:string,"
-    f"qas:{_QA}>>>>"
-)
+ARTICLE_SCHEMA = f"struct<title:string,paragraphs:array<struct<context:string,qas:{_QA}>>>"
 
 
-def read_squad_json(spark: SparkSession, path: str) -> DataFrame:
+def read_squad_json(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
     """One row per question: title, context, id, question, is_impossible, answers (parallel arrays).
 
-    Reads v1.1 and v2.0: a missing flag is false, a question without answers keeps its row.
+    Reads v1.1 and v2.0: a missing flag is false, a question without answers keeps its row. A large file is
+    read by many tasks, article by article.
     """
-    doc = spark.read.schema(SQUAD_SCHEMA).option("multiLine", True).json(path)
-    para = doc.select(F.explode("data").alias("d")).select("d.title", F.explode("d.paragraphs").alias("p"))
+    doc = json_elements(spark, path, ["data"], range_bytes).select(F.from_json("element", ARTICLE_SCHEMA).alias("d"))
+    para = doc.select("d.title", F.explode("d.paragraphs").alias("p"))
     qas = para.select("title", F.col("p.context").alias("context"), F.explode("p.qas").alias("q"))
     answers = F.coalesce("q.answers", F.array().cast(f"array<{_ANSWER}>"))
     return qas.select(
@@ -80,22 +81,24 @@ def read_squad_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-COCO_SCHEMA = (
-    "images array<struct<id:long,file_name:string,height:int,width:int>>, "
-    "annotations array<struct<id:long,image_id:long,category_id:int,bbox:array<double>,area:double,"
-    "iscrowd:int,keypoints:array<double>>>, "
-    "categories array<struct<id:int,name:string>>"
-)
+COCO_SCHEMAS = {
+    "images": "struct<id:long,file_name:string,height:int,width:int>",
+    "annotations": (
+        "struct<id:long,image_id:long,category_id:int,bbox:array<double>,area:double,iscrowd:int,"
+        "keypoints:array<double>>"
+    ),
+    "categories": "struct<id:int,name:string>",
+}
 
 
-def read_coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables images, annotations and categories of a detection file."""
-    doc = spark.read.schema(COCO_SCHEMA).option("multiLine", True).json(path)
+def read_coco(spark: SparkSession, path: str, range_bytes: int | None = None) -> dict[str, DataFrame]:
+    """Tables images, annotations and categories of a detection file, which is read once, by many tasks."""
+    found = json_elements(spark, path, list(COCO_SCHEMAS), range_bytes)
 
     def section(name: str) -> DataFrame:
-        return doc.select(F.explode(name).alias("r")).select("r.*")
+        return found.filter(F.col("name") == name).select(F.from_json("element", COCO_SCHEMAS[name]).alias("r")).select("r.*")
 
-    return {n: section(n) for n in ("images", "annotations", "categories")}
+    return {n: section(n) for n in COCO_SCHEMAS}
 
 
 def read_image_listing(spark: SparkSession, path: str, order_by: str = "path") -> DataFrame:

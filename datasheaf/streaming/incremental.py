@@ -57,6 +57,19 @@ def window_rollup(
     )
 
 
+def open_windows(spark: SparkSession, checkpoint: str, series: str) -> DataFrame:
+    """Windows of `window_rollup` that the watermark has not closed: what is left in the state of a finished query.
+
+    With the windows written they are all windows of the input. The state is read as a table, by partition.
+    """
+    state = spark.read.format("statestore").load(checkpoint)
+    n, total = state.schema["value"].dataType.names
+    return state.select(
+        F.col("key.window.start").alias("start"), F.col(f"key.{series}").alias(series),
+        F.col(f"value.{n}").alias("n"), F.col(f"value.{total}").alias("total"),
+    )
+
+
 def run_complete(counts: DataFrame, out: str, checkpoint: str, finish: Callable[[DataFrame], DataFrame] = lambda d: d) -> StreamingQuery:
     """Writes the whole (small) result table after every batch; the newest directory is the result.
 

@@ -266,3 +266,17 @@ def test_boxes_of_very_different_sizes(spark):
     assert pairs.filter("a = b").count() == side * side + 1
     assert D._listed(D._sized(d).withColumn("__own", D.F.lit(0)), "a", ["image_id"], D.F.lit(0)).filter("a.id < 40000").groupBy(
         "__cx", "__cy").count().agg({"count": "max"}).first()[0] <= 4
+
+
+def test_keypoints_must_fit_the_sigmas(spark):
+    from pyspark.sql import functions as F
+
+    dets = spark.createDataFrame([(0, 1, 0, [1.0] * 6, 0.5)], "image_id long, category_id long, id long, keypoints array<double>, score double")
+    gt = spark.createDataFrame([(0, 1, 0, [1.0] * 6, 10.0, 0, 0.0, 0.0, 3.0, 3.0)],
+                               f"image_id long, category_id long, id long, keypoints array<double>, area double, iscrowd int, {BOX}")
+    with pytest.raises(ValueError, match="17 sigmas, but a detection has 2 keypoints"):
+        D.keypoint_ap(dets, gt)
+    whole = D.keypoint_ap(dets, gt.withColumn("area", F.lit(2000.0)), [0.05, 0.05]).first()
+    assert (whole.ap, whole.apm, whole.apl) == (pytest.approx(100.0), pytest.approx(100.0), None)
+    assert D.keypoint_ap(dets.limit(0), gt.limit(0)).first().ap is None
+    assert dets.select(D.pixel_keypoints(F.col("keypoints")).alias("k")).first().k == [0.5, 0.5, 1.0, 0.5, 0.5, 1.0]

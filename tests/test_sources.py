@@ -1,6 +1,7 @@
 """Every file format by a round trip on generated files."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,49 @@ def test_upsert(spark, tmp_path):
     u = spark.createDataFrame([(2, "c", 1), (2, "d", 5), (3, "e", 1)], "id int, v string, at int")
     W.write_upsert(t, u, "id", "at", str(tmp_path / "u"))
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "u")).collect()} == {(1, "a"), (2, "d"), (3, "e")}
+
+
+def nasty_file(path, seed=3):
+    rnd = random.Random(seed)
+    bad = ["plain", "br{ace", '"quo"te', "back\\", '\\\\"', "[]}{", "é日🙂\n", '\\\\\\"{']
+    doc = {
+        "info": {"a": [1, {"x": 2}], "d": 'he{"y'}, "licenses": [],
+        "images": [{"id": i, "file_name": rnd.choice(bad) * rnd.randint(1, 4), "height": 3, "width": i} for i in range(60)],
+        "annotations": [{"id": i, "image_id": i % 60, "category_id": 1, "bbox": [1.0, 2, 3, 4], "area": 1.5, "iscrowd": 0,
+                         "note": {"deep": [rnd.choice(bad), [{}]]}} for i in range(150)],
+        "categories": [{"id": 1, "name": 'c"{at'}, {"id": 2, "name": ""}],
+    }
+    path.write_text(json.dumps(doc, ensure_ascii=False, indent=seed % 2 or None), encoding="utf-8")
+    return doc
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+@pytest.mark.parametrize("ranges", [1, 16, 150])
+def test_one_json_file_in_many_ranges(spark, tmp_path, seed, ranges):
+    path = tmp_path / "notes.json"
+    doc = nasty_file(path, seed)
+    size = -(-path.stat().st_size // ranges)
+    t = R.read_coco(spark, str(path), size)
+    assert sorted((r.id, r.file_name, r.width) for r in t["images"].collect()) == sorted((x["id"], x["file_name"], x["width"]) for x in doc["images"])
+    assert sorted((r.id, r.image_id, r.bbox, r.keypoints) for r in t["annotations"].collect()) == [(x["id"], x["image_id"], x["bbox"], None) for x in doc["annotations"]]
+    assert sorted((r.id, r.name) for r in t["categories"].collect()) == [(1, 'c"{at'), (2, "")]
+
+
+def test_squad_file_in_many_ranges(spark, tmp_path):
+    qa = lambda i: {"id": str(i), "question": 'w"h{y?', "answers": [{"text": "t", "answer_start": i}] * (i % 3)}
+    doc = {"version": "v2.0", "data": [{"title": f"t{k}", "paragraphs": [{"context": "c]" * k, "qas": [qa(10 * k + i) for i in range(k % 4)]}]}
+                                       for k in range(40)]}
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "squad.json").write_text(json.dumps(doc))
+    (tmp_path / "a" / "none.json").write_text(json.dumps({"data": []}))
+    wide, narrow = ([tuple(r) for r in R.read_squad_json(spark, str(tmp_path / "a"), n).collect()] for n in (None, 100))
+    assert sorted(wide) == sorted(narrow) and len(wide) == sum(k % 4 for k in range(40))
+    assert {r[2] for r in wide} == {str(10 * k + i) for k in range(40) for i in range(k % 4)}
+    (tmp_path / "empty").mkdir()
+    assert R.read_squad_json(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_json_file_cut_short_is_refused(spark, tmp_path):
+    (tmp_path / "cut.json").write_text('{"images": [{"id": 1}, {"id": 2')
+    with pytest.raises(Exception, match="ends inside"):
+        R.read_coco(spark, str(tmp_path / "cut.json"))

@@ -76,6 +76,12 @@ def placed(
     return table.withColumns({_RANGE: F.shiftright(_ROW, _ROW_BITS), _ROW: F.col(_ROW).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))})
 
 
+def placed_in_order(df: DataFrame, order_by: str | Sequence[str], stretches: int) -> DataFrame:
+    """`df` with `__stretch`, the number of its range of the order, from 0; some may be empty."""
+    cols = _sort_cols(_parse(order_by))
+    return df.repartitionByRange(stretches, *cols).withColumn("__stretch", F.spark_partition_id())
+
+
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 

@@ -85,21 +85,35 @@ def map_batches(
     return df.drop(*remove_columns).mapInPandas(run, schema)
 
 
-def evaluate_all(df: DataFrame, evaluators: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def evaluate_all(df: DataFrame, evaluators: dict[str, dict[str, Column] | Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """`metric`, `value` of several evaluators over one prediction table.
 
-    Each gives one row of numbers. A metric name that two evaluators report is an error; the name
-    carries the evaluator in front.
+    An evaluator is a dict of aggregate columns by metric, all of which go into one pass over the table, or a
+    function that gives one row of numbers and reads the table by itself. A metric name that two evaluators
+    report is an error; the name carries the evaluator in front.
     """
-    out, seen = None, {}
-    for name, fn in evaluators.items():
-        row = fn(df)
-        for c in row.columns:
+    seen: dict[str, str] = {}
+
+    def claim(name: str, metrics: Sequence[str]) -> None:
+        for c in metrics:
             if c in seen:
                 raise ValueError(f"metric {c} is reported by {seen[c]} and {name}")
             seen[c] = name
-        long = row.select(*[F.col(c).cast("double").alias(c) for c in row.columns]).unpivot(
-            [], row.columns, "metric", "value"
-        ).withColumn("metric", F.concat(F.lit(name + "/"), "metric"))
-        out = long if out is None else out.unionByName(long)
+
+    def long(row: DataFrame) -> DataFrame:
+        return row.unpivot([], row.columns, "metric", "value")
+
+    together, out = [], None
+    for name, one in evaluators.items():
+        if callable(one):
+            row = one(df)
+            claim(name, row.columns)
+            part = long(row.select(*[F.col(c).cast("double").alias(f"{name}/{c}") for c in row.columns]))
+            out = part if out is None else out.unionByName(part)
+        else:
+            claim(name, list(one))
+            together += [value.cast("double").alias(f"{name}/{c}") for c, value in one.items()]
+    if together:
+        part = long(df.agg(*together))
+        out = part if out is None else part.unionByName(out)
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from datasheaf.operators import classification as M
 from datasheaf.operators import packing as P
+from datasheaf.operators import batches as H
 from datasheaf.operators import reducers as R
 from datasheaf.operators.positions import batch_id, global_index
 from datasheaf.operators.splits import split_three_way
@@ -235,11 +236,41 @@ def _(t):
 @query("evaluators", """WITH l AS (SELECT label, (list_position(lg, list_max(lg)) - 1) AS pred FROM (SELECT label, embedding[1:10]::DOUBLE[] AS lg FROM embeddings))
   SELECT 'hits/accuracy' AS metric, round(avg((pred = label)::INTEGER), 6) AS value FROM l UNION ALL SELECT 'gap/mse', round(avg((pred - label) ** 2), 6) FROM l""")
 def _(t):
-    fns = {
-        "hits": lambda d: d.agg(M.accuracy("pred", "label").alias("accuracy")),
-        "gap": lambda d: d.agg(F.avg(F.pow(F.col("pred") - F.col("label"), F.lit(2))).alias("mse")),
+    evaluators = {
+        "hits": {"accuracy": M.accuracy("pred", "label")},
+        "gap": {"mse": F.avg(F.pow(F.col("pred") - F.col("label"), F.lit(2)))},
     }
-    return R.evaluate_all(logits(t), fns).withColumn("value", F.round("value", 6))
+    return R.evaluate_all(logits(t), evaluators).withColumn("value", F.round("value", 6))
+
+
+class _Scores(H.BatchProcessor):
+    """Weighted sums of the vectors; half of the batches are held back until the checkpoint."""
+
+    def setup(self):
+        import numpy as np
+
+        return {"w": 1.0 / np.arange(1, 65), "kept": []}
+
+    def process(self, held, batch):
+        import numpy as np
+
+        x = np.stack(batch["embedding"].to_numpy()).astype("float64")
+        scored = batch[["vec_id"]].assign(score=(x @ held["w"]).round(5))
+        if batch["vec_id"].iloc[0] % 2:
+            held["kept"].append(scored)
+            return None
+        return scored
+
+    def on_checkpoint_start(self, held):
+        import pandas as pd
+
+        return pd.concat(held["kept"]) if held["kept"] else None
+
+
+@query("batch_checkpoints", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x, i: x / i)), 5) AS score FROM embeddings")
+def _(t):
+    rows = t.embeddings.select("vec_id", "embedding")
+    return H.process_in_checkpoints(rows, "vec_id", _Scores(), "vec_id long, score double", _dir(t, "checkpoints"), 4)
 
 
 @query("collate_batches", """WITH p AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)

@@ -574,6 +574,65 @@ def pascal_map(dets: DataFrame, gt: DataFrame, iou: float = 0.5) -> DataFrame:
     return all_point_ap(precision_recall(matches, npos, [iou]), npos, [iou]).select("category_id", "ap")
 
 
+def hierarchy_closure(parents: DataFrame) -> DataFrame:
+    """`category_id`, `ancestor` for every class and itself, from (category_id, parent_id).
+
+    A join for each level of the hierarchy; a class may have several parents. A cycle is an error.
+    """
+    edges = written(parents.filter("parent_id IS NOT NULL").select("category_id", "parent_id").distinct(), "parents")
+    names = edges.select("category_id").unionByName(edges.select(F.col("parent_id").alias("category_id"))).distinct()
+    closure, level, depth = names.withColumn("ancestor", F.col("category_id")), edges.withColumnRenamed("parent_id", "ancestor"), 0
+    most = names.count()
+    while not level.isEmpty():
+        depth += 1
+        if depth >= max(most, 1) or not level.filter("category_id = ancestor").isEmpty():
+            raise ValueError("the class hierarchy has a cycle")
+        closure = closure.unionByName(level)
+        up = edges.select(F.col("category_id").alias("ancestor"), "parent_id")
+        level = written(level.join(up, "ancestor").select("category_id", F.col("parent_id").alias("ancestor")).distinct(), "ancestors")
+    return closure.distinct()
+
+
+def with_ancestors(boxes: DataFrame, closure: DataFrame) -> DataFrame:
+    """Every box once for its class and once for each ancestor of it; a class outside the hierarchy stays as it is."""
+    up = closure.groupBy("category_id").agg(F.collect_set("ancestor").alias("__up"))  # as many as a class has ancestors
+    listed = F.coalesce("__up", F.array("category_id"))
+    return boxes.join(up, "category_id", "left").withColumn("category_id", F.explode(listed)).drop("__up")
+
+
+def open_images_ap(dets: DataFrame, gt: DataFrame, parents: DataFrame | None = None, iou: float = 0.5, groups_count: bool = True) -> DataFrame:
+    """`category_id`, `ap` in 0..1, all-point area; the mean over rows is the mAP.
+
+    gt: image_id, category_id, id, box, area, is_group. With `parents` (category_id, parent_id) boxes count for
+    the ancestors of their class too. A box of a group takes any number of detections that lie in it by `iou` of
+    their own area and are matched to no other box; with `groups_count` the best of them is one hit and the
+    box one to be found, else they are all left out. Equal overlaps go to the smaller id of the group's box.
+    """
+    by = ["image_id", "category_id"]
+    if parents is not None:
+        closure = written(hierarchy_closure(parents), "closure")
+        dets, gt = with_ancestors(dets, closure), with_ancestors(gt, closure)
+    dets = written(dets, "detections")
+    gt = written(gt.withColumn("iscrowd", F.col("is_group").cast("int")).drop("is_group"), "truth")
+    matches = written(coco_matches(dets, gt, [iou], ["all"], max_dets=None), "matches")
+    npos = ground_truth_counts(gt, ["all"])
+    if groups_count:
+        groups = gt.filter("iscrowd = 1")
+        # Detections that a group took: neither hit nor counted.
+        idle = matches.filter("hits = 0 AND counted = 0").select(*by, "id", "score").join(dets.drop("score"), [*by, "id"])
+        inside = overlapping_pairs(idle.select(*by, "id", "score", *BOX), groups.select(*by, "id", "iscrowd", *BOX), by).filter(F.col("iou") >= iou)
+        own = inside.groupBy(*by, F.col("a.id").alias("id"), F.col("a.score").alias("score")).agg(
+            F.min(F.struct((-F.col("iou")).alias("o"), F.col("b.id").alias("group"))).alias("best"))
+        first = own.groupBy(*by, F.col("best.group").alias("group")).agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("d"))
+        found = first.select(*by, F.col("d.id").alias("id"), F.lit(1).cast("long").alias("__hit"))
+        raised = matches.join(found, [*by, "id"], "left")
+        matches = raised.withColumns({c: F.greatest(F.col(c), F.coalesce("__hit", F.lit(0).cast("long"))) for c in ("hits", "counted")}).drop("__hit")
+        of_groups = groups.filter(F.col("area").between(*AREA_RANGES[0][1:])).groupBy("category_id", F.lit("all").alias("area")).agg(
+            F.count(F.lit(1)).alias("npos"))
+        npos = npos.unionByName(of_groups).groupBy("category_id", "area").agg(F.sum("npos").alias("npos"))
+    return all_point_ap(precision_recall(matches, npos, [iou]), npos, [iou]).select("category_id", "ap")
+
+
 # The spread of each of the 17 body keypoints, and the detections of an image that count.
 OKS_SIGMAS = [
     0.026, 0.025, 0.025, 0.035, 0.035, 0.079, 0.079, 0.072, 0.072, 0.062, 0.062, 0.107, 0.107, 0.087, 0.087, 0.089, 0.089,

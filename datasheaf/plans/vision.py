@@ -245,6 +245,38 @@ def _(t):
     return D.all_point_ap(c, npos, [0.5]).select("category_id", F.round("ap", 6).alias("ap"))
 
 
+# Classes of boxes by flag and quantity under their flags, and those under two roots.
+PARENTS = "hp(category_id, parent_id) AS (SELECT c * 10 + i, c FROM (VALUES (65), (78), (82)) t(c), range(0, 3) r(i) UNION ALL VALUES (65, 1), (78, 1), (82, 2))"
+UP = """hc AS (SELECT category_id, category_id AS ancestor FROM hp UNION SELECT parent_id, parent_id FROM hp UNION SELECT category_id, parent_id FROM hp
+    UNION SELECT a.category_id, b.parent_id FROM hp a JOIN hp b ON a.parent_id = b.category_id)"""
+GROUP_HITS = """gi AS (SELECT image_id, category_id, unnest(idle) AS det FROM el),
+  gb AS (SELECT image_id, category_id, det, score, arg_min(gt, (-iou, gt)) AS gt FROM gi JOIN d USING (image_id, category_id, det)
+    WHERE gt_cat = category_id AND iscrowd = 1 AND iou >= 0.5 GROUP BY ALL),
+  gf AS (SELECT image_id, category_id, arg_min(det, (-score, det)) AS det FROM gb GROUP BY image_id, category_id, gt),
+  el2 AS (SELECT image_id, category_id, area, t, list_concat(hits, coalesce(more, [])) AS hits, list_filter(idle, lambda x: NOT list_contains(coalesce(more, []), x)) AS idle
+    FROM el LEFT JOIN (SELECT image_id, category_id, list(det) AS more FROM gf GROUP BY ALL) USING (image_id, category_id))"""
+
+
+@query("open_images_ap", f"""WITH RECURSIVE {LINES.replace('  g AS (', '  g0 AS (').replace('  p AS (', '  p0 AS (').replace('FROM p JOIN g ON', 'FROM p JOIN g ON p.category_id = g.category_id AND')
+    .replace('  o AS (', f"""  {PARENTS}, {UP},
+  g1 AS (SELECT * REPLACE (category_id * 10 + id % 3 AS category_id) FROM g0), p1 AS (SELECT * REPLACE (category_id * 10 + id % 3 AS category_id) FROM p0),
+  g AS (SELECT g1.* REPLACE (ancestor AS category_id) FROM g1 JOIN hc USING (category_id)), p AS (SELECT p1.* REPLACE (ancestor AS category_id) FROM p1 JOIN hc USING (category_id)),
+  o AS (""").replace('SELECT p.image_id, p.id AS pred', 'SELECT p.image_id, p.category_id, p.score, g.iscrowd, p.id AS pred')},
+  d AS (SELECT image_id, gt, category_id AS gt_cat, category_id, iscrowd, ga AS gt_area, pred AS det, score,
+      CASE WHEN iscrowd = 1 THEN inter / pa ELSE inter / (pa + ga - inter) END AS iou FROM o WHERE inter > 0),
+  ar(area, lo, hi) AS (VALUES ('all', 0.0::DOUBLE, 1e10::DOUBLE)), th(t) AS (VALUES (0.5::DOUBLE)),
+  k AS (SELECT *, (x1 - x0) * (y1 - y0) AS area, id AS det FROM p), kk AS (SELECT image_id, category_id, det FROM k),
+  {_matched_sql('kk', 'ar, th')}, {GROUP_HITS}, {AP_CURVE.replace('LEFT JOIN el USING', 'LEFT JOIN el2 USING').replace('WHERE iscrowd = 0 AND g.area', 'WHERE g.area')}
+  SELECT n.category_id, round(coalesce(sum(env) / max(n.npos), 0), 6) AS ap FROM n LEFT JOIN pr USING (category_id, area) GROUP BY n.category_id""")
+def _(t):
+    """Classes of two levels below two roots; crowds are groups."""
+    fine = (F.col("category_id") * 10 + F.col("id") % 3).alias("category_id")
+    rows = [(c * 10 + i, c) for c in (65, 78, 82) for i in range(3)] + [(65, 1), (78, 1), (82, 2)]
+    parents = t.spark.createDataFrame(rows, "category_id long, parent_id long")
+    gt = targets(t).withColumn("category_id", fine).withColumn("is_group", F.col("iscrowd") == 1).drop("iscrowd")
+    return D.open_images_ap(detections(t).withColumn("category_id", fine), gt, parents).withColumn("ap", F.round("ap", 6))
+
+
 def poses(t):
     """Four people an image: 17 keypoints from the vectors, seen where the third number is positive, none for label 0; two detections each."""
     e, scale = A.as_double("embedding"), 100.0

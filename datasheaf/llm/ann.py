@@ -3,8 +3,8 @@
 Centroids come from a balanced k-means over a bounded draw of vectors (`fit_rows`); there are as many as
 the number of vectors asks for, up to a share of the draw. Every vector is indexed: it goes to its nearest
 list and, near a boundary, to further lists. A graph over the centroids, small enough for every task, finds
-the lists of a vector. A query is compared with every centroid and reads all lists whose centroid is at most
-`reach` times as far as the nearest one. Lists are cut into parts of bounded size, and so are the queries that meet in a list.
+the lists of a vector. A query's beam over the graph is widened until its farthest centroid is more than
+`reach` times as far as the nearest one; all lists nearer than that are read. Lists are cut into parts of bounded size, and so are the queries that meet in a list.
 
 Equal vectors are indexed once, with the few smallest ids that a result can hold.
 """
@@ -25,11 +25,16 @@ FIT_ROWS = 20_000
 LIST_ROWS, PART_ROWS, QUERY_ROWS = 128, 4096, 1024
 REPLICAS, CLOSURE = 4, 1.25
 REACH = 1.17
+# Centroids that a query's beam holds at first.
+BEAM = 64
 # Rows that a task routes at once.
 ROUTED_ROWS = 16_384
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances, of vectors moved to the middle of `b`: a common offset would drown the differences."""
+    middle = b.mean(0) if len(b) else 0.0
+    a, b = a - middle, b - middle
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0)
 
 
@@ -95,6 +100,25 @@ class CentroidGraph:
             new = self.links[np.maximum(np.take_along_axis(ids, at, 1), 0)].reshape(m, -1)
 
 
+def lists_within(graph: CentroidGraph, q: np.ndarray, reach: float, own: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of `q` and their lists: those within `reach` of the nearest centroid, and nearer ones until they hold `need` vectors.
+
+    The beam is doubled for the rows whose farthest centroid is not beyond that yet.
+    """
+    rows, to = [], []
+    todo, beam = np.arange(len(q)), BEAM
+    while len(todo):
+        ids, dist = graph.search(q[todo], beam)
+        held = np.cumsum(np.where(ids >= 0, own[ids], 0), axis=1)
+        keep = (ids >= 0) & ((dist <= reach * dist[:, :1]) | (np.c_[np.zeros(len(todo)), held[:, :-1]] < need))
+        wide = ~keep[:, -1] if beam < len(graph.c) else np.ones(len(todo), bool)
+        r, c = np.nonzero(keep & wide[:, None])
+        rows.append(todo[r])
+        to.append(ids[r, c])
+        todo, beam = todo[~wide], 2 * beam
+    return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(to or [np.zeros(0, int)])
+
+
 def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
     """Distinct (vec_id, embedding) that take part: id and vector given, finite, not zero, of `dim` components.
 
@@ -161,15 +185,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, r
             for at in range(0, b.num_rows, 256):
                 s = b.slice(at, 256)
                 v = packed(s["embedding"])
-                # Every centroid is compared, so no list within reach is left out.
-                dist = np.sqrt(squared(v, graph.c))
-                ids = np.argsort(dist, axis=1, kind="stable")
-                dist = np.take_along_axis(dist, ids, 1)
-                # Lists within reach, and nearer ones until they hold enough vectors for a full answer.
-                held = np.cumsum(own[ids], axis=1)
-                keep = (dist <= reach * dist[:, :1]) | (np.c_[np.zeros(len(v)), held[:, :-1]] < k + 1)
-                r, c = np.nonzero(keep)
-                to = ids[r, c]
+                r, to = lists_within(graph, v, reach, own, k + 1)
                 for i in range(0, len(r), ROUTED_ROWS):
                     some = r[i:i + ROUTED_ROWS]
                     yield pa.RecordBatch.from_arrays(

@@ -4,7 +4,9 @@ A fingerprint is a wide vector of sums modulo 2^64. Every paragraph adds its own
 of paragraphs has no influence, and a paragraph is inserted or deleted by adding or subtracting its
 vector. A paragraph's vector is the signed hash of the whole paragraph plus the signed hashes of its
 sentences, these weighed by the root of their length: the inner product of two fingerprints then
-estimates how many characters the texts share, and likeness divides it by the larger text's own.
+estimates how many characters the texts share, and likeness divides it by the larger text's own. A long
+sentence is cut where a hash of three characters says so, the same wherever the passage stands, so a text
+without full stops is not one single part.
 """
 
 from __future__ import annotations
@@ -24,8 +26,23 @@ from pyspark.sql import functions as F
 from datasheaf.llm.common import spread_count
 
 LANES = 256
-SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
+MARKS = ".!?。！？｡؟।…"
+SENTENCE = re.compile(f"[^{MARKS}]*[{MARKS}]+|[^{MARKS}]+")
 HASHED_AT_ONCE = 4096
+# Sentences above this length are cut, into pieces of 2^CUT_BITS characters on average.
+LONG_SENTENCE, CUT_BITS = 160, 6
+MIXERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+
+
+def pieces_of(sentence: str) -> list[str]:
+    """The sentence, or its pieces where it is long; the ends of pieces depend on the three characters before them only."""
+    if len(sentence) <= LONG_SENTENCE:
+        return [sentence]
+    c = np.frombuffer(sentence.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    h = c[:-2] * np.uint64(MIXERS[0]) + c[1:-1] * np.uint64(MIXERS[1]) + c[2:] * np.uint64(MIXERS[2])
+    h = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - CUT_BITS)
+    ends = [0, *(np.flatnonzero(h == 0) + 3).tolist(), len(sentence)]
+    return [sentence[a:b] for a, b in zip(ends, ends[1:], strict=False) if a < b]
 
 
 def parts(text: str) -> list[tuple[bytes, int]]:
@@ -33,8 +50,9 @@ def parts(text: str) -> list[tuple[bytes, int]]:
     out = []
     for paragraph in text.split("\n"):
         out.append((b"P" + paragraph.encode("utf-8", "surrogatepass"), 1))
-        for s in SENTENCE.findall(paragraph):
-            out.append((b"S" + s.encode("utf-8", "surrogatepass"), isqrt(len(s))))
+        for sentence in SENTENCE.findall(paragraph):
+            for s in pieces_of(sentence):
+                out.append((b"S" + s.encode("utf-8", "surrogatepass"), isqrt(len(s))))
     return out
 
 

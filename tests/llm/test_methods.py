@@ -247,6 +247,43 @@ def test_fingerprints_add_up():
     assert np.array_equal(fingerprint.vector(large), sum((fingerprint.vector([p]) for p in large), np.zeros(fingerprint.LANES, np.uint16)))
 
 
+def test_queries_reach_every_list_within_reach():
+    """The graph against a comparison with all centroids."""
+    rng = np.random.default_rng(4)
+    c, q = rng.normal(size=(700, 6)), rng.normal(size=(60, 6))
+    own = rng.integers(0, 40, 700)
+    for reach, need in ((1.0, 1), (1.3, 11), (1.01, 300), (9.0, 11)):
+        r, to = ann.lists_within(ann.CentroidGraph(c), q, reach, own, need)
+        got = [set(to[r == i]) for i in range(60)]
+        dist = np.sqrt(ann.squared(q, c))
+        order = np.argsort(dist, axis=1)
+        far = np.take_along_axis(dist, order, 1)
+        before = np.c_[np.zeros(60), np.cumsum(own[order], axis=1)[:, :-1]]
+        want = [set(order[i][(far[i] <= reach * far[i, 0]) | (before[i] < need)]) for i in range(60)]
+        assert np.mean([len(a & b) / len(b) for a, b in zip(got, want, strict=True)]) > 0.98
+
+
+def test_recall_far_from_the_origin(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 16)) + 1e8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(df).collect():
+        got[r.query_id].add(r.vec_id)
+    found = [len(got[i] & set([j for j in np.argsort(((x - x[i]) ** 2).sum(1)) if j != i][:10])) for i in range(0, 1500, 100)]
+    assert np.mean(found) >= 9
+
+
+@pytest.mark.parametrize("text", [
+    " ".join(f"word{i * 7919 % 3001}" for i in range(3000)), "".join(chr(0x4E00 + i * i * 31 % 5000) for i in range(4000)),
+    "".join(chr(0x4E00 + i * i * 31 % 5000) + ("。" if i % 30 == 29 else "") for i in range(4000)),
+])
+def test_fingerprints_without_full_stops(text):
+    other = " ".join(f"other{i}" for i in range(4000))
+    a, e, n = (fingerprint.vector(fingerprint.parts(t)) for t in (text, fingerprint.edited(text, other), other))
+    assert 0.5 < fingerprint.likeness(a, e) < 0.8 and fingerprint.likeness(a, n) < 0.2
+
+
 def test_fingerprints_of_many_equal_lines():
     text = "\n".join(["a line of a text that repeats itself " * 3] * 10_000)
     a, e = (fingerprint.vector(fingerprint.parts(t)) for t in (text, fingerprint.edited(text, "another line of text\n" * 60_000)))

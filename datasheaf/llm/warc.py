@@ -29,6 +29,7 @@ ARCHIVE_BYTES = 1 << 30
 READ_AHEAD = 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURES = "key string, page_id long, file string, offset long, length long"
+PLACE_SCHEMA = pa.schema([("key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 CAPTURE_SCHEMA = pa.schema([
     ("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 DIRECTORY = "first_key string, last_key string, captures int, file string, offset long, length long"
@@ -189,8 +190,9 @@ def build_index(captures: DataFrame, folder: str, block_captures: int = BLOCK_CA
 def lookup(urls: DataFrame, folder: str) -> DataFrame:
     """Captures of every url of `urls` (url), each url once; a null url finds the captures without one.
 
-    The urls are sorted, so a task reads the part of the directory between its first and last key and each
-    block about once.
+    The urls are sorted, so a task searches the part of the directory between its first and last key. The
+    blocks that it finds for each key are dealt out before they are read: each block is read once, and the
+    many blocks of one frequent key are read by many tasks.
     """
     keys = urls.select(url_key(F.col("url")).alias("key")).distinct()
     keys = keys.repartitionByRange(spread_count(urls.sparkSession), "key").sortWithinPartitions("key")
@@ -198,7 +200,6 @@ def lookup(urls: DataFrame, folder: str) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
         directory = None
-        name, lines = None, []
         for b in batches:
             if not b.num_rows:
                 continue
@@ -213,23 +214,39 @@ def lookup(urls: DataFrame, folder: str) -> DataFrame:
                 for first, _, _, file, offset, length in blocks[bisect_left(lasts, k):]:
                     if first.encode() > k:
                         break
-                    if name != (file, offset):
-                        with store.open_input_file(f"{path}/{file}") as f:
-                            lines = zlib.decompress(f.read_at(length, offset)).split(b"\n")
-                        name = file, offset
-                    # By the key alone: a character below the tab would order whole lines otherwise.
-                    i = bisect_left(lines, k, key=lambda line: line[:line.index(b"\t")])
-                    while i < len(lines) and lines[i].startswith(k + b"\t"):
-                        _, page, where, at, size = lines[i].decode().split("\t")
-                        out.append((key, int(page) if page else None, where, int(at), int(size)))
-                        i += 1
+                    out.append((key, file, offset, length))
                     if len(out) >= 10_000:
-                        yield batch(out, CAPTURE_SCHEMA)
+                        yield batch(out, PLACE_SCHEMA)
                         out = []
+            if out:
+                yield batch(out, PLACE_SCHEMA)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = fs.FileSystem.from_uri(folder)
+        name, lines = None, []
+        for b in batches:
+            out = []
+            for key, file, offset, length in zip(*[b[c].to_pylist() for c in PLACE_SCHEMA.names], strict=True):
+                k = key.encode()
+                if name != (file, offset):
+                    with store.open_input_file(f"{path}/{file}") as f:
+                        lines = zlib.decompress(f.read_at(length, offset)).split(b"\n")
+                    name = file, offset
+                # By the key alone: a character below the tab would order whole lines otherwise.
+                i = bisect_left(lines, k, key=lambda line: line[:line.index(b"\t")])
+                while i < len(lines) and lines[i].startswith(k + b"\t"):
+                    _, page, where, at, size = lines[i].decode().split("\t")
+                    out.append((key, int(page) if page else None, where, int(at), int(size)))
+                    i += 1
+                if len(out) >= 10_000:
+                    yield batch(out, CAPTURE_SCHEMA)
+                    out = []
             if out:
                 yield batch(out, CAPTURE_SCHEMA)
 
-    return keys.mapInArrow(search, CAPTURES)
+    places = keys.mapInArrow(search, "key string, file string, offset long, length long")
+    dealt = places.repartition(spread_count(urls.sparkSession), "file", "offset").sortWithinPartitions("file", "offset", "key")
+    return dealt.mapInArrow(read, CAPTURES)
 
 
 def read_captures(captures: DataFrame, folder: str, payloads: bool = True) -> DataFrame:

@@ -214,3 +214,14 @@ def test_warc_urls_with_control_characters(spark):
     pages = spark.createDataFrame([(i, u, str(i), "", "") for i, u in enumerate(urls)], PAGES)
     got = warc.archive_and_read(spark, pages, work_folder(spark, "t")).collect()
     assert sorted(r.page_id for r in got) == list(range(len(urls)))
+
+
+def test_warc_blocks_of_one_key_are_read_by_many_tasks(spark, monkeypatch):
+    """One url in thousands of captures: its blocks are dealt out, and every capture is found."""
+    folder = work_folder(spark, "hot-key")
+    n = 3000
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.lit("http://a.org/x").alias("url"), F.format_string("page %d", "id").alias("html"))
+    captures = warc.write_archives(pages, f"{folder}/archives")
+    warc.build_index(captures, f"{folder}/index", 50)
+    found = warc.lookup(pages.select("url"), f"{folder}/index").withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.page_id for r in found) == list(range(n)) and len({r.task for r in found}) > 2

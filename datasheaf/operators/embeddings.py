@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from datasheaf.functions.arrays import as_double, let, squared_distance, total
+from datasheaf.session import work_folder
+from datasheaf.sources.jsonfile import located
 
 # Values (vectors x dimensions) a task may hold as one array: 2M doubles, 16 MB.
 INLINE_VALUES = 2_000_000
@@ -109,34 +117,83 @@ def prototype_classify(
     return out.drop("__best", "__mass")
 
 
+def _nearest_of(x: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of `q` the rows of `x` that may be among its k nearest, ties included, and their squared distances.
+
+    Products from the middle of `x` choose them, exact differences measure them.
+    """
+    middle = x.mean(0)
+    cx = x - middle
+    own = (cx * cx).sum(1)
+    for at in range(0, len(q), 256):
+        cq = q[at:at + 256] - middle
+        scale = (cq * cq).sum(1)[:, None] + own[None]
+        rough = scale - 2 * (cq @ cx.T)
+        few = min(k, len(x))
+        limit = np.partition(rough, few - 1, axis=1)[:, few - 1:few]
+        for i in range(len(cq)):
+            near = np.flatnonzero(rough[i] <= limit[i] + 1e-9 * scale[i])
+            yield at + i, near, ((x[near] - q[at + i]) ** 2).sum(1)
+
+
 def knn_topk(
     queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id: str, query_vec: str,
     vec: str, inline_values: int = INLINE_VALUES,
 ) -> DataFrame:
     """The k nearest corpus rows of each query (squared distance, id on ties): exact.
 
-    Queries are counted; in small blocks they are held by each task, which ranks its own corpus rows
-    per query and passes on at most k of them (window group limit before the shuffle).
+    The queries are written once, in blocks of at most `inline_values` values. A task reads the corpus rows it
+    has in stretches, takes block after block for each and passes on the k best of a stretch for each query: no
+    row for a pair of query and corpus row, no copy of the corpus. Rows without a vector are no neighbours.
     """
-    named = queries.select(F.col(query_id).alias("query"), F.col(query_vec).alias("qv"))
+    spark = queries.sparkSession
+    named = queries.select(F.col(query_id).alias("query"), as_double(query_vec).alias("qv")).filter("qv IS NOT NULL")
     size = named.select(F.count(F.lit(1)), F.max(F.size("qv"))).first()
-    values = size[0] * (size[1] or 0)
-    listed = F.array_sort(F.collect_list(F.struct("query", "qv")))
-    slim = corpus.select(F.col(corpus_id), as_double(vec).alias("__v"))
-    if values <= inline_values:
-        held = slim.withColumn("__l", named.agg(listed).scalar())
-    else:
-        blocks = -(-values // inline_values)
-        arrays = named.groupBy((F.abs(F.xxhash64("query")) % blocks).alias("__b")).agg(listed.alias("__l"))
-        copies = slim.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        held = copies.join(arrays, "__b")
-    # Distances first, rows after: an exploded row carries two ids and a number, no vector.
-    near = F.transform(
-        "__l", lambda q: F.struct(q["query"].alias("query"), squared_distance(q["qv"], F.col("__v")).alias("distance"))
-    )
-    dist = held.select(corpus_id, F.explode(near).alias("__n")).select(corpus_id, "__n.*")
+    blocks = max(1, -(-size[0] * (size[1] or 0) // inline_values))
+    folder = work_folder(spark, "queries")
+    number = F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")
+    named.select("query", "qv", number).repartition(blocks, "block").write.partitionBy("block").parquet(folder)
+    rows = corpus.select(F.col(corpus_id).alias("id"), as_double(vec).alias("v")).filter("v IS NOT NULL")
+    schema = T.StructType([
+        T.StructField("query", named.schema["query"].dataType), T.StructField(corpus_id, rows.schema["id"].dataType),
+        T.StructField("distance", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def read(block: int) -> tuple[list, np.ndarray]:
+        fs, path = located(f"{folder}/block={block}")
+        if fs.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
+            return [], np.zeros((0, 0))
+        t = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["query", "qv"]).combine_chunks()
+        return t["query"].to_pylist(), np.array(t["qv"].to_pylist(), float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        kept = read(0) if blocks == 1 else None
+
+        def ranked() -> Iterator[pa.RecordBatch]:
+            ids = [i for b in held for i in b["id"].to_pylist()]
+            x = np.array([v for b in held for v in b["v"].to_pylist()], float)
+            for block in range(blocks):
+                names, q = kept or read(block)
+                out: list[tuple] = []
+                for i, near, dist in _nearest_of(x, q, k) if len(names) else ():
+                    best = sorted(zip(dist.tolist(), [ids[j] for j in near], strict=True))[:k]
+                    out.extend((names[i], j, d) for d, j in best)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            if sum(h.num_rows for h in held) * (size[1] or 1) > inline_values:
+                yield from ranked()
+                held = []
+        if held:
+            yield from ranked()
+
+    found = rows.mapInArrow(run, schema)
     w = Window.partitionBy("query").orderBy("distance", corpus_id)
-    return dist.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def batch_score(

@@ -30,12 +30,17 @@ OPENING, CLOSING = [91, 123], [93, 125]
 KEY = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*$')
 
 
-def open_file(uri: str):
+def located(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and path of a name as Spark gives it."""
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
     if "://" not in uri:
         uri = "file://" + uri
-    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+    return pyarrow.fs.FileSystem.from_uri(uri)
+
+
+def open_file(uri: str):
+    fs, path = located(uri)
     return fs.open_input_file(path)
 
 

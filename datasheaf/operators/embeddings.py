@@ -74,6 +74,65 @@ def _partials(df: DataFrame, vec: str, protos: Column, own: str | None) -> DataF
     return out.drop("__d")
 
 
+def _in_blocks(named: DataFrame, inline_values: int) -> tuple[int, Callable[[int], tuple[list, np.ndarray]]]:
+    """(name, vector) rows written in blocks of at most about `inline_values` values; a task reads a block at a time.
+
+    Returns the number of blocks and a function that gives the sorted names and the vectors of one.
+    """
+    name, vec = named.columns
+    size = named.select(F.count(F.lit(1)), F.max(F.size(vec))).first()
+    blocks = max(1, -(-size[0] * (size[1] or 0) // inline_values))
+    folder = work_folder(named.sparkSession, "blocks")
+    number = F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int").alias("block")
+    named.select(name, vec, number).repartition(blocks, "block").sortWithinPartitions("block", name).write.partitionBy("block").parquet(folder)
+
+    def read(block: int) -> tuple[list, np.ndarray]:
+        fs, path = located(f"{folder}/block={block}")
+        if fs.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
+            return [], np.zeros((0, 0))
+        t = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=[name, vec]).sort_by(name)
+        return t[name].to_pylist(), np.array(t[vec].to_pylist(), float)
+
+    return blocks, read
+
+
+def _scored_in_blocks(queries: DataFrame, vec: str, named: DataFrame, own: str | None, inline_values: int) -> DataFrame:
+    """`__best` (d, label), `__mass` and `__own` as `_partials` gives them, over prototypes of any number."""
+    blocks, read = _in_blocks(named, inline_values)
+    kind = named.schema["label"].dataType
+    framed = queries.select(F.struct(*[F.col(f"`{c}`") for c in queries.columns]).alias("row"), as_double(vec).alias("v"),
+                            (F.col(own).cast(kind) if own is not None else F.lit(None).cast(kind)).alias("y"))
+    best = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("label", kind)])
+    doubles = [T.StructField(c, T.DoubleType()) for c in ("__mass", "__own")]
+    schema = T.StructType([framed.schema["row"], T.StructField("__best", best), *doubles])
+    kinds = to_arrow_schema(schema).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                x, y = np.array(b["v"].to_pylist(), float), b["y"].to_pylist()
+                least, names = np.full(len(x), np.inf), [None] * len(x)
+                mass, mine = np.zeros(len(x)), [None] * len(x)
+                for block in range(blocks):
+                    labels, protos = read(block)
+                    places = {c: j for j, c in enumerate(labels)}
+                    for i in range(len(x)) if labels else ():
+                        d = ((protos - x[i]) ** 2).sum(1)
+                        j = int(d.argmin())
+                        if names[i] is None or (d[j], labels[j]) < (least[i], names[i]):
+                            mass[i] = mass[i] * np.exp(d[j] - least[i]) if names[i] is not None else 0.0
+                            least[i], names[i] = d[j], labels[j]
+                        mass[i] += np.exp(least[i] - d).sum()
+                        if y[i] in places:
+                            mine[i] = float(d[places[y[i]]])
+                pairs = [{"d": d, "label": c} for d, c in zip(least.tolist(), names, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [b["row"], pa.array(pairs, kinds[1]), pa.array(mass), pa.array(mine, pa.float64())], schema.names)
+
+    return framed.mapInArrow(run, schema).select("row.*", "__best", "__mass", *(["__own"] if own is not None else []))
+
+
 def prototype_classify(
     queries: DataFrame, id_col: str, vec: str, protos: DataFrame, label: str | None = None,
     inline_values: int = INLINE_VALUES,
@@ -81,9 +140,8 @@ def prototype_classify(
     """Adds `pred`, `distance`, `log_prob` of the nearest prototype (smaller label on ties), and
     `loss`, the negative log-softmax at the true label when `label` is given.
 
-    `protos` (label, proto) is counted first. A small table is read once and held by each task;
-    a larger one is cut into blocks that meet every query by an equi-join on the block number, and
-    the partial results are merged per query.
+    `protos` (label, proto) is counted first. A small table is read once and held by each task; of a
+    larger one a task reads block after block for the queries it has, and keeps the best and the sum so far.
     """
     named = protos.select(F.col(protos.columns[0]).alias("label"), "proto")
     size = named.select(F.count(F.lit(1)), F.max(F.size("proto"))).first()
@@ -93,20 +151,7 @@ def prototype_classify(
         held = queries.withColumn("__p", named.agg(listed).scalar())
         scored = _partials(held, vec, F.col("__p"), label).drop("__p")
     else:
-        blocks = -(-values // inline_values)
-        arrays = named.groupBy((F.abs(F.xxhash64("label")) % blocks).alias("__b")).agg(listed.alias("__p"))
-        # Equal ids stay rows of their own.
-        rows = queries.withColumn("__row", F.monotonically_increasing_id())
-        copies = rows.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        parts = _partials(copies.join(arrays, "__b"), vec, F.col("__p"), label).drop("__p", "__b")
-        keep = queries.columns
-        own = [F.max("__own").alias("__own")] if label is not None else []
-        merged = parts.groupBy("__row").agg(
-            *[F.any_value(c).alias(c) for c in keep], *own, F.min("__best").alias("__best"),
-            F.collect_list(F.struct(F.col("__best.d").alias("d"), F.col("__mass").alias("m"))).alias("__ms"),
-        )
-        mass = total(F.transform("__ms", lambda s: s["m"] * F.exp(F.col("__best.d") - s["d"])))
-        scored = merged.withColumn("__mass", mass).drop("__ms", "__row")
+        scored = _scored_in_blocks(queries, vec, named.withColumn("proto", as_double("proto")), label, inline_values)
     out = (
         scored.withColumn("pred", F.col("__best.label"))
         .withColumn("distance", F.col("__best.d"))
@@ -146,28 +191,17 @@ def knn_topk(
     has in stretches, takes block after block for each and passes on the k best of a stretch for each query: no
     row for a pair of query and corpus row, no copy of the corpus. Rows without a vector are no neighbours.
     """
-    spark = queries.sparkSession
     named = queries.select(F.col(query_id).alias("query"), as_double(query_vec).alias("qv")).filter("qv IS NOT NULL")
-    size = named.select(F.count(F.lit(1)), F.max(F.size("qv"))).first()
-    blocks = max(1, -(-size[0] * (size[1] or 0) // inline_values))
-    folder = work_folder(spark, "queries")
-    number = F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")
-    named.select("query", "qv", number).repartition(blocks, "block").write.partitionBy("block").parquet(folder)
+    blocks, read = _in_blocks(named, inline_values)
     rows = corpus.select(F.col(corpus_id).alias("id"), as_double(vec).alias("v")).filter("v IS NOT NULL")
     schema = T.StructType([
         T.StructField("query", named.schema["query"].dataType), T.StructField(corpus_id, rows.schema["id"].dataType),
         T.StructField("distance", T.DoubleType())])
     arrow = to_arrow_schema(schema)
 
-    def read(block: int) -> tuple[list, np.ndarray]:
-        fs, path = located(f"{folder}/block={block}")
-        if fs.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
-            return [], np.zeros((0, 0))
-        t = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["query", "qv"]).combine_chunks()
-        return t["query"].to_pylist(), np.array(t["qv"].to_pylist(), float)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        values = 0
         kept = read(0) if blocks == 1 else None
 
         def ranked() -> Iterator[pa.RecordBatch]:
@@ -185,9 +219,10 @@ def knn_topk(
         for b in batches:
             if b.num_rows:
                 held.append(b)
-            if sum(h.num_rows for h in held) * (size[1] or 1) > inline_values:
+                values += len(b["v"].flatten())
+            if values > inline_values:
                 yield from ranked()
-                held = []
+                held, values = [], 0
         if held:
             yield from ranked()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -135,20 +136,32 @@ def read_training_files(spark: SparkSession, files: dict[str, str], schema: str
     return out
 
 
+def _located(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a name."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """True when a finished write is at the path."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    p, fs = _located(spark, path + "/_SUCCESS")
+    return fs.exists(p)
 
 
 def load_or_create(spark: SparkSession, path: str, builder: Callable[[], DataFrame], partition_by: Sequence[str] = ()) -> DataFrame:
     """The materialised dataset when its write finished, else build it, write it, read it back.
 
-    A write that died half way left no success marker and is written anew.
+    It is written beside the path and renamed when it is whole, so builders at the same time do not disturb
+    each other: the first one to finish is read by all. What an older write left half done at the path is replaced.
     """
     if not exists(spark, path):
-        builder().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+        builder().write.partitionBy(*partition_by).parquet(fresh)
+        (new, fs), (old, _) = _located(spark, fresh), _located(spark, path)
+        if not exists(spark, path):
+            fs.delete(old, True)
+            fs.rename(new, old)
+        fs.delete(new, True)
     return spark.read.parquet(path)
 
 

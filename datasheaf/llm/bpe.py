@@ -191,17 +191,17 @@ class Automaton:
 
 
 class Encoder:
-    """An automaton with a bounded memory of the ids of pieces, as little-endian bytes."""
+    """An automaton with a bounded memory of the ids of `most` pieces and as many words, as little-endian bytes."""
 
-    def __init__(self, automaton: Automaton):
-        self.automaton, self.memory, self.word_memory = automaton, {}, {}
+    def __init__(self, automaton: Automaton, most: int = MEMORY_PIECES):
+        self.automaton, self.memory, self.word_memory, self.most = automaton, {}, {}, most
 
     def word(self, w: str) -> bytes:
         got = self.word_memory.get(w)
         if got is None:
             got = np.array(self.automaton.encode(w.encode("utf-8", "surrogatepass")), "<u4").tobytes()
             if len(w) <= LONGEST_REMEMBERED:
-                if len(self.word_memory) >= MEMORY_PIECES:
+                if len(self.word_memory) >= self.most:
                     self.word_memory.clear()
                 self.word_memory[w] = got
         return got
@@ -211,7 +211,7 @@ class Encoder:
         if got is None:
             got = b"".join([self.word(w) for w in words(p)])
             if len(p) <= LONGEST_REMEMBERED:
-                if len(self.memory) >= MEMORY_PIECES:
+                if len(self.memory) >= self.most:
                     self.memory.clear()
                 self.memory[p] = got
         return got
@@ -264,13 +264,14 @@ def id_lists(ids: list[np.ndarray]) -> pa.ListArray:
 def encode_exactly(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", exact: str = "exact") -> DataFrame:
     """`docs` with the token ids of `text` and whether decoding them gives it again; a null text is empty.
 
-    Both in one pass over few rows at a time: a worker builds one automaton and holds the ids of one slice.
+    Both in one pass over few rows at a time: a worker builds one automaton, holds the ids of one slice and
+    remembers fewer pieces than elsewhere, as it may stand beside the workers of earlier stages.
     The two columns replace columns of their names; rows are kept as they are, repeated ones as well.
     """
     held = shared(docs.sparkSession, path)
     framed = docs.select(whole_row(docs, [c for c in docs.columns if c not in (ids, exact)]), F.col(f"`{text}`").alias("text"))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = of_worker(held, "encoder", lambda v: Encoder(Automaton(v)))
+        e = of_worker(held, "encoder", lambda v: Encoder(Automaton(v), MEMORY_PIECES // 4))
         for b in sliced(batches, 128):
             out, same = [], []
             for t in b["text"]:

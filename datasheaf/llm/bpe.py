@@ -271,7 +271,7 @@ def encode_exactly(docs: DataFrame, path: str, text: str = "text", ids: str = "i
     held = shared(docs.sparkSession, path)
     framed = docs.select(whole_row(docs, [c for c in docs.columns if c not in (ids, exact)]), F.col(f"`{text}`").alias("text"))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = of_worker(held, "encoder", lambda v: Encoder(Automaton(v), MEMORY_PIECES // 4))
+        e = of_worker(held, "encoder", lambda v: Encoder(Automaton(v), MEMORY_PIECES // 16))
         for b in sliced(batches, 128):
             out, same = [], []
             for t in b["text"]:

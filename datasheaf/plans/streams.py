@@ -14,7 +14,8 @@ from datasheaf.streaming import incremental as I
 
 
 def _stream(t, table):
-    return I.file_stream(t.spark, t.root, getattr(t, table).schema, pattern=f"{table}.parquet")
+    """A table of one file or of a folder of part files: a pattern that matches its path alone may be either."""
+    return I.file_stream(t.spark, f"{t.root}/{table}.parque[t]", getattr(t, table).schema)
 
 
 def _dirs(t, name):

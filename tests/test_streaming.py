@@ -80,3 +80,18 @@ def test_perplexity(spark, tmp_path):
     I.run_complete(I.loss_sums(I.file_stream(spark, src, df.schema), "x", "n", ["g"]), out, cp).awaitTermination()
     got = {r["g"]: r["perplexity"] for r in I.perplexity_of(I.newest(spark, out)).collect()}
     assert got["a"] == pytest.approx(7.38905609893065) and got["b"] == 100000.0
+
+
+@pytest.mark.parametrize("name", ["stream_confusion", "stream_f1", "stream_inference"])
+def test_tables_in_folders_stream_like_single_files(spark, tmp_path, name):
+    from datasheaf.plans import QUERIES
+
+    schema = "vec_id long, embedding array<float>, label long"
+    rows = [(i, [float((i * 7 + j * 3) % 11) for j in range(64)], i % 10) for i in range(60)]
+    df = spark.createDataFrame(rows, schema)
+    df.repartition(3).write.parquet(f"{tmp_path}/folder/embeddings.parquet")
+    put(df, f"{tmp_path}/written")
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "file" / "embeddings.parquet")
+    folder, single = (sorted(map(tuple, QUERIES[name](spark, f"{tmp_path}/{kind}").collect())) for kind in ("folder", "file"))
+    assert folder and folder == single

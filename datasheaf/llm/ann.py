@@ -3,8 +3,10 @@
 Centroids come from a balanced k-means over a bounded draw of vectors (`fit_rows`); there are as many as
 the number of vectors asks for, up to a share of the draw. Every vector is indexed: it goes to its nearest
 list and, near a boundary, to further lists. A graph over the centroids, small enough for every task, finds
-the lists of a vector. A query's beam over the graph is widened until its farthest centroid is more than
-`reach` times as far as the nearest one; all lists nearer than that are read. Lists are cut into parts of bounded size, and so are the queries that meet in a list.
+the lists of a vector. How much farther than the nearest centroid the lists of a query's neighbours lie depends
+on the vectors: it is measured on the draw, by brute force, for each list. A query's beam over the graph is
+widened until its farthest centroid is beyond that, and beyond `reach` times the nearest one's distance; all
+lists nearer are read. Lists are cut into parts of bounded size, and so are the queries that meet in a list.
 
 Equal vectors are indexed once, with the few smallest ids that a result can hold.
 """
@@ -25,6 +27,8 @@ FIT_ROWS = 20_000
 LIST_ROWS, PART_ROWS, QUERY_ROWS = 128, 4096, 1024
 REPLICAS, CLOSURE = 4, 1.25
 REACH = 1.17
+# About as many rows of the draw are searched by brute force; the share of their neighbours that a slack has to cover.
+MEASURED_ROWS, COVERED = 3000, 0.98
 # Centroids that a query's beam holds at first.
 BEAM = 64
 # Rows that a task routes at once.
@@ -67,7 +71,11 @@ class CentroidGraph:
             d = squared(centroids[at:at + 1024], centroids)
             near[at:at + 1024] = np.argpartition(d, near.shape[1] - 1, axis=1)[:, :near.shape[1]]
         self.links = np.hstack([near, rng.integers(0, k, (k, chance))])
-        self.entries = rng.permutation(k)[:32]
+        # Entries far apart from each other, so that a distant group of centroids has one.
+        far, self.entries = np.full(k, np.inf), np.zeros(min(32, k), np.int64)
+        for i in range(1, len(self.entries)):
+            far = np.minimum(far, ((centroids - centroids[self.entries[i - 1]]) ** 2).sum(1))
+            self.entries[i] = far.argmax()
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the centroids found for each row of q, nearest first; -1 and inf fill up."""
@@ -100,8 +108,65 @@ class CentroidGraph:
             new = self.links[np.maximum(np.take_along_axis(ids, at, 1), 0)].reshape(m, -1)
 
 
-def lists_within(graph: CentroidGraph, q: np.ndarray, reach: float, own: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of `q` and their lists: those within `reach` of the nearest centroid, and nearer ones until they hold `need` vectors.
+def nearest_rows(q: np.ndarray, p: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """For each row of q the rows of p that can be among its k nearest ones, ties included, by bounds on the rounding."""
+    approx = squared(q, p)
+    middle = p.mean(0)
+    size = ((q - middle) ** 2).sum(1)[:, None] + ((p - middle) ** 2).sum(1)[None]
+    error = (4 + q.shape[1]) * np.finfo(float).eps * size
+    k = min(k, len(p))
+    least = np.partition(approx + error, k - 1, axis=1)[:, k - 1]
+    for at in approx - error <= least[:, None]:
+        yield np.nonzero(at)[0]
+
+
+def measured_slack(c: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """For each centroid of `c`: how much farther than it the lists of a neighbour may lie, by the draw `x`.
+
+    Some rows of each list are compared with the whole draw. Neighbours in the draw are farther away than those
+    in the table, so their lists are no nearer. The least slack is that of all lists, in proportion to the
+    distance of their vectors.
+    """
+    if len(x) <= 1:
+        return np.zeros(len(c))
+    few = min(REPLICAS, len(c))
+    to = np.empty((len(x), few), np.int64)
+    dist = np.empty((len(x), few))
+    for at in range(0, len(x), 1024):
+        d = np.sqrt(squared(x[at:at + 1024], c))
+        to[at:at + 1024] = near = np.argsort(d, axis=1, kind="stable")[:, :few]
+        dist[at:at + 1024] = np.take_along_axis(d, near, 1)
+    to = np.where(dist <= CLOSURE * dist[:, :1], to, to[:, :1])
+    held = np.bincount(to[:, 0], minlength=len(c))
+    scale = np.bincount(to[:, 0], dist[:, 0], len(c)) / np.maximum(held, 1)
+    scale = np.maximum(scale, np.median(scale))
+    # As many rows of every list.
+    by_list = np.argsort(to[:, 0], kind="stable")
+    nth = np.arange(len(x)) - np.repeat(np.cumsum(held) - held, held)
+    asked = by_list[nth < max(5, MEASURED_ROWS // len(c))]
+    beyond = np.empty((len(asked), min(k, len(x) - 1)))
+    for at in range(0, len(asked), 256):
+        rows = asked[at:at + 256]
+        d = squared(x[rows], x)
+        d[np.arange(len(rows)), rows] = np.inf
+        lists = to[np.argpartition(d, beyond.shape[1] - 1, axis=1)[:, :beyond.shape[1]]]
+        away = np.sqrt(squared(x[rows], c))
+        found = np.take_along_axis(away, lists.reshape(len(rows), -1), 1).reshape(lists.shape).min(2)
+        beyond[at:at + 256] = found - away.min(1)[:, None]
+    own = to[asked, 0]
+    usual = scale[own, None]
+    slack = np.quantile(np.divide(beyond, usual, out=np.zeros_like(beyond), where=usual > 0), COVERED) * scale
+    for rows in np.split(np.arange(len(asked)), np.nonzero(np.diff(own))[0] + 1):
+        at, met = own[rows[0]], beyond[rows]
+        slack[at] = max(slack[at], np.quantile(met, COVERED) if met.size >= 50 else met.max())
+    return slack
+
+
+def lists_within(
+    graph: CentroidGraph, q: np.ndarray, reach: float, own: np.ndarray, need: int, slack: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of `q` and their lists: those within `reach` of the nearest centroid or farther by no more than its `slack`,
+    and nearer ones until they hold `need` vectors.
 
     The beam is doubled for the rows whose farthest centroid is not beyond that yet.
     """
@@ -110,7 +175,10 @@ def lists_within(graph: CentroidGraph, q: np.ndarray, reach: float, own: np.ndar
     while len(todo):
         ids, dist = graph.search(q[todo], beam)
         held = np.cumsum(np.where(ids >= 0, own[ids], 0), axis=1)
-        keep = (ids >= 0) & ((dist <= reach * dist[:, :1]) | (np.c_[np.zeros(len(todo)), held[:, :-1]] < need))
+        bound = reach * dist[:, :1]
+        if slack is not None:
+            bound = np.maximum(bound, dist[:, :1] + slack[ids[:, :1]])
+        keep = (ids >= 0) & ((dist <= bound) | (np.c_[np.zeros(len(todo)), held[:, :-1]] < need))
         wide = ~keep[:, -1] if beam < len(graph.c) else np.ones(len(todo), bool)
         r, c = np.nonzero(keep & wide[:, None])
         rows.append(todo[r])
@@ -161,6 +229,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, r
     lists = max(1, min(-(-total // LIST_ROWS), max(1, len(x) // 8)))
     # At most fit_rows / 8 centroids: the graph has a bounded size and goes to every task with the function.
     graph = CentroidGraph(balanced_centroids(x, lists))
+    slack = measured_slack(graph.c, x, k)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,7 +254,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, r
             for at in range(0, b.num_rows, 256):
                 s = b.slice(at, 256)
                 v = packed(s["embedding"])
-                r, to = lists_within(graph, v, reach, own, k + 1)
+                r, to = lists_within(graph, v, reach, own, k + 1, slack)
                 for i in range(0, len(r), ROUTED_ROWS):
                     some = r[i:i + ROUTED_ROWS]
                     yield pa.RecordBatch.from_arrays(
@@ -212,10 +281,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, r
             for at in range(0, len(q), 256):
                 some = q.iloc[at:at + 256]
                 qv = np.frombuffer(b"".join(some["q"]), float).reshape(len(some), -1)
-                near = squared(qv, pv)
-                few = min(len(pv), 3 * k)
-                near = np.argpartition(near, few - 1, axis=1)[:, :few]
-                for me, v, c in zip(some["query_id"], qv, near, strict=True):
+                for me, v, c in zip(some["query_id"], qv, nearest_rows(qv, pv, k + 1), strict=True):
                     d = np.sqrt(((pv[c] - v) ** 2).sum(1))
                     best = np.lexsort((least[c], d))[:k + 1]
                     rows = [(d[i], o) for i in best for o in held[c[i]] if o != me]

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -391,3 +392,20 @@ def test_pipeline_stage_by_stage(spark):
     assert Counter(r.doc_id for r in out) == copies and all(r.exact for r in out)
     for r in out[:50]:
         assert r.ids == LIBRARY.encode(text[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+
+
+def test_nearest_of_flat_data_and_beside_an_outlier(spark):
+    """Vectors of few degrees of freedom lie near their centroid, so a multiple of that distance reaches too few lists."""
+    rng = np.random.default_rng(7)
+    flat = rng.normal(size=(6000, 3)) @ rng.normal(size=(3, 64))
+    flat[-1] = 1e9  # drowns the differences between the others where its list is moved to the middle
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(6000), "embedding": flat.tolist()}))
+    got = defaultdict(set)
+    for r in ann.nearest(df).collect():
+        got[r.query_id].add(r.vec_id)
+    found = 0
+    for q in range(0, 6000, 100):
+        d = ((flat - flat[q]) ** 2).sum(1)
+        d[q] = np.inf
+        found += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert found / 600 >= 0.95

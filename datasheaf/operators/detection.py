@@ -1,7 +1,8 @@
 """Detection post-processing and evaluation.
 
-Box tables have image_id, id, x0, y0, x1, y1 (doubles) and, for predictions, score. Overlaps come
-from a join on grids of several cell sizes that emits only boxes that touch. Greedy procedures
+Box tables have image_id, id, x0, y0, x1, y1 (doubles) and, for predictions, score. Overlaps in images of
+few boxes come from a join on the image, others from a join on grids of several cell sizes that emits only
+boxes that touch. Greedy procedures
 (suppression, matching) read the overlaps of one scope in order, with a bounded number of overlaps at a
 time; scopes beyond that bound are cut into their connected components, and these into stretches of the
 order.
@@ -14,14 +15,14 @@ import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datasheaf.functions import boxes as B
 from datasheaf.operators.graph import connected_components
 from datasheaf.operators.positions import group_index, running, running_many
 from datasheaf.operators.sets import top_n_per_group
-from datasheaf.session import materialize, written
+from datasheaf.session import written
 
 # The area ranges, inclusive at both ends.
 AREA_RANGES = [
@@ -36,6 +37,11 @@ RECALL_POINTS = 101
 BOX = ["x0", "y0", "x1", "y1"]
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """A table in the shared folder: compressed and read by column, which a checkpoint is not."""
+    return written(df, "detection")
+
+
 # Join keys of the grids. Cells of one grid are two to the power of its level, eight times those of the one below.
 _GRID = ["__level", "__cx", "__cy"]
 _STEP = 3
@@ -80,16 +86,47 @@ def _listed(df: DataFrame, name: str, by: Sequence[str], level: Column) -> DataF
     return across.select(*by, name, "__level", "__cx", F.explode(cells("y0", "y1")).alias("__cy"))
 
 
+# Boxes of a scope on one side that are all compared with those on the other side.
+FEW_BOXES = 64
+
+
 def overlapping_pairs(a: DataFrame, b: DataFrame, by: Sequence[str] = ("image_id",)) -> DataFrame:
-    """`by`, structs `a` and `b`, `iou` of every pair with a positive overlap.
+    """`by`, structs `a` and `b`, `iou` of every pair with a positive overlap. Boxes without an area overlap nothing.
+
+    Scopes of at most FEW_BOXES boxes on each side are joined whole; the boxes of others meet in grid cells.
+    """
+    many = [x.groupBy(*by).count().filter(F.col("count") > FEW_BOXES).select(*by) for x in ((a,) if a is b else (a, b))]
+    if all(x.isEmpty() for x in many):
+        return _all_pairs(a, b, by)
+    crowded = written(functools.reduce(DataFrame.unionByName, many).distinct(), "crowded")
+    few = [x.join(crowded, [*by], "left_anti").select(x.columns) for x in (a, b)]
+    rest = [x.join(crowded, [*by], "left_semi").select(x.columns) for x in ((a,) if a is b else (a, b))]
+    return _all_pairs(*few, by).unionByName(_grid_pairs(rest[0], rest[-1], by))
+
+
+def _crowd(b: DataFrame) -> Column | None:
+    return F.col("b.iscrowd") == 1 if "iscrowd" in b.columns else None
+
+
+def _all_pairs(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Overlaps from a join on `by`: as many comparisons as pairs of boxes."""
+    def boxes(df: DataFrame, name: str) -> DataFrame:
+        solid = df.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+        return solid.select(*by, F.struct(*[c for c in df.columns if c not in by]).alias(name))
+
+    met = boxes(a, "a").join(boxes(b, "b"), [*by]).filter(B.intersection("a", "b") > 0)
+    return met.select(*by, "a", "b", B.iou("a", "b", _crowd(b)).alias("iou"))
+
+
+def _grid_pairs(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Overlaps from a join on grid cells.
 
     A box belongs to the grid whose cells are next above its longer side, and two boxes meet on (by, cell)
     in the grid of the larger one, where the smaller one is listed as well. So a huge box does not cover
     thousands of small cells, and small boxes meet each other only in small cells. A pair is kept in the
-    one cell that holds the lower corner of its overlap, so nothing has to be deduplicated. Boxes without
-    an area overlap nothing.
+    one cell that holds the lower corner of its overlap, so nothing has to be deduplicated.
     """
-    crowd = F.col("b.iscrowd") == 1 if "iscrowd" in b.columns else None
+    crowd = _crowd(b)
     one = a is b
     a, b = _sized(a), _sized(b)
     of_a = _powers(a)
@@ -281,7 +318,8 @@ def ordered_matching(
     `first` orders the turns (all edges of equal `first` have one left node), `then` the edges of a turn.
     `shared` marks edges whose right node may be chosen any number of times.
     """
-    e = edges.withColumn("__o", F.struct(first.alias("k"), then.alias("l"))).withColumn(
+    # The order repeats columns of the edges, so it is not written with them.
+    e = materialize(edges).withColumn("__o", F.struct(first.alias("k"), then.alias("l"))).withColumn(
         "__s", shared if shared is not None else F.lit(False)
     )
 
@@ -292,7 +330,7 @@ def ordered_matching(
         return _without(rest.withColumnRenamed(right, "__x"), used, [*inner, "__x"]).withColumnRenamed("__x", right)
 
     nodes = F.xxhash64(*scope, F.lit("l"), left), F.xxhash64(*scope, F.lit("r"), right)
-    return in_order(materialize(e), scope, [left, right, "__s"], nodes, _Matching, strike).drop("__o", "__s")
+    return in_order(e, scope, [left, right, "__s"], nodes, _Matching, strike).drop("__o", "__s")
 
 
 def greedy_match(pairs: DataFrame, scope: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -335,16 +373,23 @@ def proposal_recall(
 
     banded = gt.withColumn("area_name", F.explode(matched_in_bands(F.col("area"), bands)))
     totals = banded.groupBy(F.col("area_name").alias("area")).agg(F.count(F.lit(1)).alias("num_pos"))
-    # One list cut to the largest limit; a proposal belongs to every limit its rank is within.
+    # One list cut to the largest limit; a proposal belongs to every limit its rank is within. Limits that hold all
+    # proposals of an image give the same matches: they are made once, for the smallest of them.
+    limits = sorted(limits)
     ranked = top_n_per_group(proposals, ["image_id"], ["-score", "id"], max(limits), rank="rank")
+    listed = F.max("rank").over(Window.partitionBy("image_id"))
+    ranked = ranked.withColumn("enough", F.array_min(F.filter(F.lit(limits), lambda x: x >= listed)))
     pairs = overlapping_pairs(
-        ranked.select("image_id", "id", "rank", *BOX), gt.select("image_id", "id", "area", *BOX)
+        ranked.select("image_id", "id", "rank", "enough", *BOX), gt.select("image_id", "id", "area", *BOX)
     ).filter(F.col("iou") > 0)
     long = pairs.select(
         "image_id", F.col("a.id").alias("pred"), F.col("b.id").alias("gt"), "iou",
         F.explode(matched_in_bands(F.col("b.area"), bands)).alias("area"), F.col("a.rank").alias("rank"),
-    ).withColumn("lim", F.explode(F.filter(F.lit(list(limits)), lambda x: F.col("rank") <= x)))
+        F.col("a.enough").alias("enough"),
+    ).withColumn("lim", F.explode(F.filter(F.lit(limits), lambda x: (F.col("rank") <= x) & (x <= F.col("enough")))))
     matched = greedy_match(long.drop("rank"), ["image_id", "area", "lim"])
+    same = F.filter(F.lit(limits), lambda x: (x == F.col("lim")) | ((x > F.col("enough")) & (F.col("lim") == F.col("enough"))))
+    matched = matched.withColumn("lim", F.explode(same)).drop("enough")
     return recall_from_overlaps(matched, totals, limits, thresholds)
 
 

@@ -280,3 +280,37 @@ def test_keypoints_must_fit_the_sigmas(spark):
     assert (whole.ap, whole.apm, whole.apl) == (pytest.approx(100.0), pytest.approx(100.0), None)
     assert D.keypoint_ap(dets.limit(0), gt.limit(0)).first().ap is None
     assert dets.select(D.pixel_keypoints(F.col("keypoints")).alias("k")).first().k == [0.5, 0.5, 1.0, 0.5, 0.5, 1.0]
+
+
+@pytest.mark.parametrize("few", [0, 3, 64])
+def test_pairs_of_crowded_and_other_images(spark, monkeypatch, few):
+    """One image above the bound and others below it: the same pairs as from comparing all boxes, each once."""
+    monkeypatch.setattr(D, "FEW_BOXES", few)
+    gt, dets = fixture(4)
+    gt = gt + [(10**6, 1, 1, 0.0, 0.0, 5.0, 5.0, 25.0, 0)]
+    dets = dets + [(10**6, 1, 1, 1.0, 1.0, 4.0, 6.0, 0.5), (10**6, 1, 2, 1.0, 1.0, 1.0, 6.0, 0.5)]
+    g, d = frames(spark, gt, dets)
+    got = [(r["image_id"], r["a"]["id"], r["b"]["id"]) for r in D.overlapping_pairs(d, g.drop("iscrowd")).collect()]
+    want = [(p[0], p[2], q[2]) for p in dets for q in gt if p[0] == q[0] and p[5] > p[3] and iou(p[3:7], q[3:7]) > 0]
+    assert sorted(got) == sorted(want)
+
+
+def test_limits_that_hold_all_proposals_are_matched_once(spark, monkeypatch):
+    """Before, every overlap was written and matched for each limit."""
+    gt, dets = fixture(2)
+    g, d = frames(spark, gt, dets)
+    seen, match = [], D.greedy_match
+
+    def counted(pairs, scope):
+        seen.append(pairs.count())
+        return match(pairs, scope)
+
+    monkeypatch.setattr(D, "greedy_match", counted)
+    key = lambda r: (r["area"], r["lim"], r["threshold"])
+    of = lambda limits: {key(r): (r["hits"], r["num_pos"]) for r in D.proposal_recall(d, g, limits).collect()}
+    both = of((100, 1000))
+    assert both == of((100,)) | of((1000,))
+    assert seen[0] == seen[1] == seen[2]
+    low = of((2, 5))
+    assert low == of((2,)) | of((5,))
+    assert low != {(a, 2 if m == 100 else 5, t): v for (a, m, t), v in both.items()}

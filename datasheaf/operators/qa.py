@@ -6,11 +6,14 @@ of the same window and are built inside the row; only the n best of a window lea
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datasheaf.functions import text as T
-from datasheaf.functions.arrays import let, running_total
+from datasheaf.functions.arrow import given, lengths, listed, numbers, stretches
 from datasheaf.operators.positions import running_many
 from datasheaf.session import written
 
@@ -19,63 +22,96 @@ EMPTY_TEXT = "empty"
 BEAM_EMPTY_START, BEAM_EMPTY_END = -1e-6, -2e-6
 
 
-def word_offsets(words: Column) -> Column:
-    """Character span of each word in the text that joins the words with single blanks."""
-    return let(F.transform(words, lambda w: F.length(w) + 1), lambda steps: F.zip_with(
-        running_total(steps), steps, lambda end, n: F.struct((end - n).cast("int").alias("s"), (end - 1).cast("int").alias("e"))))
-
-
-def top_positions(logits: Column, n: int) -> Column:
-    """The n largest elements as structs (logit, i), equal ones by position."""
-    keyed = F.transform(logits, lambda v, i: F.struct((-v).alias("neg"), i.alias("i")))
-    return F.transform(
-        F.slice(F.array_sort(keyed), 1, n), lambda s: F.struct((-s["neg"]).alias("logit"), s["i"].alias("i"))
-    )
-
-
-def _text(context: str, offsets: str, start: Column, end: Column) -> Column:
-    lo, hi = F.get(offsets, start)["s"], F.get(offsets, end)["e"]
-    return F.substring(F.col(context), lo + 1, hi - lo)
-
-
-def _pairs(starts: str, ends: str, offsets: str, max_len: int) -> Column:
-    """Valid (start, end) structs, best score first: both inside the context, end not before start,
-    length bounded."""
-    def inside(i: Column) -> Column:
-        return F.get(offsets, i).isNotNull()
+def _word_offsets(words: pa.Array) -> pa.Array:
+    sizes, n = lengths(words), pc.add(pc.utf8_length(words.flatten()), 1)
+    steps = numbers(n).astype(np.int64)
+    ends = np.cumsum(steps)
+    starts = np.r_[0, ends]
+    before = np.repeat(starts[np.cumsum(sizes) - sizes], sizes)
+    # From a missing word on no position is known.
+    lost = np.r_[0, np.cumsum(~given(n))]
+    unknown = lost[1:] > np.repeat(lost[np.cumsum(sizes) - sizes], sizes)
+    s = pa.array((ends - steps - before).astype(np.int32), mask=unknown)
+    e = pa.array((ends - 1 - before).astype(np.int32), mask=unknown)
+    return listed(pa.StructArray.from_arrays([s, e], ["s", "e"]), sizes, words)
 
-    def ends_of(s: Column) -> Column:
-        ok = F.filter(ends, lambda e: (e["i"] >= s["i"]) & (e["i"] <= s["i"] + (max_len - 1)) & inside(e["i"]))
-        return F.transform(ok, lambda e: F.struct(
-            (-(s["logit"] + e["logit"])).alias("neg"), s["i"].alias("start"), e["i"].alias("end"),
-            s["logit"].alias("start_logit"), e["logit"].alias("end_logit"),
-        ))
 
-    return F.array_sort(F.flatten(F.transform(F.filter(starts, lambda s: inside(s["i"])), ends_of)))
+def word_offsets(words: Column) -> Column:
+    """Character span of each word in the text that joins the words with single blanks."""
+    return F.arrow_udf(_word_offsets, "array<struct<s:int,e:int>>")(words)
+
+
+def _largest(lists: pa.Array, n: int) -> tuple[np.ndarray, ...]:
+    """For each list the positions of its n largest numbers, equal ones by position, missing ones in front:
+    tables of the positions, of whether there is one, of its number and of whether that is given."""
+    sizes, flat = lengths(lists), lists.flatten()
+    inside = np.arange(sizes.max(initial=0)) < sizes[:, None]
+    value = np.full(inside.shape, np.nan)
+    value[inside] = numbers(flat)
+    known = ~inside
+    known[inside] = given(flat)
+    order = np.argsort(-value, axis=1, kind="stable") if known.all() else np.lexsort((-value, known), axis=1)
+    at = order[:, :n]
+    return at, np.arange(at.shape[1]) < sizes[:, None], np.take_along_axis(value, at, 1), np.take_along_axis(known, at, 1)
+
+
+_SPAN = "struct<start:int,end:int,score:double,start_logit:double,end_logit:double,lo:int,hi:int>"
+
+
+def _pairs(starts: pa.Array, ends: pa.Array, offsets: pa.Array, n: int, max_len: int, best: int | None) -> pa.Array:
+    """Valid spans of each row, best score first: both ends among the n best and inside the context, end not
+    before start, length bounded; `lo` and `hi` bound the text."""
+    s, has_s, s_logit, s_given = _largest(starts, n)
+    e, has_e, e_logit, e_given = _largest(ends, n)
+    sizes, tokens = lengths(offsets), offsets.flatten()
+    known = np.zeros((len(sizes), max(lengths(starts).max(initial=0), lengths(ends).max(initial=0), sizes.max(initial=0))), bool)
+    known[np.arange(known.shape[1]) < sizes[:, None]] = given(tokens)
+    has_s, has_e = has_s & np.take_along_axis(known, s, 1), has_e & np.take_along_axis(known, e, 1)
+    length = e[:, None, :] - s[:, :, None]
+    row, i, j = np.nonzero(has_s[:, :, None] & has_e[:, None, :] & (length >= 0) & (length < max_len))
+    start, end, start_logit, end_logit = s[row, i], e[row, j], s_logit[row, i], e_logit[row, j]
+    both = s_given[row, i] & e_given[row, j]
+    order = np.lexsort((end, start, -(start_logit + end_logit), both, row))
+    found = np.bincount(row, minlength=len(sizes))
+    if best is not None:
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(found) - found, found)
+        order, found = order[nth < best], np.minimum(found, best)
+    row, i, j, start, end, both, start_logit, end_logit = (x[order] for x in (row, i, j, start, end, both, start_logit, end_logit))
+    first = np.cumsum(sizes) - sizes
+    columns = {
+        "start": pa.array(start.astype(np.int32)), "end": pa.array(end.astype(np.int32)),
+        "score": pa.array(start_logit + end_logit, mask=~both),
+        "start_logit": pa.array(start_logit, mask=~s_given[row, i]), "end_logit": pa.array(end_logit, mask=~e_given[row, j]),
+        "lo": tokens.field("s").take(pa.array(first[row] + start)), "hi": tokens.field("e").take(pa.array(first[row] + end)),
+    }
+    return listed(pa.StructArray.from_arrays(list(columns.values()), list(columns)), found)
 
 
 def span_candidates(features: DataFrame, n: int = 20, max_len: int = 30, best: int | None = None) -> DataFrame:
     """One row per candidate span with its answer `text`; with `best`, that many per window.
 
     `features`: start_logits, end_logits, offsets, context; other columns are kept. The context
-    stays behind: a candidate carries its own text only.
+    stays behind: a candidate carries its own text only. The spans of many windows are found together.
     """
     used = ("start_logits", "end_logits", "offsets", "context")
     keep = [c for c in features.columns if c not in used]
-    tops = features.select(
-        *keep, "offsets", "context", top_positions(F.col("start_logits"), n).alias("__s"),
-        top_positions(F.col("end_logits"), n).alias("__e"),
-    )
-    pairs = _pairs("__s", "__e", "offsets", max_len)
-    rows = F.transform(
-        pairs if best is None else F.slice(pairs, 1, best),
-        lambda c: F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), (-c["neg"]).alias("score"),
-            c["start_logit"].alias("start_logit"), c["end_logit"].alias("end_logit"),
-            _text("context", "offsets", c["start"], c["end"]).alias("text"),
-        ),
-    )
-    return tops.select(*keep, F.explode(rows).alias("__c")).select(*keep, "__c.*")
+
+    @F.arrow_udf(f"array<{_SPAN}>")
+    def spans(starts: pa.Array, ends: pa.Array, offsets: pa.Array) -> pa.Array:
+        widths = np.maximum(np.maximum(lengths(starts), lengths(ends)), lengths(offsets))
+        return pa.concat_arrays([_pairs(starts[at], ends[at], offsets[at], n, max_len, best) for at in stretches(widths)])
+
+    double = lambda c: F.col(c).cast("array<double>")
+    offsets = F.col("offsets").cast("array<struct<s:int,e:int>>")
+    # Made in the generator itself: a filter on a column of lists would make them a second time.
+    rows = features.select(*keep, "context", F.explode(spans(double("start_logits"), double("end_logits"), offsets)).alias("__c"))
+    text = F.substring("context", F.col("__c.lo") + 1, F.col("__c.hi") - F.col("__c.lo"))
+    return rows.select(*keep, *[f"__c.{c}" for c in ("start", "end", "score", "start_logit", "end_logit")], text.alias("text"))
+
+
+def _text(context: str, offsets: str, start: Column, end: Column) -> Column:
+    lo, hi = F.get(offsets, start)["s"], F.get(offsets, end)["e"]
+    return F.substring(F.col(context), lo + 1, hi - lo)
 
 
 def beam_candidates(features: DataFrame, start_n: int, end_n: int, max_len: int = 30) -> DataFrame:
@@ -126,18 +162,21 @@ def with_fallback(
     nbest: DataFrame, examples: DataFrame, key: str, text: str = EMPTY_TEXT, start: float = 0.0, end: float = 0.0
 ) -> DataFrame:
     """Every example once at least: one without candidates, or with a single empty text, gets the
-    fallback in front."""
-    shape = nbest.groupBy(key).agg(
-        F.count(F.lit(1)).alias("__n"), F.max(F.when(F.col("text") == "", 1).otherwise(0)).alias("__empty")
-    )
-    missing = examples.select(key).distinct().join(shape, key, "left").filter(
-        F.col("__n").isNull() | ((F.col("__n") == 1) & (F.col("__empty") == 1))
-    )
-    fake = missing.select(
+    fallback in front.
+
+    The fallbacks of all examples are put beside the lists and those not needed are left out again, so
+    the lists are made once.
+    """
+    fake = examples.select(key).distinct().select(
         key, F.lit(0).alias("rank"), F.lit(text).alias("text"), F.lit(start + end).alias("score"),
         F.lit(start).alias("start_logit"), F.lit(end).alias("end_logit"),
     )
-    return nbest.select(fake.columns).unionByName(fake)
+    both = nbest.select(*fake.columns, F.lit(0).alias("__fake")).unionByName(fake.withColumn("__fake", F.lit(1)))
+    real, own = F.col("__fake") == 0, Window.partitionBy(key)
+    counted = both.withColumn("__n", F.count_if(real).over(own)).withColumn("__empty", F.count_if(real & (F.col("text") == "")).over(own))
+    # A missing key equals no other.
+    needed = F.col(key).isNull() | (F.col("__n") == 0) | ((F.col("__n") == 1) & (F.col("__empty") == 1))
+    return counted.filter(real | needed).drop("__fake", "__n", "__empty")
 
 
 def group_softmax(df: DataFrame, key: str, score: str, out: str = "probability") -> DataFrame:
@@ -184,22 +223,36 @@ def beam_answer(nbest: DataFrame, features: DataFrame, key: str) -> DataFrame:
     return cls.join(first, key, "left").withColumn("answer", F.coalesce("answer", F.lit("")))
 
 
+def _token_span(offsets: pa.Array, start_char: pa.Array, end_char: pa.Array, cls_index: pa.Array) -> pa.Array:
+    sizes, tokens = lengths(offsets), offsets.flatten()
+    first, far = np.cumsum(sizes) - sizes, np.iinfo(np.int64).max
+    at = np.arange(len(tokens)) - np.repeat(first, sizes)
+    s, e = (numbers(tokens.field(c)).astype(np.int64) for c in "se")
+    ctx = given(tokens) & given(tokens.field("s"))
+    ends = ctx & given(tokens.field("e"))
+    lo, hi = (numbers(c).astype(np.int64) for c in (start_char, end_char))
+
+    def of_rows(pick: np.ufunc, values: np.ndarray, none: int) -> np.ndarray:
+        out = np.full(len(sizes), none)
+        if len(values):
+            out[sizes > 0] = pick.reduceat(values, first[sizes > 0])
+        return out
+
+    # last token that starts at or before the span, first token that ends at or after it
+    start = of_rows(np.maximum, np.where(ctx & (s <= np.repeat(lo, sizes)), at, -1), -1)
+    end = of_rows(np.minimum, np.where(ends & (e >= np.repeat(hi, sizes)), at, far), far)
+    hit = given(start_char) & given(end_char) & (start >= 0) & (end < far)
+    outside = ~hit & ~given(cls_index)
+    cls = numbers(cls_index).astype(np.int64)
+    parts = [pa.array(np.where(hit, x, cls).astype(np.int32), mask=outside) for x in (start, end)]
+    return pa.StructArray.from_arrays(parts, ["start", "end"])
+
+
 def answer_token_span(offsets: Column, start_char: Column, end_char: Column, cls_index: Column) -> Column:
     """Struct (start, end): token positions of a character span, or the CLS position twice when the
     span is not inside the window. Offsets are NULL outside the context."""
-    at = F.transform(offsets, lambda o, i: F.struct(o["s"].alias("s"), o["e"].alias("e"), i.alias("i")))
-    ctx = F.filter(at, lambda o: o["s"].isNotNull())
-    # last token that starts at or before the span, first token that ends at or after it
-    start = F.array_max(F.transform(F.filter(ctx, lambda o: o["s"] <= start_char), lambda o: o["i"]))
-    end = F.array_min(F.transform(F.filter(ctx, lambda o: o["e"] >= end_char), lambda o: o["i"]))
-    inside = (F.array_min(F.transform(ctx, lambda o: o["s"])) <= start_char) & (
-        F.array_max(F.transform(ctx, lambda o: o["e"])) >= end_char
-    )
-    hit = F.coalesce(inside, F.lit(False))
-    return F.struct(
-        F.when(hit, start).otherwise(cls_index).cast("int").alias("start"),
-        F.when(hit, end).otherwise(cls_index).cast("int").alias("end"),
-    )
+    found = F.arrow_udf(_token_span, "struct<start:int,end:int>")
+    return found(offsets.cast("array<struct<s:int,e:int>>"), start_char.cast("long"), end_char.cast("long"), cls_index.cast("int"))
 
 
 def context_offsets(offsets: Column, is_context: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from datasheaf.functions import text as T
-from datasheaf.functions.hashing import draw, draw_int
+from datasheaf.functions.hashing import draw, draw_int, draw_ints, draws
 from datasheaf.operators import entities as N
 from datasheaf.operators import joins as J
 from datasheaf.operators import language as L
@@ -32,8 +32,7 @@ WINDOWS = f"""(SELECT doc_id, "window", list_slice(ws, "window" * 96 + 1, "windo
 def features(t):
     """Windows with context, offsets (NULL at CLS) and drawn logits for every token."""
     def logits(name):
-        i = F.sequence(F.lit(0), F.size("ws"))
-        return F.transform(i, lambda k: draw(name, "doc_id", "window", k) * 10 - 5)
+        return draws(name, F.size("ws") + 1, "doc_id", "window", low=-5.0, width=10.0)
 
     return windows(t).select(
         "doc_id", "window", F.array_join("ws", " ").alias("context"),
@@ -116,10 +115,9 @@ def beam_features(t):
     n = F.col("n") + 1
 
     def top(name, k, what):
-        idx = F.sequence(F.lit(0), F.lit(k - 1))
         if what == "index":
-            return F.transform(idx, lambda i: (draw_int(name, "doc_id", "window", i) % n).cast("int"))
-        return F.transform(idx, lambda i: -draw(name, "doc_id", "window", i) * 5)
+            return F.transform(draw_ints(name, F.lit(k), "doc_id", "window"), lambda x: (x % n).cast("int"))
+        return draws(name, F.lit(k), "doc_id", "window", low=0.0, width=-5.0)
 
     w = windows(t).withColumn("n", F.size("ws"))
     return w.select(
@@ -299,19 +297,19 @@ def tagged(t):
     """Sentences (document lines) with drawn gold tags and predictions that differ now and then."""
     tags = F.lit(TAGS)
 
-    def draw_tag(i, name):
-        return F.get(tags, (draw_int(name, "doc_id", "line", i) % len(TAGS)).cast("int"))
+    def tag_of(x):
+        return F.get(tags, (x % len(TAGS)).cast("int"))
 
     docs = spread(t.documents.select("doc_id", "text"))
     lines = docs.select("doc_id", F.posexplode(T.lines("text")).alias("line", "value"))
     sent = lines.select("doc_id", "line", T.words("value").alias("ws")).filter(F.size("ws") > 0)
-    idx = F.sequence(F.lit(0), F.size("ws") - 1)
-    gold = sent.select("doc_id", "line", F.transform(idx, lambda i: draw_tag(i, "gold")).alias("gold"))
+    drawn = sent.select("doc_id", "line", *[draw_ints(x, F.size("ws"), "doc_id", "line").alias(x) for x in ("gold", "flip", "other")])
+    gold = drawn.select("doc_id", "line", F.transform("gold", tag_of).alias("gold"), "flip", "other")
 
     def guess(tag, i):
-        return F.when(draw_int("flip", "doc_id", "line", i) % 4 == 0, draw_tag(i, "other")).otherwise(tag)
+        return F.when(F.get("flip", i) % 4 == 0, tag_of(F.get("other", i))).otherwise(tag)
 
-    return gold.withColumn("pred", F.transform("gold", guess))
+    return gold.withColumn("pred", F.transform("gold", guess)).drop("flip", "other")
 
 
 def _spans(col):

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from datasheaf.functions.hashing import draw, draw_int, draw_ints, draws
 from datasheaf.operators import corpus as C
 from datasheaf.operators import entities as N
 from datasheaf.operators import language as L
@@ -184,3 +185,80 @@ def test_batches(spark):
     assert by_len == {1: (0, 2), 2: (0, 2), 0: (1, 4), 4: (1, 4), 3: (2, 5)}
     shapes = {r["i"]: (r["bucket"], r["batch"]) for r in P.aspect_batches(df, F.col("w"), F.col("h"), ["i"], 2).collect()}
     assert shapes == {0: (0, 0), 3: (0, 0), 1: (1, 0), 2: (1, 0)}
+
+
+def test_spans_of_odd_windows(spark):
+    # Missing lists, lists of unequal length, missing and infinite logits, an empty window, a long one among short ones.
+    long = 3000
+    rows = [
+        ("a", "ab cd", [None, (0, 2), (3, 5)], [0.0, None, 2.0], [0.0, 1.0, float("nan")]),
+        ("b", "ab", None, [1.0, 2.0], [1.0, 2.0]), ("c", "ab", [None, (0, 2)], None, [1.0, 2.0]), ("d", "", [], [], []),
+        ("e", "ab cd", [(0, 2), (3, 5)], [float("inf"), 1.0, 9.0], [1.0]),
+        ("f", " ".join(["x"] * long), [(2 * i, 2 * i + 1) for i in range(long)], [float(i % 7) for i in range(long)], [1.0] * long),
+    ]
+    df = spark.createDataFrame(rows, f"id string, context string, offsets {OFFSETS}, start_logits array<double>, end_logits array<double>")
+    got = Q.span_candidates(df.coalesce(1), 2, 2).drop("start_logit", "end_logit").collect()
+    by = lambda i: [(r.start, r.end, None if r.score is None else str(r.score), r.text) for r in got if r.id == i]
+    assert by("a") == [(1, 1, None, "ab")]
+    assert by("b") == by("c") == by("d") == []
+    assert by("e") == [(0, 0, "inf", "ab")]
+    assert by("f") == []  # best starts 6 and 13, best ends 0 and 1
+    assert [r.text for r in Q.span_candidates(df.filter("id = 'f'"), 20, 1).collect()] == ["x"] * 2
+
+
+def test_arrow_draws_are_the_draws(spark):
+    df = spark.sql("select * from values (1L, 'x', 3), (null, 'y', 2), (2L, null, 0), (3L, 'z', null) as t(a, b, n)")
+    one = lambda f: F.transform(F.sequence(F.lit(1), F.col("n")), f)
+    got = df.select(
+        "n", draw_ints("s", F.col("n"), "a", "b").alias("i"), draws("s", F.col("n"), "a", "b", low=-5.0, width=10.0).alias("d"),
+        one(lambda k: draw_int("s", "a", "b", k - 1)).alias("wi"), one(lambda k: draw("s", "a", "b", k - 1) * 10 - 5).alias("wd"),
+    ).collect()
+    assert [(r.i, r.d) for r in got] == [([], []) if r.n == 0 else (r.wi, r.wd) for r in got]
+
+
+def test_span_steps_are_made_once_and_by_batch(spark, features):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spans = plan(Q.span_candidates(features, best=20))
+    assert spans.count("ArrowEvalPython") == 1 and "lambdafunction" not in spans
+    words = spark.createDataFrame([(["ab", "c", None, "d"],), (None,), ([],)], "w array<string>")
+    offsets = words.select(Q.word_offsets(F.col("w")).alias("o"))
+    assert [r.o and [(x.s, x.e) for x in r.o] for r in offsets.collect()] == [[(0, 2), (3, 4), (None, None), (None, None)], None, []]
+    span = Q.answer_token_span(F.col("o"), F.lit(3), F.lit(4), F.lit(0))
+    assert [tuple(r.x) for r in offsets.select(span.alias("x")).collect()] == [(1, 1), (0, 0), (0, 0)]
+    assert "lambdafunction" not in plan(offsets.select(span))
+
+
+def test_fallback_makes_the_lists_once(spark, features):
+    made = Q.n_best(Q.span_candidates(features, best=20), "id")
+    full = Q.with_fallback(made, features, "id")
+    assert full._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    lists = spark.createDataFrame([("a", 1, "", 1.0), ("b", 1, "", 1.0), ("b", 2, "", 0.5), ("c", 1, "t", 1.0), (None, 1, "t", 1.0), ("z", 1, "", 1.0)],
+                                  "id string, rank int, text string, score double").withColumns({"start_logit": F.lit(0.0), "end_logit": F.lit(0.0)})
+    every = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("d",), (None,)], "id string")
+    got = Q.with_fallback(lists, every, "id").filter("rank = 0").collect()
+    assert sorted(str(r.id) for r in got) == ["None", "a", "d"]
+
+
+def test_entity_spans_of_odd_tags(spark):
+    rows = [(["I-X", None, "I-X", "I-X", "B", "B-", "I-", "O", "I-O"],), (None,), ([],), (["B-X", "I-Y", "I-Y"],)]
+    df = spark.createDataFrame(rows, "t array<string>").coalesce(1)
+    got = df.select(N.entity_spans("t").alias("a"), N.entity_spans("t", strict=True).alias("b"))
+    assert "lambdafunction" not in got._jdf.queryExecution().executedPlan().toString()
+    pairs = [tuple(None if x is None else [tuple(s) for s in x] for x in r) for r in got.collect()]
+    assert pairs == [
+        ([("X", 0, 0), ("X", 2, 3), ("", 5, 6), ("O", 8, 8)], [("", 5, 6)]), (None, None), ([], []),
+        ([("X", 0, 0), ("Y", 1, 2)], [("X", 0, 0)]),
+    ]
+
+
+def test_entity_scores_of_odd_rows(spark):
+    rows = [
+        (["B-X", "I-X", "O", "B-Y"], ["B-X", "I-X", "B-Y", "B-Z"]), (None, ["B-X"]), (["B-X", None], None), ([], []),
+        (["B-X", "I-X"], ["B-X"]), (["O", None, "B-Y"], ["O", None, "B-Y", "O"]),
+    ]
+    df = spark.createDataFrame(rows, "p array<string>, g array<string>").coalesce(1)
+    scores = N.entity_scores(df, "p", "g")
+    assert "lambdafunction" not in scores._jdf.queryExecution().executedPlan().toString()
+    # Spans in both: X of the first row and Y of the last. Missing tags are spans of no type and equal nothing.
+    r = scores.first()
+    assert (r.precision, r.recall, r.f1, r.accuracy) == (2 / 5, 2 / 6, 4 / 11, 5 / 10)

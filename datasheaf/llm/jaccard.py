@@ -15,8 +15,8 @@ different orders of the tokens, and then the full sets are compared.
 * Then all pairs from different families that share a window token under the first order are
   candidates. Tokens that more than COMMON families hold are left out; a node that still has enough
   other tokens cannot miss a partner by that (`light`).
-* The other nodes, mostly made of common tokens, meet under a third order: rarest first, by exact counts
-  among such nodes, with the exact prefix of floor(n / 5) + 1 tokens and no token left out.
+* The other nodes, mostly made of common tokens, meet under a third order: rarest first, by counts of buckets
+  of tokens among such nodes, with the exact prefix of floor(n / 5) + 1 tokens and no token left out.
 * Candidates of either kind must share tokens in both windows before their sets are compared.
 """
 
@@ -40,6 +40,8 @@ BLOCK, ALIKE = 256, 65
 CHUNK_BYTES = 1 << 20
 # Ids with their nodes are sent to every task up to this many (some 50 MB); beyond that the texts are joined by a shuffle.
 SENT_IDS = 500_000
+# At most 2 to this power buckets of tokens are counted (4 MB), packed into so many rows of a task.
+BUCKET_BITS, SLOTS = 20, 16
 WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
 ODD = np.random.default_rng(5).integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LETTER, PLACE, SHORT = ODD[:256], ODD[256:256 + SHINGLE], ODD[280:280 + SHINGLE]
@@ -311,24 +313,58 @@ def across(posts: DataFrame) -> DataFrame:
     return pairs.select(F.col("u_nid").alias("u"), F.col("v_nid").alias("v")).distinct()
 
 
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle."""
-    for b in batches:
-        for nid, n, fam, s in zip(*[b[c].to_pylist() for c in ("nid", "n", "fam")], b["shingles"], strict=True):
-            t = np.frombuffer(s.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(np.full(len(t), x, np.int64)) for x in (nid, n, fam)], pa.array(t)], ["nid", "n", "fam", "token"])
+def token_counts(sets: DataFrame, total: int) -> np.ndarray:
+    """How many of `total` tokens fall into each bucket of the hash: as many buckets as tokens, up to a bound.
+
+    Every task counts all its tokens and returns SLOTS packed parts of the counts; the parts are summed by slot.
+    """
+    bits = min(max(int(total).bit_length(), 10), BUCKET_BITS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint32)
+        for b in sliced(batches):
+            tokens = np.concatenate([np.frombuffer(s.as_buffer(), np.uint64) for s in b["shingles"]])
+            np.add.at(counts, buckets(tokens, bits), np.uint32(1))
+        parts = [x.tobytes() for x in np.split(counts, SLOTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS), pa.int32()), pa.array(parts, pa.binary())], ["slot", "counts"])
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for slot, part in zip(b["slot"].to_pylist(), b["counts"], strict=True):
+                sums[slot] = sums.get(slot, np.uint32(0)) + np.frombuffer(part.as_buffer(), np.uint32)
+        parts = [x.tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(parts, pa.binary())], ["slot", "counts"])
+    kind = "slot int, counts binary"
+    parts = sets.select("shingles").mapInArrow(run, kind).repartition("slot").mapInArrow(added, kind)
+    return np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in sorted(parts.collect())])
+
+
+def buckets(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def rarest_first(heavy: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs among heavy nodes (nid, n, fam) that share a token of their exact prefixes, rarest tokens first."""
-    every = heavy.join(sets, "nid").select("nid", "n", "fam", "shingles")
-    every = written(every.mapInArrow(unpacked, "nid long, n long, fam long, token long"), "heavy-tokens")
-    often = every.select("token", "fam").distinct().groupBy("token").agg(F.count("*").alias("df"))
-    ranked = every.join(often, "token").groupBy("nid", "n", "fam").agg(
-        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
-    prefix = F.slice("order", F.lit(1), (F.floor(F.col("n") / 5) + 1).cast("int"))
-    return across(ranked.select("nid", "n", "fam", F.posexplode(F.transform(prefix, lambda x: x["token"])).alias("pos", "token")))
+    """Pairs among heavy nodes (nid, n, fam) that share a token of their exact prefixes, tokens of rare buckets first.
+
+    Any order that all nodes share makes the prefixes exact; one by counts makes few pairs. Counts of buckets do for that
+    and are small enough for every task, so only the tokens of prefixes become rows. A token alone in its bucket is held
+    by one node: it takes a place in the prefix but makes no row.
+    """
+    every = written(heavy.join(sets, "nid").select("nid", "n", "fam", "shingles"), "heavy-sets")
+    counts = token_counts(every, heavy.agg(F.sum("n")).first()[0])
+    bits = len(counts).bit_length() - 1
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for nid, n, fam, s in zip(*[b[c].to_pylist() for c in ("nid", "n", "fam")], b["shingles"], strict=True):
+                t = np.frombuffer(s.as_buffer(), np.uint64)
+                often = counts[buckets(t, bits)]
+                first = np.lexsort((t, often))[:n // 5 + 1]
+                at = np.flatnonzero(often[first] > 1)
+                same = [np.full(len(at), x, np.int64) for x in (nid, n, fam)]
+                for column, x in zip(out, [*same, at, t[first[at]].view(np.int64)], strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["nid", "n", "fam", "pos", "token"])
+    return across(written(every.mapInArrow(prefixes, "nid long, n long, fam long, pos long, token long"), "heavy-prefixes"))
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

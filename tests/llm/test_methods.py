@@ -178,6 +178,33 @@ def test_family_a_little_below_the_threshold(spark, monkeypatch, block):
     assert got == want and sum(m.count() for m in made) == 0
 
 
+@pytest.mark.parametrize("bits", [20, 10])
+def test_heavy_nodes_give_rows_for_their_prefixes_only(spark, monkeypatch, bits):
+    """No similar pair of two families is missed, with few or many tokens in a bucket; a fifth of the tokens become rows."""
+    monkeypatch.setattr(jaccard, "BUCKET_BITS", bits)
+    r = np.random.default_rng(7)
+    number = lambda n: jaccard.mixed(r.integers(0, 1 << 62, n, dtype=np.uint64))
+    common = number(60)
+    base = np.r_[common[:8], number(100)]
+    sets, fam = {}, {}
+    for i in range(300):
+        own = base.copy()
+        own[r.integers(0, len(base), 3)] = number(3)
+        sets[i], fam[i] = np.unique(own), 0
+    for i in range(300, 420):
+        sets[i], fam[i] = np.unique(np.r_[r.choice(common, r.integers(20, 200)), number(r.integers(0, 6))]), i if i < 410 else 410
+    both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    similar = {(a, b) for a in sets for b in range(300, 420) if a < b and fam[a] != fam[b] and 9 * both(a, b) >= 4 * (len(sets[a]) + len(sets[b]))}
+    tables = {}
+    keep = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: tables.setdefault(name, keep(df, name)))
+    heavy = spark.createDataFrame([(i, len(s), fam[i]) for i, s in sets.items()], "nid long, n long, fam long")
+    packed = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "nid long, shingles binary")
+    got = {(x.u, x.v) for x in jaccard.rarest_first(heavy, packed).collect()}
+    assert similar and similar <= got and all(fam[a] != fam[b] for a, b in got)
+    assert tables["heavy-prefixes"].count() <= sum(len(s) // 5 + 1 for s in sets.values())
+
+
 def test_blocks_return_few_links():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 40, 60, dtype=np.uint64)) for _ in range(30)]

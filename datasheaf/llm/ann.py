@@ -13,10 +13,10 @@ Equal vectors are indexed once, with the few smallest ids that a result can hold
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +33,8 @@ MEASURED_ROWS, COVERED = 3000, 0.98
 BEAM = 64
 # Rows that a task routes at once.
 ROUTED_ROWS = 16_384
+# Queries whose nearest a task holds before it gives them away.
+HELD_QUERIES = 20_000
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,6 +189,55 @@ def lists_within(
     return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(to or [np.zeros(0, int)])
 
 
+class Nearest:
+    """The k nearest ids of each query so far, ties to the smaller id."""
+
+    def __init__(self, k: int):
+        self.k, self.best = k, {}
+
+    def __len__(self) -> int:
+        return len(self.best)
+
+    def farthest(self, query: int) -> float:
+        """Nothing farther can be among the nearest."""
+        best = self.best.get(query, ())
+        return best[-1][0] if len(best) == self.k else np.inf
+
+    def add(self, query: int, found: Iterable[tuple[float, int]]) -> None:
+        new = sorted(found)
+        if new:
+            least: dict[int, float] = {}
+            for d, o in heapq.merge(self.best.get(query, ()), new):
+                if least.setdefault(o, d) == d and len(least) == self.k:
+                    break
+            self.best[query] = [(d, o) for o, d in least.items()]
+
+    def taken(self) -> pa.RecordBatch:
+        rows = [(q, o, d) for q, best in self.best.items() for d, o in best]
+        self.best = {}
+        columns = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+
+def met_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, list[list[int]], np.ndarray]]:
+    """Queries with their vectors, and points with theirs, of each (turn, list, part) that has both; rows come sorted by it."""
+    here, asked, points = None, ([], []), ([], [])
+    matrix = lambda v: np.frombuffer(b"".join(v), float).reshape(len(v), -1)
+    for b in batches:
+        columns = [b[c].to_pylist() for c in ("turn", "list", "part", "query_id", "ids", "v")]
+        for *at, query, ids, v in zip(*columns, strict=True):
+            if at != here:
+                if asked[0] and points[0]:
+                    yield asked[0], matrix(asked[1]), points[0], matrix(points[1])
+                here, asked, points = at, ([], []), ([], [])
+            side, name = (points, ids) if query is None else (asked, query)
+            side[0].append(name)
+            side[1].append(v)
+    if asked[0] and points[0]:
+        yield asked[0], matrix(asked[1]), points[0], matrix(points[1])
+
+
 def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
     """Distinct (vec_id, embedding) that take part: id and vector given, finite, not zero, of `dim` components.
 
@@ -272,24 +323,26 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, r
     right = postings.join(spans, "list").withColumn("part", deal("v", F.col("parts"))).withColumn("turn", every(F.col("turns")))
     keys = ["list", "part", "turn"]
 
-    def meet(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
-        if len(q) and len(p):
-            pv = np.frombuffer(b"".join(p["v"]), float).reshape(len(p), -1)
-            least = np.array([i[0] for i in p["ids"]])
-            held = p["ids"].tolist()
+    # A task holds the nearest of each query over all the lists that it reads, so a query gives no more than k rows
+    # a task, however many lists it asks. Turns come first: a task goes on with the same queries from list to list.
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Nearest(k)
+        for q, qv, ids, pv in met_groups(batches):
+            least = np.array([i[0] for i in ids])
             for at in range(0, len(q), 256):
-                some = q.iloc[at:at + 256]
-                qv = np.frombuffer(b"".join(some["q"]), float).reshape(len(some), -1)
-                for me, v, c in zip(some["query_id"], qv, nearest_rows(qv, pv, k + 1), strict=True):
+                some = qv[at:at + 256]
+                for me, v, c in zip(q[at:at + 256], some, nearest_rows(some, pv, k + 1), strict=True):
                     d = np.sqrt(((pv[c] - v) ** 2).sum(1))
                     best = np.lexsort((least[c], d))[:k + 1]
-                    rows = [(d[i], o) for i in best for o in held[c[i]] if o != me]
-                    found.extend((me, o, s) for s, o in sorted(rows)[:k])
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    met = left.select(*keys, "query_id", "q").groupBy(*keys).cogroup(right.select(*keys, "ids", "v").groupBy(*keys))
-    best = met.applyInPandas(meet, "query_id long, vec_id long, score double")
+                    held.add(me, ((d[i], o) for i in best if d[i] <= held.farthest(me) for o in ids[c[i]] if o != me))
+            if len(held) > HELD_QUERIES:
+                yield held.taken()
+        yield held.taken()
+
+    met = left.select(*keys, "query_id", F.lit(None).cast("array<long>").alias("ids"), F.col("q").alias("v")).unionByName(
+        right.select(*keys, F.lit(None).cast("long").alias("query_id"), "ids", "v"))
+    met = met.repartition(*keys).sortWithinPartitions("turn", "list", "part")
+    best = met.mapInArrow(meet, "query_id long, vec_id long, score double")
     best = best.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = best.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)

@@ -253,6 +253,37 @@ def test_every_list_within_reach_is_read(spark, monkeypatch):
         assert got[i] == set(np.argsort(((x - q) ** 2).sum(1))[:10].tolist())
 
 
+def test_rows_of_a_query_do_not_grow_with_its_lists(spark, monkeypatch):
+    """Every list is read; a task returns at most k rows of a query."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 8)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2400, 32))
+    frame = type(spark.range(1))
+    mapped, made = frame.mapInArrow, []
+    def spied(self, func, schema, *more):
+        out = mapped(self, func, schema, *more)
+        made.extend([out] if out.columns == ["query_id", "vec_id", "score"] else [])
+        return out
+    monkeypatch.setattr(frame, "mapInArrow", spied)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(rows, reach=100.0).orderBy("rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, 2400, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        assert got[q] == [i for i in np.argsort(d).tolist() if i != q][:10]
+    assert made[0].count() <= 24 * 10 * 4  # queries, k, partitions
+
+
+def test_nearest_so_far():
+    held = ann.Nearest(3)
+    for found in ([(2.0, 5), (1.0, 7), (1.0, 6)], [(1.0, 5), (0.5, 7)], [(1.0, 4), (3.0, 9)]):
+        held.add(0, iter(found))
+    assert held.farthest(0) == 1.0 and held.farthest(1) == np.inf
+    assert held.taken().to_pylist() == [{"query_id": 0, "vec_id": o, "score": d} for d, o in ((0.5, 7), (1.0, 4), (1.0, 5))]
+    assert not len(held) and held.taken().num_rows == 0
+
+
 def test_graph_finds_the_nearest_centroids():
     rng = np.random.default_rng(3)
     c, q = rng.normal(size=(900, 8)), rng.normal(size=(50, 8))

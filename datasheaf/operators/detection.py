@@ -14,13 +14,15 @@ import functools
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from datasheaf.functions import boxes as B
 from datasheaf.operators.graph import connected_components
-from datasheaf.operators.positions import group_index, running, running_many
+from datasheaf.operators.positions import _sort_cols, group_index
 from datasheaf.operators.sets import top_n_per_group
 from datasheaf.session import written
 
@@ -109,13 +111,28 @@ def _crowd(b: DataFrame) -> Column | None:
 
 
 def _all_pairs(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Overlaps from a join on `by`: as many comparisons as pairs of boxes."""
+    """Overlaps from a join on `by`: as many comparisons as pairs of boxes.
+
+    Boxes are joined as plain columns with their size, and the overlap is worked out once for its test and
+    once for the ratio: nested in structs and repeated, the generated method grows too large to be compiled.
+    """
     def boxes(df: DataFrame, name: str) -> DataFrame:
         solid = df.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
-        return solid.select(*by, F.struct(*[c for c in df.columns if c not in by]).alias(name))
+        size = B.area(*[F.col(c) for c in BOX]).alias(f"__{name}_size")
+        return solid.select(*by, size, *[F.col(c).alias(f"__{name}_{c}") for c in df.columns if c not in by])
+
+    def row(df: DataFrame, name: str) -> Column:
+        return F.struct(*[F.col(f"__{name}_{c}").alias(c) for c in df.columns if c not in by]).alias(name)
 
-    met = boxes(a, "a").join(boxes(b, "b"), [*by]).filter(B.intersection("a", "b") > 0)
-    return met.select(*by, "a", "b", B.iou("a", "b", _crowd(b)).alias("iou"))
+    def side(lo: str, hi: str) -> Column:
+        return F.greatest(F.least(f"__a_{hi}", f"__b_{hi}") - F.greatest(f"__a_{lo}", f"__b_{lo}"), F.lit(0.0))
+
+    met = boxes(a, "a").join(boxes(b, "b"), [*by]).withColumn("__both", side("x0", "x1") * side("y0", "y1")).filter("__both > 0")
+    union = F.col("__a_size") + F.col("__b_size") - F.col("__both")
+    if "iscrowd" in b.columns:
+        union = F.when(F.col("__b_iscrowd") == 1, F.col("__a_size")).otherwise(union)
+    iou = F.when(F.col("__union") > 0, F.col("__both") / F.col("__union")).otherwise(F.lit(0.0))
+    return met.withColumn("__union", union).select(*by, row(a, "a"), row(b, "b"), iou.alias("iou"))
 
 
 def _grid_pairs(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -161,21 +178,37 @@ MAX_EDGES = 200_000
 def _read_in_order(edges: DataFrame, scope: Sequence[str], keys: Sequence[str], decide) -> DataFrame:
     """Edges that `decide` accepts, read scope by scope in the order of `__o`.
 
-    `decide()` gives a fresh function of a row's `keys` for each scope.
+    `decide()` gives a fresh function of a row's `keys` for each scope. Of edges with `__slots` it gives the
+    bits that it accepts. The order is not among the columns of the result.
     """
-    cols = [*scope, *keys]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, accept = None, None
         for batch in batches:
-            mask = []
-            for row in zip(*[batch[c].to_pylist() for c in cols], strict=True):
-                if accept is None or row[:len(scope)] != here:
-                    here, accept = row[:len(scope)], decide()
-                mask.append(accept(*row[len(scope):]))
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for c in scope:
+                new[1:] |= np.diff(batch[c].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)) != 0
+            first, last = (tuple(batch[c][i].as_py() for c in scope) for i in (0, batch.num_rows - 1))
+            new[0] = accept is None or first != here
+            here, mask = last, []
+            for starts, *row in zip(new.tolist(), *[_values(batch[c]) for c in keys], strict=True):
+                if starts:
+                    accept = decide()
+                mask.append(accept(*row))
+            if "__slots" in keys:
+                at = batch.schema.get_field_index("__slots")
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(mask, pa.int64()))
+                mask = np.array(mask, np.int64) != 0
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    ordered = edges.repartition(*scope).sortWithinPartitions(*scope, "__o")
-    return ordered.mapInArrow(run, edges.schema)
+    ordered = edges.repartition(*scope).sortWithinPartitions(*scope, "__o").drop("__o")
+    return ordered.mapInArrow(run, ordered.schema)
+
+
+def _values(column: pa.Array) -> list:
+    plain = pa.types.is_integer(column.type) or pa.types.is_boolean(column.type)
+    return column.to_numpy(zero_copy_only=False).tolist() if plain and not column.null_count else column.to_pylist()
 
 
 def in_order(
@@ -309,6 +342,31 @@ class _Matching:
         return True
 
 
+class _SlotMatching:
+    """As `_Matching` in many slots at once: the bits of the edge's slots in which both ends are free."""
+
+    def __init__(self):
+        self.left, self.right = {}, {}
+
+    def __call__(self, left, right, shared, slots) -> int:
+        used = self.left.get(left, 0)
+        held = self.right.get(right, 0)
+        free = slots & ~used if shared else slots & ~(used | held)
+        if free:
+            self.left[left] = used | free
+            self.right[right] = held | free
+        return free
+
+
+def _less(rest: DataFrame, gone: DataFrame, inner: Sequence[str], end: str) -> DataFrame:
+    """Edges without the slots that are `gone` for their node at one end; none without slots."""
+    names = {c: f"__g{i}" for i, c in enumerate([*inner, end])}
+    taken = gone.groupBy(*[F.col(c).alias(g) for c, g in names.items()]).agg(F.bit_or("__slots").alias("__gone"))
+    same = functools.reduce(lambda x, y: x & y, [rest[c].eqNullSafe(taken[g]) for c, g in names.items()])
+    left = F.col("__slots").bitwiseAND(F.bitwise_not(F.coalesce("__gone", F.lit(0).cast("long"))))
+    return rest.join(taken, same, "left").withColumn("__slots", left).select(rest.columns).filter("__slots <> 0")
+
+
 def ordered_matching(
     edges: DataFrame, scope: Sequence[str], left: str, right: str, first: Column, then: Column,
     shared: Column | None = None,
@@ -316,7 +374,8 @@ def ordered_matching(
     """Edges chosen by a greedy one-to-one matching that takes them in the order of (`first`, `then`).
 
     `first` orders the turns (all edges of equal `first` have one left node), `then` the edges of a turn.
-    `shared` marks edges whose right node may be chosen any number of times.
+    `shared` marks edges whose right node may be chosen any number of times. Edges with a column `__slots`
+    (long) are matched in each of its bits by itself; the chosen edges have the bits in which they were.
     """
     # The order repeats columns of the edges, so it is not written with them.
     e = materialize(edges).withColumn("__o", F.struct(first.alias("k"), then.alias("l"))).withColumn(
@@ -324,12 +383,16 @@ def ordered_matching(
     )
 
     def strike(rest: DataFrame, chosen: DataFrame, inner: Sequence[str]) -> DataFrame:
+        if "__slots" in edges.columns:
+            return _less(_less(rest, chosen, inner, left), chosen.filter("NOT __s"), inner, right)
         taken = chosen.select(*inner, F.col(left).alias("__x")).distinct()
         rest = _without(rest.withColumnRenamed(left, "__x"), taken, [*inner, "__x"]).withColumnRenamed("__x", left)
         used = chosen.filter("NOT __s").select(*inner, F.col(right).alias("__x")).distinct()
         return _without(rest.withColumnRenamed(right, "__x"), used, [*inner, "__x"]).withColumnRenamed("__x", right)
 
     nodes = F.xxhash64(*scope, F.lit("l"), left), F.xxhash64(*scope, F.lit("r"), right)
+    if "__slots" in edges.columns:
+        return in_order(e, scope, [left, right, "__s", "__slots"], nodes, _SlotMatching, strike).drop("__o", "__s")
     return in_order(e, scope, [left, right, "__s"], nodes, _Matching, strike).drop("__o", "__s")
 
 
@@ -430,7 +493,7 @@ def coco_matches(
     category_id, a, b, iou).
 
     A detection and a ground truth that overlap nothing else match at every threshold below their
-    IoU; only the other overlaps are expanded to (area, threshold) and matched in order.
+    IoU; the other overlaps are matched in order, in the bits of all (area, threshold) at once.
     """
     by = ["image_id", "category_id"]
     bands = [r for r in AREA_RANGES if r[0] in areas]
@@ -470,24 +533,26 @@ def coco_matches(
         *by, F.col("det").alias("id"), bits(lambda lo, hi: F.when(serves(lo, hi), reach).otherwise(zero)).alias("hit"),
         bits(lambda lo, hi: F.when(serves(lo, hi), zero).otherwise(reach)).alias("ignored"),
     )
-    slots = F.filter(
-        F.sequence(F.lit(0), F.lit(nt * len(bands) - 1)), lambda k: F.col("iou") >= F.get(F.lit(least), k % nt)
-    )
-    a = F.floor(F.col("slot") / nt).cast("int")
-    lows, highs = (F.lit([r[i] for r in bands]) for i in (1, 2))
-    tangled = ranked.filter(~alone).withColumn("slot", F.explode(slots)).select(
-        *by, "slot", "det", "score", "gt", "crowd", "iou",
-        (F.col("crowd") | ~F.col("gt_area").between(F.get(lows, a), F.get(highs, a))).alias("ignored"),
+    # Once for the slots in which the ground truth counts, once for those in which it is ignored. One without an
+    # area is neither.
+    unsized = F.col("gt_area").isNull() & ~F.col("crowd")
+    every = bits(lambda lo, hi: reach)
+    served = bits(lambda lo, hi: F.when(serves(lo, hi), reach).otherwise(zero))
+    kinds = F.when(unsized, F.array(F.struct(F.lit(None).cast("boolean").alias("ignored"), every.alias("slots")))).otherwise(F.array(
+        F.struct(F.lit(False).alias("ignored"), served.alias("slots")),
+        F.struct(F.lit(True).alias("ignored"), every.bitwiseAND(F.bitwise_not(served)).alias("slots")),
+    ))
+    tangled = ranked.filter(~alone).withColumn("kind", F.explode(F.filter(kinds, lambda x: x["slots"] != 0))).select(
+        *by, "det", "score", "gt", "crowd", "iou", F.col("kind.ignored").alias("ignored"), F.col("kind.slots").alias("__slots"),
     )
     # Larger overlap first; of equal ones the later ground truth wins, hence the descending id.
     left = F.struct(F.col("ignored"), (-F.col("iou")).alias("i"), (-F.col("gt")).alias("g"))
     right = F.struct((-F.col("score")).alias("s"), F.col("det"))
-    bit = F.expr("shiftleft(1L, slot)")
-    rounds = ordered_matching(tangled, [*by, "slot"], "det", "gt", right, left, F.col("crowd")).groupBy(
+    rounds = ordered_matching(tangled, by, "det", "gt", right, left, F.col("crowd")).groupBy(
         *by, F.col("det").alias("id")
     ).agg(
-        F.coalesce(F.bit_or(F.when(~F.col("ignored"), bit)), zero).alias("hit"),
-        F.coalesce(F.bit_or(F.when(F.col("ignored"), bit)), zero).alias("ignored"),
+        F.coalesce(F.bit_or(F.when(~F.col("ignored"), F.col("__slots"))), zero).alias("hit"),
+        F.coalesce(F.bit_or(F.when(F.col("ignored"), F.col("__slots"))), zero).alias("ignored"),
     )
     taken = simple.unionByName(rounds)  # a detection is alone or not: one row each
     full = F.lit((1 << nt) - 1).cast("long")
@@ -509,49 +574,147 @@ def ground_truth_counts(gt: DataFrame, areas: Sequence[str]) -> DataFrame:
     ).groupBy("category_id", "area").agg(F.count(F.lit(1)).alias("npos"))
 
 
+# Detections in one range of the order, sorted by one task.
+ROWS_IN_ORDER = 500_000
+
+
+def _bits(values: np.ndarray, n: int) -> np.ndarray:
+    """Rows by slots: the lowest `n` bits of each number."""
+    return (values[:, None] >> np.arange(n)) & 1
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    rows, n = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * n, pa.int32()), pa.array(values.ravel()))
+
+
+def _numbers(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
+    return batch[name][i].values.to_numpy(zero_copy_only=False)
+
+
+def _stretches(n: int, kept: Sequence[str]):
+    """Ordered rows as a row for each stretch of one category in a batch, with its sums by slot."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code = b["category_id"].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            starts = np.append(0, np.flatnonzero(np.diff(code)) + 1)
+            ends = pa.array(np.append(starts, b.num_rows), pa.int32())
+            sums = {c: np.add.reduceat(_bits(b[c].to_numpy(zero_copy_only=False), n), starts) for c in ("hits", "counted")}
+            yield pa.RecordBatch.from_arrays(
+                [b["category_id"].take(pa.array(starts)), b["__range"].take(pa.array(starts)), pa.array(np.arange(first, first + len(starts))),
+                 *[_lists(sums[c]) for c in ("hits", "counted")], *[pa.ListArray.from_arrays(ends, b[c]) for c in ("hits", "counted", *kept)]],
+                names=["category_id", "__range", "__no", "__hits", "__counted", "hits", "counted", *kept])
+            first += len(starts)
+    return run
+
+
 def precision_recall(
-    matches: DataFrame, npos: DataFrame, thresholds: Sequence[float], areas: Sequence[str] = ("all",)
+    matches: DataFrame, npos: DataFrame, thresholds: Sequence[float], areas: Sequence[str] = ("all",),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """`precision` and `recall` at every hit, best score first: category_id, area, threshold, score,
-    image_id, id, npos. Precision falls between hits, so the rows left out never matter.
+    """The curve of each category, area and threshold, best score first, in stretches of one category.
+
+    A row is a stretch of a few thousand detections: `hits` and `counted` of each, their sums by slot before
+    the stretch (`hits_before`, `counted_before`), `npos` by area (NULL: no ground truth), `areas`, and of
+    the columns `keep` an array each. `curve_rows` gives a row for each hit.
 
-    One running sum per slot over one order of the detections; the sums are spread over ranges of
-    (category, score), so a frequent category is not one task.
+    Detections are ordered once, in ranges of ROWS_IN_ORDER rows, so a frequent category is not one task;
+    what the stretches before hold comes from a row for each stretch. `matches` is read several times.
     """
-    nt = len(thresholds)
-    n = nt * len(areas)
-    sums = {f"{c}{k}": F.expr(f"shiftright({c}, {k}) & 1L") for c in ("hits", "counted") for k in range(n)}
-    slim = matches.select("category_id", "score", "image_id", "id", "hits", "counted")
-    run = running_many(slim, sums, ["-score", "image_id", "id"], "category_id")
-    at = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.getbit("hits", k) == 1)
-    hit = run.select(
-        "category_id", "score", "image_id", "id", *[F.array(*[f"{c}{k}" for k in range(n)]).alias(f"{c}s") for c in ("hits", "counted")],
-        F.explode(at).alias("slot"),
-    )
-    tps, seen = F.get("hitss", F.col("slot")), F.get("counteds", F.col("slot"))
-    named = hit.select(
-        "category_id", F.get(F.lit(list(areas)), F.floor(F.col("slot") / nt).cast("int")).alias("area"),
-        F.get(F.lit([float(t) for t in thresholds]), (F.col("slot") % nt).cast("int")).alias("threshold"),
-        "score", "image_id", "id", tps.alias("tps"), (tps / seen).alias("precision"),
-    )
-    return named.join(npos, ["category_id", "area"]).withColumn("recall", F.col("tps") / F.col("npos")).drop("tps")
+    n = len(thresholds) * len(areas)
+    zero = F.lit(0).cast("long")
+    slim = matches.select("category_id", "score", "image_id", "id", *[F.coalesce(c, zero).alias(c) for c in ("hits", "counted")])
+    order = [F.col("category_id").asc(), *_sort_cols([("score", True), ("image_id", False), ("id", False)])]
+    dealt = slim.repartitionByRange(max(1, -(-matches.count() // ROWS_IN_ORDER)), *order).sortWithinPartitions(*order)
+    long, whole = T.ArrayType(T.LongType()), T.LongType()
+    kind = T.StructType([
+        T.StructField("category_id", slim.schema["category_id"].dataType), T.StructField("__range", T.IntegerType()), T.StructField("__no", whole),
+        *[T.StructField(c, long) for c in ("__hits", "__counted", "hits", "counted")],
+        *[T.StructField(c, T.ArrayType(slim.schema[c].dataType)) for c in keep],
+    ])
+    rows = dealt.select("category_id", "hits", "counted", *keep, F.spark_partition_id().alias("__range"))
+    table = written(rows.mapInArrow(_stretches(n, keep), kind), "stretches")
+    by = Window.partitionBy("category_id").orderBy("__range", "__no").rowsBetween(Window.unboundedPreceding, -1)
+    before = table.select("__range", "__no", *[
+        F.array(*[F.coalesce(F.sum(F.get(f"__{c}", F.lit(k))).over(by), zero) for k in range(n)]).alias(f"{c}_before") for c in ("hits", "counted")
+    ])
+    of_area = [F.max(F.when(F.col("area") == a, F.col("npos"))) for a in areas]
+    found = npos.groupBy("category_id").agg(F.array(*of_area).alias("npos"))
+    return table.drop("__hits", "__counted").join(before, ["__range", "__no"]).join(found, "category_id").withColumn("areas", F.lit(list(areas)))
+
+
+def _slots(batch: pa.RecordBatch, i: int, nt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a stretch, rows by slots: what is a hit, hits and counted detections up to the row; positives by slot."""
+    npos = np.repeat(batch["npos"][i].values.to_numpy(zero_copy_only=False).astype(float), nt)
+    hit, counted = (_bits(_numbers(batch, c, i), len(npos)) for c in ("hits", "counted"))
+    tps = hit.cumsum(axis=0) + _numbers(batch, "hits_before", i)
+    seen = counted.cumsum(axis=0) + _numbers(batch, "counted_before", i)
+    return (hit == 1) & ~np.isnan(npos), tps, seen, npos
+
+
+def _by_stretch(curve: DataFrame, nt: int, columns: str, of_stretch, thresholds: Sequence[float] = (), reads: Sequence[str] = ()) -> DataFrame:
+    """Rows that `of_stretch(batch, i, hit, tps, seen, npos)` gives as arrays (slots first), with their category, area and threshold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                slot, *rest = of_stretch(b, i, *_slots(b, i, nt))
+                names = pa.array(b["areas"][i].as_py()).take(pa.array(slot // nt))
+                at = pa.array(np.asarray(thresholds, float)[slot % nt])
+                same = b["category_id"].take(pa.array(np.full(len(slot), i)))
+                yield pa.RecordBatch.from_arrays([same, names, at, *[x if isinstance(x, pa.Array) else pa.array(x) for x in rest]], names=kind.names)
+
+    kind = T.StructType([
+        T.StructField("category_id", curve.schema["category_id"].dataType), T.StructField("area", T.StringType()),
+        T.StructField("threshold", T.DoubleType()), *T.StructType.fromDDL(columns).fields,
+    ])
+    needed = ["category_id", "areas", "hits", "counted", "hits_before", "counted_before", "npos", *reads]
+    return curve.select(*needed).mapInArrow(run, kind)
+
+
+def curve_rows(curve: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """`precision` and `recall` at every hit: category_id, area, threshold, score, image_id, id, npos.
+
+    `curve`: from `precision_recall` with `keep` of score, image_id, id. Precision falls between hits, so the
+    rows left out never matter.
+    """
+    keys = ["score", "image_id", "id"]
+
+    def of_stretch(b, i, hit, tps, seen, npos):
+        slot, row = np.nonzero(hit.T)
+        t = tps[row, slot]
+        held = [b[c][i].values.take(pa.array(row)) for c in keys]
+        return slot, *held, t / seen[row, slot], npos[slot].astype(np.int64), t / npos[slot]
+
+    kinds = ", ".join(f"{c} {curve.schema[c].dataType.elementType.simpleString()}" for c in keys)
+    return _by_stretch(curve, len(thresholds), f"{kinds}, precision double, npos long, recall double", of_stretch, thresholds, keys)
 
 
 def interpolated_ap(curve: DataFrame, npos: DataFrame, thresholds: Sequence[float], points: int = RECALL_POINTS) -> DataFrame:
     """`category_id`, `area`, `threshold`, `ap`: mean over the recall points of the best precision at
     that recall or beyond.
 
-    A row reaches its recall points by count, so each group shrinks to at most `points` + 1 maxima.
+    A hit reaches its recall points by count, so each stretch and each group shrink to at most `points` + 1 maxima.
     """
     group = ["category_id", "area", "threshold"]
     step = 1.0 / (points - 1)
-    # The estimate can be off by one where i * step rounds; the exact test settles it.
-    guess = F.floor(F.col("recall") * (points - 1))
-    reached = (
-        guess + 1 - (guess * F.lit(step) > F.col("recall")).cast("long")
-        + (((guess + 1) * F.lit(step) <= F.col("recall")) & (guess + 1 < points)).cast("long")
-    )
-    peaks = curve.groupBy(*group, reached.alias("k")).agg(F.max("precision").alias("p"))
+
+    def of_stretch(b, i, hit, tps, seen, npos):
+        slot, row = np.nonzero(hit.T)
+        t = tps[row, slot]
+        recall = t / npos[slot]
+        # The estimate can be off by one where i * step rounds; the exact test settles it.
+        guess = np.floor(recall * (points - 1))
+        reached = guess + 1 - (guess * step > recall) + (((guess + 1) * step <= recall) & (guess + 1 < points))
+        if not len(slot):
+            return slot, reached.astype(np.int64), recall
+        first = np.append(0, np.flatnonzero((np.diff(slot) != 0) | (np.diff(reached) != 0)) + 1)
+        return slot[first], reached[first].astype(np.int64), np.maximum.reduceat(t / seen[row, slot], first)
+
+    maxima = _by_stretch(curve, len(thresholds), "k long, precision double", of_stretch, thresholds)
+    peaks = maxima.groupBy(*group, "k").agg(F.max("precision").alias("p"))
     listed = peaks.groupBy(*group).agg(F.collect_list(F.struct("k", "p")).alias("peaks"))  # at most points + 1
 
     def best_from(i: Column) -> Column:
@@ -569,14 +732,43 @@ def interpolated_ap(curve: DataFrame, npos: DataFrame, thresholds: Sequence[floa
 def all_point_ap(curve: DataFrame, npos: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """`category_id`, `area`, `threshold`, `ap`: area under the precision envelope.
 
-    Each hit adds 1/npos times the best precision from there on: a running maximum from the
-    low-score end.
+    Each hit adds 1/npos times the best precision from there on: a running maximum from the low-score end,
+    inside a stretch and over the best of each stretch after it.
     """
     group = ["category_id", "area", "threshold"]
-    env = running(curve, F.col("precision"), ["score", "-image_id", "-id"], group, how="max", out="__env")
-    ap = env.groupBy(*group).agg((F.sum("__env") / F.max("npos")).alias("ap"))
+    nt = len(thresholds)
+
+    def falling(hit, tps, seen):
+        at_hits = np.where(hit, tps / np.maximum(seen, 1), -np.inf)
+        return np.maximum.accumulate(at_hits[::-1], axis=0)[::-1]
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                hit, tps, seen, _ = _slots(b, i, nt)
+                yield pa.RecordBatch.from_arrays(
+                    [*[b[c].slice(i, 1) for c in ("category_id", "__range", "__no")], _lists(falling(hit, tps, seen)[:1])],
+                    names=["category_id", "__range", "__no", "__top"])
+
+    def of_stretch(b, i, hit, tps, seen, npos):
+        env = np.maximum(falling(hit, tps, seen), _numbers(b, "__after", i))
+        slot = np.flatnonzero(hit.any(axis=0))
+        return slot, np.where(hit, env, 0.0).sum(axis=0)[slot]
+
+    keys = ["category_id", "__range", "__no"]
+    kind = T.StructType([*[curve.schema[c] for c in keys], T.StructField("__top", T.ArrayType(T.DoubleType()))])
+    top = curve.select(*keys, "hits", "counted", "hits_before", "counted_before", "npos").mapInArrow(tops, kind)
+    by = Window.partitionBy("category_id").orderBy(F.desc("__range"), F.desc("__no")).rowsBetween(Window.unboundedPreceding, -1)
+    after = written(top, "tops")
+    slots = after.select(F.max(F.size("__top"))).first()[0] or 0
+    least = F.lit(float("-inf"))
+    after = after.select("__range", "__no", F.array(
+        *[F.coalesce(F.max(F.get("__top", F.lit(k))).over(by), least) for k in range(slots)]).cast("array<double>").alias("__after"))
+    sums = _by_stretch(curve.join(after, ["__range", "__no"]), nt, "env double", of_stretch, thresholds, ["__after"])
+    total = sums.groupBy(*group).agg(F.sum("env").alias("env"))
     grid = npos.withColumn("threshold", F.explode(F.lit([float(t) for t in thresholds])))
-    return grid.join(ap, group, "left").select(*group, F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    ap = F.col("env") / F.col("npos")
+    return grid.join(total, group, "left").select(*group, F.coalesce(ap, F.lit(0.0)).alias("ap"))
 
 
 def coco_ap(dets: DataFrame, gt: DataFrame, areas: Sequence[str] = ("all", "small", "medium", "large"),
@@ -672,6 +864,7 @@ def open_images_ap(dets: DataFrame, gt: DataFrame, parents: DataFrame | None = N
         found = first.select(*by, F.col("d.id").alias("id"), F.lit(1).cast("long").alias("__hit"))
         raised = matches.join(found, [*by, "id"], "left")
         matches = raised.withColumns({c: F.greatest(F.col(c), F.coalesce("__hit", F.lit(0).cast("long"))) for c in ("hits", "counted")}).drop("__hit")
+        matches = written(matches, "raised")
         of_groups = groups.filter(F.col("area").between(*AREA_RANGES[0][1:])).groupBy("category_id", F.lit("all").alias("area")).agg(
             F.count(F.lit(1)).alias("npos"))
         npos = npos.unionByName(of_groups).groupBy("category_id", "area").agg(F.sum("npos").alias("npos"))

@@ -16,7 +16,16 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_qu
 
 
 def lines(t):
-    """Lines numbered within their order, with box and category columns; sizes of a few to 500."""
+    """Lines numbered within their order, with box and category columns; sizes of a few to 500.
+
+    Written once for a query: predictions and ground truth read the same table.
+    """
+    if "_lines" not in vars(t):
+        t._lines = D.materialize(_lines(t))
+    return t._lines
+
+
+def _lines(t):
     numbered = group_index(
         t.lineitem.select("l_orderkey", "l_returnflag", *LINE_ORDER), "l_orderkey", LINE_ORDER, "id"
     )
@@ -211,7 +220,7 @@ CURVE = """m AS (SELECT l_suppkey AS category_id, 1 - l_tax AS score, l_orderkey
   pr AS (SELECT *, tps / n::DOUBLE AS prec, tps / npos::DOUBLE AS rec FROM c)"""
 
 
-def _curve(t):
+def _curve(t, keep=()):
     """Matches, positives and curve over all lines with the supplier as category."""
     n = group_index(t.lineitem.select("l_orderkey", "l_returnflag", *LINE_ORDER), "l_orderkey", LINE_ORDER, "id")
     hit = (F.col("l_returnflag") != "R").cast("long")
@@ -220,14 +229,15 @@ def _curve(t):
         F.col("l_orderkey").alias("image_id"), "id", hit.alias("hits"),
         F.lit(1).cast("long").alias("counted"),
     )
+    m = D.materialize(m)  # read several times
     npos = m.groupBy("category_id").agg((F.sum("hits") + 10).alias("npos")).withColumn("area", F.lit("all"))
-    return D.precision_recall(m, npos, [0.5]), npos
+    return D.precision_recall(m, npos, [0.5], keep=keep), npos
 
 
 @query("precision_recall", f"WITH {CURVE} SELECT category_id, image_id, id, round(prec, 6) AS prec, round(rec, 6) AS rec FROM pr WHERE tp = 1")
 def _(t):
-    c, _ = _curve(t)
-    return c.select("category_id", "image_id", "id", F.round("precision", 6).alias("prec"), F.round("recall", 6).alias("rec"))
+    c, _ = _curve(t, ["score", "image_id", "id"])
+    return D.curve_rows(c, [0.5]).select("category_id", "image_id", "id", F.round("precision", 6).alias("prec"), F.round("recall", 6).alias("rec"))
 
 
 @query("interpolated_ap", f"""WITH {CURVE}, k AS (SELECT unnest(range(0, 101)) * 0.01::DOUBLE AS r),

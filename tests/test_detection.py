@@ -314,3 +314,31 @@ def test_limits_that_hold_all_proposals_are_matched_once(spark, monkeypatch):
     low = of((2, 5))
     assert low == of((2,)) | of((5,))
     assert low != {(a, 2 if m == 100 else 5, t): v for (a, m, t), v in both.items()}
+
+
+def test_tangled_overlaps_are_matched_in_all_slots_at_once(spark, monkeypatch):
+    seen, match = [], D.ordered_matching
+    monkeypatch.setattr(D, "ordered_matching", lambda edges, *a: seen.append(edges.count()) or match(edges, *a))
+    g, d = frames(spark, *fixture(4))
+    D.coco_matches(d, g, D.IOU_THRESHOLDS, ["all", "small", "medium", "large"]).count()
+    by = ["image_id", "category_id"]
+    overlaps = D.overlapping_pairs(d, g.drop("iscrowd"), by).count()
+    assert 0 < seen[0] <= 2 * overlaps  # a row for each kind of slot, none for a slot
+
+
+def test_curves_in_many_ranges(spark, monkeypatch):
+    g, d = frames(spark, *fixture(7))
+    whole = [sorted(f(d, g).collect()) for f in (D.coco_ap, D.pascal_map)]
+    monkeypatch.setattr(D, "ROWS_IN_ORDER", 9)
+    cut = [sorted(f(d, g).collect()) for f in (D.coco_ap, D.pascal_map)]
+    for x, y in zip(whole, cut, strict=True):
+        assert [r[:-1] for r in x] == [r[:-1] for r in y]
+        assert [r.ap for r in x] == pytest.approx([r.ap for r in y], abs=1e-12)
+
+
+def test_lines_are_numbered_once(spark):
+    from datasheaf.plans import vision
+    from datasheaf.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert vision.lines(t) is vision.lines(t)

@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from datasheaf.functions import boxes as B
+from datasheaf.operators import imagepass as IP
 from datasheaf.operators.graph import connected_components
 from datasheaf.operators.positions import _sort_cols, group_index
 from datasheaf.operators.sets import top_n_per_group
@@ -627,16 +629,42 @@ def precision_recall(
     n = len(thresholds) * len(areas)
     zero = F.lit(0).cast("long")
     slim = matches.select("category_id", "score", "image_id", "id", *[F.coalesce(c, zero).alias(c) for c in ("hits", "counted")])
-    order = [F.col("category_id").asc(), *_sort_cols([("score", True), ("image_id", False), ("id", False)])]
+    order = [F.col("category_id").asc(), *_sort_cols(BEST_FIRST)]
     dealt = slim.repartitionByRange(max(1, -(-matches.count() // ROWS_IN_ORDER)), *order).sortWithinPartitions(*order)
+    kind = _stretch_columns(slim, keep)
+    rows = dealt.select("category_id", "hits", "counted", *keep, F.spark_partition_id().alias("__range"))
+    return _with_sums(written(rows.mapInArrow(_stretches(n, keep), kind), "stretches"), npos, n, areas)
+
+
+# Order of the detections of a category.
+BEST_FIRST = [("score", True), ("image_id", False), ("id", False)]
+
+
+def class_curve(matches: DataFrame, npos: DataFrame, listed: dict) -> DataFrame:
+    """As `precision_recall` for one slot, from detections with a bit for each category that their class counts for (`listed`).
+
+    Detections are ordered once, whatever their class, and told apart by category as they are cut into stretches.
+    """
+    order = _sort_cols(BEST_FIRST)
+    dealt = matches.repartitionByRange(max(1, -(-matches.count() // ROWS_IN_ORDER)), *order).sortWithinPartitions(*order)
+    kind = _stretch_columns(matches)
+    rows = dealt.select("category_id", "hits", "counted", "kind", F.spark_partition_id().alias("__range"))
+    run = IP.class_stretches(listed, to_arrow_type(kind["category_id"].dataType), kind.names)
+    return _with_sums(written(rows.mapInArrow(run, kind), "stretches"), npos, 1, ["all"])
+
+
+def _stretch_columns(matches: DataFrame, keep: Sequence[str] = ()) -> T.StructType:
     long, whole = T.ArrayType(T.LongType()), T.LongType()
-    kind = T.StructType([
-        T.StructField("category_id", slim.schema["category_id"].dataType), T.StructField("__range", T.IntegerType()), T.StructField("__no", whole),
+    return T.StructType([
+        T.StructField("category_id", matches.schema["category_id"].dataType), T.StructField("__range", T.IntegerType()), T.StructField("__no", whole),
         *[T.StructField(c, long) for c in ("__hits", "__counted", "hits", "counted")],
-        *[T.StructField(c, T.ArrayType(slim.schema[c].dataType)) for c in keep],
+        *[T.StructField(c, T.ArrayType(matches.schema[c].dataType)) for c in keep],
     ])
-    rows = dealt.select("category_id", "hits", "counted", *keep, F.spark_partition_id().alias("__range"))
-    table = written(rows.mapInArrow(_stretches(n, keep), kind), "stretches")
+
+
+def _with_sums(table: DataFrame, npos: DataFrame, n: int, areas: Sequence[str]) -> DataFrame:
+    """Stretches with the sums by slot of those before them, and the positives of their category."""
+    zero = F.lit(0).cast("long")
     by = Window.partitionBy("category_id").orderBy("__range", "__no").rowsBetween(Window.unboundedPreceding, -1)
     before = table.select("__range", "__no", *[
         F.array(*[F.coalesce(F.sum(F.get(f"__{c}", F.lit(k))).over(by), zero) for k in range(n)]).alias(f"{c}_before") for c in ("hits", "counted")
@@ -837,6 +865,95 @@ def with_ancestors(boxes: DataFrame, closure: DataFrame) -> DataFrame:
     return boxes.join(up, "category_id", "left").withColumn("category_id", F.explode(listed)).drop("__up")
 
 
+def _ancestor_matches(dets: DataFrame, gt: DataFrame, closure: DataFrame | None, iou: float, groups_count: bool) -> DataFrame:
+    """The rows of `coco_matches`, each box repeated for the ancestors of its class, the best detection of a group a hit."""
+    by = ["image_id", "category_id"]
+    if closure is not None:
+        dets, gt = with_ancestors(dets, closure), with_ancestors(gt, closure)
+    dets, gt = written(dets, "detections"), written(gt, "truth")
+    matches = written(coco_matches(dets, gt, [iou], ["all"], max_dets=None), "matches")
+    if not groups_count:
+        return matches
+    groups = gt.filter("iscrowd = 1")
+    # Detections that a group took: neither hit nor counted.
+    idle = matches.filter("hits = 0 AND counted = 0").select(*by, "id", "score").join(dets.drop("score"), [*by, "id"])
+    inside = overlapping_pairs(idle.select(*by, "id", "score", *BOX), groups.select(*by, "id", "iscrowd", *BOX), by).filter(F.col("iou") >= iou)
+    own = inside.groupBy(*by, F.col("a.id").alias("id"), F.col("a.score").alias("score")).agg(
+        F.min(F.struct((-F.col("iou")).alias("o"), F.col("b.id").alias("group"))).alias("best"))
+    first = own.groupBy(*by, F.col("best.group").alias("group")).agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("d"))
+    found = first.select(*by, F.col("d.id").alias("id"), F.lit(1).cast("long").alias("__hit"))
+    raised = matches.join(found, [*by, "id"], "left")
+    raised = raised.withColumns({c: F.greatest(F.col(c), F.coalesce("__hit", F.lit(0).cast("long"))) for c in ("hits", "counted")}).drop("__hit")
+    return written(raised, "raised")
+
+
+# Boxes of an image on one side that a task holds to match the image in one pass, and rows of a class hierarchy
+# that every task holds for it.
+IMAGE_BOXES = 512
+MAX_LINEAGE = 100_000
+# Boxes whose images are put together at a time, so that not all of them lie on disk twice; the input is read once
+# for each part, so there are at most IMAGE_PARTS.
+PART_ROWS, IMAGE_PARTS = 5_000_000, 8
+
+
+def _listed_ancestors(closure: DataFrame | None) -> dict | None:
+    """Ancestors of each class; None for a hierarchy too large to be held, or too deep for the bits of a long."""
+    if closure is None:
+        return {}
+    if closure.count() > MAX_LINEAGE:
+        return None
+    rows = closure.filter("category_id IS NOT NULL").groupBy("category_id").agg(F.sort_array(F.collect_set("ancestor")).alias("up")).collect()
+    return {r[0]: r[1] for r in rows} if all(len(r[1]) <= MAX_SLOTS for r in rows) else None
+
+
+def _plain_boxes(dets: DataFrame, gt: DataFrame) -> bool:
+    """Whether the columns are of the types that the pass over images reads."""
+    kinds = [(df.schema[c].dataType, k) for df in (dets, gt) for c, k in [("id", T.IntegralType), *[(c, T.DoubleType) for c in BOX]]]
+    kinds.append((dets.schema["score"].dataType, (T.DoubleType, T.FloatType)))
+    same = all(dets.schema[c].dataType == gt.schema[c].dataType for c in ("image_id", "category_id"))
+    return same and all(isinstance(t, k) for t, k in kinds)
+
+
+def _class_matches(dets: DataFrame, gt: DataFrame, closure: DataFrame | None, listed: dict, iou: float, groups_count: bool) -> DataFrame:
+    """`image_id`, `category_id`, `id`, `score`, `counted`, `hits`, `kind`: a detection once, its bits by the ancestors of its class.
+
+    Images of at most IMAGE_BOXES boxes on each side are read once by the task that holds them, without a table
+    of overlaps or of boxes for ancestors, a part of the images at a time. Other images, and those whose ids are null or come twice, take
+    `_ancestor_matches`, with a row for each category.
+    """
+    sides = [x.select("image_id", F.lit(a).alias("a"), F.lit(1 - a).alias("b")) for x, a in ((dets, 1), (gt, 0))]
+    large = sides[0].unionByName(sides[1]).groupBy("image_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    large = written(large.filter(F.greatest("a", "b") > IMAGE_BOXES).select("image_id"), "large-images")
+    area = F.col("area") if "area" in dets.columns else B.area(*[F.col(c) for c in BOX])
+
+    def flag(test: Column, bit: int) -> Column:
+        return F.when(test, bit).otherwise(0)
+
+    in_range = lambda x: x.between(*AREA_RANGES[0][1:])
+    crowd = F.coalesce("iscrowd", F.lit(0)) == 1
+    kind = flag(crowd, IP.CROWD) + flag(~crowd & in_range(F.col("area")), IP.SERVES) + flag(~crowd & F.col("area").isNull(), IP.UNSIZED) + IP.TRUTH
+    held = ["image_id", "category_id", F.col("id").cast("long").alias("id"), *BOX]
+    boxes = dets.select(*held, "score", flag(in_range(area), IP.IN_RANGE).alias("kind")).unionByName(
+        gt.select(*held, F.lit(None).cast(dets.schema["score"].dataType).alias("score"), kind.alias("kind")))
+    if not large.isEmpty():
+        boxes = _without(boxes, large, ["image_id"])
+    columns = ["image_id", "category_id", "id", "score"]
+    schema = T.StructType([*[T.StructField(c, boxes.schema[c].dataType) for c in columns], T.StructField("counted", T.LongType()),
+                           T.StructField("hits", T.LongType()), T.StructField("kind", T.IntegerType())])
+    run = IP.image_matches(listed, iou, groups_count, schema.names)
+    parts = max(1, min(IMAGE_PARTS, -(-(dets.count() + gt.count()) // PART_ROWS)))
+    part = F.pmod(F.xxhash64("image_id"), F.lit(parts))
+    some = [boxes.filter(part == i) if parts > 1 else boxes for i in range(parts)]
+    tables = [written(x.repartition("image_id").sortWithinPartitions("image_id").mapInArrow(run, schema), "matches") for x in some]
+    table = functools.reduce(DataFrame.unionByName, tables)
+    rest = written(large.unionByName(table.filter(F.col("kind") == IP.LEFT).select("image_id")).distinct(), "images-left")
+    table = table.filter(F.col("kind") != IP.LEFT)
+    if rest.isEmpty():
+        return table
+    other = _ancestor_matches(_within(dets, rest, ["image_id"]), _within(gt, rest, ["image_id"]), closure, iou, groups_count)
+    return table.unionByName(other.withColumns({"id": F.col("id").cast("long"), "kind": F.lit(IP.OF_CATEGORY)}))
+
+
 def open_images_ap(dets: DataFrame, gt: DataFrame, parents: DataFrame | None = None, iou: float = 0.5, groups_count: bool = True) -> DataFrame:
     """`category_id`, `ap` in 0..1, all-point area; the mean over rows is the mAP.
 
@@ -844,31 +961,23 @@ def open_images_ap(dets: DataFrame, gt: DataFrame, parents: DataFrame | None = N
     the ancestors of their class too. A box of a group takes any number of detections that lie in it by `iou` of
     their own area and are matched to no other box; with `groups_count` the best of them is one hit and the
     box one to be found, else they are all left out. Equal overlaps go to the smaller id of the group's box.
+    `dets` and `gt` are read several times.
     """
-    by = ["image_id", "category_id"]
-    if parents is not None:
-        closure = written(hierarchy_closure(parents), "closure")
-        dets, gt = with_ancestors(dets, closure), with_ancestors(gt, closure)
-    dets = written(dets, "detections")
-    gt = written(gt.withColumn("iscrowd", F.col("is_group").cast("int")).drop("is_group"), "truth")
-    matches = written(coco_matches(dets, gt, [iou], ["all"], max_dets=None), "matches")
+    closure = None if parents is None else written(hierarchy_closure(parents), "closure")
+    gt = gt.withColumn("iscrowd", F.col("is_group").cast("int")).drop("is_group")
     npos = ground_truth_counts(gt, ["all"])
     if groups_count:
-        groups = gt.filter("iscrowd = 1")
-        # Detections that a group took: neither hit nor counted.
-        idle = matches.filter("hits = 0 AND counted = 0").select(*by, "id", "score").join(dets.drop("score"), [*by, "id"])
-        inside = overlapping_pairs(idle.select(*by, "id", "score", *BOX), groups.select(*by, "id", "iscrowd", *BOX), by).filter(F.col("iou") >= iou)
-        own = inside.groupBy(*by, F.col("a.id").alias("id"), F.col("a.score").alias("score")).agg(
-            F.min(F.struct((-F.col("iou")).alias("o"), F.col("b.id").alias("group"))).alias("best"))
-        first = own.groupBy(*by, F.col("best.group").alias("group")).agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("d"))
-        found = first.select(*by, F.col("d.id").alias("id"), F.lit(1).cast("long").alias("__hit"))
-        raised = matches.join(found, [*by, "id"], "left")
-        matches = raised.withColumns({c: F.greatest(F.col(c), F.coalesce("__hit", F.lit(0).cast("long"))) for c in ("hits", "counted")}).drop("__hit")
-        matches = written(matches, "raised")
-        of_groups = groups.filter(F.col("area").between(*AREA_RANGES[0][1:])).groupBy("category_id", F.lit("all").alias("area")).agg(
-            F.count(F.lit(1)).alias("npos"))
-        npos = npos.unionByName(of_groups).groupBy("category_id", "area").agg(F.sum("npos").alias("npos"))
-    return all_point_ap(precision_recall(matches, npos, [iou]), npos, [iou]).select("category_id", "ap")
+        of_groups = gt.filter("iscrowd = 1").filter(F.col("area").between(*AREA_RANGES[0][1:])).groupBy(
+            "category_id", F.lit("all").alias("area")).agg(F.count(F.lit(1)).alias("npos"))
+        npos = npos.unionByName(of_groups)
+    npos = npos if closure is None else with_ancestors(npos, closure)
+    npos = written(npos.groupBy("category_id", "area").agg(F.sum("npos").alias("npos")), "positives")
+    listed = _listed_ancestors(closure)
+    if listed is not None and _plain_boxes(dets, gt):
+        curve = class_curve(_class_matches(dets, gt, closure, listed, iou, groups_count), npos, listed)
+    else:
+        curve = precision_recall(_ancestor_matches(dets, gt, closure, iou, groups_count), npos, [iou])
+    return all_point_ap(curve, npos, [iou]).select("category_id", "ap")
 
 
 # The spread of each of the 17 body keypoints, and the detections of an image that count.

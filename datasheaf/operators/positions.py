@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datasheaf.session import written
+from datasheaf.session import cleaned, written
 
 ROWS_PER_RANGE: int | None = None
 ROWS_PER_GROUP = 1_000_000
@@ -174,7 +174,8 @@ def running_many(
 
 
 def _largest_group(df: DataFrame, names: list[str]) -> int:
-    return df.groupBy(*names).agg(F.count(F.lit(1)).alias("__ds_n")).agg(F.max("__ds_n")).first()[0] or 0
+    with cleaned(df.sparkSession):
+        return df.groupBy(*names).agg(F.count(F.lit(1)).alias("__ds_n")).agg(F.max("__ds_n")).first()[0] or 0
 
 
 def _inside(value: Column | None, held: str | None, w, how: str, inclusive: bool) -> Column:

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from datasheaf.operators import detection as D
+from datasheaf.session import written
 
 BOX = "x0 double, y0 double, x1 double, y1 double"
 
@@ -342,3 +344,57 @@ def test_lines_are_numbered_once(spark):
 
     t = Tables(spark, "/root/testdata/sf0.001")
     assert vision.lines(t) is vision.lines(t)
+
+
+def _boxes_with_groups(spark, seed, images=40, most=9):
+    """Detections, ground truth and a hierarchy: equal scores and boxes, nulls, NaN, ids that come twice, images of one side only."""
+    rng = random.Random(seed)
+
+    def box():
+        x, y = rng.randrange(6) * 3.0, rng.randrange(6) * 3.0
+        return [x, y, x + rng.choice([0.0, 6.0, 9.0, 12.0, 2e5]), y + rng.choice([6.0, 9.0, 12.0])]
+
+    def some(v, others=(None,), share=0.03):
+        return rng.choice(others) if rng.random() < share else v
+
+    kinds = ["a", "b", "c", "d", "r", "s", "z"]
+    dets, gt = [], []
+    for image in [*range(images), None]:
+        ids = rng.random() < 0.8
+        for side in (dets, gt):
+            for i in range(rng.randrange(most)):
+                row = [image, some(rng.choice(kinds)), i if ids else some(i, (None, 0, 1), 0.2)]
+                b = box()
+                if side is gt and (here := [d for d in dets if d[0] == image]) and rng.random() < 0.6:
+                    row[1], *b = (lambda d: (d[1], *d[3:7]))(rng.choice(here))
+                b[rng.randrange(4)] = some(b[0], (None, float("nan")), 0.02)
+                area = (b[2] - b[0]) * (b[3] - b[1]) if None not in b else None
+                side.append((*row, *b, *((some(rng.randrange(4) / 4, (None, float("nan"))),) if side is dets else (some(area), some(rng.random() < 0.3)))))
+    names = "image_id long, category_id string, id long, x0 double, y0 double, x1 double, y1 double"
+    parents = spark.createDataFrame([("a", "r"), ("b", "r"), ("b", "s"), ("c", "s"), ("r", "root"), ("s", "root")], "category_id string, parent_id string")
+    return spark.createDataFrame(dets, names + ", score double"), spark.createDataFrame(gt, names + ", area double, is_group boolean"), parents
+
+
+@pytest.mark.parametrize(("seed", "hierarchy", "groups"), [(1, True, True), (2, False, True), (3, True, False)])
+def test_images_in_one_pass_as_by_joins(spark, monkeypatch, seed, hierarchy, groups):
+    dets, gt, parents = _boxes_with_groups(spark, seed)
+    parents = parents if hierarchy else None
+    rows = lambda: {r.category_id: round(r.ap, 9) for r in D.open_images_ap(dets, gt, parents, 0.5, groups).collect()}
+    one_pass = rows()
+    if seed == 1:
+        monkeypatch.setattr(D, "PART_ROWS", 100)
+        monkeypatch.setattr(D, "IMAGE_BOXES", 5)  # larger images by joins, the others in parts
+        assert rows() == one_pass
+    monkeypatch.setattr(D, "_plain_boxes", lambda *_: False)  # all by joins
+    assert rows() == one_pass and sum(v > 0 for v in one_pass.values()) > 3
+
+
+def test_boxes_are_not_written_for_ancestors(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(D, "written", lambda df, name: rows.append((lambda t: (name, t.count(), t)[:2])(written(df, name))) or written(df, name))
+    boxes = [(i // 4, "leaf", i % 4, 9.0 * (i % 4), 0.0, 9.0 * (i % 4) + 8.0, 8.0) for i in range(400)]
+    dets = spark.createDataFrame([(*b, 0.5) for b in boxes], "image_id long, category_id string, id long, x0 double, y0 double, x1 double, y1 double, score double")
+    gt = dets.drop("score").withColumn("area", F.lit(64.0)).withColumn("is_group", F.lit(False))
+    parents = spark.createDataFrame([("leaf", "branch"), ("branch", "trunk"), ("trunk", "root")], "category_id string, parent_id string")
+    assert {r.category_id: r.ap for r in D.open_images_ap(dets, gt, parents).collect()} == dict.fromkeys(["leaf", "branch", "trunk", "root"], 1.0)
+    assert max(n for _, n in rows) <= 400  # it was four times as many

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from datasheaf.functions import text as T
 from datasheaf.functions.arrays import running_total
 from datasheaf.functions.hashing import draw, draw_int
-from datasheaf.operators.positions import global_index, running
-from datasheaf.session import materialize, written
+from datasheaf.functions.runs import PLANES, joined_runs, packed_runs
+from datasheaf.operators.positions import global_index, running, summed_in_order
+from datasheaf.session import written
 
 END_OF_LINE = "<eos>"
 
@@ -29,16 +32,22 @@ def corpus_texts(df: DataFrame, text: str, order_by: Sequence[str]) -> DataFrame
     """One row per text: the order columns, `lines` (the words of each line and its end marker), `n` tokens
     and `start`, the corpus position of the first one. A null text has no lines.
 
-    The texts are taken apart once and written; the order is made from the keys and counts alone, and the
-    tokens travel in one join on the keys, which are unique.
+    The texts are put in order as they are and taken apart as they are written, with the sum of the tokens before
+    them, so tokens are not shuffled and no join is needed to read them. The order columns are unique: of texts with equal ones
+    each has the starts of all of them; texts with a null among them are counted and left out.
     """
     keys = [k.lstrip("-") for k in order_by]
-    marked = F.transform(T.lines(text), lambda v: F.concat(T.words(v), F.array(F.lit(END_OF_LINE))))
-    rows = df.select(*keys, F.coalesce(marked, F.array().cast("array<array<string>>")).alias("lines"))
-    n = F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + F.size(x))
-    rows = written(rows.withColumn("n", n), "tokens")
-    starts = running(rows.select(*keys, "n"), F.col("n"), order_by, inclusive=False, out="start")
-    return rows.join(starts.drop("n"), keys)
+    marked = F.transform(T.lines("__text"), lambda v: F.concat(T.words(v), F.array(F.lit(END_OF_LINE))))
+    lines = F.coalesce(marked, F.array().cast("array<array<string>>")).alias("lines")
+    n = F.coalesce(F.when(F.col("__text").isNotNull(), T.word_count("__text") + F.size(T.lines("__text"))), F.lit(0).cast("long"))
+    own = F.col("__ds_v0_own").alias("n")
+    texts = summed_in_order(df.select(*keys, F.col(text).alias("__text")), n, order_by, [*keys, lines, own], "start", compression="zstd")
+    texts = texts.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    again = texts.groupBy(*keys).agg(F.collect_list("start").alias("__starts")).filter(F.size("__starts") > 1)
+    again = written(again, "equal-keys")
+    if again.isEmpty():
+        return texts
+    return texts.join(again, keys, "left").withColumn("start", F.explode(F.coalesce("__starts", F.array("start")))).drop("__starts")
 
 
 def corpus_size(texts: DataFrame) -> int:
@@ -122,7 +131,7 @@ def build_vocab(tokens: DataFrame, token: str = "token", pos: str = "pos") -> Da
     seen = tokens.groupBy(F.col(token).alias("token")).agg(
         F.min(pos).alias("first_pos"), F.count(F.lit(1)).alias("n")
     )
-    return global_index(materialize(seen), "first_pos", out="id").drop("first_pos")
+    return global_index(written(seen, "vocabulary"), "first_pos", out="id").drop("first_pos")
 
 
 def first_seen_index(df: DataFrame, col: str, pos: str) -> DataFrame:
@@ -135,16 +144,46 @@ def encode(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     return tokens.join(vocab.select("token", "id"), "token")
 
 
+# Tokens of the vocabulary that every task holds, and their greatest length.
+COMMON_TOKENS, COMMON_LENGTH = 500_000, 64
+
+
+def _common(vocab: DataFrame) -> DataFrame:
+    """Vocabulary rows of the most frequent tokens, all that are seen equally often or none; of any tokens where counts are missing."""
+    short = vocab.filter((F.length("token") <= COMMON_LENGTH) & F.col("id").isNotNull())
+    if "n" in vocab.columns:
+        by = Window.orderBy(F.desc("n"))  # a row for each count
+        counts = short.groupBy("n").agg(F.count(F.lit(1)).alias("tokens")).withColumn("tokens", F.sum("tokens").over(by))
+        least = counts.filter(F.col("tokens") <= COMMON_TOKENS).agg(F.min("n")).first()[0]
+        some = short.filter(F.col("n") >= least) if least is not None else short.limit(0)
+    else:
+        some = short.limit(COMMON_TOKENS)
+    some = F.broadcast(written(some.select("token").distinct(), "common-tokens"))
+    return written(vocab.select("token", "id").join(some, "token", "left_semi"), "common-vocabulary")
+
+
 def encode_sentences(
     tokens: DataFrame, vocab: DataFrame, line_keys: Sequence[str], drop_empty: bool = True
 ) -> DataFrame:
-    """One id array per line in token order; lines that hold only the end marker are skipped."""
-    out = encode(tokens, vocab).groupBy(*line_keys).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]
-        ).alias("ids")
-    )
-    return out.filter(F.size("ids") > 1) if drop_empty else out
+    """One id array per line in token order; lines that hold only the end marker are skipped.
+
+    Common tokens, a bounded number, get their ids where they are, and leave as packed runs of consecutive
+    positions of a line; only the others travel to the vocabulary as rows. Both meet on the line.
+    """
+    vocab = vocab.select("token", "id", *[c for c in vocab.columns if c == "n"])
+    common = F.broadcast(_common(vocab))
+    here = tokens.select(*line_keys, F.col("pos").cast("long").alias("pos"), "token")
+    rare = vocab.select("token", F.col("id").cast("long").alias("id")).join(common.select("token"), "token", "left_anti")
+    rare = written(here.join(common.select("token"), "token", "left_anti").join(rare, "token").select(*line_keys, "pos", "id"), "rare-tokens")
+    ids = here.join(common.withColumn("id", F.col("id").cast("long")), "token", "left").select(*line_keys, "pos", "id")
+    keys = [ids.schema[k] for k in line_keys]
+    packed = StructType([*keys, *[StructField(c, LongType()) for c in ("pos", "id")], *[StructField(c, BinaryType()) for c in PLANES]])
+    nothing = [F.lit(None).cast("binary").alias(c) for c in PLANES]
+    pieces = ids.mapInArrow(packed_runs(line_keys), packed).unionByName(rare.select("*", *nothing))
+    kind = StructType([*keys, StructField("ids", ArrayType(vocab.schema["id"].dataType))])
+    out = pieces.repartition(*line_keys).sortWithinPartitions(*line_keys).mapInArrow(
+        joined_runs(line_keys, to_arrow_type(kind["ids"].dataType.elementType), 1 + drop_empty), kind)
+    return out
 
 
 def batchify(tokens: DataFrame, total: int, columns: int) -> DataFrame:

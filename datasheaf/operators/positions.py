@@ -61,18 +61,22 @@ def _added_up(columns: Sequence[str]):
 
 def placed(
     df: DataFrame, keys: list[tuple[str, bool]], rows_per_range: int | None = None, sums: Sequence[str] = (),
+    counted: dict[str, Column] | None = None, kept: Sequence[Column | str] = ("*",), compression: str | None = None,
 ) -> DataFrame:
     """`df` as a table in the order of `keys`, with the number of each row's range and its row in it.
 
-    The columns `sums` hold their running sum inside the range.
+    The columns `sums` hold their running sum inside the range. `counted` are columns worked out once the rows
+    are in order, `kept` what the table holds of them, worked out as it is written.
     """
     cols = _sort_cols(keys)
     size = rows_per_range or ROWS_PER_RANGE
     dealt = df.repartitionByRange(max(1, -(-df.count() // size)), *cols) if size else df.repartitionByRange(*cols)
-    rows = dealt.sortWithinPartitions(*cols).withColumn(_ROW, F.monotonically_increasing_id())
+    rows = dealt.sortWithinPartitions(*cols).withColumns({**(counted or {}), _ROW: F.monotonically_increasing_id()})
     if sums:
         rows = rows.mapInArrow(_added_up(sums), rows.schema)
-    table = written(rows, "ordered")
+    if tuple(kept) != ("*",):
+        rows = rows.select(*kept, _ROW)
+    table = written(rows, "ordered", compression)
     return table.withColumns({_RANGE: F.shiftright(_ROW, _ROW_BITS), _ROW: F.col(_ROW).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))})
 
 
@@ -126,6 +130,19 @@ def running(
     return running_many(df, {out: value}, order_by, partition_by, how, inclusive, rows_per_range)
 
 
+def summed_in_order(
+    df: DataFrame, value: Column, order_by: str | Sequence[str], kept: Sequence[Column | str], out: str,
+    rows_per_range: int | None = None, compression: str | None = None,
+) -> DataFrame:
+    """`kept` columns and `out`, the sum of `value` (long) over all rows before a row.
+
+    For wide rows: they travel as they are, and what is kept of them is made in order as the table is written.
+    """
+    columns = {"__ds_v0": value.cast("long"), "__ds_v0_own": value.cast("long")}
+    rows = placed(df, _parse(order_by), rows_per_range, ["__ds_v0"], columns, [*kept, *columns], compression)
+    return _global_sums(rows, [out], {out: "__ds_v0"}, inclusive=False)
+
+
 def running_many(
     df: DataFrame,
     values: dict[str, Column | None],

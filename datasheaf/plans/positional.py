@@ -19,7 +19,7 @@ def lines(t):
 
 
 def texts(t):
-    return C.corpus_texts(spread(t.documents.select("doc_id", "text")), "text", ["doc_id"])
+    return C.corpus_texts(t.documents.select("doc_id", "text"), "text", ["doc_id"])
 
 
 def corpus(t):

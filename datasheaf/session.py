@@ -86,11 +86,11 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """`df` as a table in the shared folder: computed once, read by column, safe when executors are lost."""
     folder = work_folder(df.sparkSession, name)
     with cleaned(df.sparkSession):
-        df.write.parquet(folder)
+        df.write.parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
